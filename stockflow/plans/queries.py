@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stockflow.operators import stock
+from stockflow.operators import bom, lines, stock, summaries
 from stockflow.plans.catalog import query
-from stockflow.sources.model import Model
+from stockflow.sources.model import Model, boms
 
 # --------------------------------------------------------------------------
 # Stock (D1-D3, C10, G11, K1)
@@ -40,3 +40,296 @@ left join (select l.product_id, count(*) as shortage_lines
 def q_stock_position(m: Model):
     """Flagship: on hand, reserved (sales scope), free, open and shortage lines per product."""
     return stock.stock_overview(m.product, m.sales_order, m.sales_line)
+
+
+def _mo_components(m: Model):
+    return bom.instantiate_components(m.manufacturing_order, m.bom_component)
+
+
+def _position_all(m: Model):
+    r = stock.reserved_all(m.sales_order, m.sales_line, m.manufacturing_order, _mo_components(m))
+    return stock.stock_position(m.product, r)
+
+
+def _position_sales(m: Model):
+    return stock.stock_position(m.product, stock.reserved_sales(m.sales_order, m.sales_line))
+
+
+@query("reserved_sales", sql="""
+select p.product_id, cast(coalesce(r.reserved_qty, 0) as decimal(20,3)) as reserved_qty
+from product p left join reserved_sales r on r.product_id = p.product_id""")
+def q_reserved_sales(m: Model):
+    """Reserved per product over open sales lines; 0 when none."""
+    return stock.reserved_sales(m.sales_order, m.sales_line, m.product)
+
+
+@query("reserved_all", sql="""
+select p.product_id, cast(coalesce(r.reserved_qty, 0) as decimal(20,3)) as reserved_qty
+from product p left join reserved_all r on r.product_id = p.product_id""")
+def q_reserved_all(m: Model):
+    """Reserved per product over open sales lines and open MO components."""
+    return stock.reserved_all(m.sales_order, m.sales_line, m.manufacturing_order,
+                              _mo_components(m), m.product)
+
+
+@query("apply_reserved", sql="""
+select p.product_id, p.reference, cast(coalesce(r.reserved_qty, 0) as decimal(20,3)) as reserved_qty
+from product p left join reserved_all r on r.product_id = p.product_id""")
+def q_apply_reserved(m: Model):
+    """Products start with reserved 0; the reserved_all rows update matched products."""
+    base = m.product.select("product_id", "reference", F.lit(0).alias("reserved_qty"))
+    r = stock.reserved_all(m.sales_order, m.sales_line, m.manufacturing_order, _mo_components(m))
+    return stock.apply_reserved(base, r).select("product_id", "reference", "reserved_qty")
+
+
+@query("stock_position_all", sql="select * from position_all")
+def q_stock_position_all(m: Model):
+    """D3 with reservations from sales lines and MO components."""
+    return _position_all(m)
+
+
+@query("line_availability", sql="""
+select l.order_id, l.line_seq, l.product_id, l.ordered_qty,
+       case when l.ordered_qty > p.on_hand_qty - p.reserved_qty then 'Shortage' else 'Available' end as availability
+from sales_line l left join position_all p on p.product_id = l.product_id""")
+def q_line_availability(m: Model):
+    """G11 (mode sales) on every sales line, read time, reservations of D2."""
+    lines = m.sales_line.select("order_id", "line_seq", "product_id", "ordered_qty")
+    return stock.line_availability(lines, _position_all(m), mode="sales")
+
+
+@query("mo_component_availability", sql="""
+select c.mo_id, c.product_id, c.to_consume_qty,
+       case when p.on_hand_qty - p.reserved_qty >= c.to_consume_qty then 'Available' else 'Not Available' end as availability
+from mo_component c left join position_all p on p.product_id = c.product_id""")
+def q_mo_component_availability(m: Model):
+    """G11 (mode mo) on MO components."""
+    comps = _mo_components(m).select("mo_id", "product_id", "to_consume_qty")
+    return stock.line_availability(comps, _position_all(m), need="to_consume_qty", mode="mo")
+
+
+@query("shortages", sql="""
+select order_id, line_seq, product_id, cast(outstanding_qty as decimal(20,3)) as outstanding_qty,
+       cast(least(outstanding_qty, greatest(cum - greatest(on_hand_qty, 0), 0)) as decimal(20,3)) as short_qty
+from (select l.order_id, l.line_seq, l.product_id, p.on_hand_qty,
+             greatest(l.ordered_qty - l.done_qty, 0) as outstanding_qty,
+             sum(greatest(l.ordered_qty - l.done_qty, 0)) over (partition by l.product_id
+                 order by o.creation_date, l.order_id, l.line_seq rows between unbounded preceding and current row) as cum
+      from sales_line l join sales_order o on o.id = l.order_id
+      left join product p on p.product_id = l.product_id
+      where o.status in ('Confirmed', 'Partially Delivered')) x""")
+def q_shortages(m: Model):
+    """K1: shortage per open sales line by a running sum per product (split by 30-day buckets)."""
+    return stock.shortages(m.sales_order, m.sales_line, m.product, bucket_days=30)
+
+
+# --------------------------------------------------------------------------
+# Lines (B3, B10, C1, D19)
+# --------------------------------------------------------------------------
+
+
+@query("valid_lines", sql="""
+select order_id, line_seq, product_id,
+       cast(coalesce(nullif(ordered_qty, 0), 1) as decimal(14,3)) as ordered_qty,
+       cast(coalesce(done_qty, 0) as decimal(14,3)) as done_qty
+from sales_line where product_id is not null and product_id <> 0""")
+def q_valid_lines(m: Model):
+    """Lines with a product; ordered 0/null -> 1, done null -> 0."""
+    return lines.valid_lines(m.sales_line.select("order_id", "line_seq", "product_id",
+                                                 "ordered_qty", "done_qty"))
+
+
+@query("enrich_sales_lines", sql="""
+select l.order_id, l.line_seq, l.product_id, l.ordered_qty, p.product_name, 'Units' as unit,
+       p.sales_price as unit_price, cast(p.sales_price * l.ordered_qty as decimal(20,2)) as total,
+       case when s.on_hand_qty - s.reserved_qty >= l.ordered_qty then 'Available' else 'Shortage' end as availability
+from sales_line l join product p on p.product_id = l.product_id
+left join position_sales s on s.product_id = l.product_id""")
+def q_enrich_sales_lines(m: Model):
+    """C1 + B3: product name, unit, price from the product, booked total, snapshot availability."""
+    src = m.sales_line.select("order_id", "line_seq", "product_id", "ordered_qty")
+    found, _ = lines.enrich_lines(src, m.product, "sales", _position_sales(m))
+    return found
+
+
+@query("line_lookup_rejects", sql="""
+select l.order_id, l.line_seq, l.product_id, 'Product not found' as error
+from sales_line l where not exists (select 1 from product p where p.product_id = l.product_id)""")
+def q_line_lookup_rejects(m: Model):
+    """Sales lines whose product cannot be found."""
+    src = m.sales_line.select("order_id", "line_seq", "product_id")
+    _, rejects = lines.lookup(src, m.product, "product_id", "product_id", "Product")
+    return rejects
+
+
+@query("order_totals_view", sql="""
+select l.order_id, count(*) as line_count,
+       cast(sum(cast(case when l.done_qty > 0 then l.done_qty else l.ordered_qty end * p.sales_price as decimal(20,2))) as decimal(20,2)) as order_total
+from sales_line l join product p on p.product_id = l.product_id group by l.order_id""")
+def q_order_totals_view(m: Model):
+    """D19 (view rule): delivered qty if > 0 else ordered, times the price, per order."""
+    src = m.sales_line.join(m.product.select("product_id", "sales_price"), "product_id")
+    return lines.order_totals(src, "sales_price", "view")
+
+
+@query("order_totals_booked", sql="""
+select l.order_id, count(*) as line_count,
+       cast(sum(cast(l.ordered_qty * p.cost_price as decimal(20,2))) as decimal(20,2)) as order_total
+from purchase_line l join product p on p.product_id = l.product_id group by l.order_id""")
+def q_order_totals_booked(m: Model):
+    """D19 (booked rule) on purchase lines: ordered x cost price, per order."""
+    src = m.purchase_line.join(m.product.select("product_id", "cost_price"), "product_id")
+    return lines.order_totals(src, "cost_price", "booked")
+
+
+# --------------------------------------------------------------------------
+# BoM (C4-C7) and summaries
+# --------------------------------------------------------------------------
+
+
+@query("instantiate_components", sql="select * from mo_component")
+def q_instantiate_components(m: Model):
+    """MO components = BoM components x MO quantity."""
+    return _mo_components(m)
+
+
+@query("instantiate_operations", sql="""
+select mo.id as mo_id, bo.operation_name, bo.work_center,
+       cast(bo.expected_duration * coalesce(nullif(mo.quantity, 0), 1) as decimal(20,2)) as expected_duration,
+       cast(0 as decimal(20,2)) as real_duration, 'Draft' as status
+from manufacturing_order mo join bom_operation bo on bo.bom_id = mo.bom_id""")
+def q_instantiate_operations(m: Model):
+    """C7 + K3: work orders from BoM operations, durations scaled by MO quantity."""
+    return bom.instantiate_operations(m.manufacturing_order, m.bom_operation, scale_duration=True)
+
+
+@query("bom_component_names", sql="""
+select c.bom_id, c.component_product_id, p.product_name as component_name,
+       cast(coalesce(nullif(c.to_consume_qty, 0), 1) as decimal(14,3)) as to_consume_qty, 'Units' as unit
+from bom_component c left join product p on p.product_id = c.component_product_id""")
+def q_bom_component_names(m: Model):
+    """Component names, default quantity 1 and unit."""
+    return bom.bom_component_names(m.bom_component, m.product)
+
+
+@query("bom_summary_components", sql="""
+select b.*, p.product_name as finished_product_name, c.component_product_id,
+       cp.product_name as component_name, c.to_consume_qty
+from bom b join product p on p.product_id = b.finished_product_id
+left join bom_component c on c.bom_id = b.id
+left join product cp on cp.product_id = c.component_product_id""")
+def q_bom_summary_components(m: Model):
+    """D7 flat: BoM header + finished product name + one row per component."""
+    comps, _ = summaries.bom_summary(boms(m), m.bom_component, m.bom_operation, m.product)
+    return comps
+
+
+@query("bom_summary_operations", sql="""
+select b.*, p.product_name as finished_product_name, o.operation_name, o.work_center, o.expected_duration
+from bom b join product p on p.product_id = b.finished_product_id
+left join bom_operation o on o.bom_id = b.id""")
+def q_bom_summary_operations(m: Model):
+    """D7 flat: BoM header + one row per operation."""
+    _, ops = summaries.bom_summary(boms(m), m.bom_component, m.bom_operation, m.product)
+    return ops
+
+
+@query("bom_summary_nested", sql="""
+select b.id, p.product_name as finished_product_name,
+       (select count(*) from bom_component c where c.bom_id = b.id) as component_count,
+       (select count(*) from bom_operation o where o.bom_id = b.id) as operation_count,
+       cast((select coalesce(sum(c.to_consume_qty), 0) from bom_component c where c.bom_id = b.id) as decimal(20,3)) as component_qty,
+       cast((select coalesce(sum(o.expected_duration), 0) from bom_operation o where o.bom_id = b.id) as decimal(20,2)) as total_duration
+from bom b join product p on p.product_id = b.finished_product_id""")
+def q_bom_summary_nested(m: Model):
+    """D7 nested: arrays of components and operations without fan-out, checked by size and sums."""
+    doc = summaries.bom_summary(boms(m), m.bom_component, m.bom_operation, m.product, flat=False)
+    return doc.select(
+        "id", "finished_product_name",
+        F.size("components").cast("bigint").alias("component_count"),
+        F.size("operations").cast("bigint").alias("operation_count"),
+        F.aggregate("components", F.lit(0).cast("decimal(20,3)"),
+                    lambda acc, c: (acc + c["to_consume_qty"]).cast("decimal(20,3)")).cast("decimal(20,3)").alias("component_qty"),
+        F.aggregate("operations", F.lit(0).cast("decimal(20,2)"),
+                    lambda acc, o: (acc + o["expected_duration"]).cast("decimal(20,2)")).cast("decimal(20,2)").alias("total_duration"))
+
+
+@query("sales_order_summary", sql="""
+select o.*, u.name as sales_person_name, x.line_seq, x.product_id, x.product_name, x.availability,
+       x.ordered_qty, x.delivered_qty, x.unit_price, x.total
+from sales_order o left join app_user u on u.id = o.sales_person_id
+left join (select l.order_id, l.line_seq, l.product_id, p.product_name,
+                  case when l.ordered_qty > s.on_hand_qty - s.reserved_qty then 'Shortage' else 'Available' end as availability,
+                  l.ordered_qty, l.done_qty as delivered_qty, p.sales_price as unit_price,
+                  cast(case when l.done_qty > 0 then l.done_qty else l.ordered_qty end * p.sales_price as decimal(20,2)) as total
+           from sales_line l left join product p on p.product_id = l.product_id
+           left join position_all s on s.product_id = l.product_id) x on x.order_id = o.id""")
+def q_sales_order_summary(m: Model):
+    """D8 flat: order + sales person + one row per line (availability, view-rule total)."""
+    return summaries.sales_order_summary(m.sales_order, m.sales_line, m.product, m.app_user,
+                                         _position_all(m))
+
+
+@query("sales_order_summary_nested", sql="""
+select o.id, o.status, count(l.order_id) as line_count,
+       cast(coalesce(sum(case when l.done_qty > 0 then l.done_qty else l.ordered_qty end * p.sales_price), 0) as decimal(20,2)) as order_total
+from sales_order o left join sales_line l on l.order_id = o.id
+left join product p on p.product_id = l.product_id group by o.id, o.status""")
+def q_sales_order_summary_nested(m: Model):
+    """D8 nested: one row per order with its line array; checked by size and total."""
+    doc = summaries.sales_order_summary(m.sales_order, m.sales_line, m.product, m.app_user,
+                                        _position_all(m), flat=False)
+    return doc.select("id", "status", F.size("lines").cast("bigint").alias("line_count"),
+                      F.aggregate("lines", F.lit(0).cast("decimal(20,2)"),
+                                  lambda acc, x: (acc + F.coalesce(x["total"], F.lit(0))).cast("decimal(20,2)"))
+                      .cast("decimal(20,2)").alias("order_total"))
+
+
+@query("purchase_order_summary", sql="""
+select o.*, u.name as responsible_person_name, x.line_seq, x.product_id, x.product_name,
+       x.ordered_qty, x.received_qty, x.unit_price, x.total
+from purchase_order o left join app_user u on u.id = o.responsible_person_id
+left join (select l.order_id, l.line_seq, l.product_id, p.product_name, l.ordered_qty,
+                  l.done_qty as received_qty, p.cost_price as unit_price,
+                  cast(case when l.done_qty > 0 then l.done_qty else l.ordered_qty end * p.cost_price as decimal(20,2)) as total
+           from purchase_line l left join product p on p.product_id = l.product_id) x on x.order_id = o.id""")
+def q_purchase_order_summary(m: Model):
+    """D9 flat: purchase order + responsible person + one row per line."""
+    return summaries.purchase_order_summary(m.purchase_order, m.purchase_line, m.product, m.app_user)
+
+
+@query("mo_summary_components", sql="""
+select mo.*, fp.product_name as finished_product_name, u.name as assignee_name,
+       x.product_id, x.product_name, x.availability, x.to_consume_qty, x.consumed_qty
+from manufacturing_order mo join product fp on fp.product_id = mo.finished_product_id
+left join app_user u on u.id = mo.assignee_id
+left join (select c.mo_id, c.product_id, p.product_name,
+                  case when s.on_hand_qty - s.reserved_qty >= c.to_consume_qty then 'Available' else 'Not Available' end as availability,
+                  c.to_consume_qty, c.consumed_qty
+           from mo_component c left join product p on p.product_id = c.product_id
+           left join position_all s on s.product_id = c.product_id) x on x.mo_id = mo.id""")
+def q_mo_summary_components(m: Model):
+    """D10 flat: MO + finished product + assignee + one row per component with availability."""
+    comps, _ = summaries.manufacturing_order_summary(
+        m.manufacturing_order, _mo_components(m),
+        bom.instantiate_operations(m.manufacturing_order, m.bom_operation, True),
+        m.product, m.app_user, _position_all(m))
+    return comps
+
+
+@query("mo_summary_operations", sql="""
+select mo.*, fp.product_name as finished_product_name, u.name as assignee_name,
+       w.operation_name, w.work_center, w.expected_duration, w.real_duration, w.status as wo_status
+from manufacturing_order mo join product fp on fp.product_id = mo.finished_product_id
+left join app_user u on u.id = mo.assignee_id
+left join (select mo2.id as mo_id, bo.operation_name, bo.work_center,
+                  cast(bo.expected_duration * coalesce(nullif(mo2.quantity, 0), 1) as decimal(20,2)) as expected_duration,
+                  cast(0 as decimal(20,2)) as real_duration, 'Draft' as status
+           from manufacturing_order mo2 join bom_operation bo on bo.bom_id = mo2.bom_id) w on w.mo_id = mo.id""")
+def q_mo_summary_operations(m: Model):
+    """D10 flat: MO header + one row per work order."""
+    _, ops = summaries.manufacturing_order_summary(
+        m.manufacturing_order, _mo_components(m),
+        bom.instantiate_operations(m.manufacturing_order, m.bom_operation, True),
+        m.product, m.app_user, _position_all(m))
+    return ops

@@ -24,7 +24,20 @@ VIEWS = [
 ]
 
 
+# Derived tables the oracle queries share: MO components instantiated from
+# the BoM (C6), reservations over sales lines and MO components (D2) and the
+# resulting stock position (D3).
+DERIVED = [
+    ("mo_component", "select mo.id as mo_id, bc.component_product_id as product_id, cast(bc.to_consume_qty * coalesce(nullif(mo.quantity, 0), 1) as decimal(20,3)) as to_consume_qty, cast(0 as decimal(20,3)) as consumed_qty from manufacturing_order mo join bom_component bc on bc.bom_id = mo.bom_id"),
+    ("reserved_sales", "select l.product_id, cast(sum(greatest(l.ordered_qty - coalesce(l.done_qty, 0), 0)) as decimal(20,3)) as reserved_qty from sales_line l join sales_order o on o.id = l.order_id where o.status in ('Confirmed', 'Partially Delivered') group by l.product_id"),
+    ("reserved_all", "select product_id, cast(sum(qty) as decimal(20,3)) as reserved_qty from (select l.product_id, greatest(l.ordered_qty - coalesce(l.done_qty, 0), 0) as qty from sales_line l join sales_order o on o.id = l.order_id where o.status in ('Confirmed', 'Partially Delivered') union all select c.product_id, greatest(c.to_consume_qty - coalesce(c.consumed_qty, 0), 0) as qty from mo_component c join manufacturing_order mo on mo.id = c.mo_id where mo.status in ('Confirmed', 'In Progress')) q group by product_id"),
+    ("position_sales", "select p.product_id, cast(p.on_hand_qty as decimal(20,3)) as on_hand_qty, cast(coalesce(r.reserved_qty, 0) as decimal(20,3)) as reserved_qty, cast(p.on_hand_qty - coalesce(r.reserved_qty, 0) as decimal(20,3)) as free_qty from product p left join reserved_sales r on r.product_id = p.product_id"),
+    ("position_all", "select p.product_id, cast(p.on_hand_qty as decimal(20,3)) as on_hand_qty, cast(coalesce(r.reserved_qty, 0) as decimal(20,3)) as reserved_qty, cast(p.on_hand_qty - coalesce(r.reserved_qty, 0) as decimal(20,3)) as free_qty from product p left join reserved_all r on r.product_id = p.product_id"),
+    ("bom", "select bom_id as id, concat('BOM-', lpad(cast(bom_id as string), 6, '0')) as reference, product_id as finished_product_id, cast(1 as decimal(14,3)) as quantity from product where bom_id is not null"),
+]
+
+
 def with_views(sql: str) -> str:
-    """Prefix a query with the tier-3 views it may reference, as CTEs."""
-    ctes = ",\n".join(f"{name} as ({body})" for name, body in VIEWS)
+    """Prefix a query with the tier-3 views and derived tables, as CTEs."""
+    ctes = ",\n".join(f"{name} as ({body})" for name, body in VIEWS + DERIVED)
     return f"with {ctes}\n{sql}"

@@ -223,3 +223,12 @@ class Model:
                 .select("id", F.explode(mods).alias("m"))
                 .select(F.col("id").alias("user_id"), F.col("m.module").alias("module"),
                         F.when(r == 0, "Full").when(r == 1, "Limited").otherwise("None").alias("can_view")))
+
+
+def boms(m: Model) -> DataFrame:
+    """Bills of material implied by the mapping: one per product with a bom_id."""
+    return (m.product.filter(F.col("bom_id").isNotNull())
+            .select(F.col("bom_id").alias("id"),
+                    F.concat(F.lit("BOM-"), _pad6(F.col("bom_id"))).alias("reference"),
+                    F.col("product_id").alias("finished_product_id"),
+                    F.lit(1).cast(QTY).alias("quantity")))
