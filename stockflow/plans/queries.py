@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stockflow.operators import bom, lines, stock, summaries
+from stockflow.functions.scalars import contains_ci
+from stockflow.operators import audit, boards, bom, fulfil, ledger, lines, search, stock, summaries
 from stockflow.plans.catalog import query
-from stockflow.sources.model import Model, boms
+from stockflow.sources.model import (AS_OF, Model, boms, consume_command, deliver_command,
+                                     receipt_command, sales_order_view)
 
 # --------------------------------------------------------------------------
 # Stock (D1-D3, C10, G11, K1)
@@ -333,3 +335,302 @@ def q_mo_summary_operations(m: Model):
         bom.instantiate_operations(m.manufacturing_order, m.bom_operation, True),
         m.product, m.app_user, _position_all(m))
     return ops
+
+
+# --------------------------------------------------------------------------
+# Dashboards, audit, search, kanban
+# --------------------------------------------------------------------------
+
+BOARD_USER = 7
+
+_BOARD_SQL = """
+select st.kind, st.pos, st.status, coalesce(a.all_count, 0) as all_count,
+       coalesce(a.my_count, 0) as my_count, coalesce(a.late_count, 0) as late_count
+from (values ('sales', 0, 'Draft'), ('sales', 1, 'Confirmed'), ('sales', 2, 'Partially Delivered'),
+             ('sales', 3, 'Fully Delivered'), ('purchase', 0, 'Draft'), ('purchase', 1, 'Confirmed'),
+             ('purchase', 2, 'Partially Received'), ('purchase', 3, 'Fully Received'),
+             ('manufacturing', 0, 'Draft'), ('manufacturing', 1, 'Confirmed'),
+             ('manufacturing', 2, 'In Progress'), ('manufacturing', 3, 'Done')) as st(kind, pos, status)
+left join (
+  select 'sales' as kind, status, count(*) as all_count,
+         count(*) filter (where sales_person_id = 7) as my_count,
+         count(*) filter (where due_date is not null and due_date < date '1998-07-01'
+                          and status not in ('Fully Delivered', 'Fully Received', 'Done', 'Cancelled')) as late_count
+  from sales_order group by status
+  union all
+  select 'purchase', status, count(*), count(*) filter (where responsible_person_id = 7),
+         count(*) filter (where due_date is not null and due_date < date '1998-07-01'
+                          and status not in ('Fully Delivered', 'Fully Received', 'Done', 'Cancelled'))
+  from purchase_order group by status
+  union all
+  select 'manufacturing', status, count(*), count(*) filter (where assignee_id = 7), 0
+  from manufacturing_order group by status) a
+on a.kind = st.kind and a.status = st.status"""
+
+
+@query("status_board", sql=_BOARD_SQL)
+def q_status_board(m: Model):
+    """All / mine / late per listed status for sales, purchase and manufacturing orders."""
+    return boards.dashboard(m.sales_order, m.purchase_order, m.manufacturing_order, BOARD_USER, AS_OF)
+
+
+@query("board_totals", sql="""
+select kind, cast(sum(all_count) as bigint) as total from (""" + _BOARD_SQL + """) b group by kind
+union all select 'logs', count(*) from audit_log""")
+def q_board_totals(m: Model):
+    """Orders per kind on the board (Cancelled excluded) and the audit log total."""
+    board = boards.dashboard(m.sales_order, m.purchase_order, m.manufacturing_order, BOARD_USER, AS_OF)
+    return boards.board_totals(board, m.audit_log)
+
+
+@query("audit_counts", sql="""
+select count(*) as total, count(*) filter (where action = 'Created') as created,
+       count(*) filter (where action = 'Updated') as updated, count(*) filter (where action = 'Deleted') as deleted
+from audit_log where (module = 'Sales' or record_type = 'Sales') and contains(record_id, '0001')""")
+def q_audit_counts(m: Model):
+    """B4 + D6: counts of the audit rows of module 'Sales' whose record id contains '0001'."""
+    return audit.audit_counts(audit.filter_audit(m.audit_log, "Sales", "0001"))
+
+
+@query("audit_counts_all", sql="""
+select count(*) as total, count(*) filter (where action = 'Created') as created,
+       count(*) filter (where action = 'Updated') as updated, count(*) filter (where action = 'Deleted') as deleted
+from audit_log""")
+def q_audit_counts_all(m: Model):
+    """D6 without filters."""
+    return audit.audit_counts(audit.filter_audit(m.audit_log, None, ""))
+
+
+@query("filter_audit", sql="""
+select id, module, record_type, record_id, action from audit_log
+where (module = 'Product' or record_type = 'Product') and contains(record_id, '00002')""")
+def q_filter_audit(m: Model):
+    """Module or record type 'Product', record id containing '00002'."""
+    return (audit.filter_audit(m.audit_log, "Product", "00002")
+            .select("id", "module", "record_type", "record_id", "action"))
+
+
+@query("newest_first", sql="select id, date_time, module, action from audit_log order by id desc")
+def q_newest_first(m: Model):
+    """Audit list, newest first."""
+    return audit.newest_first(m.audit_log.select("id", "date_time", "module", "action"))
+
+
+@query("kanban_columns", sql="""
+select status, count(*) as card_count from sales_order_view
+where status is not null and status <> '' group by status""")
+def q_kanban_columns(m: Model):
+    """Kanban columns of the sales list."""
+    cols, _ = boards.kanban(sales_order_view(m))
+    return cols
+
+
+@query("kanban_cards", sql="""
+select status, coalesce(nullif(reference, ''), 'Unknown') as title, coalesce(nullif(customer_name, ''), '') as subtitle
+from sales_order_view where status is not null and status <> ''""")
+def q_kanban_cards(m: Model):
+    """Kanban cards (title, subtitle) of the sales list."""
+    _, cards = boards.kanban(sales_order_view(m))
+    return cards
+
+
+@query("search_sales", sql="""
+select id, reference, customer_name, status from sales_order_view
+where (coalesce(contains(lower(reference), '#000001'), false) or coalesce(contains(lower(customer_name), '#000001'), false))
+  and status = 'Confirmed'""")
+def q_search_sales(m: Model):
+    """Sales list search for '#000001' (reference or customer, any case) with status Confirmed."""
+    return (search.search(sales_order_view(m), "sales", "#000001", "Confirmed")
+            .select("id", "reference", "customer_name", "status"))
+
+
+@query("search_products", sql="""
+select product_id, reference, product_name from product
+where coalesce(contains(lower(reference), 'blue'), false) or coalesce(contains(lower(product_name), 'blue'), false)""")
+def q_search_products(m: Model):
+    """Product search for 'BLUE' (case-insensitive) over reference and name."""
+    return search.search(m.product, "products", "BLUE").select("product_id", "reference", "product_name")
+
+
+@query("shown_of_total", sql="""
+select count(*) filter (where contains(lower(customer_name), '#000001')) as shown, count(*) as total
+from sales_order_view""")
+def q_shown_of_total(m: Model):
+    """D17: 'n of m' for a customer search on the sales list."""
+    return boards.shown_of_total(sales_order_view(m), contains_ci("customer_name", "#000001"))
+
+
+@query("distinct_statuses", sql="select distinct status from sales_order where status is not null and status <> ''")
+def q_distinct_statuses(m: Model):
+    """statuses present in the sales list."""
+    return boards.distinct_values(m.sales_order, "status")
+
+
+_ACTIONS_SQL = """
+select '{kind}' as kind, id, concat_ws(',', 'Edit', 'Logs',
+  case when status = 'Draft' then 'Confirm' end,
+  case when {sales} and status in ('Confirmed', 'Partially Delivered') then 'Deliver' end,
+  case when {purchase} and status in ('Confirmed', 'Partially Received') then 'Receive' end,
+  case when {mfg} and status = 'Confirmed' then 'Start' end,
+  case when {mfg} and status in ('Confirmed', 'In Progress') then 'Produce' end,
+  case when status not in ('Fully Delivered', 'Fully Received', 'Done', 'Cancelled') then 'Cancel' end) as actions
+from {table}"""
+
+
+@query("allowed_actions", sql=" union all ".join(
+    _ACTIONS_SQL.format(kind=k, table=t, sales=str(k == "sales").lower(),
+                        purchase=str(k == "purchase").lower(), mfg=str(k == "manufacturing").lower())
+    for k, t in (("sales", "sales_order"), ("purchase", "purchase_order"),
+                 ("manufacturing", "manufacturing_order"))))
+def q_allowed_actions(m: Model):
+    """The actions offered per order from its status, for all three order kinds."""
+    out = None
+    for kind, df in (("sales", m.sales_order), ("purchase", m.purchase_order),
+                     ("manufacturing", m.manufacturing_order)):
+        part = (search.allowed_actions(df.select("id", "status"), kind)
+                .select(F.lit(kind).alias("kind"), "id", F.array_join("actions", ",").alias("actions")))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("procurement_label", sql="""
+select product_id, case when procure_on_demand then coalesce(procurement_type, '') else 'MTS' end as procurement_label
+from product""")
+def q_procurement_label(m: Model):
+    """Procurement label per product."""
+    return search.procurement_label(m.product).select("product_id", "procurement_label")
+
+
+# --------------------------------------------------------------------------
+# Ledger and fulfilment
+# --------------------------------------------------------------------------
+
+
+@query("ledger", sql="""
+select m.product_id, m.movement_date, m.order_id, m.line_seq, m.reference_type, m.movement_qty,
+       cast(p.on_hand_qty + sum(m.movement_qty) over (partition by m.product_id
+            order by m.movement_date, m.order_id, m.line_seq rows between unbounded preceding and current row)
+            as decimal(20,3)) as resulting_on_hand
+from stock_movement m left join product p on p.product_id = m.product_id""")
+def q_ledger(m: Model):
+    """Running on-hand balance per product from the opening balance, split by month buckets."""
+    return ledger.ledger(m.stock_movement, m.product.select("product_id", "on_hand_qty"),
+                         ["movement_date", "order_id", "line_seq"],
+                         bucket=F.date_trunc("month", "movement_date"))
+
+
+@query("final_on_hand", sql="""
+select p.product_id, cast(p.on_hand_qty + coalesce(s.net, 0) as decimal(20,3)) as on_hand_qty
+from product p left join (select product_id, sum(movement_qty) as net from stock_movement group by product_id) s
+on s.product_id = p.product_id""")
+def q_final_on_hand(m: Model):
+    """On hand after all movements per product (batch twin of the streaming job)."""
+    return ledger.final_on_hand(m.stock_movement, m.product.select("product_id", "on_hand_qty"))
+
+
+@query("ledger_balance_check", sql="""
+select p.product_id, cast(p.on_hand_qty as decimal(20,3)) as on_hand_qty,
+       cast(coalesce(s.net, 0) as decimal(20,3)) as ledger_qty
+from product p left join (select product_id, sum(movement_qty) as net from stock_movement group by product_id) s
+on s.product_id = p.product_id where p.on_hand_qty <> coalesce(s.net, 0)""")
+def q_ledger_balance_check(m: Model):
+    """H8: products whose on hand differs from the ledger (zero opening + movements)."""
+    zero = m.product.select("product_id", F.lit(0).cast("decimal(14,3)").alias("on_hand_qty"))
+    return ledger.check_ledger_balance(m.product, zero, m.stock_movement)
+
+
+def _running_max_sql(table: str, req: str, need: str, sign: str) -> str:
+    return f"""
+select line_id, seq, cast(after_qty as decimal(20,3)) as done_after,
+       cast({sign}(after_qty - before_qty) as decimal(20,3)) as movement_qty
+from (select line_id, seq, greatest(0, coalesce(prior, 0)) as before_qty,
+             greatest(greatest(0, coalesce(prior, 0)), capped) as after_qty
+      from (select line_id, seq, capped,
+                   max(capped) over (partition by line_id order by seq rows between unbounded preceding and 1 preceding) as prior
+            from (select line_id, seq, least({req}, {need}) as capped from {table}) c) p) d
+where after_qty > before_qty"""
+
+
+SEQ_BUCKET = 2048
+
+
+@query("apply_deliveries", sql=_running_max_sql("fulfil_command", "coalesce(requested_qty, 0)", "ordered_qty", "-"))
+def q_apply_deliveries(m: Model):
+    """Delivery commands as a prefix max per line; emits the negative movements."""
+    cmd = m.fulfil_command.withColumn("done_qty", F.lit(None).cast("decimal(14,3)"))
+    return fulfil.apply_deliveries(cmd, ["line_id"], ["seq"],
+                                   bucket=F.floor(F.col("seq") / SEQ_BUCKET))
+
+
+@query("apply_receipts", sql=_running_max_sql("receipt_command", "coalesce(requested_qty, 0)", "ordered_qty", ""))
+def q_apply_receipts(m: Model):
+    """Receipt commands; emits the positive movements."""
+    cmd = receipt_command(m).withColumn("done_qty", F.lit(None).cast("decimal(14,3)"))
+    return fulfil.apply_receipts(cmd, ["line_id"], ["seq"], bucket=F.floor(F.col("seq") / SEQ_BUCKET))
+
+
+@query("apply_consumption", sql=_running_max_sql(
+    "consume_command", "case when requested_qty is null or requested_qty = 0 then need_qty else requested_qty end",
+    "need_qty", "-"))
+def q_apply_consumption(m: Model):
+    """Consumption commands; 0 means the full need."""
+    cmd = consume_command(m).withColumn("done_qty", F.lit(None).cast("decimal(14,3)"))
+    return fulfil.apply_consumption(cmd, ["line_id"], ["seq"], need_col="need_qty",
+                                    bucket=F.floor(F.col("seq") / SEQ_BUCKET))
+
+
+@query("finished_movements", sql="""
+select mo.id as mo_id, mo.id as seq, mo.finished_product_id as product_id, cast(mo.quantity as decimal(20,3)) as movement_qty
+from manufacturing_order mo where mo.status = 'Done'""")
+def q_finished_movements(m: Model):
+    """E5: +quantity of the finished product per produce command (MOs in status Done)."""
+    cmds = (m.manufacturing_order.filter(F.col("status") == "Done")
+            .select(F.col("id").alias("mo_id"), F.col("id").alias("seq")))
+    return fulfil.finished_movements(cmds, m.manufacturing_order)
+
+
+@query("completion_status", sql="""
+select o.id as order_id,
+       case when coalesce(bool_and(coalesce(l.done_qty, 0) >= l.ordered_qty), true) then 'Fully Received'
+            else 'Partially Received' end as status
+from purchase_order o left join purchase_line l on l.order_id = o.id group by o.id""")
+def q_completion_status(m: Model):
+    """Fully / Partially Received per purchase order from its lines."""
+    return fulfil.completion_status(m.purchase_order, m.purchase_line, "purchase")
+
+
+_FULFIL_SQL = """
+with applied as (
+  select c.order_id, c.line_seq, l.product_id, c.cmd_time, coalesce(l.done_qty, 0) as init_qty,
+         least(coalesce(c.requested_qty, 0), l.ordered_qty) as capped,
+         max(least(coalesce(c.requested_qty, 0), l.ordered_qty)) over (partition by c.order_id, c.line_seq
+             order by c.cmd_time rows between unbounded preceding and 1 preceding) as prior
+  from deliver_command c join sales_line l on l.order_id = c.order_id and l.line_seq = c.line_seq),
+steps as (
+  select *, greatest(init_qty, coalesce(prior, init_qty)) as before_qty,
+         greatest(greatest(init_qty, coalesce(prior, init_qty)), capped) as after_qty from applied)
+"""
+
+
+@query("fulfil_movements", sql=_FULFIL_SQL + """
+select order_id, line_seq, product_id, cmd_time, cast(-(after_qty - before_qty) as decimal(20,3)) as movement_qty
+from steps where after_qty > before_qty""")
+def q_fulfil_movements(m: Model):
+    """Stock movements from delivering open sales lines shipped before the as-of date."""
+    out = fulfil.fulfil_sales(m.sales_order, m.sales_line, deliver_command(m), ["cmd_time"])
+    return out["movements"]
+
+
+@query("fulfil_order_status", sql=_FULFIL_SQL + """
+select o.id as order_id,
+       case when coalesce(bool_and(coalesce(s.after_qty, l.done_qty, 0) >= l.ordered_qty), true)
+            then 'Fully Delivered' else 'Partially Delivered' end as status
+from sales_order o join sales_line l on l.order_id = o.id
+left join (select order_id, line_seq, max(after_qty) as after_qty from steps group by order_id, line_seq) s
+  on s.order_id = l.order_id and s.line_seq = l.line_seq
+where o.id in (select order_id from deliver_command)
+group by o.id""")
+def q_fulfil_order_status(m: Model):
+    """E6 + D13: status of every order that received delivery commands, from its lines after."""
+    out = fulfil.fulfil_sales(m.sales_order, m.sales_line, deliver_command(m), ["cmd_time"])
+    return out["status"]

@@ -33,6 +33,10 @@ DERIVED = [
     ("reserved_all", "select product_id, cast(sum(qty) as decimal(20,3)) as reserved_qty from (select l.product_id, greatest(l.ordered_qty - coalesce(l.done_qty, 0), 0) as qty from sales_line l join sales_order o on o.id = l.order_id where o.status in ('Confirmed', 'Partially Delivered') union all select c.product_id, greatest(c.to_consume_qty - coalesce(c.consumed_qty, 0), 0) as qty from mo_component c join manufacturing_order mo on mo.id = c.mo_id where mo.status in ('Confirmed', 'In Progress')) q group by product_id"),
     ("position_sales", "select p.product_id, cast(p.on_hand_qty as decimal(20,3)) as on_hand_qty, cast(coalesce(r.reserved_qty, 0) as decimal(20,3)) as reserved_qty, cast(p.on_hand_qty - coalesce(r.reserved_qty, 0) as decimal(20,3)) as free_qty from product p left join reserved_sales r on r.product_id = p.product_id"),
     ("position_all", "select p.product_id, cast(p.on_hand_qty as decimal(20,3)) as on_hand_qty, cast(coalesce(r.reserved_qty, 0) as decimal(20,3)) as reserved_qty, cast(p.on_hand_qty - coalesce(r.reserved_qty, 0) as decimal(20,3)) as free_qty from product p left join reserved_all r on r.product_id = p.product_id"),
+    ("receipt_command", "select user_id as line_id, event_id as seq, cast(value as decimal(14,3)) as requested_qty, cast(100 as decimal(14,3)) as ordered_qty from events where event_type in ('view', 'signup')"),
+    ("consume_command", "select user_id as line_id, event_id as seq, cast(floor(value / 10) as decimal(14,3)) as requested_qty, cast(60 as decimal(14,3)) as need_qty from events where event_type = 'error'"),
+    ("deliver_command", "select l.order_id, l.line_seq, l.ordered_qty as requested_qty, l.l_shipdate as cmd_time from sales_line l join sales_order o on o.id = l.order_id where o.status in ('Confirmed', 'Partially Delivered') and l.l_shipdate < timestamp '1998-07-01 00:00:00'"),
+    ("sales_order_view", "select o.*, concat('SO-', lpad(cast(o.id + 1 as string), 6, '0')) as reference, c.c_name as customer_name from sales_order o left join customer c on c.c_custkey = o.o_custkey"),
     ("bom", "select bom_id as id, concat('BOM-', lpad(cast(bom_id as string), 6, '0')) as reference, product_id as finished_product_id, cast(1 as decimal(14,3)) as quantity from product where bom_id is not null"),
 ]
 
@@ -40,4 +44,7 @@ DERIVED = [
 def with_views(sql: str) -> str:
     """Prefix a query with the tier-3 views and derived tables, as CTEs."""
     ctes = ",\n".join(f"{name} as ({body})" for name, body in VIEWS + DERIVED)
-    return f"with {ctes}\n{sql}"
+    body = sql.lstrip()
+    if body[:5].lower() == "with ":
+        return f"with {ctes},\n{body[5:]}"
+    return f"with {ctes}\n{body}"

@@ -232,3 +232,41 @@ def boms(m: Model) -> DataFrame:
                     F.concat(F.lit("BOM-"), _pad6(F.col("bom_id"))).alias("reference"),
                     F.col("product_id").alias("finished_product_id"),
                     F.lit(1).cast(QTY).alias("quantity")))
+
+
+# Stand-in command feeds beyond the tier-3 list, same style: rows in the
+# schema the fulfilment operators expect, nothing computed for them.
+
+def receipt_command(m: Model) -> DataFrame:
+    """Receipt requests: view and signup events, 100 ordered per line."""
+    return (m.raw("events").filter(F.col("event_type").isin("view", "signup")).select(
+        F.col("user_id").alias("line_id"), F.col("event_id").alias("seq"),
+        F.col("value").cast(QTY).alias("requested_qty"), F.lit(100).cast(QTY).alias("ordered_qty")))
+
+
+def consume_command(m: Model) -> DataFrame:
+    """Consumption requests: error events; value/10 rounded down (0 = all)."""
+    return (m.raw("events").filter(F.col("event_type") == "error").select(
+        F.col("user_id").alias("line_id"), F.col("event_id").alias("seq"),
+        F.floor(F.col("value") / 10).cast(QTY).alias("requested_qty"),
+        F.lit(60).cast(QTY).alias("need_qty")))
+
+
+def deliver_command(m: Model) -> DataFrame:
+    """Delivery requests for open sales lines shipped before AS_OF: the full
+    ordered quantity, at the ship time."""
+    open_orders = (m.sales_order.filter(F.col("status").isin("Confirmed", "Partially Delivered"))
+                   .select(F.col("id").alias("order_id")))
+    return (m.sales_line.join(open_orders, "order_id", "left_semi")
+            .filter(F.col("l_shipdate") < F.lit(AS_OF).cast("timestamp_ntz"))
+            .select("order_id", "line_seq", F.col("ordered_qty").alias("requested_qty"),
+                    F.col("l_shipdate").alias("cmd_time")))
+
+
+def sales_order_view(m: Model) -> DataFrame:
+    """Sales orders as the list view shows them: reference and customer name."""
+    cust = m.raw("customer").select(F.col("c_custkey").alias("o_custkey"),
+                                    F.col("c_name").alias("customer_name"))
+    return (m.sales_order
+            .withColumn("reference", F.concat(F.lit("SO-"), _pad6(F.col("id") + 1)))
+            .join(cust, "o_custkey", "left"))
