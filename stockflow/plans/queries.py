@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stockflow.functions.scalars import contains_ci
-from stockflow.operators import audit, boards, bom, fulfil, ledger, lines, search, stock, summaries
+from stockflow.operators import (access, audit, boards, bom, changes, fulfil, ledger, lines, search,
+                                 stock, summaries)
 from stockflow.plans.catalog import query
 from stockflow.sources.model import (AS_OF, Model, boms, consume_command, deliver_command,
-                                     receipt_command, sales_order_view)
+                                     product_patch, receipt_command, sales_order_view, saved_permissions,
+                                     saved_users, status_command)
 
 # --------------------------------------------------------------------------
 # Stock (D1-D3, C10, G11, K1)
@@ -634,3 +636,304 @@ def q_fulfil_order_status(m: Model):
     """E6 + D13: status of every order that received delivery commands, from its lines after."""
     out = fulfil.fulfil_sales(m.sales_order, m.sales_line, deliver_command(m), ["cmd_time"])
     return out["status"]
+
+
+# --------------------------------------------------------------------------
+# Change feeds, status sequences, numbering
+# --------------------------------------------------------------------------
+
+
+@query("compact_changes", sql="""
+select g.record_id, case when g.vseq >= g.last_create then f.new_value end as new_value,
+       fl.new_label, g.last_seq
+from (select record_id, max(case when op = 'create' then seq end) as last_create,
+             max(case when op = 'delete' then seq end) as last_delete,
+             max(case when op in ('create', 'update') then seq end) as last_seq,
+             max(case when new_value is not null then seq end) as vseq
+      from change_feed group by record_id) g
+left join change_feed f on f.record_id = g.record_id and f.seq = g.vseq
+left join change_feed fl on fl.record_id = g.record_id and fl.seq = g.last_seq
+where g.last_create is not null and (g.last_delete is null or g.last_create > g.last_delete)""")
+def q_compact_changes(m: Model):
+    """Live records after the create / update / delete feed (value: latest sent, label: overlay)."""
+    return changes.compact_changes(m.change_feed, "record_id", keep_cols=["new_value"],
+                                   overlay_cols=["new_label"])
+
+
+@query("feed_rejects", sql="""
+select record_id, seq, op, 'not found' as error from (
+  select *, max(case when op = 'create' then seq end) over w as pc, max(case when op = 'delete' then seq end) over w as pd
+  from change_feed window w as (partition by record_id order by seq rows between unbounded preceding and 1 preceding)) x
+where op in ('update', 'delete') and not (pc is not null and (pd is null or pc > pd))""")
+def q_feed_rejects(m: Model):
+    """Updates and deletes of records that do not exist at that point."""
+    return changes.feed_rejects(m.change_feed, "record_id", bucket=F.floor(F.col("seq") / SEQ_BUCKET))
+
+
+_PATCH_BASE = "select product_id, reference, product_name, on_hand_qty, procurement_type from product"
+
+
+@query("overlay_patch", sql="""
+select p.product_id, p.reference,
+       case when n.seq is not null then n.name else p.product_name end as product_name,
+       case when q.seq is not null then case when q.event_type = 'click' then cast(cast(q.value as varchar) as decimal(14,3)) else cast(0 as decimal(14,3)) end else p.on_hand_qty end as on_hand_qty,
+       case when t.seq is not null then null else p.procurement_type end as procurement_type
+from product p
+left join (select user_id, max(event_id) as seq, max_by(concat('renamed ', cast(event_id as varchar)), event_id) as name
+           from events where event_type = 'signup' group by user_id) n on n.user_id = p.product_id
+left join (select user_id, max(event_id) as seq, max_by(event_type, event_id) as event_type, max_by(value, event_id) as value
+           from events where event_type in ('click', 'purchase') group by user_id) q on q.user_id = p.product_id
+left join (select user_id, max(event_id) as seq from events where event_type = 'error' group by user_id) t
+  on t.user_id = p.product_id""")
+def q_overlay_patch(m: Model):
+    """Product edits applied in order; present fields overwrite (null too); reference protected."""
+    base = m.product.select("product_id", "reference", "product_name", "on_hand_qty", "procurement_type")
+    return changes.overlay_patch(base, product_patch(m), "product_id")
+
+
+@query("keep_patch", sql="""
+select p.product_id, p.reference, coalesce(n.name, p.product_name) as product_name,
+       coalesce(cast(cast(q.value as varchar) as decimal(14,3)), p.on_hand_qty) as on_hand_qty, p.procurement_type
+from product p
+left join (select user_id, max_by(concat('renamed ', cast(event_id as varchar)), event_id) as name
+           from events where event_type = 'signup' group by user_id) n on n.user_id = p.product_id
+left join (select user_id, max_by(value, event_id) as value from events
+           where event_type = 'click' and value <> 0 group by user_id) q on q.user_id = p.product_id""")
+def q_keep_patch(m: Model):
+    """Product edits where only non-empty, non-zero values replace the old ones."""
+    base = m.product.select("product_id", "reference", "product_name", "on_hand_qty", "procurement_type")
+    return changes.keep_patch(base, product_patch(m), "product_id")
+
+
+_CREATED_ALLOWED_SQL = """(select distinct a.user_id from audit_log a where a.action = 'Created'
+   and a.user_id in (select id from app_user))"""
+
+
+@query("replace_children", sql="""
+select p.user_id, p.module, p.can_view from permission p
+where p.user_id not in """ + _CREATED_ALLOWED_SQL + """
+union all
+select u.user_id, m.module,
+       case when exists (select 1 from audit_log a where a.user_id = u.user_id and a.action = 'Created' and a.module = m.module)
+            then 'Full' else 'None' end as can_view
+from """ + _CREATED_ALLOWED_SQL + """ u
+cross join (values ('Sales'), ('Purchase'), ('Manufacturing'), ('Product'), ('BoM'), ('Audit'), ('User')) as m(module)""")
+def q_replace_children(m: Model):
+    """E7c / F5 (+ C9, C13): users who created records get a new permission set for the modules they created in."""
+    return changes.replace_children(m.permission, _matrix_from_audit(m).select("user_id", "module", "can_view"),
+                                    "user_id")
+
+
+def _matrix_from_audit(m: Model):
+    created = access.exists_in(m.audit_log.filter(F.col("action") == "Created"),
+                               m.app_user.withColumnRenamed("id", "user_id"), ["user_id"])
+    allowed = created.groupBy("user_id").agg(F.collect_set("module").alias("modules"))
+    return access.permission_matrix(allowed)
+
+
+_MO_STATUS = "select id, status from manufacturing_order"
+
+
+@query("final_status", sql="""
+select mo.id as order_id, coalesce(c.status, mo.status, 'Draft') as status
+from manufacturing_order mo left join (
+  select order_id, max_by(case command when 'confirm' then 'Confirmed' when 'start' then 'In Progress'
+                                       when 'produce' then 'Done' when 'cancel' then 'Cancelled' end, seq) as status
+  from status_command group by order_id) c on c.order_id = mo.id""")
+def q_final_status(m: Model):
+    """Status of every manufacturing order after the status commands (last wins)."""
+    return changes.final_status(m.manufacturing_order.select("id", "status"), status_command(m))
+
+
+_PREV_SQL = """
+select c.order_id, c.seq, c.command, c.new_status,
+       coalesce(lag(c.new_status) over (partition by c.order_id order by c.seq), mo.status, 'Draft') as old_status
+from (select order_id, seq, command,
+             case command when 'confirm' then 'Confirmed' when 'start' then 'In Progress'
+                          when 'produce' then 'Done' when 'cancel' then 'Cancelled' end as new_status
+      from status_command) c
+left join manufacturing_order mo on mo.id = c.order_id"""
+
+
+@query("audit_rows", sql="""
+select seq, 'Manufacturing' as module, 'ManufacturingOrder' as record_type, order_id as record_id,
+       'System' as user_name, 'Updated' as action, 'status' as field_changed,
+       old_status as old_value, new_status as new_value
+from (""" + _PREV_SQL + ") x")
+def q_audit_rows(m: Model):
+    """E10 (style real): audit row per status command with the previous status as old value."""
+    return changes.audit_rows(m.manufacturing_order.select("id", "status"), status_command(m),
+                              "Manufacturing", "ManufacturingOrder", style="real",
+                              bucket=F.floor(F.col("seq") / SEQ_BUCKET))
+
+
+@query("audit_rows_reference_style", sql="""
+select event_id as seq, 'Manufacturing' as module, 'ManufacturingOrder' as record_type, user_id as record_id,
+       'System' as user_name, 'Updated' as action, 'status' as field_changed,
+       case when event_type in ('view', 'signup') then 'Draft' else '' end as old_value,
+       case when event_type in ('view', 'signup') then 'Confirmed' when event_type = 'click' then 'In Progress'
+            when event_type = 'purchase' then 'Done' else 'Cancelled' end as new_value
+from events""")
+def q_audit_rows_reference_style(m: Model):
+    """E10 (style reference): old value 'Draft' on confirm, '' otherwise."""
+    return changes.audit_rows(m.manufacturing_order.select("id", "status"), status_command(m),
+                              "Manufacturing", "ManufacturingOrder", style="reference")
+
+
+@query("illegal_transitions", sql="""
+select order_id, seq, command, old_status, new_status from (""" + _PREV_SQL + """) x
+where not exists (select 1 from (values ('Draft', 'confirm'), ('Draft', 'cancel'), ('Confirmed', 'start'),
+                                        ('Confirmed', 'produce'), ('Confirmed', 'cancel'), ('In Progress', 'produce'),
+                                        ('In Progress', 'cancel')) as a(s, c)
+                  where a.s = x.old_status and a.c = x.command)""")
+def q_illegal_transitions(m: Model):
+    """Status commands the client would not have offered at that point."""
+    return changes.illegal_transitions(m.manufacturing_order.select("id", "status"), status_command(m),
+                                       bucket=F.floor(F.col("seq") / SEQ_BUCKET))
+
+
+@query("assign_references", sql="""
+select id, creation_date, cast(999 + row_number() over (order by creation_date, id) as bigint) as new_id,
+       concat('SO-', lpad(cast(1000 + row_number() over (order by creation_date, id) as varchar), 6, '0')) as reference
+from sales_order""")
+def q_assign_references(m: Model):
+    """Number sales orders by (creation date, id) from 1000 with references SO-<new_id + 1>."""
+    return changes.assign_references(m.sales_order.select("id", "creation_date"), "SO", 1000,
+                                     ["creation_date", "id"])
+
+
+@query("next_ids", sql="""
+select 'sales' as kind, greatest(1, coalesce(max(id) + 1, 1)) as next_id from sales_order
+union all select 'purchase', greatest(1, coalesce(max(id) + 1, 1)) from purchase_order
+union all select 'manufacturing', greatest(1, coalesce(max(id) + 1, 1)) from manufacturing_order""")
+def q_next_ids(m: Model):
+    """Next id per order table."""
+    return (changes.next_ids(m.sales_order).select(F.lit("sales").alias("kind"), "next_id")
+            .unionByName(changes.next_ids(m.purchase_order).select(F.lit("purchase").alias("kind"), "next_id"))
+            .unionByName(changes.next_ids(m.manufacturing_order)
+                         .select(F.lit("manufacturing").alias("kind"), "next_id")))
+
+
+@query("load_users_merge", sql="""
+select coalesce(s.id, u.id) as id, coalesce(s.name, u.name) as name,
+       case when s.email is not null then s.email else u.email end as email,
+       case when s.email is not null then s.role else u.role end as role
+from app_user u full outer join (
+  select lower(email) as k, max_by(id, pos) as id, max_by(name, pos) as name, max_by(email, pos) as email,
+         max_by(role, pos) as role from saved_user group by lower(email)) s
+on lower(u.email) = s.k""")
+def q_load_users_merge(m: Model):
+    """Saved users overlay base users by e-mail (any case); unmatched saved users are appended."""
+    return changes.load_users_merge(m.app_user, saved_users(m)).select("id", "name", "email", "role")
+
+
+@query("load_permissions_merge", sql="""
+select user_id, module, can_view from permission
+union all
+select r.r_regionkey + 100, mm.module, 'Full' from region r cross join (values ('Sales'), ('Audit')) as mm(module)""")
+def q_load_permissions_merge(m: Model):
+    """Saved permission rows inserted only where (user, module) is new; base wins."""
+    return changes.load_permissions_merge(m.permission, saved_permissions(m))
+
+
+# --------------------------------------------------------------------------
+# Users and permissions
+# --------------------------------------------------------------------------
+
+
+@query("public_users", sql="select id, name, email, role from app_user")
+def q_public_users(m: Model):
+    """B1: user fields allow-list."""
+    return access.public_users(m.app_user)
+
+
+_CAN_SQL = """
+select u.id as user_id, mm.module,
+       (u.role = 'Admin' or coalesce(p.can_view <> 'None', false)) as allowed
+from app_user u
+cross join (values ('Sales'), ('Purchase'), ('Manufacturing'), ('Product'), ('BoM'), ('Audit'), ('User')) as mm(module)
+left join permission p on p.user_id = u.id and p.module = mm.module"""
+
+
+@query("can_view", sql=_CAN_SQL)
+def q_can_view(m: Model):
+    """May each user view each module."""
+    return access.can(m.app_user, m.permission, "view")
+
+
+@query("visible_views", sql="""
+select c.user_id, v.view_id, v.label from (values ('dashboard', 'Dashboard', 'Dashboard'), ('sales', 'Sale Orders', 'Sales'),
+   ('purchase', 'Purchase Orders', 'Purchase'), ('manufacturing', 'Manufacturing Orders', 'Manufacturing'),
+   ('boms', 'Bills of Materials', 'BoM'), ('products', 'Products', 'Product'), ('stock', 'Stock Ledger', 'Product'),
+   ('audit', 'Audit Logs', 'Audit'), ('users', 'User Management', 'User')) as v(view_id, label, module)
+join (select id as user_id from app_user) c on true
+left join (""" + _CAN_SQL + """) k on k.user_id = c.user_id and k.module = v.module
+where v.module = 'Dashboard' or coalesce(k.allowed, false)""")
+def q_visible_views(m: Model):
+    """Navigation views each user sees."""
+    return access.visible_views(m.app_user, m.permission)
+
+
+@query("admin_permissions", sql="""
+select u.id as user_id, mm.module, 'Full' as can_view, 'Full' as can_create, 'Full' as can_edit, 'Full' as can_delete
+from app_user u cross join (values ('Sales'), ('Purchase'), ('Manufacturing'), ('Product'), ('BoM'), ('Audit'), ('User')) as mm(module)
+where u.role = 'Admin'""")
+def q_admin_permissions(m: Model):
+    """Full on every module for admins."""
+    return access.admin_permissions(m.app_user)
+
+
+@query("permission_matrix", sql="""
+select u.user_id, mm.module, lvl as can_view, lvl as can_create, lvl as can_edit,
+       case when mm.module = 'Audit' then 'None' when lvl = 'Full' then 'Limited' else 'None' end as can_delete
+from """ + _CREATED_ALLOWED_SQL + """ u
+cross join (values ('Sales'), ('Purchase'), ('Manufacturing'), ('Product'), ('BoM'), ('Audit'), ('User')) as mm(module)
+cross join lateral (select case when exists (select 1 from audit_log a where a.user_id = u.user_id
+    and a.action = 'Created' and a.module = mm.module) then 'Full' else 'None' end as lvl) l""")
+def q_permission_matrix(m: Model):
+    """Seven permission rows per user from the modules they may use (here: modules they created records in)."""
+    return _matrix_from_audit(m)
+
+
+@query("permissions_for_email", sql="""
+select u.id as user_id, mm.module, 'Full' as can_view, 'Full' as can_create, 'Full' as can_edit, 'Limited' as can_delete
+from app_user u cross join (values ('Sales'), ('BoM')) as mm(module)
+where lower(trim(u.email)) = 'nation_6@example.test'""")
+def q_permissions_for_email(m: Model):
+    """Permission rows for the user with a given e-mail (any case)."""
+    return access.permissions_for_email(m.app_user, " Nation_6@Example.test ", ["Sales", "BoM"],
+                                        ["Full", "Full", "Full", "Limited"])
+
+
+@query("permissions_by_user", sql="""
+select user_id, count(*) as module_count, string_agg(module || ':' || can_view, ',' order by module) as modules
+from permission group by user_id""")
+def q_permissions_by_user(m: Model):
+    """Permission rows grouped per user (bounded by the module list)."""
+    g = access.permissions_by_user(m.permission)
+    return g.select("user_id", F.size("permissions").cast("bigint").alias("module_count"),
+                    F.array_join(F.transform("permissions", lambda x: F.concat(x["module"], F.lit(":"), x["can_view"])),
+                                 ",").alias("modules"))
+
+
+@query("duplicate_emails", sql="""
+select s.id, s.email from saved_user s where exists (select 1 from app_user u where lower(u.email) = lower(s.email))""")
+def q_duplicate_emails(m: Model):
+    """Incoming users whose e-mail already exists in any case."""
+    return access.duplicate_emails(m.app_user, saved_users(m)).select("id", "email")
+
+
+@query("unsold_products", sql="""
+select p.product_id, p.reference from product p
+where not exists (select 1 from sales_line l where l.product_id = p.product_id)""")
+def q_unsold_products(m: Model):
+    """Products never on a sales line (anti join)."""
+    return access.not_in(m.product.select("product_id", "reference"), m.sales_line, ["product_id"])
+
+
+@query("access_denied", sql="""
+select a.id, a.user_id, a.module from audit_log a
+where not exists (select 1 from (""" + _CAN_SQL + """) k where k.user_id = a.user_id and k.module = a.module and k.allowed)""")
+def q_access_denied(m: Model):
+    """K5: requests (audit events by user and module) that the permission check refuses."""
+    return access.access_denied(m.audit_log.select("id", "user_id", "module"), m.app_user, m.permission)

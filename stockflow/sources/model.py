@@ -270,3 +270,55 @@ def sales_order_view(m: Model) -> DataFrame:
     return (m.sales_order
             .withColumn("reference", F.concat(F.lit("SO-"), _pad6(F.col("id") + 1)))
             .join(cust, "o_custkey", "left"))
+
+
+def status_command(m: Model) -> DataFrame:
+    """Status commands on orders: one per event, command by event type."""
+    et = F.col("event_type")
+    cmd = (F.when(et.isin("view", "signup"), "confirm").when(et == "click", "start")
+            .when(et == "purchase", "produce").otherwise("cancel"))
+    return m.raw("events").select(F.col("user_id").alias("order_id"), F.col("event_id").alias("seq"),
+                                  cmd.alias("command"))
+
+
+def product_patch(m: Model) -> DataFrame:
+    """Product edits as sent by a form: one map of changed fields per event
+    (a present null, a zero, a rename, a protected field)."""
+    et = F.col("event_type")
+    null_s = F.lit(None).cast("string")
+    patch = (F.when(et == "click", F.create_map(F.lit("on_hand_qty"), F.col("value").cast("string")))
+              .when(et == "purchase", F.create_map(F.lit("on_hand_qty"), F.lit("0")))
+              .when(et == "error", F.create_map(F.lit("procurement_type"), null_s))
+              .when(et == "signup", F.create_map(F.lit("product_name"),
+                                                 F.concat(F.lit("renamed "), F.col("event_id").cast("string"))))
+              .otherwise(F.create_map(F.lit("reference"), F.concat(F.lit("X-"), F.col("event_id").cast("string")))))
+    return m.raw("events").select(F.col("user_id").alias("product_id"), F.col("event_id").alias("seq"),
+                                  patch.alias("patch"))
+
+
+def saved_users(m: Model) -> DataFrame:
+    """A saved user document: nations of region 1 re-saved with an upper-case
+    e-mail and a new role, and one new user per region."""
+    n = (m.raw("nation").filter(F.col("n_regionkey") == 1)
+         .select(F.col("n_nationkey").cast("long").alias("pos"), F.col("n_nationkey").alias("id"),
+                 F.col("n_name").alias("name"),
+                 F.upper(F.concat(F.lower("n_name"), F.lit("@example.test"))).alias("email"),
+                 F.lit("Manager").alias("role")))
+    r = m.raw("region").select((F.col("r_regionkey") + 100).cast("long").alias("pos"),
+                               (F.col("r_regionkey") + 100).alias("id"), F.col("r_name").alias("name"),
+                               F.concat(F.lower("r_name"), F.lit("@example.test")).alias("email"),
+                               F.lit("User").alias("role"))
+    return n.unionByName(r)
+
+
+def saved_permissions(m: Model) -> DataFrame:
+    """Saved permission rows: Sales and Audit for each region user, and a
+    'None' Sales row for the re-saved nations (already present in base)."""
+    r = (m.raw("region").select((F.col("r_regionkey") + 100).alias("user_id"),
+                                F.posexplode(F.array(F.lit("Sales"), F.lit("Audit"))).alias("k", "module"))
+         .select(((F.col("user_id") * 10) + F.col("k")).cast("long").alias("pos"), "user_id", "module",
+                 F.lit("Full").alias("can_view")))
+    n = (m.raw("nation").filter(F.col("n_regionkey") == 1)
+         .select(F.col("n_nationkey").cast("long").alias("pos"), F.col("n_nationkey").alias("user_id"),
+                 F.lit("Sales").alias("module"), F.lit("None").alias("can_view")))
+    return r.unionByName(n)
