@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import functions as F
 
 from stockflow.functions.scalars import contains_ci
-from stockflow.operators import (access, audit, boards, bom, changes, fulfil, ledger, lines, search,
-                                 stock, summaries)
+from stockflow.operators import (access, audit, boards, bom, changes, fulfil, ledger, lines, quality,
+                                 search, stock, summaries)
+from stockflow.plans import procurement
+from stockflow.session import checkpoint_dir
+from stockflow.sources import documents
+from stockflow.streaming import streams
 from stockflow.plans.catalog import query
-from stockflow.sources.model import (AS_OF, Model, boms, consume_command, deliver_command,
+from stockflow.sources.model import (AS_OF, Model, audit_stream, boms, read_stream, consume_command, deliver_command,
                                      product_patch, receipt_command, sales_order_view, saved_permissions,
                                      saved_users, status_command)
 
@@ -937,3 +944,266 @@ where not exists (select 1 from (""" + _CAN_SQL + """) k where k.user_id = a.use
 def q_access_denied(m: Model):
     """K5: requests (audit events by user and module) that the permission check refuses."""
     return access.access_denied(m.audit_log.select("id", "user_id", "module"), m.app_user, m.permission)
+
+
+# --------------------------------------------------------------------------
+# Integrity rules (H1-H7, H9) and procurement (K2)
+# --------------------------------------------------------------------------
+
+
+@query("violations", sql="""
+select 'unique' as rule, 'lineitem' as table_name,
+       concat_ws('|', cast(l_orderkey as varchar), cast(l_linenumber as varchar)) as key,
+       'count=' || cast(count(*) as varchar) as detail
+from lineitem group by l_orderkey, l_linenumber having count(*) > 1
+union all
+select 'unique', 'product', reference, 'count=' || cast(count(*) as varchar) from product group by reference having count(*) > 1
+union all
+select 'foreign_key', 'sales_line', concat_ws('|', cast(order_id as varchar), cast(line_seq as varchar)),
+       'product_id=' || cast(product_id as varchar)
+from sales_line l where product_id is not null and not exists (select 1 from product p where p.product_id = l.product_id)
+union all
+select 'foreign_key', 'sales_order', cast(id as varchar), 'o_custkey=' || cast(o_custkey as varchar)
+from sales_order o where o_custkey is not null and not exists (select 1 from customer c where c.c_custkey = o.o_custkey)
+union all
+select 'foreign_key', 'purchase_order', cast(id as varchar), 'vendor_id=' || cast(vendor_id as varchar)
+from purchase_order o where vendor_id is not null and not exists (select 1 from vendor v where v.id = o.vendor_id)
+union all
+select 'domain', 'purchase_order', cast(id as varchar), 'status=' || status from purchase_order
+where status is not null and status not in ('Draft', 'Confirmed', 'Partially Received', 'Fully Received', 'Cancelled')
+union all
+select 'domain', 'audit_log', cast(id as varchar), 'action=' || action from audit_log
+where action is not null and action not in ('Created', 'Updated', 'Deleted', 'Status Changed')
+union all
+select 'not_null', 'purchase_order', cast(id as varchar), 'vendor_id' from purchase_order where vendor_id is null
+union all
+select 'not_null', 'purchase_order', cast(id as varchar), 'creation_date' from purchase_order where creation_date is null
+union all
+select 'length', 'app_user', cast(id as varchar), 'name length=' || cast(length(name) as varchar) from app_user where length(name) > 8
+union all
+select 'precision', 'customer', cast(c_custkey as varchar), 'c_acctbal not decimal(12,2)' from customer
+where c_acctbal is not null and (try_cast(c_acctbal as decimal(12,2)) is null
+      or cast(try_cast(c_acctbal as decimal(12,2)) as double) <> c_acctbal)
+union all
+select 'required', 'app_user', cast(id as varchar), 'name' from app_user where name is null or trim(name) = ''
+union all
+select 'required', 'app_user', cast(id as varchar), 'email' from app_user where email is null or trim(email) = ''""")
+def q_violations(m: Model):
+    """H1-H6, H9: integrity rules of the schema as one violations frame."""
+    q = quality
+    return q.violations([
+        q.check_unique(m.raw("lineitem"), "lineitem", ["l_orderkey", "l_linenumber"]),
+        q.check_unique(m.product, "product", ["reference"]),
+        q.check_foreign_key(m.sales_line, "sales_line", ["product_id"], m.product, ["product_id"],
+                            ["order_id", "line_seq"]),
+        q.check_foreign_key(m.sales_order, "sales_order", ["o_custkey"], m.raw("customer"), ["c_custkey"], ["id"]),
+        q.check_foreign_key(m.purchase_order, "purchase_order", ["vendor_id"], m.vendor, ["id"], ["id"]),
+        q.check_domain(m.purchase_order, "purchase_order", "status",
+                       ["Draft", "Confirmed", "Partially Received", "Fully Received", "Cancelled"], ["id"]),
+        q.check_domain(m.audit_log, "audit_log", "action", ["Created", "Updated", "Deleted", "Status Changed"], ["id"]),
+        q.check_not_null(m.purchase_order, "purchase_order", ["vendor_id", "creation_date"], ["id"]),
+        q.check_length(m.app_user, "app_user", "name", 8, ["id"]),
+        q.check_precision(m.raw("customer"), "customer", "c_acctbal", 12, 2, ["c_custkey"]).withColumn(
+            "detail", F.lit("c_acctbal not decimal(12,2)")),
+        q.check_required(m.app_user, "app_user", ["name", "email"], ["id"]),
+    ])
+
+
+@query("cascade_delete", sql="""
+select order_id, line_seq from sales_line where order_id in (select id from sales_order where status <> 'Cancelled')""")
+def q_cascade_delete(m: Model):
+    """H7: sales lines left after deleting the cancelled orders with ON DELETE CASCADE."""
+    remaining = m.sales_order.filter(F.col("status") != "Cancelled")
+    return quality.cascade_delete(m.sales_line.select("order_id", "line_seq"), remaining, "order_id")
+
+
+@query("orphans", sql="""
+select order_id, line_seq from sales_line l where not exists (
+  select 1 from sales_order o where o.id = l.order_id and o.status <> 'Cancelled')""")
+def q_orphans(m: Model):
+    """H7 (reference behaviour): lines whose order was deleted stay behind as orphans."""
+    remaining = m.sales_order.filter(F.col("status") != "Cancelled")
+    return quality.orphans(m.sales_line.select("order_id", "line_seq"), remaining, "order_id")
+
+
+_NEED_SQL = """
+with sh as (
+  select order_id, line_seq, product_id,
+         least(outstanding_qty, greatest(cum - greatest(on_hand_qty, 0), 0)) as short_qty
+  from (select l.order_id, l.line_seq, l.product_id, p.on_hand_qty,
+               greatest(l.ordered_qty - l.done_qty, 0) as outstanding_qty,
+               sum(greatest(l.ordered_qty - l.done_qty, 0)) over (partition by l.product_id
+                   order by o.creation_date, l.order_id, l.line_seq rows between unbounded preceding and current row) as cum
+        from sales_line l join sales_order o on o.id = l.order_id
+        left join product p on p.product_id = l.product_id
+        where o.status in ('Confirmed', 'Partially Delivered')) x),
+need as (
+  select s.order_id, s.product_id, cast(sum(s.short_qty) as decimal(20,3)) as quantity,
+         max(p.procurement_type) as procurement_type, max(p.vendor_id) as vendor_id, max(p.bom_id) as bom_id
+  from sh s join product p on p.product_id = s.product_id
+  where s.short_qty > 0 and coalesce(p.procure_on_demand, false)
+  group by s.order_id, s.product_id)
+"""
+
+
+def _plan(m: Model):
+    sh = stock.shortages(m.sales_order, m.sales_line, m.product, bucket_days=30)
+    return procurement.procurement_plan(sh, m.product, m.bom_component)
+
+
+@query("procurement_purchase_lines", sql=_NEED_SQL + """
+select order_id as source_order_id, vendor_id, product_id, quantity, 'Draft' as status,
+       concat('SO-', lpad(cast(order_id + 1 as varchar), 6, '0')) as source_note
+from need where procurement_type = 'Purchase'""")
+def q_procurement_purchase_lines(m: Model):
+    """K2: draft purchase lines per (short order, vendor, product) for purchase-on-demand products."""
+    return _plan(m)["purchase_lines"]
+
+
+@query("procurement_manufacturing_orders", sql=_NEED_SQL + """
+select order_id as source_order_id, product_id as finished_product_id, bom_id, quantity, 'Draft' as status,
+       concat('SO-', lpad(cast(order_id + 1 as varchar), 6, '0')) as source_note
+from need where procurement_type = 'Manufacturing'""")
+def q_procurement_manufacturing_orders(m: Model):
+    """K2: draft manufacturing orders per (short order, product) for make-on-demand products."""
+    return _plan(m)["manufacturing_orders"]
+
+
+@query("procurement_mo_components", sql=_NEED_SQL + """
+select concat_ws('-', cast(n.order_id as varchar), cast(n.product_id as varchar)) as mo_id,
+       bc.component_product_id as product_id,
+       cast(bc.to_consume_qty * coalesce(nullif(n.quantity, 0), 1) as decimal(20,3)) as to_consume_qty,
+       cast(0 as decimal(20,3)) as consumed_qty
+from need n join bom_component bc on bc.bom_id = n.bom_id where n.procurement_type = 'Manufacturing'""")
+def q_procurement_mo_components(m: Model):
+    """K2 + C6: components of the draft manufacturing orders."""
+    return _plan(m)["mo_components"]
+
+
+# --------------------------------------------------------------------------
+# Streaming (I1, I2), documents and snapshots
+# --------------------------------------------------------------------------
+
+
+@query("stream_on_hand", sql="""
+select m.product_id, cast(coalesce(max(p.on_hand_qty), 0) + sum(m.movement_qty) as decimal(20,3)) as on_hand_qty
+from stock_movement m left join product p on p.product_id = m.product_id group by m.product_id""")
+def q_stream_on_hand(m: Model):
+    """On hand per product from the lineitem file stream (stateful aggregate, availableNow)."""
+    agg = streams.stream_on_hand(streams.movement_stream(read_stream(m, "lineitem")),
+                                 m.product.select("product_id", "on_hand_qty"))
+    path = streams.run_to_table(agg, "on_hand", m.spark)
+    return streams.latest(m.spark, path, ["product_id"])
+
+
+@query("stream_audit_counts", sql="""
+select count(*) as total, count(*) filter (where action = 'Created') as created,
+       count(*) filter (where action = 'Updated') as updated, count(*) filter (where action = 'Deleted') as deleted
+from audit_log""")
+def q_stream_audit_counts(m: Model):
+    """Running audit counts from the events file stream."""
+    path = streams.run_to_table(streams.stream_audit_counts(audit_stream(m)), "audit_counts", m.spark)
+    return streams.latest(m.spark, path, [])
+
+
+@query("snapshot_roundtrip", sql="select cast(id as bigint) as id, name, email, role from app_user")
+def q_snapshot_roundtrip(m: Model):
+    """A4 + A1: users and permissions written as a snapshot and read back with a fixed schema."""
+    path = os.path.join(checkpoint_dir(m.spark), "snapshots", uuid.uuid4().hex[:8])
+    documents.write_snapshot(m.app_user, m.permission, path)
+    users, _ = documents.read_snapshot(m.spark, path)
+    return users.select("id", "name", "email", "role")
+
+
+@query("summary_json_roundtrip", sql="""
+select b.id, (select count(*) from bom_component c where c.bom_id = b.id) as component_count,
+       (select count(*) from bom_operation o where o.bom_id = b.id) as operation_count
+from bom b join product p on p.product_id = b.finished_product_id""")
+def q_summary_json_roundtrip(m: Model):
+    """A5: nested BoM documents written as JSON lines and read back."""
+    doc = summaries.bom_summary(boms(m), m.bom_component, m.bom_operation, m.product, flat=False)
+    path = os.path.join(checkpoint_dir(m.spark), "summaries", uuid.uuid4().hex[:8])
+    documents.write_summary_json(doc, path)
+    back = m.spark.read.schema(doc.schema).json(path)
+    return back.select("id", F.size("components").cast("bigint").alias("component_count"),
+                       F.size("operations").cast("bigint").alias("operation_count"))
+
+
+@query("reference_bundle_products", sql="""
+select p.product_id, p.reference, s.reserved_qty, s.free_qty from product p
+left join position_sales s on s.product_id = p.product_id""")
+def q_reference_bundle_products(m: Model):
+    """The products lookup of the reference bundle, with reserved and free from D1/D3."""
+    b = documents.reference_bundle(m.product, _position_sales(m), m.vendor, boms(m), m.app_user)
+    return b["products"].select("product_id", "reference", "reserved_qty", "free_qty")
+
+
+# --------------------------------------------------------------------------
+# Scalar functions
+# --------------------------------------------------------------------------
+
+
+@query("scalar_functions", sql="""
+select id, 'SO-' || lpad(cast(user_id as varchar), 6, '0') as ref,
+       substring(cast(date_time as varchar), 1, 10) as day,
+       length(record_id) as record_len,
+       coalesce(contains(record_id, '0001'), false) as has_0001,
+       coalesce(contains(lower(module), 'sal'), false) as module_sal,
+       greatest(user_id - 50, 0) as above_50,
+       least(user_id, 100) as capped_100,
+       lower(trim(' ' || module || '@Example.TEST ')) as email,
+       case when user_id % 5 = 0 then 'none' else module end as or_default_text,
+       cast(date '1998-07-01' + 30 as date) as due
+from audit_log""")
+def q_scalar_functions(m: Model):
+    """G1, G4-G8, G12, G13 applied to every audit row."""
+    from stockflow.functions import scalars as S
+    a = m.audit_log
+    return a.select(
+        "id", S.reference_code("SO", F.col("user_id")).alias("ref"),
+        S.date_only(F.col("date_time")).alias("day"),
+        S.char_length("record_id").alias("record_len"),
+        S.contains("record_id", "0001").alias("has_0001"),
+        S.contains_ci("module", "SAL").alias("module_sal"),
+        S.at_least(F.col("user_id") - 50, 0).alias("above_50"),
+        S.at_most("user_id", 100).alias("capped_100"),
+        S.norm_email(F.concat(F.lit(" "), F.col("module"), F.lit("@Example.TEST "))).alias("email"),
+        S.or_default(F.when(F.col("user_id") % 5 != 0, F.col("module")).otherwise(F.lit("")), "none", "text")
+        .alias("or_default_text"),
+        S.add_days(AS_OF, 30).alias("due"))
+
+
+@query("coerce_values", sql="""
+select event_id, kind, case when kind = 'text' then v end as text,
+       case when kind = 'number' then try_cast(trim(v) as double) end as number,
+       case when kind = 'boolean' then v = 'true' end as flag
+from (select event_id, v,
+             case when v is null or v = '' then 'null' when v in ('true', 'false') then 'boolean'
+                  when regexp_matches(v, '^\\s*[+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?\\s*$')
+                       and not contains(k, 'date') and k not in ('password', 'email') then 'number'
+                  else 'text' end as kind
+      from (select event_id, event_type as k,
+                   case event_type when 'view' then '' when 'signup' then 'true' when 'error' then props
+                                   when 'click' then cast(user_id as varchar) else ' ' || cast(user_id as varchar) || 'x' end as v
+            from events) r) s""")
+def q_coerce_values(m: Model):
+    """Form values coerced to null / boolean / number / text."""
+    from stockflow.functions import scalars as S
+    e = m.raw("events")
+    et = F.col("event_type")
+    v = (F.when(et == "view", F.lit("")).when(et == "signup", F.lit("true")).when(et == "error", F.col("props"))
+          .when(et == "click", F.col("user_id").cast("string"))
+          .otherwise(F.concat(F.lit(" "), F.col("user_id").cast("string"), F.lit("x"))))
+    c = e.select("event_id", S.coerce_value(et, v).alias("c"))
+    return c.select("event_id", "c.kind", "c.text", "c.number", "c.flag")
+
+
+@query("clean_text", sql="""
+select product_id, substring(trim(regexp_replace(regexp_replace('<b>' || product_name || '</b>' || chr(160) || ' end ',
+       '[<>]', '', 'g'), '[\\s\\p{Z}\\x{FEFF}]+', ' ', 'g')), 1, 30) as cleaned
+from product""")
+def q_clean_text(m: Model):
+    """Strip angle brackets, collapse white space (incl. no-break space), trim, cut to 30."""
+    from stockflow.functions import scalars as S
+    raw = F.concat(F.lit("<b>"), F.col("product_name"), F.lit("</b>  end "))
+    return m.product.select("product_id", S.clean_text(raw, 30).alias("cleaned"))

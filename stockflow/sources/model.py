@@ -322,3 +322,19 @@ def saved_permissions(m: Model) -> DataFrame:
          .select(F.col("n_nationkey").cast("long").alias("pos"), F.col("n_nationkey").alias("user_id"),
                  F.lit("Sales").alias("module"), F.lit("None").alias("can_view")))
     return r.unionByName(n)
+
+
+def read_stream(m: Model, name: str) -> DataFrame:
+    """A raw table of the folder as a file stream (schema taken from the
+    batch file; picks up every file named <name>.parquet)."""
+    import os
+    schema = m.raw(name).schema
+    return (m.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+            .parquet(m.sf_dir if os.path.isdir(m.sf_dir) else os.path.dirname(m.sf_dir)))
+
+
+def audit_stream(m: Model) -> DataFrame:
+    """The audit_log view over the events file stream."""
+    et = F.col("event_type")
+    return read_stream(m, "events").select(
+        F.when(et == "signup", "Created").when(et == "error", "Deleted").otherwise("Updated").alias("action"))
