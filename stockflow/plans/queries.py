@@ -1205,5 +1205,5 @@ from product""")
 def q_clean_text(m: Model):
     """Strip angle brackets, collapse white space (incl. no-break space), trim, cut to 30."""
     from stockflow.functions import scalars as S
-    raw = F.concat(F.lit("<b>"), F.col("product_name"), F.lit("</b>  end "))
+    raw = F.concat(F.lit("<b>"), F.col("product_name"), F.lit("</b>\u00a0 end "))
     return m.product.select("product_id", S.clean_text(raw, 30).alias("cleaned"))
