@@ -52,7 +52,12 @@ def with_owner_name(df: DataFrame, users: DataFrame, col: str, name: str) -> Dat
 
 def _line_rows(lines: DataFrame, products: DataFrame, position: DataFrame | None,
                price_col: str, with_availability: bool) -> DataFrame:
-    p = products.select("product_id", "product_name", F.col(price_col).alias("unit_price"))
+    # The line's own price wins (the views read the stored line price); lines
+    # without one take the product's current price, as at line creation.
+    if "unit_price" in lines.columns:
+        p = products.select("product_id", "product_name")
+    else:
+        p = products.select("product_id", "product_name", F.col(price_col).alias("unit_price"))
     out = lines.join(p, "product_id", "left")
     if with_availability and position is not None:
         pos = position.select("product_id", "on_hand_qty", "reserved_qty")
