@@ -104,11 +104,20 @@ def fulfil_sales(orders: DataFrame, lines: DataFrame, commands: DataFrame,
                  order: Sequence[str], bucket: Column | None = None) -> dict[str, DataFrame]:
     """Deliver commands on sales lines.
 
-    commands(order_id, line_seq, requested_qty, <order columns>) are joined
-    to lines(order_id, line_seq, product_id, ordered_qty, done_qty); a
-    command for a missing line goes to ``rejects``. Returns lines after,
-    movements (negative, with product) and the new status of every order
-    that received a command (D13 on its lines after).
+    commands(order_id, line_seq, requested_qty, <order columns>) against
+    lines(order_id, line_seq, product_id, ordered_qty, done_qty). Returns
+    lazy frames (each is computed only when used):
+
+    - movements: one negative movement per command that raised delivered
+      (ordered prefix max per line, bucketed for hot lines);
+    - lines: every line with its delivered quantity after all commands;
+    - status: D13 status of every order that received a command;
+    - rejects: commands for a line that does not exist.
+
+    The final line state needs no ordering: delivered after = greatest(
+    initial, max over the line's commands of least(request, ordered)), so
+    lines and status are two aggregates (partial aggregation handles hot
+    lines and orders) over lines left-joined to their commands.
     """
     keys = ["order_id", "line_seq"]
     tl = lines.select(*keys, "product_id", "ordered_qty", "done_qty")
@@ -118,11 +127,23 @@ def fulfil_sales(orders: DataFrame, lines: DataFrame, commands: DataFrame,
     movements = (applied.filter(F.col("delta") > 0)
                  .select(*keys, "product_id", *[c for c in order if c not in keys],
                          (-F.col("delta")).cast(QTY_SUM).alias("movement_qty")))
-    after = applied.groupBy(*keys).agg(F.max("done_after").alias("_after"))
-    lines_after = (lines.join(after, keys, "left")
-                   .withColumn("done_qty", F.coalesce(F.col("_after").cast(QTY_SUM),
-                                                      F.col("done_qty").cast(QTY_SUM)))
-                   .drop("_after"))
-    touched = commands.select(F.col("order_id").alias("id")).distinct()
-    status = completion_status(orders.join(touched, "id", "left_semi"), lines_after, "sales")
-    return {"lines": lines_after, "movements": movements, "status": status, "rejects": rejects}
+
+    cmd = commands.select(*keys, "requested_qty", F.lit(True).alias("_cmd"))
+    need = F.coalesce(F.col("ordered_qty"), F.lit(0))
+    capped = F.when(F.col("_cmd"), F.least(_request("requested_qty", need, False), need))
+    per_line = (lines.join(cmd, keys, "left").groupBy(*keys)
+                .agg(F.first("product_id").alias("product_id"), F.first("ordered_qty").alias("ordered_qty"),
+                     F.first("done_qty").alias("_done"), F.max(capped).alias("_max"),
+                     F.count("_cmd").alias("_n_cmd")))
+    after = F.when(F.col("_max").isNull(), F.col("_done")).otherwise(
+        F.greatest(F.coalesce(F.col("_done"), F.lit(0)), F.col("_max")))
+    lines_after = per_line.select(*keys, "product_id", "ordered_qty", after.cast(QTY_SUM).alias("done_qty"),
+                                  "_n_cmd")
+    status = (lines_after.groupBy("order_id")
+              .agg(F.every(F.coalesce(F.col("done_qty"), F.lit(0)) >= F.col("ordered_qty")).alias("_all"),
+                   F.sum("_n_cmd").alias("_n"))
+              .filter(F.col("_n") > 0)
+              .select("order_id", F.when(F.col("_all"), F.lit("Fully Delivered"))
+                      .otherwise(F.lit("Partially Delivered")).alias("status")))
+    return {"lines": lines_after.drop("_n_cmd"), "movements": movements, "status": status,
+            "rejects": rejects}

@@ -93,18 +93,32 @@ def line_availability(lines: DataFrame, position: DataFrame, need: str = "ordere
 
 def stock_overview(products: DataFrame, orders: DataFrame, lines: DataFrame) -> DataFrame:
     """Flagship: per product on hand, reserved (sales scope), free, the number
-    of open sales lines and how many of them ask for more than is free."""
+    of open sales lines and how many of them ask for more than is free.
+
+    Two passes over the open lines: (1) reserved per product (partial
+    aggregation map-side); (2) the lines joined to their product's reserved
+    and on-hand, counted in one aggregate. The join in (2) is against one
+    row per product: broadcast by AQE when small, otherwise a shuffle join
+    whose hot-product partitions AQE's skew handling splits.
+    """
     open_lines = open_sales_lines(orders, lines).select(
         "product_id", "ordered_qty", _outstanding("ordered_qty", "done_qty").alias("out"))
-    per_product = (open_lines.groupBy("product_id")
-                   .agg(F.sum("out").alias("reserved_qty"), F.count("*").alias("open_lines")))
-    pos = stock_position(products, per_product.select("product_id", "reserved_qty"))
-    short = (open_lines.join(pos.select("product_id", "free_qty"), "product_id")
-             .filter(F.col("ordered_qty") > F.col("free_qty"))
-             .groupBy("product_id").agg(F.count("*").alias("shortage_lines")))
-    return (pos.join(per_product.select("product_id", "open_lines"), "product_id", "left")
-            .join(short, "product_id", "left")
-            .select("product_id", "on_hand_qty", "reserved_qty", "free_qty",
+    reserved = open_lines.groupBy("product_id").agg(F.sum("out").alias("reserved_qty"))
+    onhand = products.select("product_id", F.coalesce("on_hand_qty", F.lit(0)).alias("_oh"))
+    free = (F.col("_oh") - F.col("reserved_qty"))
+    per_product = (open_lines.select("product_id", "ordered_qty")
+                   .join(reserved.join(onhand, "product_id", "left")
+                         .select("product_id", "reserved_qty", F.coalesce(free, -F.col("reserved_qty")).alias("_free")),
+                         "product_id")
+                   .groupBy("product_id")
+                   .agg(F.first("reserved_qty").alias("reserved_qty"), F.count("*").alias("open_lines"),
+                        F.count_if(F.col("ordered_qty") > F.col("_free")).alias("shortage_lines")))
+    return (products.select("product_id", "on_hand_qty").join(per_product, "product_id", "left")
+            .select("product_id",
+                    F.coalesce("on_hand_qty", F.lit(0)).cast(QTY_SUM).alias("on_hand_qty"),
+                    F.coalesce("reserved_qty", F.lit(0)).cast(QTY_SUM).alias("reserved_qty"),
+                    (F.coalesce("on_hand_qty", F.lit(0)) - F.coalesce("reserved_qty", F.lit(0)))
+                    .cast(QTY_SUM).alias("free_qty"),
                     F.coalesce("open_lines", F.lit(0)).cast("bigint").alias("open_lines"),
                     F.coalesce("shortage_lines", F.lit(0)).cast("bigint").alias("shortage_lines")))
 
