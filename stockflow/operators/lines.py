@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stockflow.functions.scalars import availability, or_default
@@ -71,3 +71,64 @@ def order_totals(lines: DataFrame, price: str, rule: str = "view") -> DataFrame:
     return (lines.withColumn("_t", line_total(price, "ordered_qty", "done_qty", rule))
             .groupBy("order_id")
             .agg(F.count("*").alias("line_count"), F.sum("_t").cast(MONEY_SUM).alias("order_total")))
+
+
+def normalise_products(raw: DataFrame) -> DataFrame:
+    """B2: product defaults as at creation: on hand null/0 -> 0, reserved 0
+    when absent, free = on hand - reserved, unit 'Units', procure flag as a
+    boolean (truthy), type '' when empty, vendor / BoM null when falsy."""
+    from pyspark.sql import types as T
+    cols = raw.columns
+
+    def c(name, default=None):
+        return F.col(name) if name in cols else F.lit(default)
+
+    on_hand = or_default(c("on_hand_qty"), F.lit(0)).cast(QTY)
+    reserved = F.coalesce(c("reserved_qty"), F.lit(0)).cast(QTY)
+    flag = c("procure_on_demand")
+    flag_t = raw.schema["procure_on_demand"].dataType if "procure_on_demand" in cols else T.BooleanType()
+    if isinstance(flag_t, T.BooleanType):
+        truthy = F.coalesce(flag, F.lit(False))
+    elif isinstance(flag_t, T.StringType):
+        truthy = F.coalesce(flag != "", F.lit(False))
+    else:
+        truthy = F.coalesce((flag != 0) & ~F.isnan(flag.cast("double")), F.lit(False))
+    return raw.select(
+        *[x for x in cols if x not in ("on_hand_qty", "reserved_qty", "unit", "procure_on_demand",
+                                       "procurement_type", "vendor_id", "bom_id")],
+        on_hand.alias("on_hand_qty"), reserved.alias("reserved_qty"),
+        (on_hand - reserved).cast("decimal(15,3)").alias("free_to_use_qty"),
+        or_default(c("unit"), "Units", "text").alias("unit"),
+        truthy.alias("procure_on_demand"),
+        or_default(c("procurement_type").cast("string"), "", "text").alias("procurement_type"),
+        F.when(or_default(c("vendor_id"), F.lit(None)).isNotNull(), c("vendor_id")).alias("vendor_id"),
+        F.when(or_default(c("bom_id"), F.lit(None)).isNotNull(), c("bom_id")).alias("bom_id"))
+
+
+def set_where(df: DataFrame, predicate: Column, assignments: dict) -> DataFrame:
+    """UPDATE ... SET ... WHERE as a projection: assigned columns take
+    the new value where the predicate holds (null predicate = no change)."""
+    out = {}
+    for col, v in assignments.items():
+        val = v if isinstance(v, Column) else F.lit(v)
+        out[col] = F.when(F.coalesce(predicate, F.lit(False)), val.cast(df.schema[col].dataType)).otherwise(F.col(col))
+    return df.withColumns(out)
+
+
+def with_vendor(orders: DataFrame, vendors: DataFrame) -> DataFrame:
+    """Copy the vendor's name and address onto each order (left join on
+    vendor id; AQE broadcasts the vendor side when it is small)."""
+    v = vendors.select(F.col("id").alias("vendor_id"), "vendor_name", "vendor_address")
+    return orders.drop(*[x for x in ("vendor_name", "vendor_address") if x in orders.columns]).join(v, "vendor_id", "left")
+
+
+def append_rows(base: DataFrame, new: DataFrame) -> DataFrame:
+    """add created rows (by column name; missing columns are null)."""
+    return base.unionByName(new, allowMissingColumns=True)
+
+
+def flatten(df: DataFrame, array_col: str, keep: list[str] | None = None) -> DataFrame:
+    """child arrays back to rows (one row per element; parents with an
+    empty array produce none)."""
+    keep = keep if keep is not None else [c for c in df.columns if c != array_col]
+    return df.select(*keep, F.explode(array_col).alias("_e")).select(*keep, "_e.*")

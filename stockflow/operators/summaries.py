@@ -20,10 +20,30 @@ from stockflow.functions.scalars import availability
 from stockflow.operators.lines import line_total
 
 
+# Largest child group the nested (document) form will gather into one row.
+MAX_NESTED_CHILDREN = 100_000
+
+
+class GroupTooLarge(ValueError):
+    """A parent has more children than a nested document may hold."""
+
+
+def check_group_size(df: DataFrame, key: str, limit: int = MAX_NESTED_CHILDREN) -> None:
+    """Size check before gathering groups into arrays: one partial + final
+    aggregate; raises GroupTooLarge if any key has more than ``limit`` rows,
+    so no unbounded group is ever collected into one task. Use the flat form
+    for such data."""
+    top = df.groupBy(key).count().agg(F.max("count").alias("m")).first()
+    if top is not None and top.m is not None and top.m > limit:
+        raise GroupTooLarge(f"a {key} has {top.m} children (> {limit}); use flat=True")
+
+
 def collect_present(df: DataFrame, key: str, fields: Sequence[Column | str], out: str,
-                    present: str = "id") -> DataFrame:
+                    present: str = "id", limit: int = MAX_NESTED_CHILDREN) -> DataFrame:
     """D12 (+ D11): per key, a sorted array of the child structs whose
-    ``present`` column is not null; an empty array when there are none."""
+    ``present`` column is not null; an empty array when there are none.
+    Checked with ``check_group_size`` first."""
+    check_group_size(df, key, limit)
     s = F.struct(*[F.col(f) if isinstance(f, str) else f for f in fields])
     return (df.groupBy(key)
             .agg(F.sort_array(F.collect_list(F.when(F.col(present).isNotNull(), s))).alias(out)))

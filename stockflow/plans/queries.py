@@ -1207,3 +1207,80 @@ def q_clean_text(m: Model):
     from stockflow.functions import scalars as S
     raw = F.concat(F.lit("<b>"), F.col("product_name"), F.lit("</b>\u00a0 end "))
     return m.product.select("product_id", S.clean_text(raw, 30).alias("cleaned"))
+
+
+# --------------------------------------------------------------------------
+# Product normalisation, predicate updates, vendor copy, append, flatten
+# (B2, B6, C3, F4, F6)
+# --------------------------------------------------------------------------
+
+
+@query("normalise_products", sql="""
+select product_id, reference,
+       cast(case when on_hand_qty is null or on_hand_qty = 0 then 0 else on_hand_qty end as decimal(14,3)) as on_hand_qty,
+       cast(0 as decimal(14,3)) as reserved_qty,
+       cast(case when on_hand_qty is null or on_hand_qty = 0 then 0 else on_hand_qty end as decimal(15,3)) as free_to_use_qty,
+       'Units' as unit, coalesce(procure_on_demand, false) as procure_on_demand,
+       case when procurement_type is null or procurement_type = '' then '' else procurement_type end as procurement_type,
+       case when vendor_id is null or vendor_id = 0 then null else vendor_id end as vendor_id,
+       case when bom_id is null or bom_id = 0 then null else bom_id end as bom_id
+from product""")
+def q_normalise_products(m: Model):
+    """B2: product rows with the creation defaults applied."""
+    raw = m.product.select("product_id", "reference", "on_hand_qty", "procure_on_demand", "procurement_type",
+                           "vendor_id", "bom_id")
+    return lines.normalise_products(raw)
+
+
+@query("set_where", sql="""
+select product_id,
+       case when vendor_id in (1, 2) or product_id = 7 then true else procure_on_demand end as procure_on_demand,
+       case when vendor_id in (1, 2) or product_id = 7 then 'Purchase' else procurement_type end as procurement_type
+from product""")
+def q_set_where(m: Model):
+    """UPDATE products SET procure flag and type WHERE vendor in (1, 2) or id = 7."""
+    pred = F.col("vendor_id").isin(1, 2) | (F.col("product_id") == 7)
+    out = lines.set_where(m.product, pred, {"procure_on_demand": True, "procurement_type": "Purchase"})
+    return out.select("product_id", "procure_on_demand", "procurement_type")
+
+
+@query("with_vendor", sql="""
+select o.id, o.vendor_id, v.vendor_name, v.vendor_address, o.status
+from purchase_order o left join vendor v on v.id = o.vendor_id""")
+def q_with_vendor(m: Model):
+    """Purchase orders with the vendor's name and address copied on."""
+    return lines.with_vendor(m.purchase_order, m.vendor).select("id", "vendor_id", "vendor_name",
+                                                                 "vendor_address", "status")
+
+
+@query("append_draft_purchase_orders", sql=_NEED_SQL + """,
+drafts as (select distinct order_id, vendor_id from need where procurement_type = 'Purchase'),
+nxt as (select greatest(1, coalesce(max(id) + 1, 1)) as start from purchase_order)
+select id, vendor_id, status, null as reference, null as source_note from purchase_order
+union all
+select d.start + row_number() over (order by order_id, vendor_id) - 1, vendor_id, 'Draft',
+       concat('PO-', lpad(cast(d.start + row_number() over (order by order_id, vendor_id) as varchar), 6, '0')),
+       concat('SO-', lpad(cast(order_id + 1 as varchar), 6, '0'))
+from drafts cross join nxt d""")
+def q_append_draft_purchase_orders(m: Model):
+    """K2 + D18 + E9 + F4: draft purchase orders per (short order, vendor), numbered after the
+    last purchase order and appended to the purchase order list."""
+    from stockflow.functions.scalars import reference_code
+    plan = _plan(m)["purchase_lines"]
+    drafts = plan.select("source_order_id", "vendor_id").distinct()
+    start = changes.next_ids(m.purchase_order).first().next_id
+    numbered = changes.assign_references(drafts, "PO", start, ["source_order_id", "vendor_id"])
+    new = numbered.select(F.col("new_id").alias("id"), "vendor_id", F.lit("Draft").alias("status"),
+                          "reference", reference_code("SO", F.col("source_order_id") + 1).alias("source_note"))
+    return lines.append_rows(m.purchase_order.select("id", "vendor_id", "status"), new)
+
+
+@query("flatten_bom_components", sql="""
+select b.id, c.component_product_id, cp.product_name as component_name, c.to_consume_qty
+from bom b join product p on p.product_id = b.finished_product_id
+join bom_component c on c.bom_id = b.id
+left join product cp on cp.product_id = c.component_product_id""")
+def q_flatten_bom_components(m: Model):
+    """nested BoM documents flattened back to one row per component."""
+    doc = summaries.bom_summary(boms(m), m.bom_component, m.bom_operation, m.product, flat=False)
+    return lines.flatten(doc, "components", keep=["id"])

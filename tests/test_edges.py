@@ -117,3 +117,29 @@ def test_user_document_non_array_yields_nothing(spark, tmp_path):
     assert u.count() == 1 and p.first().module == "Sales"
     u2, p2 = read_user_document(spark, str(bad))
     assert u2.count() == 0 and p2.count() == 0
+
+
+def test_nested_form_refuses_oversized_groups(spark):
+    import pytest
+    from stockflow.operators.summaries import GroupTooLarge, collect_present
+    df = spark.range(50).select(F.lit(1).alias("k"), F.col("id"))
+    with pytest.raises(GroupTooLarge):
+        collect_present(df, "k", ["id"], "ids", limit=10)
+    assert len(collect_present(df, "k", ["id"], "ids", limit=50).first().ids) == 50
+
+
+def test_to_document_keeps_nulls(spark):
+    from stockflow.functions.scalars import to_document
+    df = spark.createDataFrame([(1, None)], "id int, unit string")
+    assert df.select(to_document("id", "unit").alias("j")).first().j == '{"id":1,"unit":null}'
+    assert df.select(to_document("id", "unit", keep_nulls=False).alias("j")).first().j == '{"id":1}'
+
+
+def test_normalise_products_defaults(spark):
+    from stockflow.operators.lines import normalise_products
+    raw = spark.createDataFrame([(1, None, None, "", 0, None)],
+                                "product_id long, on_hand_qty double, procure_on_demand boolean, "
+                                "procurement_type string, vendor_id long, bom_id long")
+    r = normalise_products(raw).first()
+    assert (r.on_hand_qty, r.reserved_qty, r.free_to_use_qty, r.unit, r.procure_on_demand,
+            r.procurement_type, r.vendor_id, r.bom_id) == (D(0), D(0), D(0), "Units", False, "", None, None)
