@@ -1090,10 +1090,10 @@ select m.product_id, cast(coalesce(max(p.on_hand_qty), 0) + sum(m.movement_qty)
 from stock_movement m left join product p on p.product_id = m.product_id group by m.product_id""")
 def q_stream_on_hand(m: Model):
     """On hand per product from the lineitem file stream (stateful aggregate, availableNow)."""
-    agg = streams.stream_on_hand(streams.movement_stream(read_stream(m, "lineitem")),
-                                 m.product.select("product_id", "on_hand_qty"))
-    path = streams.run_to_table(agg, "on_hand", m.spark)
-    return streams.latest(m.spark, path, ["product_id"])
+    net = streams.stream_net_movements(streams.movement_stream(read_stream(m, "lineitem")))
+    path = streams.run_to_table(net, "net_movements", m.spark)
+    return streams.on_hand_from_net(streams.latest(m.spark, path, ["product_id"]),
+                                    m.product.select("product_id", "on_hand_qty"))
 
 
 @query("stream_audit_counts", sql="""

@@ -59,3 +59,28 @@ def checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
     return path
+
+
+def tune_for_input(spark: SparkSession, input_bytes: int, cores: int | None = None,
+                   target_partition_bytes: int = 256 * 1024 * 1024) -> dict[str, str]:
+    """Size shuffles and file splits for an input volume (runtime SQL confs).
+
+    The initial shuffle partition count is input / target (at least the
+    core count, so every core has work); AQE then coalesces small partitions
+    toward the advisory size and splits skewed ones. File splits match the
+    target so each scan task reads about one target's worth of parquet.
+    Broadcasts stay at AQE's measured-size threshold.
+    """
+    cores = cores or spark.sparkContext.defaultParallelism
+    parts = max(cores, -(-input_bytes // target_partition_bytes))
+    conf = {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes // 2),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+    }
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    return conf

@@ -33,16 +33,20 @@ def movement_stream(lineitem_stream: DataFrame) -> DataFrame:
                     .otherwise(-F.col("done")).alias("movement_qty")))
 
 
-def stream_on_hand(movements: DataFrame, opening: DataFrame) -> DataFrame:
-    """Running on hand per product = opening + movements so far.
+def stream_net_movements(movements: DataFrame) -> DataFrame:
+    """I1, streaming part: net movement per product so far. No join inside
+    the stream: the state is one row per product and each micro-batch only
+    reads its new files."""
+    return (movements.groupBy("product_id")
+            .agg(F.sum("movement_qty").cast(QTY_SUM).alias("net_qty")))
 
-    Stream-static join for the opening balance before the aggregation
-    (joins after a streaming aggregation are not allowed); products without
-    movements appear only in the batch stock position."""
+
+def on_hand_from_net(net: DataFrame, opening: DataFrame) -> DataFrame:
+    """I1, read side: on hand = opening + net movements, for the products
+    that have movements (the others are in the batch stock position)."""
     o = opening.select("product_id", F.col("on_hand_qty").alias("_open"))
-    return (movements.join(o, "product_id", "left")
-            .groupBy("product_id")
-            .agg((F.coalesce(F.max("_open"), F.lit(0)) + F.sum("movement_qty")).cast(QTY_SUM).alias("on_hand_qty")))
+    return (net.join(o, "product_id", "left")
+            .select("product_id", (F.coalesce("_open", F.lit(0)) + F.col("net_qty")).cast(QTY_SUM).alias("on_hand_qty")))
 
 
 def stream_audit_counts(logs: DataFrame) -> DataFrame:
