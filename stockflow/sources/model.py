@@ -35,11 +35,13 @@ def _pad6(c: Column) -> Column:
 class Model:
     """Lazily built entity DataFrames over one scale-factor folder.
 
-    With ``materialize=True`` the ``line`` table (the only view that needs a
-    window, to give lines a unique key) is written once per session as
-    parquet under the shared checkpoint folder and read back from there, as
-    a deployment would keep its line table at rest with its key. Without
-    it, every use recomputes the window.
+    With ``materialize=True`` the entity tables that need more than a
+    projection of one raw table (``line``, which needs a window to give
+    lines a unique key; ``purchase_order`` and ``manufacturing_order``,
+    which are aggregates; ``bom_component`` and ``bom_operation``) are
+    written once as parquet under the shared checkpoint folder and read back
+    from there, as a deployment keeps its entity tables at rest. Without it,
+    every use recomputes them from the raw tables.
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str, materialize: bool = True):
@@ -57,10 +59,13 @@ class Model:
         import os
 
         from stockflow.session import checkpoint_dir
-        src = os.path.join(self.sf_dir, "lineitem.parquet")
-        st = os.stat(src) if os.path.exists(src) else None
-        tag = hashlib.sha1(f"{os.path.abspath(self.sf_dir)}|{st.st_size if st else ''}|"
-                           f"{st.st_mtime_ns if st else ''}".encode()).hexdigest()[:12]
+        stats = []
+        for t in ("part", "supplier", "orders", "lineitem", "events", "nation", "customer", "region"):
+            src = os.path.join(self.sf_dir, f"{t}.parquet")
+            if os.path.exists(src):
+                st = os.stat(src)
+                stats.append(f"{t}:{st.st_size}:{st.st_mtime_ns}")
+        tag = hashlib.sha1("|".join([os.path.abspath(self.sf_dir)] + stats).encode()).hexdigest()[:12]
         path = os.path.join(checkpoint_dir(self.spark), "model", tag, name)
         jvm = self.spark._jvm
         hpath = jvm.org.apache.hadoop.fs.Path(path)
@@ -146,7 +151,7 @@ class Model:
                    .when(F.sum("done_qty") == 0, "Confirmed")
                    .when(F.sum("done_qty") < F.sum("ordered_qty"), "Partially Received")
                    .otherwise("Fully Received"))
-        return (self.purchase_line.groupBy("order_id").agg(
+        return self._stored("purchase_order", self.purchase_line.groupBy("order_id").agg(
             F.min("vendor_id").alias("vendor_id"),
             F.to_date(F.min("l_shipdate")).alias("creation_date"),
             F.to_date(F.min("l_shipdate") + F.expr("interval 14 days")).alias("due_date"),
@@ -160,16 +165,17 @@ class Model:
                    .select(F.col("product_id").alias("parent_id"),
                            F.explode(F.array(F.lit(1), F.lit(2))).alias("step")))
         comps = self.product.select(F.col("product_id").alias("component_product_id"))
-        return (parents.join(comps, F.col("component_product_id") == F.col("parent_id") + F.col("step"))
-                .select(F.col("parent_id").alias("bom_id"),
-                        F.col("component_product_id"),
-                        ((F.col("component_product_id") % 5) + 1).cast(QTY).alias("to_consume_qty")))
+        return self._stored("bom_component", (
+            parents.join(comps, F.col("component_product_id") == F.col("parent_id") + F.col("step"))
+            .select(F.col("parent_id").alias("bom_id"),
+                    F.col("component_product_id"),
+                    ((F.col("component_product_id") % 5) + 1).cast(QTY).alias("to_consume_qty"))))
 
     @cached_property
     def bom_operation(self) -> DataFrame:
         templates = F.array(*[F.struct(F.lit(o).alias("op"), F.lit(w).alias("wc"), F.lit(b).alias("base"))
                               for o, w, b in OPERATION_TEMPLATES])
-        return (self.product.filter(F.col("bom_id").isNotNull())
+        return self._stored("bom_operation", self.product.filter(F.col("bom_id").isNotNull())
                 .select("product_id", F.explode(templates).alias("t"))
                 .select(F.col("product_id").alias("bom_id"),
                         F.col("t.op").alias("operation_name"),
@@ -183,7 +189,7 @@ class Model:
         status = (F.when(k % 5 == 0, "Draft").when(k % 5 == 1, "Confirmed")
                    .when(k % 5 == 2, "In Progress").when(k % 5 == 3, "Done")
                    .otherwise("Cancelled"))
-        return (li.groupBy("l_orderkey").agg(
+        return self._stored("manufacturing_order", li.groupBy("l_orderkey").agg(
             F.min("l_partkey").alias("finished_product_id"),
             F.min("l_partkey").alias("bom_id"),
             F.max("l_quantity").cast(QTY).alias("quantity"),
