@@ -92,3 +92,30 @@ def orphans(children: DataFrame, parents_left: DataFrame, fk: str, pk: str = "id
 def violations(checks: Sequence[DataFrame]) -> DataFrame:
     """All rule violations in one frame."""
     return reduce(DataFrame.unionByName, checks)
+
+
+def entity_violations(tables: dict[str, DataFrame]) -> DataFrame:
+    """All schema rules (stockflow.schemas) over the entity tables given;
+    rules whose tables are missing are skipped."""
+    from stockflow import schemas as R
+    checks = []
+    for t, keysets in R.UNIQUE.items():
+        if t in tables:
+            checks += [check_unique(tables[t], t, ks) for ks in keysets]
+    for child, col, parent in R.FOREIGN_KEYS:
+        if child in tables and parent in tables:
+            checks.append(check_foreign_key(tables[child], child, [col], tables[parent], ["id"],
+                                            ["id"] if "id" in tables[child].columns else [col]))
+    for t, col, values in R.DOMAINS:
+        if t in tables:
+            checks.append(check_domain(tables[t], t, col, values, ["id"] if "id" in tables[t].columns else [col]))
+    for t, cols in R.NOT_NULL.items():
+        if t in tables:
+            checks.append(check_not_null(tables[t], t, cols, ["id"] if "id" in tables[t].columns else cols[:1]))
+    for t, col, n in R.LENGTH:
+        if t in tables:
+            checks.append(check_length(tables[t], t, col, n, ["id"]))
+    for t, cols in R.REQUIRED:
+        if t in tables:
+            checks.append(check_required(tables[t], t, cols, ["id"]))
+    return violations(checks)
