@@ -271,3 +271,34 @@ def load_permissions_merge(base: DataFrame, saved: DataFrame, order: str = "pos"
              .select("user_id", "module", "_s.*"))
     add = first.join(base.select("user_id", "module"), ["user_id", "module"], "left_anti")
     return base.unionByName(add, allowMissingColumns=True)
+
+
+def feed_audit_rows(feed: DataFrame, key: str, module: str, record_type: str, label_col: str,
+                    updated_text: str, bucket: Column | None = None) -> DataFrame:
+    """E10 for a create / update / delete feed: one audit row per applied
+    change, as the reference writes them:
+
+    create -> 'Created', field '', old '', new = the record's label;
+    update -> 'Updated', field 'details', old '', new = ``updated_text``;
+    delete -> 'Deleted', field '', old = the label the record had, new ''.
+
+    Updates and deletes of a record that does not exist are not applied and
+    not audited (see feed_rejects). One ordered scan per key for 'exists'
+    and 'current label' (bucketed for hot keys); null values become ''.
+    """
+    op = F.col("op")
+    write = op.isin("create", "update")
+    rows = feed.select(key, "seq", "op", F.col(label_col).alias("_label"))
+    rows = prefix_scan(rows, [key], ["seq"], F.when(op.isin("create", "delete"), op), "last", "_prev_life",
+                       inclusive=False, bucket=bucket)
+    rows = prefix_scan(rows, [key], ["seq"], F.when(write, F.struct(F.col("_label").alias("v"))), "last",
+                       "_prev_label", inclusive=False, bucket=bucket)
+    applied = rows.filter((op == "create") | F.coalesce(F.col("_prev_life") == "create", F.lit(False)))
+    action = F.when(op == "create", "Created").when(op == "update", "Updated").otherwise("Deleted")
+    return applied.select(
+        "seq", F.lit(module).alias("module"), F.lit(record_type).alias("record_type"),
+        F.col(key).cast("string").alias("record_id"), action.alias("action"),
+        F.when(op == "update", "details").otherwise("").alias("field_changed"),
+        null_to_empty(F.when(op == "delete", F.col("_prev_label.v"))).alias("old_value"),
+        null_to_empty(F.when(op == "create", F.col("_label"))
+                      .when(op == "update", F.lit(updated_text))).alias("new_value"))

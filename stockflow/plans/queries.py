@@ -1284,3 +1284,21 @@ def q_flatten_bom_components(m: Model):
     """nested BoM documents flattened back to one row per component."""
     doc = summaries.bom_summary(boms(m), m.bom_component, m.bom_operation, m.product, flat=False)
     return lines.flatten(doc, "components", keep=["id"])
+
+
+@query("feed_audit_rows", sql="""
+select x.seq, 'Product' as module, 'Product' as record_type, cast(x.record_id as varchar) as record_id,
+       case x.op when 'create' then 'Created' when 'update' then 'Updated' else 'Deleted' end as action,
+       case when x.op = 'update' then 'details' else '' end as field_changed,
+       case when x.op = 'delete' then coalesce(p.new_label, '') else '' end as old_value,
+       case x.op when 'create' then coalesce(x.new_label, '') when 'update' then 'Product updated' else '' end as new_value
+from (select *, max(case when op = 'create' then seq end) over w as pc,
+             max(case when op = 'delete' then seq end) over w as pd,
+             max(case when op in ('create', 'update') then seq end) over w as pw
+      from change_feed window w as (partition by record_id order by seq rows between unbounded preceding and 1 preceding)) x
+left join change_feed p on p.record_id = x.record_id and p.seq = x.pw
+where x.op = 'create' or (x.pc is not null and (x.pd is null or x.pc > x.pd))""")
+def q_feed_audit_rows(m: Model):
+    """E10 for the change feed: Created / Updated / Deleted audit rows for applied changes only."""
+    return changes.feed_audit_rows(m.change_feed, "record_id", "Product", "Product", "new_label",
+                                   "Product updated", bucket=F.floor(F.col("seq") / SEQ_BUCKET))

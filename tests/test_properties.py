@@ -134,3 +134,29 @@ def test_assign_references_global_order(spark, parts):
     got = {r.id: (r.new_id, r.reference) for r in out.collect()}
     ranked = sorted(rows, key=lambda r: (r[1], r[0]))
     assert got == {r[0]: (10 + i, f"PO-{11 + i:06d}") for i, r in enumerate(ranked)}
+
+
+def test_hot_key_is_spread_over_tasks(spark):
+    """A key with 40% of the rows: the plain window keeps it in one
+    partition, the bucketed scan splits it across several."""
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.range(20000).select(
+            F.when(F.col("id") % 5 < 2, F.lit(0)).otherwise(F.col("id") % 97).alias("k"),
+            F.col("id").alias("seq"), F.lit(1).alias("v"))
+
+        def hot_partitions(bucket):
+            out = prefix_scan(df, ["k"], ["seq"], "v", "sum", "run", bucket=bucket)
+            # keep `run` in the same result, or Catalyst prunes the window
+            got = out.filter("k = 0").select(F.spark_partition_id().alias("p"), "run").collect()
+            return {r.p for r in got}, sorted(r.run for r in got)
+
+        plain_parts, plain_runs = hot_partitions(None)
+        split_parts, split_runs = hot_partitions(F.floor(F.col("seq") / 500))
+        assert len(plain_parts) == 1
+        assert len(split_parts) > 1
+        assert plain_runs == split_runs == list(range(1, len(plain_runs) + 1))
+        assert len(plain_runs) > 8000
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
