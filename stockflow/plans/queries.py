@@ -1162,7 +1162,7 @@ def q_scalar_functions(m: Model):
     return a.select(
         "id", S.reference_code("SO", F.col("user_id")).alias("ref"),
         S.date_only(F.col("date_time")).alias("day"),
-        S.char_length("record_id").alias("record_len"),
+        S.char_length("record_id").cast("bigint").alias("record_len"),
         S.contains("record_id", "0001").alias("has_0001"),
         S.contains_ci("module", "SAL").alias("module_sal"),
         S.at_least(F.col("user_id") - 50, 0).alias("above_50"),

@@ -20,6 +20,9 @@ QTY = "decimal(14,3)"
 MONEY = "decimal(12,2)"
 DURATION = "decimal(14,2)"
 
+# Bump when a stored entity table's definition changes (part of its storage key).
+MODEL_VERSION = 2
+
 # Fixed values of the tier-3 mapping.
 AS_OF = "1998-07-01"
 MODULE_ORDER = ["Sales", "Purchase", "Manufacturing", "Product", "BoM", "Audit", "User"]
@@ -65,7 +68,8 @@ class Model:
             if os.path.exists(src):
                 st = os.stat(src)
                 stats.append(f"{t}:{st.st_size}:{st.st_mtime_ns}")
-        tag = hashlib.sha1("|".join([os.path.abspath(self.sf_dir)] + stats).encode()).hexdigest()[:12]
+        tag = hashlib.sha1("|".join([f"v{MODEL_VERSION}", os.path.abspath(self.sf_dir)] + stats)
+                           .encode()).hexdigest()[:12]
         path = os.path.join(checkpoint_dir(self.spark), "model", tag, name)
         jvm = self.spark._jvm
         hpath = jvm.org.apache.hadoop.fs.Path(path)
@@ -111,7 +115,7 @@ class Model:
                  .otherwise(F.lit(0.0)))
         return self._stored("line", li.select(
             F.col("l_orderkey").alias("order_id"),
-            F.row_number().over(w).alias("line_seq"),
+            F.row_number().over(w).cast("bigint").alias("line_seq"),
             F.col("l_partkey").alias("product_id"),
             F.col("l_suppkey").alias("vendor_id"),
             F.col("l_shipdate"),
