@@ -1302,3 +1302,20 @@ def q_feed_audit_rows(m: Model):
     """E10 for the change feed: Created / Updated / Deleted audit rows for applied changes only."""
     return changes.feed_audit_rows(m.change_feed, "record_id", "Product", "Product", "new_label",
                                    "Product updated", bucket=F.floor(F.col("seq") / SEQ_BUCKET))
+
+
+@query("bom_texts", sql="""
+select b.id,
+       coalesce((select string_agg(coalesce(cp.product_name, '') || ' x ' || cast(c.to_consume_qty as varchar), ', '
+                                   order by c.component_product_id, cp.product_name, c.to_consume_qty)
+                 from bom_component c left join product cp on cp.product_id = c.component_product_id
+                 where c.bom_id = b.id), '') as component_text,
+       coalesce((select string_agg(o.operation_name || ' ' || cast(o.expected_duration as varchar) || 'm', ', '
+                                   order by o.operation_name, o.work_center, o.expected_duration)
+                 from bom_operation o where o.bom_id = b.id), '') as operation_text
+from bom b join product p on p.product_id = b.finished_product_id""")
+def q_bom_texts(m: Model):
+    """D16: 'name x qty' per component and 'name <minutes>m' per operation, joined per BoM."""
+    doc = summaries.bom_summary(boms(m), m.bom_component, m.bom_operation, m.product, flat=False)
+    return doc.select("id", search.component_text("components").alias("component_text"),
+                      search.operation_text("operations").alias("operation_text"))
