@@ -87,7 +87,8 @@ def overlay_patch(base: DataFrame, patches: DataFrame, key: str,
                   protected: Sequence[str] = ("reference",)) -> DataFrame:
     """patches(key, seq, patch map<string,string>) applied in seq order;
     a field present in a patch overwrites, null included; absent fields and
-    protected fields (and the key) keep their value."""
+    protected fields (and the key) keep their value. Text that does not fit
+    the column's type is read as null (try_cast; ANSI casts would fail)."""
     fields = [c for c in base.columns if c != key and c not in protected]
     p = F.col("patch")
     g = patches.groupBy(key).agg(*[
@@ -96,7 +97,7 @@ def overlay_patch(base: DataFrame, patches: DataFrame, key: str,
     j = base.join(g, key, "left")
     return j.select(*[
         F.col(c) if c == key or c in protected else
-        F.when(F.col(f"_p_{c}").isNotNull(), F.col(f"_p_{c}.v").cast(base.schema[c].dataType))
+        F.when(F.col(f"_p_{c}").isNotNull(), F.col(f"_p_{c}.v").try_cast(base.schema[c].dataType))
          .otherwise(F.col(c)).alias(c)
         for c in base.columns])
 
@@ -117,7 +118,7 @@ def keep_patch(base: DataFrame, patches: DataFrame, key: str,
     j = base.join(g, key, "left")
     return j.select(*[
         F.col(c) if c == key or c in protected else
-        F.coalesce(F.col(f"_p_{c}").cast(base.schema[c].dataType), F.col(c)).alias(c)
+        F.coalesce(F.col(f"_p_{c}").try_cast(base.schema[c].dataType), F.col(c)).alias(c)
         for c in base.columns])
 
 

@@ -73,8 +73,12 @@ def prefix_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], value:
         prior = F.last("_bagg", ignorenulls=True).over(wb)
     else:
         prior = _AGG[op]("_bagg").over(wb)
-    offsets = per_bucket.select(*keys, "_bkt", prior.alias("_off"))
-    joined = b.join(offsets, on=keys + ["_bkt"], how="left")
+    # Null-safe keys, so null keys keep their offsets as in the plain window
+    # (Spark plans <=> as an equi-join, so this stays a hash / sort-merge join).
+    offsets = per_bucket.select(*[F.col(k).alias(f"_o_{k}") for k in keys],
+                                F.col("_bkt").alias("_o_bkt"), prior.alias("_off"))
+    cond = [b[k].eqNullSafe(offsets[f"_o_{k}"]) for k in keys] + [b["_bkt"].eqNullSafe(offsets["_o_bkt"])]
+    joined = b.join(offsets, on=cond, how="left").drop(*[f"_o_{k}" for k in keys], "_o_bkt")
     inner = over(window_over(keys + ["_bkt"]))
     return (joined.withColumn(out, _combine(op, F.col("_off"), inner))
             .drop("_bkt", "_off"))

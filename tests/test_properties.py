@@ -17,7 +17,7 @@ def _rows(seed, n_keys=12, n=400, hot_share=0.35):
     rnd = random.Random(seed)
     rows = []
     for i in range(n):
-        k = 0 if rnd.random() < hot_share else rnd.randrange(1, n_keys)
+        k = 0 if rnd.random() < hot_share else (None if rnd.random() < 0.05 else rnd.randrange(1, n_keys))
         v = None if rnd.random() < 0.1 else rnd.randint(-20, 50)
         rows.append((k, i * 3 + rnd.randrange(3), v))
     rnd.shuffle(rows)
