@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stockflow.functions.scalars import exact_sum, rescale, unscaled
 from stockflow.operators.scan import prefix_scan
 from stockflow.types import QTY_SUM
 
@@ -35,17 +36,17 @@ def ledger(movements: DataFrame, opening: DataFrame, order: Sequence[str],
     rows = movements.withColumn("_opening", F.lit(False)).unionByName(open_rows)
     if bucket is not None:
         bucket = F.when(~F.col("_opening"), bucket)
-    run = prefix_scan(rows, ["product_id"], order,
-                      F.col("movement_qty").cast(QTY_SUM), "sum", "resulting_on_hand", bucket=bucket)
+    run = prefix_scan(rows, ["product_id"], order, unscaled("movement_qty"), "sum", "resulting_on_hand",
+                      bucket=bucket)
     return (run.filter(~F.col("_opening")).drop("_opening")
-            .withColumn("resulting_on_hand", F.col("resulting_on_hand").cast(QTY_SUM)))
+            .withColumn("resulting_on_hand", rescale("resulting_on_hand", 3, QTY_SUM)))
 
 
 def final_on_hand(movements: DataFrame, opening: DataFrame) -> DataFrame:
     """On hand after all movements = opening + sum of movements, per product
     (products without movements keep their opening). Partial aggregation
     before the shuffle; the join is against one row per product."""
-    net = movements.groupBy("product_id").agg(F.sum("movement_qty").alias("_net"))
+    net = movements.groupBy("product_id").agg(exact_sum("movement_qty", 3, QTY_SUM).alias("_net"))
     return (opening.select("product_id", "on_hand_qty").join(net, "product_id", "left")
             .select("product_id", (F.coalesce("on_hand_qty", F.lit(0)) + F.coalesce("_net", F.lit(0)))
                     .cast(QTY_SUM).alias("on_hand_qty")))

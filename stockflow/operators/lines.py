@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stockflow.functions.scalars import availability, or_default
+from stockflow.functions.scalars import availability, exact_sum, or_default
 from stockflow.types import MONEY_SUM, QTY
 
 
@@ -70,7 +70,7 @@ def order_totals(lines: DataFrame, price: str, rule: str = "view") -> DataFrame:
     """Total per order (partial aggregation before the shuffle)."""
     return (lines.withColumn("_t", line_total(price, "ordered_qty", "done_qty", rule))
             .groupBy("order_id")
-            .agg(F.count("*").alias("line_count"), F.sum("_t").cast(MONEY_SUM).alias("order_total")))
+            .agg(F.count("*").alias("line_count"), exact_sum("_t", 2, MONEY_SUM).alias("order_total")))
 
 
 def normalise_products(raw: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stockflow.functions.scalars import availability
+from stockflow.functions.scalars import availability, exact_sum, rescale, unscaled
 from stockflow.operators.scan import prefix_scan
 from stockflow.types import OPEN_MO, OPEN_SALES, QTY_SUM
 
@@ -43,7 +43,7 @@ def reserved_sales(orders: DataFrame, lines: DataFrame,
     is listed and products without open lines get 0."""
     res = (open_sales_lines(orders, lines)
            .groupBy("product_id")
-           .agg(F.sum(_outstanding("ordered_qty", "done_qty")).cast(QTY_SUM).alias("reserved_qty")))
+           .agg(exact_sum(_outstanding("ordered_qty", "done_qty"), 3, QTY_SUM).alias("reserved_qty")))
     return _with_all_products(res, products)
 
 
@@ -57,7 +57,7 @@ def reserved_all(orders: DataFrame, lines: DataFrame, mos: DataFrame,
     comps = (mo_components.join(open_mos, "mo_id", "left_semi")
              .select("product_id", _outstanding("to_consume_qty", "consumed_qty").alias("qty")))
     res = (sales.unionByName(comps).groupBy("product_id")
-           .agg(F.sum("qty").cast(QTY_SUM).alias("reserved_qty")))
+           .agg(exact_sum("qty", 3, QTY_SUM).alias("reserved_qty")))
     return _with_all_products(res, products)
 
 
@@ -103,7 +103,7 @@ def stock_overview(products: DataFrame, orders: DataFrame, lines: DataFrame) ->
     """
     open_lines = open_sales_lines(orders, lines).select(
         "product_id", "ordered_qty", _outstanding("ordered_qty", "done_qty").alias("out"))
-    reserved = open_lines.groupBy("product_id").agg(F.sum("out").alias("reserved_qty"))
+    reserved = open_lines.groupBy("product_id").agg(exact_sum("out", 3, QTY_SUM).alias("reserved_qty"))
     onhand = products.select("product_id", F.coalesce("on_hand_qty", F.lit(0)).alias("_oh"))
     free = (F.col("_oh") - F.col("reserved_qty"))
     per_product = (open_lines.select("product_id", "ordered_qty")
@@ -140,7 +140,8 @@ def shortages(orders: DataFrame, lines: DataFrame, products: DataFrame,
     bucket = (F.floor(F.datediff("creation_date", F.lit("1970-01-01")) / bucket_days)
               if bucket_days else None)
     cum = prefix_scan(ln, ["product_id"], ["creation_date", "order_id", "line_seq"],
-                      "outstanding_qty", "sum", "cum_outstanding", bucket=bucket)
+                      unscaled("outstanding_qty"), "sum", "cum_outstanding", bucket=bucket)
+    cum = cum.withColumn("cum_outstanding", rescale("cum_outstanding", 3, QTY_SUM))
     onhand = products.select("product_id", F.greatest("on_hand_qty", F.lit(0)).alias("_oh"))
     return (cum.join(onhand, "product_id", "left")
             .select("order_id", "line_seq", "product_id",
