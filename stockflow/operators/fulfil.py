@@ -100,8 +100,34 @@ def completion_status(orders: DataFrame, lines: DataFrame, kind: str = "sales")
                     .otherwise(F.lit(f"Partially {word}")).alias("status")))
 
 
+def request_status(lines: DataFrame, applied: DataFrame, request: Sequence[str],
+                   kind: str = "sales", bucket: Column | None = None) -> DataFrame:
+    """Status of each order right after each of its requests (D13 as of then).
+
+    A request is a group of command rows with the same (order_id, *request)
+    columns. The order is complete after request r exactly when its lines
+    that were initially incomplete minus the lines completed by requests up
+    to r is zero. A line completes at the command whose done_before <
+    ordered <= done_after, so the status is a prefix sum of completions per
+    order (bucketed for hot orders): no line is paired with any request.
+    """
+    word = {"sales": "Delivered", "purchase": "Received"}[kind]
+    request = list(request)
+    done0 = F.coalesce(F.col("done_qty"), F.lit(0))
+    incomplete = (lines.groupBy("order_id")
+                  .agg(F.count_if(done0 < F.col("ordered_qty")).alias("_incomplete")))
+    completed = (F.col("done_before") < F.col("ordered_qty")) & (F.col("done_after") >= F.col("ordered_qty"))
+    per_req = applied.groupBy("order_id", *request).agg(F.count_if(completed).alias("_done_lines"))
+    cum = prefix_scan(per_req, ["order_id"], request, "_done_lines", "sum", "_cum", bucket=bucket)
+    left = F.coalesce(F.col("_incomplete"), F.lit(0)) - F.col("_cum")
+    return (cum.join(incomplete, "order_id", "left")
+            .select("order_id", *request,
+                    F.when(left <= 0, F.lit(f"Fully {word}")).otherwise(F.lit(f"Partially {word}")).alias("status")))
+
+
 def fulfil_sales(orders: DataFrame, lines: DataFrame, commands: DataFrame,
-                 order: Sequence[str], bucket: Column | None = None) -> dict[str, DataFrame]:
+                 order: Sequence[str], bucket: Column | None = None,
+                 opening: DataFrame | None = None) -> dict[str, DataFrame]:
     """Deliver commands on sales lines.
 
     commands(order_id, line_seq, requested_qty, <order columns>) against
@@ -112,6 +138,10 @@ def fulfil_sales(orders: DataFrame, lines: DataFrame, commands: DataFrame,
       (ordered prefix max per line, bucketed for hot lines);
     - lines: every line with its delivered quantity after all commands;
     - status: D13 status of every order that received a command;
+    - audit: one row per deliver request (order_id, *order) with the status
+      right after it, as the reference writes (old value '');
+    - ledger: movements with the running on-hand (E1), when ``opening``
+      (product_id, on_hand_qty) is given;
     - rejects: commands for a line that does not exist.
 
     The final line state needs no ordering: delivered after = greatest(
@@ -145,5 +175,14 @@ def fulfil_sales(orders: DataFrame, lines: DataFrame, commands: DataFrame,
               .filter(F.col("_n") > 0)
               .select("order_id", F.when(F.col("_all"), F.lit("Fully Delivered"))
                       .otherwise(F.lit("Partially Delivered")).alias("status")))
-    return {"lines": lines_after.drop("_n_cmd"), "movements": movements, "status": status,
-            "rejects": rejects}
+    req = request_status(tl, applied, [c for c in order if c not in keys], "sales", bucket)
+    audit = req.select("order_id", *[c for c in order if c not in keys],
+                       F.lit("Sales").alias("module"), F.lit("SalesOrder").alias("record_type"),
+                       F.lit("Updated").alias("action"), F.lit("status").alias("field_changed"),
+                       F.lit("").alias("old_value"), F.col("status").alias("new_value"))
+    out = {"lines": lines_after.drop("_n_cmd"), "movements": movements, "status": status,
+           "audit": audit, "rejects": rejects}
+    if opening is not None:
+        from stockflow.operators.ledger import ledger
+        out["ledger"] = ledger(movements, opening, list(order) + keys)
+    return out

@@ -1319,3 +1319,36 @@ def q_bom_texts(m: Model):
     doc = summaries.bom_summary(boms(m), m.bom_component, m.bom_operation, m.product, flat=False)
     return doc.select("id", search.component_text("components").alias("component_text"),
                       search.operation_text("operations").alias("operation_text"))
+
+
+@query("fulfil_audit_rows", sql=_FULFIL_SQL + """,
+per_req as (
+  select order_id, cmd_time,
+         count(*) filter (where before_qty < ordered_qty and after_qty >= ordered_qty) as done_lines
+  from (select s.*, l.ordered_qty from steps s join sales_line l on l.order_id = s.order_id and l.line_seq = s.line_seq) x
+  group by order_id, cmd_time),
+incomplete as (
+  select order_id, count(*) filter (where coalesce(done_qty, 0) < ordered_qty) as n from sales_line group by order_id)
+select r.order_id, r.cmd_time, 'Sales' as module, 'SalesOrder' as record_type, 'Updated' as action,
+       'status' as field_changed, '' as old_value,
+       case when coalesce(i.n, 0) - sum(r.done_lines) over (partition by r.order_id order by r.cmd_time
+                 rows between unbounded preceding and current row) <= 0
+            then 'Fully Delivered' else 'Partially Delivered' end as new_value
+from per_req r left join incomplete i on i.order_id = r.order_id""")
+def q_fulfil_audit_rows(m: Model):
+    """E6 + E10: one audit row per deliver request with the order's status right after it."""
+    out = fulfil.fulfil_sales(m.sales_order, m.sales_line, deliver_command(m), ["cmd_time"])
+    return out["audit"]
+
+
+@query("fulfil_ledger", sql=_FULFIL_SQL + """
+select s.order_id, s.line_seq, s.product_id, s.cmd_time, cast(-(s.after_qty - s.before_qty) as decimal(20,3)) as movement_qty,
+       cast(p.on_hand_qty - sum(s.after_qty - s.before_qty) over (partition by s.product_id
+            order by s.cmd_time, s.order_id, s.line_seq rows between unbounded preceding and current row) as decimal(20,3))
+         as resulting_on_hand
+from steps s left join product p on p.product_id = s.product_id where s.after_qty > s.before_qty""")
+def q_fulfil_ledger(m: Model):
+    """E6 + E1: the delivery movements with the running on-hand from the products' stock."""
+    out = fulfil.fulfil_sales(m.sales_order, m.sales_line, deliver_command(m), ["cmd_time"],
+                              opening=m.product.select("product_id", "on_hand_qty"))
+    return out["ledger"]

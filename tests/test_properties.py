@@ -160,3 +160,28 @@ def test_hot_key_is_spread_over_tasks(spark):
         assert len(plain_runs) > 8000
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+
+
+def test_last_request_status_equals_final_status(spark):
+    """The per-request status (prefix sum of completions) after an order's
+    last request equals D13 on its final line state."""
+    from pyspark.sql import Window
+    from stockflow.sources.model import Model, deliver_command
+    m = Model(spark, "/root/testdata/sf0.001")
+    out = fulfil.fulfil_sales(m.sales_order, m.sales_line, deliver_command(m), ["cmd_time"])
+    w = Window.partitionBy("order_id").orderBy(F.col("cmd_time").desc())
+    last = (out["audit"].withColumn("r", F.row_number().over(w)).filter("r = 1")
+            .select("order_id", F.col("new_value").alias("status")))
+    a = {(r.order_id, r.status) for r in last.collect()}
+    b = {(r.order_id, r.status) for r in out["status"].collect()}
+    assert a == b and len(a) > 0
+
+
+def test_request_status_small(spark):
+    lines = spark.createDataFrame([(1, 1, 7, 5.0, 0.0), (1, 2, 8, 3.0, 3.0), (1, 3, 9, 4.0, 1.0)],
+                                  "order_id int, line_seq int, product_id int, ordered_qty double, done_qty double")
+    cmds = spark.createDataFrame([(1, 1, 2.0, 10), (1, 3, 4.0, 10), (1, 1, 5.0, 20)],
+                                 "order_id int, line_seq int, requested_qty double, t int")
+    out = fulfil.fulfil_sales(spark.createDataFrame([(1,)], "id int"), lines, cmds, ["t"])
+    got = sorted((r.t, r.new_value) for r in out["audit"].collect())
+    assert got == [(10, "Partially Delivered"), (20, "Fully Delivered")]
