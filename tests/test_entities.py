@@ -72,3 +72,16 @@ def test_planted_violations_are_found(spark):
     assert {("unique", "users"), ("length", "bills_of_material"), ("foreign_key", "bills_of_material"),
             ("domain", "users"), ("domain", "sales_orders"), ("not_null", "sales_orders"),
             ("required", "users")} <= got
+
+
+def test_month_partitioned_facts_are_pruned(spark, tmp_path):
+    from stockflow.sources.model import Model
+    from stockflow.sources.tables import read_months, write_by_month
+    m = Model(spark, "/root/testdata/sf0.001")
+    path = str(tmp_path / "movements")
+    write_by_month(m.stock_movement, path, "movement_date")
+    df = read_months(spark, path, "1996-01", "1996-03")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(month" in plan
+    expect = m.stock_movement.filter("date_format(movement_date, 'yyyy-MM') between '1996-01' and '1996-03'").count()
+    assert df.count() == expect > 0
