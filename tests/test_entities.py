@@ -5,7 +5,7 @@ import datetime as dt
 from decimal import Decimal as D
 
 from stockflow import schemas as R
-from stockflow.operators import bom, quality, stock
+from stockflow.operators import quality, stock
 from stockflow.sources.entities import operator_views
 from stockflow.sources.tables import read_tables
 
