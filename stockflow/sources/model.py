@@ -21,7 +21,7 @@ MONEY = "decimal(12,2)"
 DURATION = "decimal(14,2)"
 
 # Bump when a stored entity table's definition changes (part of its storage key).
-MODEL_VERSION = 2
+MODEL_VERSION = 3
 
 # Fixed values of the tier-3 mapping.
 AS_OF = "1998-07-01"
@@ -72,10 +72,21 @@ class Model:
                            .encode()).hexdigest()[:12]
         path = os.path.join(checkpoint_dir(self.spark), "model", tag, name)
         jvm = self.spark._jvm
-        hpath = jvm.org.apache.hadoop.fs.Path(path)
-        fs = hpath.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")):
-            df.write.mode("overwrite").parquet(path)
+        Path = jvm.org.apache.hadoop.fs.Path
+        fs = Path(path).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(Path(path + "/_SUCCESS")):
+            # Write aside, then publish with one directory rename (atomic on
+            # HDFS-like stores): concurrent writers never see a half table.
+            import uuid
+            tmp = f"{path}.tmp-{uuid.uuid4().hex[:8]}"
+            df.write.mode("overwrite").parquet(tmp)
+            fs.mkdirs(Path(path).getParent())
+            # Rename only onto a free name (a rename onto an existing
+            # directory would nest into it on some file systems).
+            if not fs.exists(Path(path)):
+                fs.rename(Path(tmp), Path(path))
+            if not fs.exists(Path(path + "/_SUCCESS")):
+                return self.spark.read.parquet(tmp)
         return self.spark.read.parquet(path)
 
     @cached_property
