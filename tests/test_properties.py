@@ -52,11 +52,12 @@ def test_prefix_scan_bucketed_equals_loop(spark, op, seed):
             assert got == {s: expect[(inclusive, s)] for _, s, _ in rows}, (op, inclusive, bucket is None)
 
 
-def _js_deliver(ordered, initial, requests):
+def _js_deliver(ordered, initial, requests, fallback=False):
     d = initial or 0
     out = []
     for x in requests:
-        r = 0 if (x is None or (isinstance(x, float) and math.isnan(x)) or x == 0) else x
+        falsy = x is None or (isinstance(x, float) and math.isnan(x)) or x == 0
+        r = (ordered if fallback else 0) if falsy else x
         delta = min(r, ordered) - d
         if delta > 0:
             d += delta
@@ -66,8 +67,8 @@ def _js_deliver(ordered, initial, requests):
     return out
 
 
-@pytest.mark.parametrize("seed", [3, 4, 5])
-def test_running_max_equals_reference_loop(spark, seed):
+@pytest.mark.parametrize("seed,fallback", [(3, False), (4, False), (5, True), (6, True)])
+def test_running_max_equals_reference_loop(spark, seed, fallback):
     rnd = random.Random(seed)
     rows, expect = [], {}
     seq = 0
@@ -75,7 +76,7 @@ def test_running_max_equals_reference_loop(spark, seed):
         ordered = rnd.randint(1, 20)
         initial = rnd.choice([None, 0, rnd.randint(0, 25)])
         reqs = [rnd.choice([None, math.nan, -3, 0, rnd.randint(0, 30), ordered + 5]) for _ in range(12)]
-        for r, d in zip(reqs, _js_deliver(ordered, initial, reqs)):
+        for r, d in zip(reqs, _js_deliver(ordered, initial, reqs, fallback)):
             rows.append((line, seq, float(r) if r is not None else None, float(ordered),
                          float(initial) if initial is not None else None))
             expect[seq] = d
@@ -83,7 +84,8 @@ def test_running_max_equals_reference_loop(spark, seed):
     df = spark.createDataFrame(rows, "line_id int, seq long, requested_qty double, ordered_qty double, done_qty double")
     for bucket in (None, F.floor(F.col("seq") / 50)):
         got = {r.seq: float(r.delta) for r in
-               fulfil.apply_quantity_commands(df.repartition(3), ["line_id"], ["seq"], bucket=bucket).collect()}
+               fulfil.apply_quantity_commands(df.repartition(3), ["line_id"], ["seq"], bucket=bucket,
+                                              fallback_to_need=fallback).collect()}
         assert got == {k: float(v) for k, v in expect.items()}
 
 
