@@ -15,9 +15,12 @@ __all__ = [
 # Separators and class used by the text cleaner (every Unicode
 # white space, since Java's \s misses U+00A0 and friends).
 _WS = r"[\s\p{Z}\x{FEFF}]+"
-# A JavaScript Number() literal that Spark's cast would also accept: decimal
-# with optional exponent; surrounding white space is allowed.
+# JavaScript Number() literals: decimal with optional exponent, radix forms
+# without a sign, and (signed) Infinity; surrounding white space is allowed.
 _NUMERIC = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+_RADIX = {"x": (r"^\s*0[xX]([0-9a-fA-F]+)\s*$", 16), "b": (r"^\s*0[bB]([01]+)\s*$", 2),
+          "o": (r"^\s*0[oO]([0-7]+)\s*$", 8)}
+_INFINITY = r"^\s*([+-]?)Infinity\s*$"
 
 
 def _col(c) -> Column:
@@ -47,8 +50,16 @@ def coerce_value(key, value) -> Column:
     key contains 'date' or is password / email; else the text itself.
     """
     k, v = _col(key), _col(value)
-    numeric_ok = (v.rlike(_NUMERIC) & ~F.coalesce(k.contains("date"), F.lit(False))
+    looks_numeric = v.rlike(_NUMERIC) | v.rlike(_INFINITY)
+    for pattern, _ in _RADIX.values():
+        looks_numeric = looks_numeric | v.rlike(pattern)
+    numeric_ok = (looks_numeric & ~F.coalesce(k.contains("date"), F.lit(False))
                   & ~k.isin("password", "email"))
+    number = F.when(v.rlike(_NUMERIC), F.trim(v).try_cast("double"))
+    for pattern, base in _RADIX.values():
+        number = number.when(v.rlike(pattern), F.conv(F.regexp_extract(v, pattern, 1), base, 10).try_cast("double"))
+    number = number.when(v.rlike(_INFINITY), F.when(F.regexp_extract(v, _INFINITY, 1) == "-", F.lit(float("-inf")))
+                         .otherwise(F.lit(float("inf"))))
     kind = (F.when(v.isNull() | (v == ""), "null")
              .when(v.isin("true", "false"), "boolean")
              .when(numeric_ok, "number")
@@ -56,7 +67,7 @@ def coerce_value(key, value) -> Column:
     return F.struct(
         kind.alias("kind"),
         F.when(kind == "text", v).alias("text"),
-        F.when(kind == "number", F.trim(v).try_cast("double")).alias("number"),
+        F.when(kind == "number", number).alias("number"),
         F.when(kind == "boolean", v == "true").alias("flag"))
 
 

@@ -160,3 +160,18 @@ def test_stream_resumes_without_double_counting(spark, tmp_path):
     batch = {r.product_id: r.s for r in m.stock_movement.groupBy("product_id")
              .agg(F.sum("movement_qty").alias("s")).collect()}
     assert {k: float(v) for k, v in first.items()} == {k: float(v) for k, v in batch.items()}
+
+
+def test_coerce_value_like_javascript_number(spark):
+    from stockflow.functions.scalars import coerce_value
+    vals = [("qty", "12"), ("qty", " 1e3 "), ("qty", ".5"), ("qty", "0x1F"), ("qty", "0b101"), ("qty", "0o17"),
+            ("qty", "-Infinity"), ("qty", "12d"), ("qty", "-0x1F"), ("qty", ""), ("qty", "true"),
+            ("due_date", "2024"), ("email", "5"), ("note", "abc")]
+    df = spark.createDataFrame(vals, "k string, v string")
+    got = [(r.c.kind, r.c.number, r.c.text, r.c.flag) for r in
+           df.select(coerce_value("k", "v").alias("c")).collect()]
+    assert got == [("number", 12.0, None, None), ("number", 1000.0, None, None), ("number", 0.5, None, None),
+                   ("number", 31.0, None, None), ("number", 5.0, None, None), ("number", 15.0, None, None),
+                   ("number", float("-inf"), None, None), ("text", None, "12d", None), ("text", None, "-0x1F", None),
+                   ("null", None, None, None), ("boolean", None, None, True), ("text", None, "2024", None),
+                   ("text", None, "5", None), ("text", None, "abc", None)]
