@@ -110,3 +110,13 @@ def test_nested_sales_summary_and_completion(seed):
     assert got == {1: ("Sales One", [D("17000.00")]), 2: ("Sales One", [D("7200.00")])}
     st = as_map(fulfil.completion_status(s["purchase_orders"], s["purchase_lines"], "purchase"), "order_id", "status")
     assert st == {1: "Partially Received", 2: "Partially Received"}
+
+
+def test_line_text_over_nested_lines(seed):
+    from stockflow.operators.search import line_text
+    s = seed
+    r = stock.reserved_all(s["sales_orders"], s["sales_lines"], s["manufacturing_orders"], mo_components(s))
+    pos = stock.stock_position(s["products"], r)
+    doc = summaries.sales_order_summary(s["sales_orders"], s["sales_lines"], s["products"], s["users"], pos, flat=False)
+    got = {x.id: x.t for x in doc.select("id", line_text("lines").alias("t")).collect()}
+    assert got == {1: "Product 1 2.000 Available", 2: "Product 2 6.000 Available"}
