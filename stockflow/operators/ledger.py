@@ -17,16 +17,20 @@ from stockflow.types import QTY_SUM
 
 
 def ledger(movements: DataFrame, opening: DataFrame, order: Sequence[str],
-           bucket: Column | None = None) -> DataFrame:
+           bucket: Column | str | None = None) -> DataFrame:
     """Each movement with resulting_on_hand = opening + running sum of
     movements up to and including it, per product in ``order``.
 
     The opening balance enters the scan as one leading row per product (all
     order columns null, which sorts first), so the movements are never
     joined to the products: one shuffle by product (and bucket). With
-    ``bucket`` a hot product is split across tasks (see operators.scan).
+    ``bucket`` (a Column, or "auto") a hot product is split across tasks
+    (see operators.scan).
     """
     order = list(order)
+    if isinstance(bucket, str):  # "auto": sized from the movements (see scan.auto_bucket)
+        from stockflow.operators.scan import auto_bucket
+        bucket = auto_bucket(movements, ["product_id"], order[0]) if bucket == "auto" else None
     cols = movements.columns
     open_rows = opening.select(
         "product_id", F.col("on_hand_qty").alias("movement_qty"),

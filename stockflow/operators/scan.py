@@ -36,15 +36,51 @@ def _combine(op: str, offset: Column, inner: Column) -> Column:
     raise ValueError(op)
 
 
+def _as_number(c: Column, dtype) -> Column:
+    from pyspark.sql import types as T
+    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(c.cast("timestamp")) if isinstance(dtype, T.TimestampNTZType) else F.unix_micros(c)
+    if isinstance(dtype, T.DateType):
+        return F.unix_date(c).cast("long")
+    return c.cast("long")
+
+
+def auto_bucket(df: DataFrame, keys: Sequence[str], order_col: str,
+                target_rows: int = 2_000_000, headroom: int = 4) -> Column | None:
+    """A bucket column sized from the data, or None when no key is hot.
+
+    One aggregate (per-key count and order range, then the hottest key) is
+    run; if the hottest key has at most ``target_rows`` rows the plain
+    window is used. Otherwise its order range is cut into equal-width
+    buckets, ``headroom`` times more than needed, so that even an uneven
+    spread inside the range leaves buckets near the target size.
+    """
+    dtype = df.schema[order_col].dataType
+    num = _as_number(F.col(order_col), dtype)
+    top = (df.groupBy(*keys).agg(F.count("*").alias("n"), F.min(num).alias("lo"), F.max(num).alias("hi"))
+           .orderBy(F.col("n").desc()).limit(1).first())
+    if top is None or top.n <= target_rows or top.lo is None:
+        return None
+    n_buckets = -(-top.n // target_rows) * headroom
+    width = max(1, -(-(top.hi - top.lo + 1) // n_buckets))
+    return F.floor((num - F.lit(top.lo)) / F.lit(width))
+
+
 def prefix_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column | str,
                 op: str, out: str, inclusive: bool = True,
-                bucket: Column | None = None) -> DataFrame:
+                bucket: Column | str | None = None, target_rows: int = 2_000_000) -> DataFrame:
     """Add column ``out`` = op over rows of the same key up to this row.
 
     ``inclusive=False`` excludes the row itself (a 'before' value). ``last``
     returns the last non-null value in order. Nulls are skipped by every op;
-    no rows -> null.
+    no rows -> null. ``bucket="auto"`` sizes buckets from the data on the
+    first order column (see ``auto_bucket``); it must be numeric, a date or a
+    timestamp.
     """
+    if isinstance(bucket, str):
+        if bucket != "auto":
+            raise ValueError(f"bucket must be a Column, None or 'auto', not {bucket!r}")
+        bucket = auto_bucket(df, keys, list(order)[0], target_rows)
     keys, order = list(keys), list(order)
     val = F.col(value) if isinstance(value, str) else value
     frame_end = Window.currentRow if inclusive else -1

@@ -124,7 +124,7 @@ def stock_overview(products: DataFrame, orders: DataFrame, lines: DataFrame) ->
 
 
 def shortages(orders: DataFrame, lines: DataFrame, products: DataFrame,
-              bucket_days: int | None = None) -> DataFrame:
+              bucket_days: int | str | None = None) -> DataFrame:
     """K1: shortage per open sales line, served in order of (creation_date,
     order id, line_seq) within each product.
 
@@ -137,8 +137,11 @@ def shortages(orders: DataFrame, lines: DataFrame, products: DataFrame,
     ln = (lines.join(o, "order_id")
           .select("order_id", "line_seq", "product_id", "creation_date",
                   _outstanding("ordered_qty", "done_qty").alias("outstanding_qty")))
-    bucket = (F.floor(F.datediff("creation_date", F.lit("1970-01-01")) / bucket_days)
-              if bucket_days else None)
+    if bucket_days == "auto":
+        bucket = "auto"
+    else:
+        bucket = (F.floor(F.datediff("creation_date", F.lit("1970-01-01")) / bucket_days)
+                  if bucket_days else None)
     cum = prefix_scan(ln, ["product_id"], ["creation_date", "order_id", "line_seq"],
                       unscaled("outstanding_qty"), "sum", "cum_outstanding", bucket=bucket)
     cum = cum.withColumn("cum_outstanding", rescale("cum_outstanding", 3, QTY_SUM))

@@ -187,3 +187,25 @@ def test_request_status_small(spark):
     out = fulfil.fulfil_sales(spark.createDataFrame([(1,)], "id int"), lines, cmds, ["t"])
     got = sorted((r.t, r.new_value) for r in out["audit"].collect())
     assert got == [(10, "Partially Delivered"), (20, "Fully Delivered")]
+
+
+def test_auto_bucket_splits_only_hot_keys(spark):
+    from stockflow.operators.scan import auto_bucket
+    df = spark.range(20000).select(F.when(F.col("id") % 5 < 2, F.lit(0)).otherwise(F.col("id") % 97).alias("k"),
+                                   F.col("id").alias("seq"), F.lit(1).alias("v"))
+    assert auto_bucket(df, ["k"], "seq", target_rows=100_000) is None
+    assert auto_bucket(df, ["k"], "seq", target_rows=1000) is not None
+    plain = {r.seq: r.run for r in prefix_scan(df, ["k"], ["seq"], "v", "sum", "run").collect()}
+    auto = {r.seq: r.run for r in prefix_scan(df, ["k"], ["seq"], "v", "sum", "run", bucket="auto",
+                                              target_rows=1000).collect()}
+    assert plain == auto
+
+
+def test_auto_bucket_on_timestamps(spark):
+    import datetime as dt
+    rows = [(i % 3, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=7 * i), 1) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k int, ts timestamp_ntz, v int")
+    plain = {(r.k, r.ts): r.run for r in prefix_scan(df, ["k"], ["ts"], "v", "sum", "run").collect()}
+    auto = {(r.k, r.ts): r.run for r in prefix_scan(df, ["k"], ["ts"], "v", "sum", "run", bucket="auto",
+                                                    target_rows=100).collect()}
+    assert plain == auto
