@@ -120,3 +120,22 @@ def test_line_text_over_nested_lines(seed):
     doc = summaries.sales_order_summary(s["sales_orders"], s["sales_lines"], s["products"], s["users"], pos, flat=False)
     got = {x.id: x.t for x in doc.select("id", line_text("lines").alias("t")).collect()}
     assert got == {1: "Product 1 2.000 Available", 2: "Product 2 6.000 Available"}
+
+
+def test_summary_views_for_sql(spark, seed):
+    from stockflow.plans.views import register_views
+    s = seed
+    t = {"products": s["products"], "sales_orders": s["sales_orders"], "sales_lines": s["sales_lines"],
+         "purchase_orders": s["purchase_orders"], "purchase_lines": s["purchase_lines"],
+         "manufacturing_orders": s["manufacturing_orders"], "bom_components": s["bom_components"],
+         "bom_operations": s["bom_operations"], "boms": s["boms"], "users": s["users"]}
+    names = register_views(spark, t, str(SEED_DATE), 2)
+    assert "sales_order_summary" in names
+    r = spark.sql("select id, size(lines) as n, aggregate(lines, cast(0 as decimal(20,2)), (a, l) -> "
+                  "cast(a + l.total as decimal(20,2))) as total from sales_order_summary order by id").collect()
+    assert [(x.id, x.n, x.total) for x in r] == [(1, 1, D("17000.00")), (2, 1, D("7200.00"))]
+    free = spark.sql("select free_qty from stock_position where product_id = 7").first().free_qty
+    assert free == 1900
+    mo = spark.sql("select id, size(components) as c, size(operations) as o from manufacturing_order_summary "
+                   "order by id").collect()
+    assert [(x.id, x.c, x.o) for x in mo] == [(1, 3, 3), (2, 3, 3)]
