@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stockflow.functions.scalars import reference_code
+from stockflow.functions.scalars import exact_sum, reference_code
 from stockflow.operators.bom import instantiate_components
 from stockflow.types import QTY_SUM
 
@@ -28,7 +28,7 @@ def procurement_plan(shortages: DataFrame, products: DataFrame, bom_components:
     p = products.filter(F.coalesce(F.col("procure_on_demand"), F.lit(False))).select(
         "product_id", "procurement_type", "vendor_id", "bom_id")
     need = (shortages.filter(F.col("short_qty") > 0)
-            .groupBy("order_id", "product_id").agg(F.sum("short_qty").cast(QTY_SUM).alias("quantity"))
+            .groupBy("order_id", "product_id").agg(exact_sum("short_qty", 3, QTY_SUM).alias("quantity"))
             .join(p, "product_id"))
     note = reference_code(order_prefix, F.col("order_id") + 1)
     po_lines = (need.filter(F.col("procurement_type") == "Purchase")

@@ -17,6 +17,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stockflow.functions.scalars import exact_sum
 from stockflow.session import checkpoint_dir
 from stockflow.types import QTY_SUM
 
@@ -38,7 +39,7 @@ def stream_net_movements(movements: DataFrame) -> DataFrame:
     the stream: the state is one row per product and each micro-batch only
     reads its new files."""
     return (movements.groupBy("product_id")
-            .agg(F.sum("movement_qty").cast(QTY_SUM).alias("net_qty")))
+            .agg(exact_sum("movement_qty", 3, QTY_SUM).alias("net_qty")))
 
 
 def on_hand_from_net(net: DataFrame, opening: DataFrame) -> DataFrame:
