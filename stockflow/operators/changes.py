@@ -303,3 +303,10 @@ def feed_audit_rows(feed: DataFrame, key: str, module: str, record_type: str, la
         null_to_empty(F.when(op == "delete", F.col("_prev_label.v"))).alias("old_value"),
         null_to_empty(F.when(op == "create", F.col("_label"))
                       .when(op == "update", F.lit(updated_text))).alias("new_value"))
+
+
+def patch_rejects(base: DataFrame, patches: DataFrame, key: str) -> DataFrame:
+    """E7a/E7b rejects: patches for a key that is not in ``base`` (the
+    reference answers 404 and changes nothing). One anti join."""
+    return (patches.join(base.select(key), key, "left_anti")
+            .select(key, "seq", F.lit("not found").alias("error")))

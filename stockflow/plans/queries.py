@@ -1352,3 +1352,11 @@ def q_fulfil_ledger(m: Model):
     out = fulfil.fulfil_sales(m.sales_order, m.sales_line, deliver_command(m), ["cmd_time"],
                               opening=m.product.select("product_id", "on_hand_qty"))
     return out["ledger"]
+
+
+@query("patch_rejects", sql="""
+select user_id as product_id, event_id as seq, 'not found' as error from events e
+where not exists (select 1 from product p where p.product_id = e.user_id)""")
+def q_patch_rejects(m: Model):
+    """Product edits for products that do not exist."""
+    return changes.patch_rejects(m.product.select("product_id"), product_patch(m), "product_id")

@@ -73,3 +73,11 @@ def test_permission_matrix_audit_delete_none(spark):
     got = {r.module: (r.can_view, r.can_delete) for r in access.permission_matrix(allowed).collect()}
     assert got["Sales"] == ("Full", "Limited") and got["Audit"] == ("Full", "None")
     assert got["BoM"] == ("None", "None") and len(got) == 7
+
+
+def test_patch_rejects_unknown_keys(spark):
+    base = spark.createDataFrame([(1, "a")], "id long, name string")
+    patches = spark.createDataFrame([(1, 1, {"name": "b"}), (2, 2, {"name": "c"})],
+                                    "id long, seq long, patch map<string,string>")
+    assert [(r.id, r.seq) for r in changes.patch_rejects(base, patches, "id").collect()] == [(2, 2)]
+    assert [r.name for r in changes.overlay_patch(base, patches, "id").collect()] == ["b"]
