@@ -5,8 +5,11 @@ single row (I2), so no watermark is needed. Output goes through
 ``foreachBatch`` in update mode: each micro-batch appends only the rows
 whose aggregate changed, tagged with the batch id, to a parquet table in
 the shared checkpoint folder. Readers take the latest row per key. The
-stream's own checkpoint lives next to it, so a restarted query resumes
-exactly once from the last committed batch.
+stream's own checkpoint lives next to it, so a restarted query resumes from
+the last committed batch. A batch that was written but not committed is
+replayed with the same batch id and the same rows. Since readers take the
+latest batch per key, the results stay exactly-once even though such a
+replay can leave duplicate files.
 """
 
 from __future__ import annotations
