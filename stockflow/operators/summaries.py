@@ -49,6 +49,17 @@ def collect_present(df: DataFrame, key: str, fields: Sequence[Column | str], out
             .agg(F.sort_array(F.collect_list(F.when(F.col(present).isNotNull(), s))).alias(out)))
 
 
+def collect_distinct(df: DataFrame, key: str, fields: Sequence[Column | str], out: str,
+                     limit: int = MAX_NESTED_CHILDREN) -> DataFrame:
+    """Per key, the sorted array of distinct child structs (the
+    reference's json_agg(distinct ...)). Duplicates are dropped during the
+    partial aggregation, so the group holds distinct values only; checked
+    with ``check_group_size`` first."""
+    check_group_size(df, key, limit)
+    s = F.struct(*[F.col(f) if isinstance(f, str) else f for f in fields])
+    return df.groupBy(key).agg(F.sort_array(F.collect_set(s)).alias(out))
+
+
 def attach_children(headers: DataFrame, key: str, children: DataFrame, child_key: str,
                     out: str, fields: Sequence[str], flat: bool) -> DataFrame:
     """C11: left join headers onto their children (flat) or onto the child

@@ -139,3 +139,10 @@ def test_summary_views_for_sql(spark, seed):
     mo = spark.sql("select id, size(components) as c, size(operations) as o from manufacturing_order_summary "
                    "order by id").collect()
     assert [(x.id, x.c, x.o) for x in mo] == [(1, 3, 3), (2, 3, 3)]
+
+
+def test_collect_distinct_undoes_fan_out(spark, seed):
+    s = seed
+    fanned = s["bom_components"].join(s["bom_operations"], "bom_id")  # 3 x 3 rows per BoM
+    got = summaries.collect_distinct(fanned, "bom_id", ["component_product_id", "to_consume_qty"], "c").collect()
+    assert {r.bom_id: len(r.c) for r in got} == {1: 3, 2: 3}
