@@ -132,3 +132,9 @@ def flatten(df: DataFrame, array_col: str, keep: list[str] | None = None) -> Dat
     empty array produce none)."""
     keep = keep if keep is not None else [c for c in df.columns if c != array_col]
     return df.select(*keep, F.explode(array_col).alias("_e")).select(*keep, "_e.*")
+
+
+def line_totals(lines: DataFrame, price: str, rule: str = "view") -> DataFrame:
+    """D19 per line: adds ``total`` by the booked or view rule (see
+    ``line_total``); ``order_totals`` sums it per order."""
+    return lines.withColumn("total", line_total(price, "ordered_qty", "done_qty", rule))

@@ -175,3 +175,12 @@ def test_coerce_value_like_javascript_number(spark):
                    ("number", float("-inf"), None, None), ("text", None, "12d", None), ("text", None, "-0x1F", None),
                    ("null", None, None, None), ("boolean", None, None, True), ("text", None, "2024", None),
                    ("text", None, "5", None), ("text", None, "abc", None)]
+
+
+def test_setops(spark):
+    from stockflow.operators import setops
+    a = spark.createDataFrame([(1, "x"), (2, "y")], "id long, v string")
+    b = spark.createDataFrame([(2, "z"), (3, "w")], "id long, v string")
+    assert [r.id for r in setops.sort_by(setops.union_all(a, b)).collect()] == [3, 2, 2, 1]
+    assert sorted((r.id, r.v) for r in setops.replace_rows(a, b, "id").collect()) == [(1, "x"), (2, "z"), (3, "w")]
+    assert sorted(r.v for r in setops.distinct_values(setops.append_rows(a, b), "v").collect()) == ["w", "x", "y", "z"]
