@@ -12,7 +12,7 @@ def one(spark, expr, schema="x string", row=(None,)):
 
 
 def test_clean_text(spark):
-    assert one(spark, S.clean_text("x"), row=("  a <b>\tc  d\n ",)) == "a bc d"
+    assert one(spark, S.clean_text("x"), row=("  a <b>\tc  d\n ",)) == "a b c d"
     assert one(spark, S.clean_text("x", 3), row=("abcdef",)) == "abc"
     assert one(spark, S.clean_text("x")) == ""
 
