@@ -310,3 +310,33 @@ def patch_rejects(base: DataFrame, patches: DataFrame, key: str) -> DataFrame:
     reference answers 404 and changes nothing). One anti join."""
     return (patches.join(base.select(key), key, "left_anti")
             .select(key, "seq", F.lit("not found").alias("error")))
+
+
+def number_within(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "row_number",
+                  num_partitions: int | None = None) -> DataFrame:
+    """row_number() over (partition by keys order by order), where no task
+    has to hold a whole key.
+
+    Range-partition on (keys, order) and sort inside partitions, then
+    checkpoint, so positions are stable if an executor is lost. A hot key
+    then spans several partitions. Per (partition, key), take the first
+    position and the count: one row per piece of a key. Add prefix offsets
+    over the pieces of each key, which are at most one per partition. The
+    number is offset + position - first + 1. The order must be total
+    within a key (ties get distinct, arbitrary numbers, as with row_number).
+    """
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys, cols = list(keys), list(keys) + list(order)
+    ranged = df.repartitionByRange(n, *cols).sortWithinPartitions(*cols).checkpoint(eager=True)
+    tagged = (ranged.withColumn("_pid", F.spark_partition_id())
+              .withColumn("_pos", F.monotonically_increasing_id()))
+    pieces = tagged.groupBy("_pid", *keys).agg(F.min("_pos").alias("_first"), F.count("*").alias("_n"))
+    w = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = pieces.select(F.col("_pid").alias("_p_pid"), *[F.col(k).alias(f"_p_{k}") for k in keys],
+                           "_first", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
+    cond = [tagged["_pid"] == pieces["_p_pid"]] + [tagged[k].eqNullSafe(pieces[f"_p_{k}"]) for k in keys]
+    return (tagged.join(pieces, cond)
+            .withColumn(out, (F.col("_off") + F.col("_pos") - F.col("_first") + 1).cast("bigint"))
+            .drop("_pid", "_pos", "_first", "_off", "_p_pid", *[f"_p_{k}" for k in keys]))

@@ -209,3 +209,16 @@ def test_auto_bucket_on_timestamps(spark):
     auto = {(r.k, r.ts): r.run for r in prefix_scan(df, ["k"], ["ts"], "v", "sum", "run", bucket="auto",
                                                     target_rows=100).collect()}
     assert plain == auto
+
+
+@pytest.mark.parametrize("parts", [1, 4, 9])
+def test_number_within_equals_row_number(spark, parts):
+    from pyspark.sql import Window
+    from stockflow.operators.changes import number_within
+    df = spark.range(5000).select(
+        F.when(F.col("id") % 3 == 0, F.lit(None)).when(F.col("id") % 5 < 3, F.lit(1)).otherwise(F.col("id") % 11)
+        .alias("k"), ((F.col("id") * 7919) % 5003).alias("o"))
+    expect = df.withColumn("rn", F.row_number().over(Window.partitionBy("k").orderBy("o")))
+    got = number_within(df, ["k"], ["o"], "rn", num_partitions=parts)
+    assert got.select("k", "o", "rn").exceptAll(expect.select("k", "o", "rn")).count() == 0
+    assert got.count() == 5000
