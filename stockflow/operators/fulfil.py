@@ -125,14 +125,101 @@ def request_status(lines: DataFrame, applied: DataFrame, request: Sequence[str],
                     F.when(left <= 0, F.lit(f"Fully {word}")).otherwise(F.lit(f"Partially {word}")).alias("status")))
 
 
+class FulfilResult:
+    """Outputs of ``fulfil_sales``, each built on first access (so asking
+    for ``status`` alone runs none of the ordered scans). Dict-style access
+    (``result["status"]``) works too."""
+
+    _NAMES = ("lines", "movements", "status", "audit", "ledger", "rejects")
+
+    def __init__(self, orders, lines, commands, order, bucket, opening):
+        self._orders, self._lines, self._commands = orders, lines, commands
+        self._order, self._bucket, self._opening = list(order), bucket, opening
+        self._keys = ["order_id", "line_seq"]
+        self._cache: dict[str, DataFrame] = {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._NAMES:
+            raise KeyError(name)
+        if name not in self._cache:
+            self._cache[name] = getattr(self, f"_build_{name}")()
+        return self._cache[name]
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name.startswith("_") or name not in self._NAMES:
+            raise AttributeError(name)
+        return self[name]
+
+    def keys(self):
+        return [n for n in self._NAMES if n != "ledger" or self._opening is not None]
+
+    def _extra_order(self) -> list[str]:
+        return [c for c in self._order if c not in self._keys]
+
+    def _targets(self) -> DataFrame:
+        return self._lines.select(*self._keys, "product_id", "ordered_qty", "done_qty")
+
+    def _applied(self) -> DataFrame:
+        if "_applied" not in self._cache:
+            found = self._commands.join(self._targets(), self._keys)
+            self._cache["_applied"] = apply_quantity_commands(found, self._keys, self._order, bucket=self._bucket)
+        return self._cache["_applied"]
+
+    def _build_rejects(self) -> DataFrame:
+        return self._commands.join(self._targets().select(*self._keys), self._keys, "left_anti")
+
+    def _build_movements(self) -> DataFrame:
+        return (self._applied().filter(F.col("delta") > 0)
+                .select(*self._keys, "product_id", *self._extra_order(),
+                        (-F.col("delta")).cast(QTY_SUM).alias("movement_qty")))
+
+    def _per_line(self) -> DataFrame:
+        keys = self._keys
+        cmd = self._commands.select(*keys, "requested_qty", F.lit(True).alias("_cmd"))
+        need = F.coalesce(F.col("ordered_qty"), F.lit(0))
+        capped = F.when(F.col("_cmd"), F.least(_request("requested_qty", need, False), need))
+        per_line = (self._lines.join(cmd, keys, "left").groupBy(*keys)
+                    .agg(F.first("product_id").alias("product_id"), F.first("ordered_qty").alias("ordered_qty"),
+                         F.first("done_qty").alias("_done"), F.max(capped).alias("_max"),
+                         F.count("_cmd").alias("_n_cmd")))
+        after = F.when(F.col("_max").isNull(), F.col("_done")).otherwise(
+            F.greatest(F.coalesce(F.col("_done"), F.lit(0)), F.col("_max")))
+        return per_line.select(*keys, "product_id", "ordered_qty", after.cast(QTY_SUM).alias("done_qty"),
+                               "_n_cmd")
+
+    def _build_lines(self) -> DataFrame:
+        return self._per_line().drop("_n_cmd")
+
+    def _build_status(self) -> DataFrame:
+        return (self._per_line().groupBy("order_id")
+                .agg(F.every(F.coalesce(F.col("done_qty"), F.lit(0)) >= F.col("ordered_qty")).alias("_all"),
+                     F.sum("_n_cmd").alias("_n"))
+                .filter(F.col("_n") > 0)
+                .select("order_id", F.when(F.col("_all"), F.lit("Fully Delivered"))
+                        .otherwise(F.lit("Partially Delivered")).alias("status")))
+
+    def _build_audit(self) -> DataFrame:
+        req = request_status(self._targets(), self._applied(), self._extra_order(), "sales", self._bucket)
+        return req.select("order_id", *self._extra_order(),
+                          F.lit("Sales").alias("module"), F.lit("SalesOrder").alias("record_type"),
+                          F.lit("Updated").alias("action"), F.lit("status").alias("field_changed"),
+                          F.lit("").alias("old_value"), F.col("status").alias("new_value"))
+
+    def _build_ledger(self) -> DataFrame:
+        if self._opening is None:
+            raise KeyError("ledger needs opening balances")
+        from stockflow.operators.ledger import ledger
+        return ledger(self["movements"], self._opening, self._order + self._keys, bucket=self._bucket)
+
+
 def fulfil_sales(orders: DataFrame, lines: DataFrame, commands: DataFrame,
-                 order: Sequence[str], bucket: Column | None = None,
-                 opening: DataFrame | None = None) -> dict[str, DataFrame]:
+                 order: Sequence[str], bucket: Column | str | None = None,
+                 opening: DataFrame | None = None) -> FulfilResult:
     """Deliver commands on sales lines.
 
     commands(order_id, line_seq, requested_qty, <order columns>) against
-    lines(order_id, line_seq, product_id, ordered_qty, done_qty). Returns
-    lazy frames (each is computed only when used):
+    lines(order_id, line_seq, product_id, ordered_qty, done_qty). Returns a
+    FulfilResult whose frames are built on first use:
 
     - movements: one negative movement per command that raised delivered
       (ordered prefix max per line, bucketed for hot lines);
@@ -147,45 +234,11 @@ def fulfil_sales(orders: DataFrame, lines: DataFrame, commands: DataFrame,
     The final line state needs no ordering: delivered after = greatest(
     initial, max over the line's commands of least(request, ordered)), so
     lines and status are two aggregates (partial aggregation handles hot
-    lines and orders) over lines left-joined to their commands.
+    lines and orders) over lines left-joined to their commands. ``bucket``
+    (a Column, or "auto") splits hot lines, orders and products in the
+    ordered scans.
     """
-    keys = ["order_id", "line_seq"]
-    tl = lines.select(*keys, "product_id", "ordered_qty", "done_qty")
-    found = commands.join(tl, keys)
-    rejects = commands.join(tl.select(*keys), keys, "left_anti")
-    applied = apply_quantity_commands(found, keys, order, bucket=bucket)
-    movements = (applied.filter(F.col("delta") > 0)
-                 .select(*keys, "product_id", *[c for c in order if c not in keys],
-                         (-F.col("delta")).cast(QTY_SUM).alias("movement_qty")))
-
-    cmd = commands.select(*keys, "requested_qty", F.lit(True).alias("_cmd"))
-    need = F.coalesce(F.col("ordered_qty"), F.lit(0))
-    capped = F.when(F.col("_cmd"), F.least(_request("requested_qty", need, False), need))
-    per_line = (lines.join(cmd, keys, "left").groupBy(*keys)
-                .agg(F.first("product_id").alias("product_id"), F.first("ordered_qty").alias("ordered_qty"),
-                     F.first("done_qty").alias("_done"), F.max(capped).alias("_max"),
-                     F.count("_cmd").alias("_n_cmd")))
-    after = F.when(F.col("_max").isNull(), F.col("_done")).otherwise(
-        F.greatest(F.coalesce(F.col("_done"), F.lit(0)), F.col("_max")))
-    lines_after = per_line.select(*keys, "product_id", "ordered_qty", after.cast(QTY_SUM).alias("done_qty"),
-                                  "_n_cmd")
-    status = (lines_after.groupBy("order_id")
-              .agg(F.every(F.coalesce(F.col("done_qty"), F.lit(0)) >= F.col("ordered_qty")).alias("_all"),
-                   F.sum("_n_cmd").alias("_n"))
-              .filter(F.col("_n") > 0)
-              .select("order_id", F.when(F.col("_all"), F.lit("Fully Delivered"))
-                      .otherwise(F.lit("Partially Delivered")).alias("status")))
-    req = request_status(tl, applied, [c for c in order if c not in keys], "sales", bucket)
-    audit = req.select("order_id", *[c for c in order if c not in keys],
-                       F.lit("Sales").alias("module"), F.lit("SalesOrder").alias("record_type"),
-                       F.lit("Updated").alias("action"), F.lit("status").alias("field_changed"),
-                       F.lit("").alias("old_value"), F.col("status").alias("new_value"))
-    out = {"lines": lines_after.drop("_n_cmd"), "movements": movements, "status": status,
-           "audit": audit, "rejects": rejects}
-    if opening is not None:
-        from stockflow.operators.ledger import ledger
-        out["ledger"] = ledger(movements, opening, list(order) + keys)
-    return out
+    return FulfilResult(orders, lines, commands, order, bucket, opening)
 
 
 # E6 under the inventory's name.

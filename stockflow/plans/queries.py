@@ -626,7 +626,7 @@ select order_id, line_seq, product_id, cmd_time, cast(-(after_qty - before_qty)
 from steps where after_qty > before_qty""")
 def q_fulfil_movements(m: Model):
     """Stock movements from delivering open sales lines shipped before the as-of date."""
-    out = fulfil.fulfil_sales(m.sales_order, m.sales_line, deliver_command(m), ["cmd_time"])
+    out = fulfil.fulfil_sales(m.sales_order, m.sales_line, deliver_command(m), ["cmd_time"], bucket="auto")
     return out["movements"]
 
 
@@ -641,7 +641,7 @@ where o.id in (select order_id from deliver_command)
 group by o.id""")
 def q_fulfil_order_status(m: Model):
     """E6 + D13: status of every order that received delivery commands, from its lines after."""
-    out = fulfil.fulfil_sales(m.sales_order, m.sales_line, deliver_command(m), ["cmd_time"])
+    out = fulfil.fulfil_sales(m.sales_order, m.sales_line, deliver_command(m), ["cmd_time"], bucket="auto")
     return out["status"]
 
 
@@ -1337,7 +1337,7 @@ select r.order_id, r.cmd_time, 'Sales' as module, 'SalesOrder' as record_type, '
 from per_req r left join incomplete i on i.order_id = r.order_id""")
 def q_fulfil_audit_rows(m: Model):
     """E6 + E10: one audit row per deliver request with the order's status right after it."""
-    out = fulfil.fulfil_sales(m.sales_order, m.sales_line, deliver_command(m), ["cmd_time"])
+    out = fulfil.fulfil_sales(m.sales_order, m.sales_line, deliver_command(m), ["cmd_time"], bucket="auto")
     return out["audit"]
 
 
@@ -1349,7 +1349,7 @@ select s.order_id, s.line_seq, s.product_id, s.cmd_time, cast(-(s.after_qty - s.
 from steps s left join product p on p.product_id = s.product_id where s.after_qty > s.before_qty""")
 def q_fulfil_ledger(m: Model):
     """E6 + E1: the delivery movements with the running on-hand from the products' stock."""
-    out = fulfil.fulfil_sales(m.sales_order, m.sales_line, deliver_command(m), ["cmd_time"],
+    out = fulfil.fulfil_sales(m.sales_order, m.sales_line, deliver_command(m), ["cmd_time"], bucket="auto",
                               opening=m.product.select("product_id", "on_hand_qty"))
     return out["ledger"]
 
