@@ -48,16 +48,20 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables.
 
     Reads ``spark.checkpoint.dir`` from the session. Only when it is unset
-    (local tests) a fresh scratch folder is created and registered.
+    (local tests) a fresh scratch folder is created and registered. The
+    SparkContext's checkpoint folder is registered once; later calls only
+    read it.
     """
-    conf = spark.sparkContext.getConf()
-    path = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = spark.sparkContext.getCheckpointDir()
+    sc = spark.sparkContext
+    path = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        current = sc.getCheckpointDir()
+        if current:  # set directly on the context by the caller
+            return current
         path = tempfile.mkdtemp(prefix="stockflow-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(path)
     return path
 
 
