@@ -37,10 +37,21 @@ def movement_stream(lineitem_stream: DataFrame) -> DataFrame:
                     .otherwise(-F.col("done")).alias("movement_qty")))
 
 
-def stream_net_movements(movements: DataFrame) -> DataFrame:
+def stream_net_movements(movements: DataFrame, dedupe_key: str | None = None,
+                         event_time: str | None = None, retention: str = "7 days") -> DataFrame:
     """I1, streaming part: net movement per product so far. No join inside
     the stream: the state is one row per product and each micro-batch only
-    reads its new files."""
+    reads its new files.
+
+    With ``dedupe_key`` (a movement id) and ``event_time``, a movement that
+    arrives again within ``retention`` of the watermark is counted once
+    (replayed deliveries). The dedupe state is bounded by the retention.
+    Replays older than that are not caught, so the source must not replay
+    beyond it."""
+    if dedupe_key:
+        if not event_time:
+            raise ValueError("dedupe needs an event_time column for the watermark")
+        movements = movements.withWatermark(event_time, retention).dropDuplicatesWithinWatermark([dedupe_key])
     return (movements.groupBy("product_id")
             .agg(exact_sum("movement_qty", 3, QTY_SUM).alias("net_qty")))
 

@@ -184,3 +184,21 @@ def test_setops(spark):
     assert [r.id for r in setops.sort_by(setops.union_all(a, b)).collect()] == [3, 2, 2, 1]
     assert sorted((r.id, r.v) for r in setops.replace_rows(a, b, "id").collect()) == [(1, "x"), (2, "z"), (3, "w")]
     assert sorted(r.v for r in setops.distinct_values(setops.append_rows(a, b), "v").collect()) == ["w", "x", "y", "z"]
+
+
+def test_stream_dedupes_replayed_movements(spark, tmp_path):
+    import datetime as dt
+    from stockflow.streaming import streams
+    src = tmp_path / "movements"
+    schema = "movement_id long, product_id long, movement_qty decimal(14,3), ts timestamp"
+    t0 = dt.datetime(2024, 1, 1)
+    first = [(1, 7, D("-2.000"), t0), (2, 7, D("5.000"), t0), (3, 8, D("1.000"), t0)]
+    replay = [(2, 7, D("5.000"), t0), (4, 8, D("3.000"), t0 + dt.timedelta(hours=1))]
+    spark.createDataFrame(first, schema).write.parquet(str(src / "a"))
+    spark.createDataFrame(replay, schema).write.parquet(str(src / "b"))
+    stream = (spark.readStream.schema(schema).option("recursiveFileLookup", "true")
+              .option("maxFilesPerTrigger", 1).parquet(str(src)))  # one file per micro-batch
+    net = streams.stream_net_movements(stream, dedupe_key="movement_id", event_time="ts", retention="1 day")
+    path = streams.run_to_table(net, "dedupe", spark, base=str(tmp_path / "out"))
+    got = {r.product_id: r.net_qty for r in streams.latest(spark, path, ["product_id"]).collect()}
+    assert got == {7: D("3.000"), 8: D("4.000")}
