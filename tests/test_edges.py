@@ -202,3 +202,18 @@ def test_stream_dedupes_replayed_movements(spark, tmp_path):
     path = streams.run_to_table(net, "dedupe", spark, base=str(tmp_path / "out"))
     got = {r.product_id: r.net_qty for r in streams.latest(spark, path, ["product_id"]).collect()}
     assert got == {7: D("3.000"), 8: D("4.000")}
+
+
+def test_fulfil_rejects_and_lines_after(spark):
+    lines = spark.createDataFrame([(1, 1, 7, D(5), D(0)), (1, 2, 8, D(3), None)],
+                                  "order_id long, line_seq long, product_id long, ordered_qty decimal(14,3), "
+                                  "done_qty decimal(14,3)")
+    cmds = spark.createDataFrame([(1, 1, D(2), 1), (1, 1, D(9), 2), (1, 9, D(1), 3)],
+                                 "order_id long, line_seq long, requested_qty decimal(14,3), t int")
+    out = fulfil.fulfil_sales(spark.createDataFrame([(1,)], "id long"), lines, cmds, ["t"])
+    assert [(r.line_seq, r.t) for r in out["rejects"].collect()] == [(9, 3)]
+    after = {r.line_seq: r.done_qty for r in out["lines"].collect()}
+    assert after == {1: D(5), 2: None}
+    assert [r.movement_qty for r in out["movements"].orderBy("t").collect()] == [D(-2), D(-3)]
+    assert out["status"].first().status == "Partially Delivered"
+    assert sorted(out.keys()) == ["audit", "lines", "movements", "rejects", "status"]
