@@ -241,5 +241,77 @@ def fulfil_sales(orders: DataFrame, lines: DataFrame, commands: DataFrame,
     return FulfilResult(orders, lines, commands, order, bucket, opening)
 
 
+def produce_orders(mos: DataFrame, components: DataFrame, explicit: DataFrame, produce: DataFrame,
+                   bucket: Column | str | None = None,
+                   opening: DataFrame | None = None) -> dict[str, DataFrame]:
+    """E4 + E5 + E6 for manufacturing: produce requests on MOs.
+
+    components(mo_id, product_id, to_consume_qty, consumed_qty);
+    explicit(mo_id, product_id, seq, requested_qty): component lines sent
+    with a produce request (0/null = the full need);
+    produce(mo_id, seq): every produce request, with or without a list;
+    ``produce.all_components`` (boolean, default true when the column is
+    absent) marks requests sent without a component list.
+
+    A request without a list reads each component's current consumption
+    as its request: untouched components are consumed in full, partly
+    consumed ones not at all. Only the MO's first such request can
+    consume anything (after it every component's consumption is above
+    zero), so it becomes one event per component. It is never expanded
+    per request, so no request x component pairs are formed. It takes
+    effect only if no earlier event of that component was positive. That
+    is one exclusive prefix max to decide, and a second for consumed-
+    before; both are associative and bucketable.
+
+    Returns consumption (negative) and finished (positive, one per request,
+    E5) movements, their union, components after, status 'Done' for every
+    produced MO, audit rows, and the ledger when ``opening`` is given.
+    """
+    keys = ["mo_id", "product_id"]
+    comp = components.select(*keys, F.col("to_consume_qty").alias("_need"),
+                             F.coalesce(F.col("consumed_qty"), F.lit(0)).alias("_init"))
+    ex = (explicit.join(comp, keys)
+          .select(*keys, "seq", F.lit(False).alias("_synth"),
+                  F.least(_request("requested_qty", F.col("_need"), True), F.col("_need")).alias("_t"),
+                  "_need", "_init"))
+    all_flag = F.col("all_components") if "all_components" in produce.columns else F.lit(True)
+    first_all = (produce.filter(F.coalesce(all_flag, F.lit(False)))
+                 .groupBy("mo_id").agg(F.min("seq").alias("seq")))
+    synth = (first_all.join(comp, "mo_id")
+             .select(*keys, "seq", F.lit(True).alias("_synth"), F.col("_need").alias("_t"), "_need", "_init"))
+    ev = ex.unionByName(synth)
+    ev = prefix_scan(ev, keys, ["seq", "_synth"], "_t", "max", "_pt", inclusive=False, bucket=bucket)
+    eff = F.when(~F.col("_synth"), F.col("_t")).when(
+        (F.coalesce(F.col("_pt"), F.lit(0)) <= 0) & (F.col("_init") == 0), F.col("_need")).otherwise(F.lit(0))
+    ev = ev.withColumn("_eff", eff)
+    ev = prefix_scan(ev, keys, ["seq", "_synth"], "_eff", "max", "_pe", inclusive=False, bucket=bucket)
+    before = F.greatest(F.col("_init"), F.coalesce(F.col("_pe"), F.col("_init")))
+    ev = (ev.withColumn("_before", before)
+          .withColumn("_after", F.greatest(F.col("_before"), F.col("_eff")))
+          .withColumn("_delta", F.col("_after") - F.col("_before")))
+    consumption = (ev.filter(F.col("_delta") > 0)
+                   .select("mo_id", "product_id", "seq", (-F.col("_delta")).cast(QTY_SUM).alias("movement_qty")))
+    finished = finished_movements(produce.select("mo_id", "seq"), mos)
+    movements = (consumption.withColumn("kind", F.lit("consume"))
+                 .unionByName(finished.withColumn("kind", F.lit("finish"))))
+    after = ev.groupBy(*keys).agg(F.max("_after").alias("_max"))
+    comps_after = (components.join(after, keys, "left")
+                   .withColumn("consumed_qty", F.coalesce(F.col("_max"), F.coalesce(F.col("consumed_qty"), F.lit(0)))
+                               .cast(QTY_SUM)).drop("_max"))
+    produced = produce.select("mo_id").distinct()
+    status = produced.select(F.col("mo_id"), F.lit("Done").alias("status"))
+    audit = produce.select("mo_id", "seq", F.lit("Manufacturing").alias("module"),
+                           F.lit("ManufacturingOrder").alias("record_type"), F.lit("Updated").alias("action"),
+                           F.lit("status").alias("field_changed"), F.lit("").alias("old_value"),
+                           F.lit("Done").alias("new_value"))
+    out = {"consumption": consumption, "finished": finished, "movements": movements,
+           "components": comps_after, "status": status, "audit": audit}
+    if opening is not None:
+        from stockflow.operators.ledger import ledger
+        out["ledger"] = ledger(movements.select("product_id", "mo_id", "seq", "kind", "movement_qty"), opening,
+                               ["seq", "mo_id", "kind"], bucket=bucket)
+    return out
+
+
 # E6 under the inventory's name.
 fulfil = fulfil_sales

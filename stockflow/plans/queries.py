@@ -16,7 +16,8 @@ from stockflow.sources import documents
 from stockflow.streaming import streams
 from stockflow.plans.catalog import query
 from stockflow.sources.model import (AS_OF, Model, audit_stream, boms, read_stream, consume_command, deliver_command,
-                                     product_patch, receipt_command, sales_order_view, saved_permissions,
+                                     produce_requests, product_patch, receipt_command, sales_order_view,
+                                     saved_permissions,
                                      saved_users, status_command)
 
 # --------------------------------------------------------------------------
@@ -1360,3 +1361,50 @@ where not exists (select 1 from product p where p.product_id = e.user_id)""")
 def q_patch_rejects(m: Model):
     """Product edits for products that do not exist."""
     return changes.patch_rejects(m.product.select("product_id"), product_patch(m), "product_id")
+
+
+_PRODUCE_SQL = """
+with ev as (
+  select e.mo_id, e.product_id, e.seq, false as synth,
+         least(case when e.requested_qty is null or e.requested_qty = 0 then c.to_consume_qty else e.requested_qty end,
+               c.to_consume_qty) as t,
+         c.to_consume_qty as need, coalesce(c.consumed_qty, 0) as init
+  from produce_explicit e join mo_component c on c.mo_id = e.mo_id and c.product_id = e.product_id
+  union all
+  select c.mo_id, c.product_id, f.seq, true, c.to_consume_qty, c.to_consume_qty, coalesce(c.consumed_qty, 0)
+  from (select mo_id, min(seq) as seq from produce_request where all_components group by mo_id) f
+  join mo_component c on c.mo_id = f.mo_id),
+s1 as (select *, max(t) over (partition by mo_id, product_id order by seq, synth
+                              rows between unbounded preceding and 1 preceding) as pt from ev),
+s2 as (select *, case when not synth then t when coalesce(pt, 0) <= 0 and init = 0 then need else 0 end as eff from s1),
+s3 as (select *, greatest(init, coalesce(max(eff) over (partition by mo_id, product_id order by seq, synth
+                              rows between unbounded preceding and 1 preceding), init)) as before_qty from s2)
+"""
+
+
+@query("produce_movements", sql=_PRODUCE_SQL + """
+select mo_id, product_id, seq, cast(-(greatest(before_qty, eff) - before_qty) as decimal(20,3)) as movement_qty,
+       'consume' as kind
+from s3 where greatest(before_qty, eff) > before_qty
+union all
+select r.mo_id, mo.finished_product_id, r.seq, cast(mo.quantity as decimal(20,3)), 'finish'
+from produce_request r join manufacturing_order mo on mo.id = r.mo_id""")
+def q_produce_movements(m: Model):
+    """E4 + E5 + E6: produce requests on open MOs - component consumption (a list-less request consumes only
+    untouched components) and finished goods per request."""
+    comps = _mo_components(m)
+    explicit, produce = produce_requests(m, comps)
+    return fulfil.produce_orders(m.manufacturing_order, comps, explicit, produce, bucket="auto")["movements"]
+
+
+@query("produce_components_after", sql=_PRODUCE_SQL + """
+select c.mo_id, c.product_id, c.to_consume_qty,
+       cast(coalesce(a.after_qty, coalesce(c.consumed_qty, 0)) as decimal(20,3)) as consumed_qty
+from mo_component c left join (select mo_id, product_id, max(greatest(before_qty, eff)) as after_qty from s3
+                               group by mo_id, product_id) a
+  on a.mo_id = c.mo_id and a.product_id = c.product_id""")
+def q_produce_components_after(m: Model):
+    """E4 + E6: MO components with their consumption after the produce requests."""
+    comps = _mo_components(m)
+    explicit, produce = produce_requests(m, comps)
+    return fulfil.produce_orders(m.manufacturing_order, comps, explicit, produce, bucket="auto")["components"]

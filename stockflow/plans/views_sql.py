@@ -39,6 +39,8 @@ DERIVED = [
     ("sales_order_view", "select o.*, concat('SO-', lpad(cast(o.id + 1 as string), 6, '0')) as reference, c.c_name as customer_name from sales_order o left join customer c on c.c_custkey = o.o_custkey"),
     ("status_command", "select user_id as order_id, event_id as seq, case when event_type in ('view', 'signup') then 'confirm' when event_type = 'click' then 'start' when event_type = 'purchase' then 'produce' else 'cancel' end as command from events"),
     ("saved_user", "select cast(n_nationkey as bigint) as pos, n_nationkey as id, n_name as name, upper(concat(lower(n_name), '@example.test')) as email, 'Manager' as role from nation where n_regionkey = 1 union all select cast(r_regionkey + 100 as bigint), r_regionkey + 100, r_name, concat(lower(r_name), '@example.test'), 'User' from region"),
+    ("produce_explicit", "select c.mo_id, c.product_id, c.mo_id * 10 as seq, cast(floor(c.to_consume_qty / 2) as decimal(14,3)) as requested_qty from mo_component c where c.mo_id in (select id from manufacturing_order where status = 'In Progress')"),
+    ("produce_request", "select id as mo_id, id * 10 as seq, false as all_components from manufacturing_order where status = 'In Progress' union all select id, id * 10 + 1, true from manufacturing_order where status in ('Confirmed', 'In Progress')"),
     ("bom", "select bom_id as id, concat('BOM-', lpad(cast(bom_id as string), 6, '0')) as reference, product_id as finished_product_id, cast(1 as decimal(14,3)) as quantity from product where bom_id is not null"),
 ]
 

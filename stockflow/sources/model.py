@@ -388,3 +388,20 @@ def audit_stream(m: Model) -> DataFrame:
     et = F.col("event_type")
     return read_stream(m, "events").select(
         F.when(et == "signup", "Created").when(et == "error", "Deleted").otherwise("Updated").alias("action"))
+
+
+def produce_requests(m: Model, mo_components: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Produce requests on open MOs: for MOs in progress, a request with an
+    explicit list (half of each component's need, rounded down) at seq
+    10 x id; then, for every open MO, a request without a list at 10 x id
+    + 1. Returns (explicit component lines, requests)."""
+    mo = m.manufacturing_order
+    wip = mo.filter(F.col("status") == "In Progress").select(F.col("id").alias("mo_id"))
+    explicit = (mo_components.join(wip, "mo_id", "left_semi")
+                .select("mo_id", "product_id", (F.col("mo_id") * 10).alias("seq"),
+                        F.floor(F.col("to_consume_qty") / 2).cast(QTY).alias("requested_qty")))
+    open_mo = mo.filter(F.col("status").isin("Confirmed", "In Progress"))
+    with_list = wip.select("mo_id", (F.col("mo_id") * 10).alias("seq"), F.lit(False).alias("all_components"))
+    without = open_mo.select(F.col("id").alias("mo_id"), (F.col("id") * 10 + 1).alias("seq"),
+                             F.lit(True).alias("all_components"))
+    return explicit, with_list.unionByName(without)

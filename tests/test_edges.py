@@ -217,3 +217,23 @@ def test_fulfil_rejects_and_lines_after(spark):
     assert [r.movement_qty for r in out["movements"].orderBy("t").collect()] == [D(-2), D(-3)]
     assert out["status"].first().status == "Partially Delivered"
     assert sorted(out.keys()) == ["audit", "lines", "movements", "rejects", "status"]
+
+
+def test_produce_absent_list_quirk(spark):
+    """Absent list: untouched components consumed in full, partly consumed
+    ones not at all; produce twice adds finished goods twice."""
+    mos = spark.createDataFrame([(1, 50, D(2))], "id long, finished_product_id long, quantity decimal(14,3)")
+    comps = spark.createDataFrame([(1, 5, D(8), D(0)), (1, 6, D(4), D(0)), (1, 7, D(10), D(3))],
+                                  "mo_id long, product_id long, to_consume_qty decimal(14,3), consumed_qty decimal(14,3)")
+    explicit = spark.createDataFrame([(1, 6, 1, D(1))], "mo_id long, product_id long, seq long, requested_qty decimal(14,3)")
+    produce = spark.createDataFrame([(1, 1, False), (1, 2, True), (1, 3, True)],
+                                    "mo_id long, seq long, all_components boolean")
+    out = fulfil.produce_orders(mos, comps, explicit, produce)
+    cons = sorted((r.product_id, r.seq, r.movement_qty) for r in out["consumption"].collect())
+    # product 5 untouched -> all 8 at the first list-less request (seq 2); product 6 got 1 at seq 1,
+    # so the list-less request reads 1 and consumes nothing more; product 7 started at 3 -> nothing.
+    assert cons == [(5, 2, D(-8)), (6, 1, D(-1))]
+    assert sorted(r.seq for r in out["finished"].collect()) == [1, 2, 3]
+    after = {r.product_id: r.consumed_qty for r in out["components"].collect()}
+    assert after == {5: D(8), 6: D(1), 7: D(3)}
+    assert out["status"].first().status == "Done"
