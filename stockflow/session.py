@@ -52,7 +52,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     SparkContext's checkpoint folder is registered once; later calls only
     read it.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: no context; the server owns checkpointing
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path:
+            path = tempfile.mkdtemp(prefix="stockflow-ckpt-", dir="/tmp")
+            spark.conf.set("spark.checkpoint.dir", path)
+        return path
     path = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         current = sc.getCheckpointDir()

@@ -71,9 +71,12 @@ class Model:
         tag = hashlib.sha1("|".join([f"v{MODEL_VERSION}", os.path.abspath(self.sf_dir)] + stats)
                            .encode()).hexdigest()[:12]
         path = os.path.join(checkpoint_dir(self.spark), "model", tag, name)
-        jvm = self.spark._jvm
-        Path = jvm.org.apache.hadoop.fs.Path
-        fs = Path(path).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        try:
+            jvm = self.spark._jvm
+            Path = jvm.org.apache.hadoop.fs.Path
+            fs = Path(path).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        except Exception:  # no JVM handle (Spark Connect): compute instead of storing
+            return df
         if not fs.exists(Path(path + "/_SUCCESS")):
             # Write aside, then publish with one directory rename (atomic on
             # HDFS-like stores): concurrent writers never see a half table.
