@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stockflow.functions.scalars import null_to_empty, reference_code
-from stockflow.operators.scan import prefix_scan
+from stockflow.operators.scan import prefix_scan, prefix_scans
 from stockflow.session import checkpoint_dir
 
 _MIN_SEQ = -(2 ** 62)
@@ -290,10 +290,10 @@ def feed_audit_rows(feed: DataFrame, key: str, module: str, record_type: str, la
     op = F.col("op")
     write = op.isin("create", "update")
     rows = feed.select(key, "seq", "op", F.col(label_col).alias("_label"))
-    rows = prefix_scan(rows, [key], ["seq"], F.when(op.isin("create", "delete"), op), "last", "_prev_life",
-                       inclusive=False, bucket=bucket)
-    rows = prefix_scan(rows, [key], ["seq"], F.when(write, F.struct(F.col("_label").alias("v"))), "last",
-                       "_prev_label", inclusive=False, bucket=bucket)
+    rows = prefix_scans(rows, [key], ["seq"],
+                        [(F.when(op.isin("create", "delete"), op), "last", "_prev_life"),
+                         (F.when(write, F.struct(F.col("_label").alias("v"))), "last", "_prev_label")],
+                        inclusive=False, bucket=bucket)
     applied = rows.filter((op == "create") | F.coalesce(F.col("_prev_life") == "create", F.lit(False)))
     action = F.when(op == "create", "Created").when(op == "update", "Updated").otherwise("Deleted")
     return applied.select(

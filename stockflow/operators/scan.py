@@ -77,44 +77,58 @@ def prefix_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], value:
     first order column (see ``auto_bucket``); it must be numeric, a date or a
     timestamp.
     """
+    return prefix_scans(df, keys, order, [(value, op, out)], inclusive, bucket, target_rows)
+
+
+def prefix_scans(df: DataFrame, keys: Sequence[str], order: Sequence[str],
+                 specs: Sequence[tuple[Column | str, str, str]], inclusive: bool = True,
+                 bucket: Column | str | None = None, target_rows: int = 2_000_000) -> DataFrame:
+    """Several prefix values over the same key and order in one pass:
+    ``specs`` = [(value, op, out), ...]. With buckets there is still one
+    per-bucket aggregate, one offset join and one final window, however
+    many values are scanned."""
+    keys, order = list(keys), list(order)
     if isinstance(bucket, str):
         if bucket != "auto":
             raise ValueError(f"bucket must be a Column, None or 'auto', not {bucket!r}")
-        bucket = auto_bucket(df, keys, list(order)[0], target_rows)
-    keys, order = list(keys), list(order)
-    val = F.col(value) if isinstance(value, str) else value
+        bucket = auto_bucket(df, keys, order[0], target_rows)
+    vals = [(F.col(v) if isinstance(v, str) else v, op, out) for v, op, out in specs]
     frame_end = Window.currentRow if inclusive else -1
 
     def window_over(parts: list[str]):
         return (Window.partitionBy(*parts).orderBy(*order)
                 .rowsBetween(Window.unboundedPreceding, frame_end))
 
-    def over(w):
+    def over(val: Column, op: str, w):
         if op == "last":
             return F.last(val, ignorenulls=True).over(w)
         return _AGG[op](val).over(w)
 
     if bucket is None:
-        return df.withColumn(out, over(window_over(keys)))
+        w = window_over(keys)
+        return df.withColumns({out: over(val, op, w) for val, op, out in vals})
 
     b = df.withColumn("_bkt", bucket)
-    if op == "last":
-        bagg = F.max_by(val, F.when(val.isNotNull(), F.struct(*order)))
-    else:
-        bagg = _AGG[op](val)
-    per_bucket = b.groupBy(*keys, "_bkt").agg(bagg.alias("_bagg"))
+    aggs = []
+    for i, (val, op, _) in enumerate(vals):
+        if op == "last":
+            aggs.append(F.max_by(val, F.when(val.isNotNull(), F.struct(*order))).alias(f"_bagg{i}"))
+        else:
+            aggs.append(_AGG[op](val).alias(f"_bagg{i}"))
+    per_bucket = b.groupBy(*keys, "_bkt").agg(*aggs)
     wb = (Window.partitionBy(*keys).orderBy("_bkt")
           .rowsBetween(Window.unboundedPreceding, -1))
-    if op == "last":
-        prior = F.last("_bagg", ignorenulls=True).over(wb)
-    else:
-        prior = _AGG[op]("_bagg").over(wb)
+    priors = []
+    for i, (_, op, _) in enumerate(vals):
+        prior = (F.last(f"_bagg{i}", ignorenulls=True) if op == "last" else _AGG[op](f"_bagg{i}")).over(wb)
+        priors.append(prior.alias(f"_off{i}"))
     # Null-safe keys, so null keys keep their offsets as in the plain window
     # (Spark plans <=> as an equi-join, so this stays a hash / sort-merge join).
     offsets = per_bucket.select(*[F.col(k).alias(f"_o_{k}") for k in keys],
-                                F.col("_bkt").alias("_o_bkt"), prior.alias("_off"))
+                                F.col("_bkt").alias("_o_bkt"), *priors)
     cond = [b[k].eqNullSafe(offsets[f"_o_{k}"]) for k in keys] + [b["_bkt"].eqNullSafe(offsets["_o_bkt"])]
     joined = b.join(offsets, on=cond, how="left").drop(*[f"_o_{k}" for k in keys], "_o_bkt")
-    inner = over(window_over(keys + ["_bkt"]))
-    return (joined.withColumn(out, _combine(op, F.col("_off"), inner))
-            .drop("_bkt", "_off"))
+    w = window_over(keys + ["_bkt"])
+    joined = joined.withColumns({out: _combine(op, F.col(f"_off{i}"), over(val, op, w))
+                                 for i, (val, op, out) in enumerate(vals)})
+    return joined.drop("_bkt", *[f"_off{i}" for i in range(len(vals))])
