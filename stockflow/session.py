@@ -1,8 +1,9 @@
 """SparkSession construction and the shared checkpoint folder.
 
 On a cluster the session is created by the platform and already names a
-shared ``spark.checkpoint.dir``; we only read it. Local runs (tests, bench)
-get a scratch folder under /tmp because nothing else is configured there.
+shared ``spark.checkpoint.dir``; we only read it (and refuse to run without
+it). Local runs (tests, bench) get a scratch folder under /tmp when nothing
+is configured.
 """
 
 from __future__ import annotations
@@ -57,14 +58,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     except Exception:  # Spark Connect: no context; the server owns checkpointing
         path = spark.conf.get("spark.checkpoint.dir", None)
         if not path:
-            path = tempfile.mkdtemp(prefix="stockflow-ckpt-", dir="/tmp")
-            spark.conf.set("spark.checkpoint.dir", path)
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder for this session")
         return path
     path = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         current = sc.getCheckpointDir()
         if current:  # set directly on the context by the caller
             return current
+        if not sc.master.startswith("local"):
+            # A machine-local folder would not survive executor loss on a cluster.
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder (e.g. on HDFS or object storage)")
         path = tempfile.mkdtemp(prefix="stockflow-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", path)
     if not sc.getCheckpointDir():
