@@ -44,3 +44,9 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.columns == ["product_id", "on_hand_qty", "reserved_qty", "free_qty", "open_lines", "shortage_lines"]
     assert df.count() > 0
+
+
+def test_every_query_is_documented():
+    from stockflow.plans.catalog import load_all
+    missing = [n for n, q in load_all().items() if not q.doc.strip()]
+    assert missing == []
