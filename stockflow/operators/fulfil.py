@@ -156,13 +156,27 @@ class FulfilResult:
     def _extra_order(self) -> list[str]:
         return [c for c in self._order if c not in self._keys]
 
+    def _bucket_for(self, keys: list[str]):
+        """The bucket for a scan keyed by ``keys``. With "auto" it is sized
+        from the raw commands: rows per line or requests per order are at most
+        the commands per key, so the commands give an upper bound without
+        computing the joined inputs once more."""
+        if self._bucket != "auto":
+            return self._bucket
+        name = "_bucket:" + ",".join(keys)
+        if name not in self._cache:
+            from stockflow.operators.scan import auto_bucket
+            self._cache[name] = auto_bucket(self._commands, keys, self._order[0])
+        return self._cache[name]
+
     def _targets(self) -> DataFrame:
         return self._lines.select(*self._keys, "product_id", "ordered_qty", "done_qty")
 
     def _applied(self) -> DataFrame:
         if "_applied" not in self._cache:
             found = self._commands.join(self._targets(), self._keys)
-            self._cache["_applied"] = apply_quantity_commands(found, self._keys, self._order, bucket=self._bucket)
+            self._cache["_applied"] = apply_quantity_commands(found, self._keys, self._order,
+                                                              bucket=self._bucket_for(self._keys))
         return self._cache["_applied"]
 
     def _build_rejects(self) -> DataFrame:
@@ -199,7 +213,8 @@ class FulfilResult:
                         .otherwise(F.lit("Partially Delivered")).alias("status")))
 
     def _build_audit(self) -> DataFrame:
-        req = request_status(self._targets(), self._applied(), self._extra_order(), "sales", self._bucket)
+        req = request_status(self._targets(), self._applied(), self._extra_order(), "sales",
+                             self._bucket_for(["order_id"]))
         return req.select("order_id", *self._extra_order(),
                           F.lit("Sales").alias("module"), F.lit("SalesOrder").alias("record_type"),
                           F.lit("Updated").alias("action"), F.lit("status").alias("field_changed"),

@@ -222,3 +222,15 @@ def test_number_within_equals_row_number(spark, parts):
     got = number_within(df, ["k"], ["o"], "rn", num_partitions=parts)
     assert got.select("k", "o", "rn").exceptAll(expect.select("k", "o", "rn")).count() == 0
     assert got.count() == 5000
+
+
+def test_fulfil_bucketed_equals_plain(spark):
+    from stockflow.sources.model import Model, deliver_command
+    m = Model(spark, "/root/testdata/sf0.001")
+    opening = m.product.select("product_id", "on_hand_qty")
+    plain = fulfil.fulfil_sales(m.sales_order, m.sales_line, deliver_command(m), ["cmd_time"], opening=opening)
+    split = fulfil.fulfil_sales(m.sales_order, m.sales_line, deliver_command(m), ["cmd_time"],
+                                bucket=F.date_trunc("month", "cmd_time"), opening=opening)
+    for name in ("movements", "audit", "ledger"):
+        a, b = plain[name], split[name]
+        assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0, name
