@@ -161,7 +161,7 @@ class FulfilResult:
         from the raw commands: rows per line or requests per order are at most
         the commands per key, so the commands give an upper bound without
         computing the joined inputs once more."""
-        if self._bucket != "auto":
+        if not isinstance(self._bucket, str):
             return self._bucket
         name = "_bucket:" + ",".join(keys)
         if name not in self._cache:
