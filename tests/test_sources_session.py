@@ -43,8 +43,9 @@ def test_summary_json_keeps_nulls(spark, tmp_path):
     df = spark.createDataFrame([(1, None)], "id long, note string")
     path = str(tmp_path / "docs")
     documents.write_summary_json(df, path)
-    line = next(open(os.path.join(path, f)).readline() for f in os.listdir(path) if f.endswith(".json"))
-    assert json.loads(line) == {"id": 1, "note": None}
+    lines = [ln for f in sorted(os.listdir(path)) if f.endswith(".json")
+             for ln in open(os.path.join(path, f)).read().splitlines() if ln.strip()]
+    assert [json.loads(ln) for ln in lines] == [{"id": 1, "note": None}]
 
 
 def test_auto_bucket_on_dates(spark):
