@@ -283,6 +283,11 @@ def produce_orders(mos: DataFrame, components: DataFrame, explicit: DataFrame, p
     produced MO, audit rows, and the ledger when ``opening`` is given.
     """
     keys = ["mo_id", "product_id"]
+    if isinstance(bucket, str) and bucket == "auto":
+        # Events per component are the explicit lines plus at most one
+        # synthetic event, so the explicit lines bound the hot key; size once.
+        from stockflow.operators.scan import auto_bucket
+        bucket = auto_bucket(explicit, keys, "seq")
     comp = components.select(*keys, F.col("to_consume_qty").alias("_need"),
                              F.coalesce(F.col("consumed_qty"), F.lit(0)).alias("_init"))
     ex = (explicit.join(comp, keys)
