@@ -27,86 +27,110 @@ def words_of(text: Column) -> Column:
     return split_words(ascii_lower(text), NON_WORD)
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    # Rows that share an id are told apart by their text; equal rows get equal answers.
-    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"),
-                       F.col(text_col).alias("text"))
+def tokenised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text_hash, words) per row, written once: cutting texts into
+    words costs more than all later passes over them.
+
+    Rows that share an id are told apart by their text; equal rows get equal
+    answers.
+    """
+    return store(docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"),
+                             words_of(F.col(text_col)).alias("words")), "words")
+
+
+def phrase_id(words: Column) -> Column:
+    """128-bit id of a word sequence (words hold no blanks)."""
+    return F.unhex(F.substring(F.sha2(F.array_join(words, " "), 256), 1, 32))
 
 
 def test_windows(items: DataFrame, window: int = 10, id_col: str = "item_id",
                  text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(windows, members): distinct word windows (wid, words, n) and the items
-    (wid, item_id) that hold them. An item of 1 to ``window`` - 1 words is one
-    window; an item without words, or a null one, has none."""
-    cut = items.select(F.col(id_col).alias("item_id"), let(words_of(F.col(text_col)), lambda w: F.when(
-        F.size(w) > 0,
-        F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - window + 1)),
-                    lambda i: F.slice(w, i, window)))).alias("ws"))
-    rows = cut.select("item_id", F.explode("ws").alias("words"))
-    rows = store(rows.select(F.sha2(F.array_join("words", " "), 256).alias("wid"), "item_id", "words"), "windows")
-    windows = rows.groupBy("wid").agg(F.first("words").alias("words")).withColumn("n", F.size("words"))
+    """(windows, members): the word windows (seq, at, wid, words, n) of the
+    distinct word sequences among the items, and the items (wid, item_id) that
+    hold each. ``seq`` is the sequence's id, ``at`` the window's place in it.
+
+    An item of 1 to ``window`` - 1 words is one window; an item without words,
+    or a null one, has none.
+    """
+    cut = items.select(F.col(id_col).alias("item_id"), words_of(F.col(text_col)).alias("all")).filter(F.size("all") > 0)
+    cut = cut.withColumn("seq", phrase_id(F.col("all")))
+    rows = cut.select("item_id", "seq", F.posexplode(let(F.col("all"), lambda w: F.transform(
+        F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - window + 1)), lambda i: F.slice(w, i, window)))).alias("at", "words"))
+    rows = store(rows.withColumns({"wid": phrase_id(F.col("words")), "n": F.size("words")}), "windows")
+    windows = rows.groupBy("seq", "at").agg(*[F.first(c).alias(c) for c in ("wid", "words", "n")])
     return windows, rows.select("wid", "item_id").distinct()
 
 
-def term_counts(docs: DataFrame, terms: DataFrame, text_col: str = "text") -> DataFrame:
+def term_counts(tokens: DataFrame, terms: DataFrame) -> DataFrame:
     """(term, postings): occurrences of each of ``terms`` in all texts."""
-    tokens = docs.select(F.explode(words_of(F.col(text_col))).alias("term"))
+    tokens = tokens.select(F.explode("words").alias("term"))
     return tokens.join(small(terms), "term").groupBy("term").agg(F.count("*").alias("postings"))
 
 
-def build_index(docs: DataFrame, terms: DataFrame | None = None, id_col: str = "doc_id",
-                text_col: str = "text") -> DataFrame:
-    """Positional postings (term, doc_id, text_hash, pos), written once.
+def build_index(tokens: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """Positional postings (term, doc_id, text_hash, pos) of ``tokens``
+    (see ``tokenised``), written once.
 
     ``terms``: one column ``term``; only their lists are stored. None: the
     lists of every term. Null and empty texts have no postings.
     """
-    keyed = _keyed(docs, id_col, text_col)
-    tokens = keyed.select("doc_id", "text_hash", F.posexplode(words_of(F.col("text"))).alias("pos", "term"))
+    tokens = tokens.select("doc_id", "text_hash", F.posexplode("words").alias("pos", "term"))
     if terms is not None:
         tokens = tokens.join(small(terms), "term")
     return store(tokens.select("term", "doc_id", "text_hash", "pos"), "postings")
 
 
-def rarest_lists(windows: DataFrame, counts: DataFrame, lists: int = 3) -> DataFrame:
-    """(wid, term, off, need): the ``lists`` rarest terms of each window with
-    their offsets; windows with a term that the corpus lacks are dropped."""
-    terms = windows.select("wid", "n", F.posexplode("words").alias("off", "term")).join(counts, "term", "left")
-    by = Window.partitionBy("wid")
-    ranked = terms.select("wid", "n", "off", "term", F.min(F.coalesce("postings", F.lit(0))).over(by).alias("least"),
-                          F.row_number().over(by.orderBy("postings", "off")).alias("rank"))
-    return (ranked.filter((F.col("least") > 0) & (F.col("rank") <= lists))
-            .select("wid", "n", "off", "term", F.least("n", F.lit(lists)).alias("need")))
+def rarest_lists(windows: DataFrame, counts: DataFrame, lists: int = 2) -> DataFrame:
+    """(seq, at, wid, n, places): per window the places in its sequence of its
+    ``lists`` rarest terms; windows with a term that the corpus lacks go."""
+    terms = (windows.select("seq", "at", "wid", "n", F.posexplode("words").alias("off", "term"))
+             .join(counts, "term", "left").withColumn("postings", F.coalesce("postings", F.lit(0))))
+    order = F.sort_array(F.collect_list(F.struct("postings", (F.col("at") + F.col("off")).alias("place"), "term")))
+    ranked = terms.groupBy("seq", "at", "wid", "n").agg(order.alias("order"))
+    return (ranked.filter(F.col("order")[0]["postings"] > 0)
+            .withColumn("lists", F.slice("order", 1, lists)).drop("order"))
 
 
 def phrase_candidates(index: DataFrame, plan: DataFrame) -> DataFrame:
-    """Intersection of the offset-adjusted lists: (wid, n, doc_id, text_hash,
-    start) where each planned term stands at its offset from ``start``."""
-    hits = index.join(small(plan), "term").withColumn("start", F.col("pos") - F.col("off"))
-    return (hits.filter("start >= 0").groupBy("doc_id", "text_hash", "start", "wid", "n", "need")
-            .agg(F.count("*").alias("got")).filter("got = need").drop("got", "need"))
+    """Intersection of the offset-adjusted lists: (doc_id, text_hash, start, n,
+    wid) where all planned terms of a window stand at their offsets.
+
+    Windows of one test sequence that lie alike on a document share a shift,
+    so each posting is shifted once per place of its term, not per window.
+    """
+    places = plan.select("seq", F.explode("lists").alias("l")).select("seq", "l.place", "l.term").distinct()
+    least = plan.groupBy("seq").agg(F.min(F.size("lists")).alias("need"))
+    hits = index.join(small(store(places.join(least, "seq"), "places")), "term").withColumn("shift", F.col("pos") - F.col("place"))
+    met = (hits.groupBy("doc_id", "text_hash", "seq", "shift", "need").agg(F.collect_set("place").alias("met"))
+           .filter(F.size("met") >= F.col("need")))
+    wanted = plan.select("seq", "at", "wid", "n", F.col("lists")["place"].alias("wanted"))
+    return (met.join(small(wanted), "seq").filter(F.size(F.array_except("wanted", "met")) == 0)
+            .select("doc_id", "text_hash", (F.col("shift") + F.col("at")).alias("start"), "n", "wid")
+            .filter("start >= 0").distinct())
 
 
-def phrase_matches(docs: DataFrame, windows: DataFrame, lists: int = 3, id_col: str = "doc_id",
-                   text_col: str = "text") -> DataFrame:
-    """Exact occurrences (doc_id, text_hash, start, n, wid) of ``windows`` (wid,
-    words, n) in ``docs``; start counts words from 0.
+def phrase_matches(tokens: DataFrame, windows: DataFrame, lists: int = 2) -> DataFrame:
+    """Exact occurrences (doc_id, text_hash, start, n, wid) of ``windows`` (see
+    ``test_windows``) in ``tokens`` (see ``tokenised``); start counts words from 0.
 
     Repeated rows of one id and text give one set of matches. Candidates are
     confirmed on the words of their document.
     """
     windows = store(windows, "distinct-windows")
     vocabulary = store(windows.select(F.explode("words").alias("term")).distinct(), "vocabulary")
-    counts = store(term_counts(docs, vocabulary, text_col), "counts")
+    counts = store(term_counts(tokens, vocabulary), "counts")
     plan = store(rarest_lists(windows, counts, lists), "plan")
-    index = build_index(docs, store(plan.select("term").distinct(), "terms"), id_col, text_col)
-    found = phrase_candidates(index, plan)
-    per_doc = found.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("wid", "start", "n")).alias("found"))
-    per_doc = store(per_doc, "candidates").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "found")
-    keyed = _keyed(docs, id_col, text_col)
-    held = keyed.join(per_doc, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")))
-    sure = held.select("doc_id", "text_hash", let(words_of(F.col("text")), lambda w: F.filter("found", lambda c: F.sha2(
-        F.array_join(F.slice(w, c["start"] + 1, c["n"]), " "), 256) == c["wid"])).alias("sure"))
+    index = build_index(tokens, store(plan.select(F.explode("lists.term").alias("term")).distinct(), "terms"))
+    found = store(phrase_candidates(index, plan), "candidates")
+    key = ["_id", "_hash"]
+    per_doc = (found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.struct("wid", "start", "n").alias("c"))
+               .groupBy(*key).agg(F.collect_list("c").alias("found")))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))
+    # Only documents with a candidate are looked at again.
+    few = small(store(per_doc.select(*key), "candidate-ids"))
+    held = tokens.join(few, same, "left_semi").join(per_doc, same)
+    sure = held.select("doc_id", "text_hash", F.filter(
+        "found", lambda c: phrase_id(F.slice("words", c["start"] + 1, c["n"])) == c["wid"]).alias("sure"))
     return sure.select("doc_id", "text_hash", F.explode("sure").alias("m")).select(
         "doc_id", "text_hash", "m.start", "m.n", "m.wid").distinct()
 
@@ -128,7 +152,7 @@ def proximity_matches(index: DataFrame, queries: DataFrame, span: int) -> DataFr
     return seen.filter("got = need").select("qid", "doc_id", "text_hash", "first", F.col("pos").alias("last")).distinct()
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, lists: int = 3,
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, lists: int = 2,
                   id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_hit (words inside a
     matched window), n_items, items_sha256 (of the sorted ids of items that
@@ -139,7 +163,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, lists: in
     columns are ignored.
     """
     windows, members = test_windows(items, window)
-    matches = store(phrase_matches(docs, windows, lists, id_col, text_col), "matches")
+    tokens = tokenised(docs, id_col, text_col)
+    matches = store(phrase_matches(tokens, windows, lists), "matches")
     spans = matches.select("doc_id", "text_hash", "start", "n").distinct()
     hit = (spans.select("doc_id", "text_hash", F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("p"))
            .distinct().groupBy("doc_id", "text_hash").agg(F.count("*").alias("n_hit")))
@@ -148,7 +173,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, lists: in
              .groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list("item_id")).alias("items")))
     both = hit.join(named, hit["doc_id"].eqNullSafe(named["doc_id"]) & (hit["text_hash"] == named["text_hash"]), "left").select(
         hit["doc_id"].alias("_id"), hit["text_hash"].alias("_hash"), "n_hit", "items")
-    rows = _keyed(docs, id_col, text_col).select("doc_id", "text_hash", F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
+    rows = tokens.select("doc_id", "text_hash", F.size("words").cast("long").alias("n_words"))
     out = rows.join(both, rows["doc_id"].eqNullSafe(F.col("_id")) & (rows["text_hash"] == F.col("_hash")), "left")
     names = F.coalesce("items", F.array().cast("array<string>"))
     return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
