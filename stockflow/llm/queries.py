@@ -66,3 +66,37 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stockflow.llm.decontaminate import decontaminate
 
     return decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+@_register()
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality rules on all documents, thresholds per language and source."""
+    from stockflow.llm.quality_rules import quality_rules
+
+    return quality_rules(_table(spark, sf_dir, "documents"))
+
+
+# Poisson distribution by source up to the same top, counted below u.
+_OP6_SQL = """
+WITH sized AS (SELECT source, CAST(count(*) AS DOUBLE) AS size, sqrt(CAST(count(*) AS DOUBLE)) AS weight FROM documents GROUP BY 1),
+rates AS (SELECT source, weight / (SELECT sum(weight) FROM sized) * (SELECT sum(size) FROM sized) / size AS rate FROM sized),
+cdf AS (
+  SELECT source, j, sum(exp(j * ln(rate) - rate - lgamma(j + 1))) OVER (PARTITION BY source ORDER BY j) AS below
+  FROM rates, range(0, 2000) t(j) WHERE j <= ceil(rate + 12 * sqrt(rate) + 30)),
+u AS (
+  SELECT d.*, (CAST('0x' || substr(md5('mix|' || coalesce(source, '') || '|' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0 AS u
+  FROM documents d),
+drawn AS (SELECT u.doc_id, (SELECT count(*) FROM cdf WHERE cdf.source IS NOT DISTINCT FROM u.source AND cdf.below <= u.u) AS k FROM u)
+SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, c.copy
+FROM documents d JOIN drawn USING (doc_id), range(1, 2001) c(copy) WHERE c.copy <= drawn.k
+"""
+
+
+@_register(_OP6_SQL)
+def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed so that a source's share grows as the square root
+    of its number of documents, at the size of the input."""
+    from stockflow.llm.mixing import mix_sources, source_rates
+
+    docs = _table(spark, sf_dir, "documents")
+    return mix_sources(docs, source_rates(docs, temperature=0.5))
