@@ -100,3 +100,19 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = _table(spark, sf_dir, "documents")
     return mix_sources(docs, source_rates(docs, temperature=0.5))
+
+
+@_register()
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents with byte_bpe_50k.json, limit 1024."""
+    from stockflow.llm.tokens import token_counts
+
+    return token_counts(_table(spark, sf_dir, "documents"), limit=1024)
+
+
+@_register()
+def op10_pack_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as packed rows of 2048 ids of byte_bpe_50k.json."""
+    from stockflow.llm.packing import pack_tokens
+
+    return pack_tokens(_table(spark, sf_dir, "documents"), capacity=2048)
