@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 import zlib
 from collections.abc import Callable
@@ -15,6 +16,16 @@ from stockflow.session import checkpoint_dir
 BROADCAST_ROWS = 500_000
 
 
+def reach_workers(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it.
+    For local runs; on a cluster ship the package with ``--py-files``."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([*paths, root])
+
+
 def store(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` once as Parquet under the shared checkpoint folder and
     read it back: lineage ends there, and a lost executor costs a re-read."""
@@ -60,9 +71,3 @@ def crc_mod(doc_id: Column, n: int) -> Column:
 
 def crc_mod_py(doc_id, n: int) -> int:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % n
-
-
-def session() -> SparkSession:
-    s = SparkSession.getActiveSession()
-    assert s is not None, "no active Spark session"
-    return s

@@ -10,6 +10,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from stockflow.llm.common import reach_workers
+
 Build = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Build] = {}
 _SQL: dict[str, str] = {}
@@ -33,6 +35,7 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    reach_workers(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -116,3 +119,11 @@ def op10_pack_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stockflow.llm.packing import pack_tokens
 
     return pack_tokens(_table(spark, sf_dir, "documents"), capacity=2048)
+
+
+@_register()
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents, learnt from the labels outside fold 1 of 3."""
+    from stockflow.llm.toxicity import toxicity
+
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
