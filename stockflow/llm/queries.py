@@ -127,3 +127,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stockflow.llm.toxicity import toxicity
 
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+@_register()
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near duplicates among all documents: 5-word shingles, similarity 0.85."""
+    from stockflow.llm.near_dup import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
