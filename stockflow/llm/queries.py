@@ -163,3 +163,11 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.createDataFrame([(-1, 0, "user", trap), (-1, 1, "assistant", trap)], "conv_id long, turn long, role string, text string")
     said = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     return digests(format_conversations(linear_trees(said))).withColumnRenamed("tree", "conv_id")
+
+
+@_register()
+def op2_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that repeat across documents, by document."""
+    from stockflow.llm.suffixes import repeated_passages
+
+    return repeated_passages(_table(spark, sf_dir, "documents"), least=50)
