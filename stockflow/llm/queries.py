@@ -171,3 +171,14 @@ def op2_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stockflow.llm.suffixes import repeated_passages
 
     return repeated_passages(_table(spark, sf_dir, "documents"), least=50)
+
+
+@_register()
+def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class-based bigram scores of all documents, learnt outside fold 2 of 7."""
+    from pyspark.sql import functions as F
+
+    from stockflow.llm.brown import lm_scores
+    from stockflow.llm.common import crc_mod
+
+    return lm_scores(_table(spark, sf_dir, "documents"), crc_mod(F.col("doc_id"), 7) == 2)
