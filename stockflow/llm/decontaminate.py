@@ -180,3 +180,14 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, lists: in
                       F.size(names).cast("long").alias("n_items"),
                       F.sha2(F.array_join(names, ","), 256).alias("items_sha256"),
                       (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
+
+
+def remove_contaminated(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
+    """Rows of ``docs`` (all columns) whose text holds no window of ``items``.
+
+    Null and empty texts stay. Rows that share an id go by their own texts.
+    """
+    tokens = tokenised(docs)
+    matches = phrase_matches(tokens, test_windows(items, window)[0])
+    found = store(matches.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "contaminated")
+    return docs.join(small(found), docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_hash")), "left_anti")

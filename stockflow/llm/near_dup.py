@@ -252,3 +252,16 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     nameless = texts.filter("doc_id IS NULL").withColumn("doc_id", F.lit(0).cast("long")).mapInPandas(
         _sketch, "doc_id long, n_shingles long, same binary, regs binary, keys array<long>")
     return out.union(nameless.select(F.lit(None).cast("long"), "n_shingles", F.lit(None).cast("long"), F.lit(True)))
+
+
+def drop_near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """Rows of ``docs`` (all columns) of which one document per group of near
+    duplicates stays, the one of least id; of equal rows (id and text) one
+    stays. Null and empty texts and rows with a null id stay."""
+    verdicts = store(near_duplicates(docs, percent).filter("doc_id IS NOT NULL").groupBy("doc_id").agg(
+        F.bool_and("kept").alias("kept"), F.count("*").alias("n")), "verdicts")
+    gone = verdicts.filter("NOT kept").select(F.col("doc_id").alias("_id"))
+    left = docs.join(small(gone), F.col("doc_id").cast("long") == F.col("_id"), "left_anti")
+    several = small(verdicts.filter("n > 1").select(F.col("doc_id").alias("_id")))
+    same = F.col("doc_id").cast("long") == F.col("_id")
+    return left.join(several, same, "left_anti").unionByName(left.join(several, same, "left_semi").dropDuplicates(["doc_id", "text"]))

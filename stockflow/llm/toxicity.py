@@ -188,3 +188,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, folds:
     scored = docs.select("doc_id", (crc_mod(F.col("doc_id"), folds) == held_out).alias("held_out"),
                          score_texts(docs, model).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """Rows of ``docs`` (all columns) with a score under ``threshold``, by a
+    model fitted on all labels. Null and empty texts stay."""
+    model = fit(labelled_sample(docs, labels))
+    empty = F.coalesce(F.length("text"), F.lit(0)) == 0
+    return docs.withColumn("_score", score_texts(docs, model)).filter(empty | (F.col("_score") < threshold)).drop("_score")
