@@ -5,7 +5,7 @@ A feed is an append-only DataFrame with a key, a total order ``seq`` and an
 ``op`` of create / update / delete. Final state is computed with one
 aggregation per key (partial aggregation map-side, so a hot key does not
 gather its rows in one task); only the per-row reject test needs an ordered
-scan, which runs through the bucketed prefix scan.
+scan, which runs through the piecewise prefix scan.
 """
 
 from __future__ import annotations
@@ -69,14 +69,12 @@ def compact_changes(feed: DataFrame, key: str, keep_cols: Sequence[str] = (),
     return g.filter(alive).select(*out)
 
 
-def feed_rejects(feed: DataFrame, key: str, base: DataFrame | None = None,
-                 bucket: Column | None = None) -> DataFrame:
+def feed_rejects(feed: DataFrame, key: str, base: DataFrame | None = None) -> DataFrame:
     """E7 rejects: updates and deletes of a key that does not exist at that
     point (the reference answers 404 and changes nothing)."""
     rows = _with_base(feed.select(key, "seq", "op"), base, key) if base is not None else feed.select(key, "seq", "op")
     life = F.when(F.col("op").isin("create", "delete"), F.col("op"))
-    scanned = prefix_scan(rows, [key], ["seq"], life, "last", "_prev_life", inclusive=False,
-                          bucket=bucket)
+    scanned = prefix_scan(rows, [key], ["seq"], life, "last", "_prev_life", inclusive=False)
     return (scanned.filter(F.col("op").isin("update", "delete")
                            & ~F.coalesce(F.col("_prev_life") == "create", F.lit(False)))
             .filter(F.col("seq") > F.lit(_MIN_SEQ))
@@ -157,11 +155,10 @@ def final_status(orders: DataFrame, commands: DataFrame) -> DataFrame:
             .select("order_id", F.coalesce("_last", "_cur", F.lit("Draft")).alias("status")))
 
 
-def _with_previous_status(orders: DataFrame, commands: DataFrame,
-                          bucket: Column | None = None) -> DataFrame:
+def _with_previous_status(orders: DataFrame, commands: DataFrame) -> DataFrame:
     st = _command_status(F.col("command"))
     c = commands.withColumn("new_status", st).filter(F.col("new_status").isNotNull())
-    c = prefix_scan(c, ["order_id"], ["seq"], "new_status", "last", "_prev", inclusive=False, bucket=bucket)
+    c = prefix_scan(c, ["order_id"], ["seq"], "new_status", "last", "_prev", inclusive=False)
     cur = orders.select(F.col("id").alias("order_id"), F.col("status").alias("_initial"))
     return (c.join(cur, "order_id", "left")
             .withColumn("old_status", F.coalesce("_prev", "_initial", F.lit("Draft")))
@@ -169,13 +166,13 @@ def _with_previous_status(orders: DataFrame, commands: DataFrame,
 
 
 def audit_rows(orders: DataFrame, commands: DataFrame, module: str, record_type: str,
-               style: str = "reference", bucket: Column | None = None) -> DataFrame:
+               style: str = "reference") -> DataFrame:
     """One audit row per status command: module, record, action
     'Updated', field 'status', old and new value (null -> '').
 
     style 'reference' writes the old value the reference writes: 'Draft' for
     confirm, '' otherwise. style 'real' writes the previous status."""
-    c = _with_previous_status(orders, commands, bucket) if style == "real" else \
+    c = _with_previous_status(orders, commands) if style == "real" else \
         commands.withColumn("new_status", _command_status(F.col("command"))).filter(F.col("new_status").isNotNull())
     old = (F.col("old_status") if style == "real"
            else F.when(F.col("command") == "confirm", F.lit("Draft")).otherwise(F.lit("")))
@@ -196,12 +193,11 @@ ALLOWED_COMMANDS = [
 ]
 
 
-def illegal_transitions(orders: DataFrame, commands: DataFrame,
-                        bucket: Column | None = None) -> DataFrame:
+def illegal_transitions(orders: DataFrame, commands: DataFrame) -> DataFrame:
     """Commands the client would not have offered from the status the
     order had at that point. The allowed table is a fixed 7-row list, so it
     is broadcast."""
-    c = _with_previous_status(orders, commands, bucket)
+    c = _with_previous_status(orders, commands)
     allowed = orders.sparkSession.createDataFrame(ALLOWED_COMMANDS, "old_status string, command string")
     return (c.join(F.broadcast(allowed), ["old_status", "command"], "left_anti")
             .select("order_id", "seq", "command", "old_status", "new_status"))
@@ -275,7 +271,7 @@ def load_permissions_merge(base: DataFrame, saved: DataFrame, order: str = "pos"
 
 
 def feed_audit_rows(feed: DataFrame, key: str, module: str, record_type: str, label_col: str,
-                    updated_text: str, bucket: Column | None = None) -> DataFrame:
+                    updated_text: str) -> DataFrame:
     """E10 for a create / update / delete feed: one audit row per applied
     change, as the reference writes them:
 
@@ -285,7 +281,7 @@ def feed_audit_rows(feed: DataFrame, key: str, module: str, record_type: str, la
 
     Updates and deletes of a record that does not exist are not applied and
     not audited (see feed_rejects). One ordered scan per key for 'exists'
-    and 'current label' (bucketed for hot keys); null values become ''.
+    and 'current label' (hot keys are split); null values become ''.
     """
     op = F.col("op")
     write = op.isin("create", "update")
@@ -293,7 +289,7 @@ def feed_audit_rows(feed: DataFrame, key: str, module: str, record_type: str, la
     rows = prefix_scans(rows, [key], ["seq"],
                         [(F.when(op.isin("create", "delete"), op), "last", "_prev_life"),
                          (F.when(write, F.struct(F.col("_label").alias("v"))), "last", "_prev_label")],
-                        inclusive=False, bucket=bucket)
+                        inclusive=False)
     applied = rows.filter((op == "create") | F.coalesce(F.col("_prev_life") == "create", F.lit(False)))
     action = F.when(op == "create", "Created").when(op == "update", "Updated").otherwise("Deleted")
     return applied.select(

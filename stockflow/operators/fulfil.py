@@ -4,8 +4,8 @@ The reference applies each command line by line:
     delta = min(request, ordered) - done;  if delta > 0: done += delta
 which is  done <- max(done, min(request, ordered)).  After command k,
     done_k = greatest(initial, max_{i<=k} least(request_i, ordered)),
-an ordered prefix max: associative, so it runs as a window (bucketed for
-hot lines) with no UDF and no state store. The movement at k is
+an ordered prefix max: associative, so it runs as a piecewise scan (hot
+lines are split) with no UDF and no state store. The movement at k is
 done_k - done_{k-1} when positive.
 """
 
@@ -32,8 +32,7 @@ def _request(col: str, need: Column, fallback_to_need: bool) -> Column:
 
 def apply_quantity_commands(commands: DataFrame, keys: Sequence[str], order: Sequence[str],
                             need_col: str = "ordered_qty", initial_col: str | None = "done_qty",
-                            request_col: str = "requested_qty", fallback_to_need: bool = False,
-                            bucket: Column | None = None) -> DataFrame:
+                            request_col: str = "requested_qty", fallback_to_need: bool = False) -> DataFrame:
     """Per command row: done_before, done_after and delta (>= 0).
 
     ``commands`` carries the target's need (and initial done, if any) per
@@ -44,7 +43,7 @@ def apply_quantity_commands(commands: DataFrame, keys: Sequence[str], order: Seq
     initial = F.coalesce(F.col(initial_col), F.lit(0)) if initial_col else F.lit(0)
     capped = F.least(_request(request_col, need, fallback_to_need), need)
     c = commands.withColumn("_capped", capped)
-    c = prefix_scan(c, keys, order, "_capped", "max", "_prior", inclusive=False, bucket=bucket)
+    c = prefix_scan(c, keys, order, "_capped", "max", "_prior", inclusive=False)
     before = F.greatest(initial, F.coalesce(F.col("_prior"), initial))
     c = (c.withColumn("done_before", before.cast(QTY_SUM))
          .withColumn("done_after", F.greatest(F.col("done_before"), F.col("_capped")).cast(QTY_SUM))
@@ -58,25 +57,22 @@ def _movements(applied: DataFrame, sign: int, cols: Sequence[str]) -> DataFrame:
             .select(*cols, "done_after", (F.col("delta") * sign).cast(QTY_SUM).alias("movement_qty")))
 
 
-def apply_deliveries(commands: DataFrame, keys: Sequence[str], order: Sequence[str],
-                     bucket: Column | None = None, **kw) -> DataFrame:
+def apply_deliveries(commands: DataFrame, keys: Sequence[str], order: Sequence[str], **kw) -> DataFrame:
     """Delivery movements (negative) per command line that raised delivered."""
-    a = apply_quantity_commands(commands, keys, order, bucket=bucket, **kw)
+    a = apply_quantity_commands(commands, keys, order, **kw)
     return _movements(a, -1, list(keys) + [c for c in order if c not in keys])
 
 
-def apply_receipts(commands: DataFrame, keys: Sequence[str], order: Sequence[str],
-                   bucket: Column | None = None, **kw) -> DataFrame:
+def apply_receipts(commands: DataFrame, keys: Sequence[str], order: Sequence[str], **kw) -> DataFrame:
     """Receipt movements (positive)."""
-    a = apply_quantity_commands(commands, keys, order, bucket=bucket, **kw)
+    a = apply_quantity_commands(commands, keys, order, **kw)
     return _movements(a, 1, list(keys) + [c for c in order if c not in keys])
 
 
-def apply_consumption(commands: DataFrame, keys: Sequence[str], order: Sequence[str],
-                      bucket: Column | None = None, **kw) -> DataFrame:
+def apply_consumption(commands: DataFrame, keys: Sequence[str], order: Sequence[str], **kw) -> DataFrame:
     """Component consumption (negative); a 0/null request means the full
     remaining need."""
-    a = apply_quantity_commands(commands, keys, order, fallback_to_need=True, bucket=bucket, **kw)
+    a = apply_quantity_commands(commands, keys, order, fallback_to_need=True, **kw)
     return _movements(a, -1, list(keys) + [c for c in order if c not in keys])
 
 
@@ -101,7 +97,7 @@ def completion_status(orders: DataFrame, lines: DataFrame, kind: str = "sales")
 
 
 def request_status(lines: DataFrame, applied: DataFrame, request: Sequence[str],
-                   kind: str = "sales", bucket: Column | None = None) -> DataFrame:
+                   kind: str = "sales") -> DataFrame:
     """Status of each order right after each of its requests (D13 as of then).
 
     A request is a group of command rows with the same (order_id, *request)
@@ -109,7 +105,7 @@ def request_status(lines: DataFrame, applied: DataFrame, request: Sequence[str],
     that were initially incomplete minus the lines completed by requests up
     to r is zero. A line completes at the command whose done_before <
     ordered <= done_after, so the status is a prefix sum of completions per
-    order (bucketed for hot orders): no line is paired with any request.
+    order (hot orders are split): no line is paired with any request.
     """
     word = {"sales": "Delivered", "purchase": "Received"}[kind]
     request = list(request)
@@ -118,7 +114,7 @@ def request_status(lines: DataFrame, applied: DataFrame, request: Sequence[str],
                   .agg(F.count_if(done0 < F.col("ordered_qty")).alias("_incomplete")))
     completed = (F.col("done_before") < F.col("ordered_qty")) & (F.col("done_after") >= F.col("ordered_qty"))
     per_req = applied.groupBy("order_id", *request).agg(F.count_if(completed).alias("_done_lines"))
-    cum = prefix_scan(per_req, ["order_id"], request, "_done_lines", "sum", "_cum", bucket=bucket)
+    cum = prefix_scan(per_req, ["order_id"], request, "_done_lines", "sum", "_cum")
     left = F.coalesce(F.col("_incomplete"), F.lit(0)) - F.col("_cum")
     return (cum.join(incomplete, "order_id", "left")
             .select("order_id", *request,
@@ -132,9 +128,9 @@ class FulfilResult:
 
     _NAMES = ("lines", "movements", "status", "audit", "ledger", "rejects")
 
-    def __init__(self, orders, lines, commands, order, bucket, opening):
+    def __init__(self, orders, lines, commands, order, opening):
         self._orders, self._lines, self._commands = orders, lines, commands
-        self._order, self._bucket, self._opening = list(order), bucket, opening
+        self._order, self._opening = list(order), opening
         self._keys = ["order_id", "line_seq"]
         self._cache: dict[str, DataFrame] = {}
 
@@ -156,27 +152,13 @@ class FulfilResult:
     def _extra_order(self) -> list[str]:
         return [c for c in self._order if c not in self._keys]
 
-    def _bucket_for(self, keys: list[str]):
-        """The bucket for a scan keyed by ``keys``. With "auto" it is sized
-        from the raw commands: rows per line or requests per order are at most
-        the commands per key, so the commands give an upper bound without
-        computing the joined inputs once more."""
-        if not isinstance(self._bucket, str):
-            return self._bucket
-        name = "_bucket:" + ",".join(keys)
-        if name not in self._cache:
-            from stockflow.operators.scan import auto_bucket
-            self._cache[name] = auto_bucket(self._commands, keys, self._order[0])
-        return self._cache[name]
-
     def _targets(self) -> DataFrame:
         return self._lines.select(*self._keys, "product_id", "ordered_qty", "done_qty")
 
     def _applied(self) -> DataFrame:
         if "_applied" not in self._cache:
             found = self._commands.join(self._targets(), self._keys)
-            self._cache["_applied"] = apply_quantity_commands(found, self._keys, self._order,
-                                                              bucket=self._bucket_for(self._keys))
+            self._cache["_applied"] = apply_quantity_commands(found, self._keys, self._order)
         return self._cache["_applied"]
 
     def _build_rejects(self) -> DataFrame:
@@ -213,8 +195,7 @@ class FulfilResult:
                         .otherwise(F.lit("Partially Delivered")).alias("status")))
 
     def _build_audit(self) -> DataFrame:
-        req = request_status(self._targets(), self._applied(), self._extra_order(), "sales",
-                             self._bucket_for(["order_id"]))
+        req = request_status(self._targets(), self._applied(), self._extra_order(), "sales")
         return req.select("order_id", *self._extra_order(),
                           F.lit("Sales").alias("module"), F.lit("SalesOrder").alias("record_type"),
                           F.lit("Updated").alias("action"), F.lit("status").alias("field_changed"),
@@ -224,12 +205,11 @@ class FulfilResult:
         if self._opening is None:
             raise KeyError("ledger needs opening balances")
         from stockflow.operators.ledger import ledger
-        return ledger(self["movements"], self._opening, self._order + self._keys, bucket=self._bucket)
+        return ledger(self["movements"], self._opening, self._order + self._keys)
 
 
 def fulfil_sales(orders: DataFrame, lines: DataFrame, commands: DataFrame,
-                 order: Sequence[str], bucket: Column | str | None = None,
-                 opening: DataFrame | None = None) -> FulfilResult:
+                 order: Sequence[str], opening: DataFrame | None = None) -> FulfilResult:
     """Deliver commands on sales lines.
 
     commands(order_id, line_seq, requested_qty, <order columns>) against
@@ -237,7 +217,7 @@ def fulfil_sales(orders: DataFrame, lines: DataFrame, commands: DataFrame,
     FulfilResult whose frames are built on first use:
 
     - movements: one negative movement per command that raised delivered
-      (ordered prefix max per line, bucketed for hot lines);
+      (ordered prefix max per line; hot lines are split);
     - lines: every line with its delivered quantity after all commands;
     - status: D13 status of every order that received a command;
     - audit: one row per deliver request (order_id, *order) with the status
@@ -249,15 +229,12 @@ def fulfil_sales(orders: DataFrame, lines: DataFrame, commands: DataFrame,
     The final line state needs no ordering: delivered after = greatest(
     initial, max over the line's commands of least(request, ordered)), so
     lines and status are two aggregates (partial aggregation handles hot
-    lines and orders) over lines left-joined to their commands. ``bucket``
-    (a Column, or "auto") splits hot lines, orders and products in the
-    ordered scans.
+    lines and orders) over lines left-joined to their commands.
     """
-    return FulfilResult(orders, lines, commands, order, bucket, opening)
+    return FulfilResult(orders, lines, commands, order, opening)
 
 
 def produce_orders(mos: DataFrame, components: DataFrame, explicit: DataFrame, produce: DataFrame,
-                   bucket: Column | str | None = None,
                    opening: DataFrame | None = None) -> dict[str, DataFrame]:
     """E4 + E5 + E6 for manufacturing: produce requests on MOs.
 
@@ -276,18 +253,13 @@ def produce_orders(mos: DataFrame, components: DataFrame, explicit: DataFrame, p
     per request, so no request x component pairs are formed. It takes
     effect only if no earlier event of that component was positive. That
     is one exclusive prefix max to decide, and a second for consumed-
-    before; both are associative and bucketable.
+    before; both are associative.
 
     Returns consumption (negative) and finished (positive, one per request,
     E5) movements, their union, components after, status 'Done' for every
     produced MO, audit rows, and the ledger when ``opening`` is given.
     """
     keys = ["mo_id", "product_id"]
-    if isinstance(bucket, str) and bucket == "auto":
-        # Events per component are the explicit lines plus at most one
-        # synthetic event, so the explicit lines bound the hot key; size once.
-        from stockflow.operators.scan import auto_bucket
-        bucket = auto_bucket(explicit, keys, "seq")
     comp = components.select(*keys, F.col("to_consume_qty").alias("_need"),
                              F.coalesce(F.col("consumed_qty"), F.lit(0)).alias("_init"))
     ex = (explicit.join(comp, keys)
@@ -300,11 +272,11 @@ def produce_orders(mos: DataFrame, components: DataFrame, explicit: DataFrame, p
     synth = (first_all.join(comp, "mo_id")
              .select(*keys, "seq", F.lit(True).alias("_synth"), F.col("_need").alias("_t"), "_need", "_init"))
     ev = ex.unionByName(synth)
-    ev = prefix_scan(ev, keys, ["seq", "_synth"], "_t", "max", "_pt", inclusive=False, bucket=bucket)
+    ev = prefix_scan(ev, keys, ["seq", "_synth"], "_t", "max", "_pt", inclusive=False)
     eff = F.when(~F.col("_synth"), F.col("_t")).when(
         (F.coalesce(F.col("_pt"), F.lit(0)) <= 0) & (F.col("_init") == 0), F.col("_need")).otherwise(F.lit(0))
     ev = ev.withColumn("_eff", eff)
-    ev = prefix_scan(ev, keys, ["seq", "_synth"], "_eff", "max", "_pe", inclusive=False, bucket=bucket)
+    ev = prefix_scan(ev, keys, ["seq", "_synth"], "_eff", "max", "_pe", inclusive=False)
     before = F.greatest(F.col("_init"), F.coalesce(F.col("_pe"), F.col("_init")))
     ev = (ev.withColumn("_before", before)
           .withColumn("_after", F.greatest(F.col("_before"), F.col("_eff")))
@@ -329,7 +301,7 @@ def produce_orders(mos: DataFrame, components: DataFrame, explicit: DataFrame, p
     if opening is not None:
         from stockflow.operators.ledger import ledger
         out["ledger"] = ledger(movements.select("product_id", "mo_id", "seq", "kind", "movement_qty"), opening,
-                               ["seq", "mo_id", "kind"], bucket=bucket)
+                               ["seq", "mo_id", "kind"])
     return out
 
 

@@ -8,42 +8,34 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stockflow.functions.scalars import exact_sum, rescale, unscaled
+from stockflow.functions.scalars import exact, exact_sum
 from stockflow.operators.scan import prefix_scan
 from stockflow.types import QTY_SUM
 
 
-def ledger(movements: DataFrame, opening: DataFrame, order: Sequence[str],
-           bucket: Column | str | None = None) -> DataFrame:
+def ledger(movements: DataFrame, opening: DataFrame, order: Sequence[str]) -> DataFrame:
     """Each movement with resulting_on_hand = opening + running sum of
     movements up to and including it, per product in ``order``.
 
-    The opening balance enters the scan as one leading row per product (all
-    order columns null, which sorts first), so the movements are never
-    joined to the products: one shuffle by product (and bucket). With
-    ``bucket`` (a Column, or "auto") a hot product is split across tasks
-    (see operators.scan).
+    The opening balance enters the scan as one leading row per product, so
+    the movements are never joined to the products. It comes first whatever
+    the movements' order values are, null ones included. Hot products are
+    split across tasks (see operators.scan).
     """
     order = list(order)
-    if isinstance(bucket, str):  # "auto": sized from the movements (see scan.auto_bucket)
-        from stockflow.operators.scan import auto_bucket
-        bucket = auto_bucket(movements, ["product_id"], order[0]) if bucket == "auto" else None
     cols = movements.columns
     open_rows = opening.select(
         "product_id", F.col("on_hand_qty").alias("movement_qty"),
         *[F.lit(None).cast(movements.schema[c].dataType).alias(c)
           for c in cols if c not in ("product_id", "movement_qty")],
-        F.lit(True).alias("_opening"))
-    rows = movements.withColumn("_opening", F.lit(False)).unionByName(open_rows)
-    if bucket is not None:
-        bucket = F.when(~F.col("_opening"), bucket)
-    run = prefix_scan(rows, ["product_id"], order, unscaled("movement_qty"), "sum", "resulting_on_hand",
-                      bucket=bucket)
-    return (run.filter(~F.col("_opening")).drop("_opening")
-            .withColumn("resulting_on_hand", rescale("resulting_on_hand", 3, QTY_SUM)))
+        F.lit(0).alias("_after_opening"))
+    rows = movements.withColumn("_after_opening", F.lit(1)).unionByName(open_rows)
+    run = prefix_scan(rows, ["product_id"], ["_after_opening", *order], exact("movement_qty"), "sum", "resulting_on_hand")
+    return (run.filter(F.col("_after_opening") == 1).drop("_after_opening")
+            .withColumn("resulting_on_hand", F.col("resulting_on_hand").cast(QTY_SUM)))
 
 
 def final_on_hand(movements: DataFrame, opening: DataFrame) -> DataFrame:

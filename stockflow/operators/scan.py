@@ -2,15 +2,18 @@
 
 A plain ``Window.partitionBy(key).orderBy(seq)`` puts every row of one key
 into one task; if one key holds a third of the rows, that task holds a third
-of the data. With ``bucket`` (a column that never decreases along the order,
-e.g. a day or ``seq div N``) the scan is done in three steps:
+of the data. Here rows are range-partitioned on (key, order, hash of the
+row), so pieces are bounded by volume: a key takes as many pieces as its
+rows need, whatever its order values look like (ties and outliers included).
 
-1. aggregate per (key, bucket) -> small table, partial aggregation map-side;
-2. exclusive prefix of those bucket aggregates per key (rows = buckets);
-3. window inside (key, bucket) combined with the bucket's offset.
+1. aggregate per (piece, key): at most one row per key and partition;
+2. exclusive prefix of those rows per key;
+3. window inside (piece, key), combined with the piece's offset.
 
 The answer equals the plain window for sum, max, min and last-value, since
-all are associative. Without ``bucket`` the plain window is used.
+all are associative. Everything is lazy: no job runs when the plan is built.
+Steps 1 and 3 read one exchange (both need all columns, so that Spark reuses
+it); should they ever see different pieces, the query fails loudly.
 """
 
 from __future__ import annotations
@@ -36,99 +39,64 @@ def _combine(op: str, offset: Column, inner: Column) -> Column:
     raise ValueError(op)
 
 
-def _as_number(c: Column, dtype) -> Column:
-    from pyspark.sql import types as T
-    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(c.cast("timestamp")) if isinstance(dtype, T.TimestampNTZType) else F.unix_micros(c)
-    if isinstance(dtype, T.DateType):
-        return F.unix_date(c).cast("long")
-    return c.cast("long")
-
-
-def auto_bucket(df: DataFrame, keys: Sequence[str], order_col: str,
-                target_rows: int = 2_000_000, headroom: int = 4) -> Column | None:
-    """A bucket column sized from the data, or None when no key is hot.
-
-    One aggregate (per-key count and order range, then the hottest key) is
-    run; if the hottest key has at most ``target_rows`` rows the plain
-    window is used. Otherwise its order range is cut into equal-width
-    buckets, ``headroom`` times more than needed, so that even an uneven
-    spread inside the range leaves buckets near the target size.
-    """
-    dtype = df.schema[order_col].dataType
-    num = _as_number(F.col(order_col), dtype)
-    top = (df.groupBy(*keys).agg(F.count("*").alias("n"), F.min(num).alias("lo"), F.max(num).alias("hi"))
-           .orderBy(F.col("n").desc()).limit(1).first())
-    if top is None or top.n <= target_rows or top.lo is None:
-        return None
-    n_buckets = -(-top.n // target_rows) * headroom
-    width = max(1, -(-(top.hi - top.lo + 1) // n_buckets))
-    return F.floor((num - F.lit(top.lo)) / F.lit(width))
-
-
 def prefix_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column | str,
-                op: str, out: str, inclusive: bool = True,
-                bucket: Column | str | None = None, target_rows: int = 2_000_000) -> DataFrame:
+                op: str, out: str, inclusive: bool = True, num_partitions: int | None = None) -> DataFrame:
     """Add column ``out`` = op over rows of the same key up to this row.
 
     ``inclusive=False`` excludes the row itself (a 'before' value). ``last``
     returns the last non-null value in order. Nulls are skipped by every op;
-    no rows -> null. ``bucket="auto"`` sizes buckets from the data on the
-    first order column (see ``auto_bucket``); it must be numeric, a date or a
-    timestamp.
+    no rows -> null. Rows that tie in ``order`` are taken in the order of a
+    hash of all their columns.
     """
-    return prefix_scans(df, keys, order, [(value, op, out)], inclusive, bucket, target_rows)
+    return prefix_scans(df, keys, order, [(value, op, out)], inclusive, num_partitions)
 
 
 def prefix_scans(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                  specs: Sequence[tuple[Column | str, str, str]], inclusive: bool = True,
-                 bucket: Column | str | None = None, target_rows: int = 2_000_000) -> DataFrame:
+                 num_partitions: int | None = None) -> DataFrame:
     """Several prefix values over the same key and order in one pass:
-    ``specs`` = [(value, op, out), ...]. With buckets there is still one
-    per-bucket aggregate, one offset join and one final window, however
-    many values are scanned."""
+    ``specs`` = [(value, op, out), ...]. However many values are scanned,
+    there is one range exchange, one aggregate, one offset join and one
+    window. ``num_partitions``: pieces overall (default: the session's shuffle
+    partitions, which ``session.tune_for_input`` sizes from the data)."""
     keys, order = list(keys), list(order)
-    if isinstance(bucket, str):
-        if bucket != "auto":
-            raise ValueError(f"bucket must be a Column, None or 'auto', not {bucket!r}")
-        bucket = auto_bucket(df, keys, order[0], target_rows)
     vals = [(F.col(v) if isinstance(v, str) else v, op, out) for v, op, out in specs]
+    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    row = F.xxhash64(*df.columns)
+    ranged = (df.repartitionByRange(n, *keys, *order, row)
+              .withColumns({"_piece": F.spark_partition_id(), "_tie": row}))
     frame_end = Window.currentRow if inclusive else -1
 
-    def window_over(parts: list[str]):
-        return (Window.partitionBy(*parts).orderBy(*order)
-                .rowsBetween(Window.unboundedPreceding, frame_end))
-
-    def over(val: Column, op: str, w):
-        if op == "last":
-            return F.last(val, ignorenulls=True).over(w)
-        return _AGG[op](val).over(w)
-
-    if bucket is None:
-        w = window_over(keys)
-        return df.withColumns({out: over(val, op, w) for val, op, out in vals})
-
-    b = df.withColumn("_bkt", bucket)
-    aggs = []
+    # 1. one row per key and piece (max of _tie: this side, too, needs every column)
+    aggs = [F.count("*").alias("_rows"), F.max("_tie").alias("_max_tie")]
     for i, (val, op, _) in enumerate(vals):
         if op == "last":
-            aggs.append(F.max_by(val, F.when(val.isNotNull(), F.struct(*order))).alias(f"_bagg{i}"))
+            aggs.append(F.max_by(val, F.when(val.isNotNull(), F.struct(*order, "_tie"))).alias(f"_agg{i}"))
         else:
-            aggs.append(_AGG[op](val).alias(f"_bagg{i}"))
-    per_bucket = b.groupBy(*keys, "_bkt").agg(*aggs)
-    wb = (Window.partitionBy(*keys).orderBy("_bkt")
-          .rowsBetween(Window.unboundedPreceding, -1))
-    priors = []
-    for i, (_, op, _) in enumerate(vals):
-        prior = (F.last(f"_bagg{i}", ignorenulls=True) if op == "last" else _AGG[op](f"_bagg{i}")).over(wb)
-        priors.append(prior.alias(f"_off{i}"))
+            aggs.append(_AGG[op](val).alias(f"_agg{i}"))
+    pieces = ranged.groupBy(*keys, "_piece").agg(*aggs)
+
+    # 2. what comes before each piece of a key
+    before = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    priors = [(F.last(f"_agg{i}", ignorenulls=True) if op == "last" else _AGG[op](f"_agg{i}")).over(before).alias(f"_off{i}")
+              for i, (_, op, _) in enumerate(vals)]
     # Null-safe keys, so null keys keep their offsets as in the plain window
     # (Spark plans <=> as an equi-join, so this stays a hash / sort-merge join).
-    offsets = per_bucket.select(*[F.col(k).alias(f"_o_{k}") for k in keys],
-                                F.col("_bkt").alias("_o_bkt"), *priors)
-    cond = [b[k].eqNullSafe(offsets[f"_o_{k}"]) for k in keys] + [b["_bkt"].eqNullSafe(offsets["_o_bkt"])]
-    joined = b.join(offsets, on=cond, how="left").drop(*[f"_o_{k}" for k in keys], "_o_bkt")
-    w = window_over(keys + ["_bkt"])
-    joined = joined.withColumns({out: _combine(op, F.col(f"_off{i}"), over(val, op, w))
-                                 for i, (val, op, out) in enumerate(vals)})
-    return joined.drop("_bkt", *[f"_off{i}" for i in range(len(vals))])
+    offsets = pieces.select(*[F.col(k).alias(f"_o_{k}") for k in keys], F.col("_piece").alias("_o_piece"),
+                            "_rows", "_max_tie", *priors)
+    cond = [ranged[k].eqNullSafe(offsets[f"_o_{k}"]) for k in keys] + [ranged["_piece"].eqNullSafe(offsets["_o_piece"])]
+    joined = ranged.join(offsets, on=cond, how="left").drop(*[f"_o_{k}" for k in keys], "_o_piece")
+
+    # 3. the window inside a piece
+    inside = Window.partitionBy(*keys, "_piece")
+    w = inside.orderBy(*order, "_tie").rowsBetween(Window.unboundedPreceding, frame_end)
+
+    def over(val: Column, op: str) -> Column:
+        return F.last(val, ignorenulls=True).over(w) if op == "last" else _AGG[op](val).over(w)
+
+    same = F.count("*").over(inside).eqNullSafe(F.col("_rows")) & F.max("_tie").over(inside).eqNullSafe(F.col("_max_tie"))
+    scanned = joined.withColumns({"_same": same} | {out: _combine(op, F.col(f"_off{i}"), over(val, op))
+                                                    for i, (val, op, out) in enumerate(vals)})
+    checked = scanned.filter(F.when(F.col("_same"), F.lit(True)).otherwise(
+        F.raise_error(F.lit("prefix scan saw two different partitionings")).cast("boolean")))
+    return checked.drop("_piece", "_tie", "_rows", "_max_tie", "_same", *[f"_off{i}" for i in range(len(vals))])

@@ -9,10 +9,10 @@ Inputs use the model's column names:
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stockflow.functions.scalars import availability, exact_sum, rescale, unscaled
+from stockflow.functions.scalars import availability, exact, exact_sum
 from stockflow.operators.scan import prefix_scan
 from stockflow.types import OPEN_MO, OPEN_SALES, QTY_SUM
 
@@ -123,28 +123,22 @@ def stock_overview(products: DataFrame, orders: DataFrame, lines: DataFrame) ->
                     F.coalesce("shortage_lines", F.lit(0)).cast("bigint").alias("shortage_lines")))
 
 
-def shortages(orders: DataFrame, lines: DataFrame, products: DataFrame,
-              bucket_days: int | str | None = None) -> DataFrame:
+def shortages(orders: DataFrame, lines: DataFrame, products: DataFrame) -> DataFrame:
     """K1: shortage per open sales line, served in order of (creation_date,
     order id, line_seq) within each product.
 
     short = least(outstanding, greatest(cum_outstanding - greatest(on_hand, 0), 0)).
     The line shortages of a product add up to greatest(total outstanding -
-    on_hand, 0). ``bucket_days`` splits hot products by creation date.
+    on_hand, 0). Hot products are split (see operators.scan).
     """
     o = orders.filter(F.col("status").isin(*OPEN_SALES)).select(
         F.col("id").alias("order_id"), "creation_date")
     ln = (lines.join(o, "order_id")
           .select("order_id", "line_seq", "product_id", "creation_date",
                   _outstanding("ordered_qty", "done_qty").alias("outstanding_qty")))
-    if bucket_days == "auto":
-        bucket = "auto"
-    else:
-        bucket = (F.floor(F.datediff("creation_date", F.lit("1970-01-01")) / bucket_days)
-                  if bucket_days else None)
     cum = prefix_scan(ln, ["product_id"], ["creation_date", "order_id", "line_seq"],
-                      unscaled("outstanding_qty"), "sum", "cum_outstanding", bucket=bucket)
-    cum = cum.withColumn("cum_outstanding", rescale("cum_outstanding", 3, QTY_SUM))
+                      exact("outstanding_qty"), "sum", "cum_outstanding")
+    cum = cum.withColumn("cum_outstanding", F.col("cum_outstanding").cast(QTY_SUM))
     onhand = products.select("product_id", F.greatest("on_hand_qty", F.lit(0)).alias("_oh"))
     return (cum.join(onhand, "product_id", "left")
             .select("order_id", "line_seq", "product_id",

@@ -131,8 +131,8 @@ from (select l.order_id, l.line_seq, l.product_id, p.on_hand_qty,
       left join product p on p.product_id = l.product_id
       where o.status in ('Confirmed', 'Partially Delivered')) x""")
 def q_shortages(m: Model):
-    """K1: shortage per open sales line by a running sum per product (split by 30-day buckets)."""
-    return stock.shortages(m.sales_order, m.sales_line, m.product, bucket_days=30)
+    """K1: shortage per open sales line by a running sum per product."""
+    return stock.shortages(m.sales_order, m.sales_line, m.product)
 
 
 # --------------------------------------------------------------------------
@@ -523,10 +523,9 @@ select m.product_id, m.movement_date, m.order_id, m.line_seq, m.reference_type,
             as decimal(20,3)) as resulting_on_hand
 from stock_movement m left join product p on p.product_id = m.product_id""")
 def q_ledger(m: Model):
-    """Running on-hand balance per product from the opening balance, split by month buckets."""
+    """Running on-hand balance per product from the opening balance."""
     return ledger.ledger(m.stock_movement, m.product.select("product_id", "on_hand_qty"),
-                         ["movement_date", "order_id", "line_seq"],
-                         bucket=F.date_trunc("month", "movement_date"))
+                         ["movement_date", "order_id", "line_seq"])
 
 
 @query("final_on_hand", sql="""
@@ -561,22 +560,18 @@ from (select line_id, seq, greatest(0, coalesce(prior, 0)) as before_qty,
 where after_qty > before_qty"""
 
 
-SEQ_BUCKET = 2048
-
-
 @query("apply_deliveries", sql=_running_max_sql("fulfil_command", "coalesce(requested_qty, 0)", "ordered_qty", "-"))
 def q_apply_deliveries(m: Model):
     """Delivery commands as a prefix max per line; emits the negative movements."""
     cmd = m.fulfil_command.withColumn("done_qty", F.lit(None).cast("decimal(14,3)"))
-    return fulfil.apply_deliveries(cmd, ["line_id"], ["seq"],
-                                   bucket=F.floor(F.col("seq") / SEQ_BUCKET))
+    return fulfil.apply_deliveries(cmd, ["line_id"], ["seq"])
 
 
 @query("apply_receipts", sql=_running_max_sql("receipt_command", "coalesce(requested_qty, 0)", "ordered_qty", ""))
 def q_apply_receipts(m: Model):
     """Receipt commands; emits the positive movements."""
     cmd = receipt_command(m).withColumn("done_qty", F.lit(None).cast("decimal(14,3)"))
-    return fulfil.apply_receipts(cmd, ["line_id"], ["seq"], bucket=F.floor(F.col("seq") / SEQ_BUCKET))
+    return fulfil.apply_receipts(cmd, ["line_id"], ["seq"])
 
 
 @query("apply_consumption", sql=_running_max_sql(
@@ -585,8 +580,7 @@ def q_apply_receipts(m: Model):
 def q_apply_consumption(m: Model):
     """Consumption commands; 0 means the full need."""
     cmd = consume_command(m).withColumn("done_qty", F.lit(None).cast("decimal(14,3)"))
-    return fulfil.apply_consumption(cmd, ["line_id"], ["seq"], need_col="need_qty",
-                                    bucket=F.floor(F.col("seq") / SEQ_BUCKET))
+    return fulfil.apply_consumption(cmd, ["line_id"], ["seq"], need_col="need_qty")
 
 
 @query("finished_movements", sql="""
@@ -627,7 +621,7 @@ select order_id, line_seq, product_id, cmd_time, cast(-(after_qty - before_qty)
 from steps where after_qty > before_qty""")
 def q_fulfil_movements(m: Model):
     """Stock movements from delivering open sales lines shipped before the as-of date."""
-    out = fulfil.fulfil_sales(m.sales_order, m.sales_line, deliver_command(m), ["cmd_time"], bucket="auto")
+    out = fulfil.fulfil_sales(m.sales_order, m.sales_line, deliver_command(m), ["cmd_time"])
     return out["movements"]
 
 
@@ -642,7 +636,7 @@ where o.id in (select order_id from deliver_command)
 group by o.id""")
 def q_fulfil_order_status(m: Model):
     """E6 + D13: status of every order that received delivery commands, from its lines after."""
-    out = fulfil.fulfil_sales(m.sales_order, m.sales_line, deliver_command(m), ["cmd_time"], bucket="auto")
+    out = fulfil.fulfil_sales(m.sales_order, m.sales_line, deliver_command(m), ["cmd_time"])
     return out["status"]
 
 
@@ -675,7 +669,7 @@ select record_id, seq, op, 'not found' as error from (
 where op in ('update', 'delete') and not (pc is not null and (pd is null or pc > pd))""")
 def q_feed_rejects(m: Model):
     """Updates and deletes of records that do not exist at that point."""
-    return changes.feed_rejects(m.change_feed, "record_id", bucket=F.floor(F.col("seq") / SEQ_BUCKET))
+    return changes.feed_rejects(m.change_feed, "record_id")
 
 
 _PATCH_BASE = "select product_id, reference, product_name, on_hand_qty, procurement_type from product"
@@ -771,8 +765,7 @@ from (""" + _PREV_SQL + ") x")
 def q_audit_rows(m: Model):
     """E10 (style real): audit row per status command with the previous status as old value."""
     return changes.audit_rows(m.manufacturing_order.select("id", "status"), status_command(m),
-                              "Manufacturing", "ManufacturingOrder", style="real",
-                              bucket=F.floor(F.col("seq") / SEQ_BUCKET))
+                              "Manufacturing", "ManufacturingOrder", style="real")
 
 
 @query("audit_rows_reference_style", sql="""
@@ -796,8 +789,7 @@ where not exists (select 1 from (values ('Draft', 'confirm'), ('Draft', 'cancel'
                   where a.s = x.old_status and a.c = x.command)""")
 def q_illegal_transitions(m: Model):
     """Status commands the client would not have offered at that point."""
-    return changes.illegal_transitions(m.manufacturing_order.select("id", "status"), status_command(m),
-                                       bucket=F.floor(F.col("seq") / SEQ_BUCKET))
+    return changes.illegal_transitions(m.manufacturing_order.select("id", "status"), status_command(m))
 
 
 @query("assign_references", sql="""
@@ -1048,7 +1040,7 @@ need as (
 
 
 def _plan(m: Model):
-    sh = stock.shortages(m.sales_order, m.sales_line, m.product, bucket_days=30)
+    sh = stock.shortages(m.sales_order, m.sales_line, m.product)
     return procurement.procurement_plan(sh, m.product, m.bom_component)
 
 
@@ -1302,7 +1294,7 @@ where x.op = 'create' or (x.pc is not null and (x.pd is null or x.pc > x.pd))"""
 def q_feed_audit_rows(m: Model):
     """E10 for the change feed: Created / Updated / Deleted audit rows for applied changes only."""
     return changes.feed_audit_rows(m.change_feed, "record_id", "Product", "Product", "new_label",
-                                   "Product updated", bucket=F.floor(F.col("seq") / SEQ_BUCKET))
+                                   "Product updated")
 
 
 @query("bom_texts", sql="""
@@ -1338,7 +1330,7 @@ select r.order_id, r.cmd_time, 'Sales' as module, 'SalesOrder' as record_type, '
 from per_req r left join incomplete i on i.order_id = r.order_id""")
 def q_fulfil_audit_rows(m: Model):
     """E6 + E10: one audit row per deliver request with the order's status right after it."""
-    out = fulfil.fulfil_sales(m.sales_order, m.sales_line, deliver_command(m), ["cmd_time"], bucket="auto")
+    out = fulfil.fulfil_sales(m.sales_order, m.sales_line, deliver_command(m), ["cmd_time"])
     return out["audit"]
 
 
@@ -1350,7 +1342,7 @@ select s.order_id, s.line_seq, s.product_id, s.cmd_time, cast(-(s.after_qty - s.
 from steps s left join product p on p.product_id = s.product_id where s.after_qty > s.before_qty""")
 def q_fulfil_ledger(m: Model):
     """E6 + E1: the delivery movements with the running on-hand from the products' stock."""
-    out = fulfil.fulfil_sales(m.sales_order, m.sales_line, deliver_command(m), ["cmd_time"], bucket="auto",
+    out = fulfil.fulfil_sales(m.sales_order, m.sales_line, deliver_command(m), ["cmd_time"],
                               opening=m.product.select("product_id", "on_hand_qty"))
     return out["ledger"]
 
@@ -1394,7 +1386,7 @@ def q_produce_movements(m: Model):
     untouched components) and finished goods per request."""
     comps = _mo_components(m)
     explicit, produce = produce_requests(m, comps)
-    return fulfil.produce_orders(m.manufacturing_order, comps, explicit, produce, bucket="auto")["movements"]
+    return fulfil.produce_orders(m.manufacturing_order, comps, explicit, produce)["movements"]
 
 
 @query("produce_components_after", sql=_PRODUCE_SQL + """
@@ -1407,4 +1399,4 @@ def q_produce_components_after(m: Model):
     """E4 + E6: MO components with their consumption after the produce requests."""
     comps = _mo_components(m)
     explicit, produce = produce_requests(m, comps)
-    return fulfil.produce_orders(m.manufacturing_order, comps, explicit, produce, bucket="auto")["components"]
+    return fulfil.produce_orders(m.manufacturing_order, comps, explicit, produce)["components"]

@@ -4,6 +4,7 @@ products, filters pushed into the parquet scan, and pruned read schemas."""
 import pytest
 
 import __spark_entry__ as E
+from stockflow.plans.catalog import load_all
 from tests.conftest import SF_SMALL
 
 FORBIDDEN = ["BatchEvalPython", "ArrowEvalPython", "CartesianProduct", "BroadcastNestedLoopJoin",
@@ -14,7 +15,7 @@ def plan_text(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(load_all()))
 def test_no_python_udf_or_cartesian(spark, name):
     text = plan_text(E.queries()[name](spark, SF_SMALL))
     for bad in FORBIDDEN:

@@ -1,6 +1,6 @@
 """Property tests: the set-based operators against plain Python loops that
 replay the reference's sequential semantics, with a hot key and several
-partition counts / bucket widths."""
+partition counts."""
 
 import math
 import random
@@ -26,7 +26,7 @@ def _rows(seed, n_keys=12, n=400, hot_share=0.35):
 
 @pytest.mark.parametrize("op", ["sum", "max", "min", "last"])
 @pytest.mark.parametrize("seed", [1, 2])
-def test_prefix_scan_bucketed_equals_loop(spark, op, seed):
+def test_prefix_scan_equals_loop(spark, op, seed):
     rows = _rows(seed)
     df = spark.createDataFrame(rows, "k int, seq long, v int").repartition(5)
     expect = {}
@@ -46,10 +46,10 @@ def test_prefix_scan_bucketed_equals_loop(spark, op, seed):
                     cur = v
             state[k] = cur
             expect[(inclusive, s)] = cur if inclusive else before
-        for bucket in (None, F.floor(F.col("seq") / 37)):
-            out = prefix_scan(df, ["k"], ["seq"], "v", op, "out", inclusive=inclusive, bucket=bucket)
+        for parts in (1, 9):
+            out = prefix_scan(df, ["k"], ["seq"], "v", op, "out", inclusive=inclusive, num_partitions=parts)
             got = {r.seq: r.out for r in out.collect()}
-            assert got == {s: expect[(inclusive, s)] for _, s, _ in rows}, (op, inclusive, bucket is None)
+            assert got == {s: expect[(inclusive, s)] for _, s, _ in rows}, (op, inclusive, parts)
 
 
 def _js_deliver(ordered, initial, requests, fallback=False):
@@ -82,11 +82,9 @@ def test_running_max_equals_reference_loop(spark, seed, fallback):
             expect[seq] = d
             seq += 1
     df = spark.createDataFrame(rows, "line_id int, seq long, requested_qty double, ordered_qty double, done_qty double")
-    for bucket in (None, F.floor(F.col("seq") / 50)):
-        got = {r.seq: float(r.delta) for r in
-               fulfil.apply_quantity_commands(df.repartition(3), ["line_id"], ["seq"], bucket=bucket,
-                                              fallback_to_need=fallback).collect()}
-        assert got == {k: float(v) for k, v in expect.items()}
+    got = {r.seq: float(r.delta) for r in
+           fulfil.apply_quantity_commands(df.repartition(3), ["line_id"], ["seq"], fallback_to_need=fallback).collect()}
+    assert got == {k: float(v) for k, v in expect.items()}
 
 
 def _replay(feed):
@@ -121,9 +119,7 @@ def test_compact_changes_equals_replay(spark, seed):
     got = {r.k: {"v": r.v, "label": r.label, "seq": r.last_seq}
            for r in changes.compact_changes(df, "k", keep_cols=["v"], overlay_cols=["label"]).collect()}
     assert got == state
-    for bucket in (None, F.floor(F.col("seq") / 64)):
-        rj = {r.seq for r in changes.feed_rejects(df, "k", bucket=bucket).collect()}
-        assert rj == rejects
+    assert {r.seq for r in changes.feed_rejects(df, "k").collect()} == rejects
 
 
 @pytest.mark.parametrize("parts", [1, 3, 7])
@@ -139,29 +135,39 @@ def test_assign_references_global_order(spark, parts):
 
 
 def test_hot_key_is_spread_over_tasks(spark):
-    """A key with 40% of the rows: the plain window keeps it in one
-    partition, the bucketed scan splits it across several."""
-    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    """A key with a third of the rows, all but one of them tied on the first
+    order value and one far away: its rows spread evenly over the pieces, and
+    the running sum still goes up by one per row."""
+    from pyspark.sql import Window
+
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
     try:
-        df = spark.range(20000).select(
-            F.when(F.col("id") % 5 < 2, F.lit(0)).otherwise(F.col("id") % 97).alias("k"),
-            F.col("id").alias("seq"), F.lit(1).alias("v"))
-
-        def hot_partitions(bucket):
-            out = prefix_scan(df, ["k"], ["seq"], "v", "sum", "run", bucket=bucket)
-            # keep `run` in the same result, or Catalyst prunes the window
-            got = out.filter("k = 0").select(F.spark_partition_id().alias("p"), "run").collect()
-            return {r.p for r in got}, sorted(r.run for r in got)
-
-        plain_parts, plain_runs = hot_partitions(None)
-        split_parts, split_runs = hot_partitions(F.floor(F.col("seq") / 500))
-        assert len(plain_parts) == 1
-        assert len(split_parts) > 1
-        assert plain_runs == split_runs == list(range(1, len(plain_runs) + 1))
-        assert len(plain_runs) > 8000
+        df = spark.range(30000).select(
+            F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 97 + 1).alias("k"),
+            F.when(F.col("id") == 0, F.lit(10 ** 9)).otherwise(F.lit(5)).alias("day"), "id", F.lit(1).alias("v"))
+        out = prefix_scan(df, ["k"], ["day"], "v", "sum", "run")
+        got = out.filter("k = 0").select(F.spark_partition_id().alias("p"), "run", "id").collect()
+        assert sorted(r.run for r in got) == list(range(1, 10001))
+        assert next(r.run for r in got if r.id == 0) == 10000
+        sizes = sorted(n for n in (sum(r.p == p for r in got) for p in {r.p for r in got}))
+        assert len(sizes) >= 3 and sizes[-1] <= 6000
+        plain = df.select(F.count("*").over(Window.partitionBy("k")).alias("n"), "k").filter("k = 0")
+        assert len({r.p for r in plain.select(F.spark_partition_id().alias("p"), "n").collect()}) == 1
     finally:
-        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_prefix_scan_runs_no_job_when_built(spark):
+    """Building the plan starts no job, and both sides read one exchange."""
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("build-only", "build")
+    out = prefix_scan(spark.range(100).withColumn("v", F.lit(1)), [], ["id"], "v", "sum", "run")
+    assert tracker.getJobIdsForGroup("build-only") == []
+    spark.sparkContext.setJobGroup("run", "run")
+    assert sorted(r.run for r in out.select("run").collect()) == list(range(1, 101))
 
 
 def test_last_request_status_equals_final_status(spark):
@@ -189,28 +195,6 @@ def test_request_status_small(spark):
     assert got == [(10, "Partially Delivered"), (20, "Fully Delivered")]
 
 
-def test_auto_bucket_splits_only_hot_keys(spark):
-    from stockflow.operators.scan import auto_bucket
-    df = spark.range(20000).select(F.when(F.col("id") % 5 < 2, F.lit(0)).otherwise(F.col("id") % 97).alias("k"),
-                                   F.col("id").alias("seq"), F.lit(1).alias("v"))
-    assert auto_bucket(df, ["k"], "seq", target_rows=100_000) is None
-    assert auto_bucket(df, ["k"], "seq", target_rows=1000) is not None
-    plain = {r.seq: r.run for r in prefix_scan(df, ["k"], ["seq"], "v", "sum", "run").collect()}
-    auto = {r.seq: r.run for r in prefix_scan(df, ["k"], ["seq"], "v", "sum", "run", bucket="auto",
-                                              target_rows=1000).collect()}
-    assert plain == auto
-
-
-def test_auto_bucket_on_timestamps(spark):
-    import datetime as dt
-    rows = [(i % 3, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=7 * i), 1) for i in range(3000)]
-    df = spark.createDataFrame(rows, "k int, ts timestamp_ntz, v int")
-    plain = {(r.k, r.ts): r.run for r in prefix_scan(df, ["k"], ["ts"], "v", "sum", "run").collect()}
-    auto = {(r.k, r.ts): r.run for r in prefix_scan(df, ["k"], ["ts"], "v", "sum", "run", bucket="auto",
-                                                    target_rows=100).collect()}
-    assert plain == auto
-
-
 @pytest.mark.parametrize("parts", [1, 4, 9])
 def test_number_within_equals_row_number(spark, parts):
     from pyspark.sql import Window
@@ -222,15 +206,3 @@ def test_number_within_equals_row_number(spark, parts):
     got = number_within(df, ["k"], ["o"], "rn", num_partitions=parts)
     assert got.select("k", "o", "rn").exceptAll(expect.select("k", "o", "rn")).count() == 0
     assert got.count() == 5000
-
-
-def test_fulfil_bucketed_equals_plain(spark):
-    from stockflow.sources.model import Model, deliver_command
-    m = Model(spark, "/root/testdata/sf0.001")
-    opening = m.product.select("product_id", "on_hand_qty")
-    plain = fulfil.fulfil_sales(m.sales_order, m.sales_line, deliver_command(m), ["cmd_time"], opening=opening)
-    split = fulfil.fulfil_sales(m.sales_order, m.sales_line, deliver_command(m), ["cmd_time"],
-                                bucket=F.date_trunc("month", "cmd_time"), opening=opening)
-    for name in ("movements", "audit", "ledger"):
-        a, b = plain[name], split[name]
-        assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0, name

@@ -2,6 +2,7 @@
 
 from decimal import Decimal as D
 
+import pytest
 from pyspark.sql import functions as F
 
 from stockflow.functions import scalars as S
@@ -63,3 +64,29 @@ def test_exact_sum_matches_decimal_sum(spark):
     df = spark.createDataFrame([(D("1.125"),), (D("-2.500"),), (None,), (D("1000000.001"),)], "q decimal(14,3)")
     r = df.agg(S.exact_sum("q", 3, "decimal(20,3)").alias("a"), F.sum("q").alias("b")).first()
     assert r.a == r.b == D("999998.626")
+
+
+def test_exact_sum_cuts_nothing(spark):
+    fine = spark.createDataFrame([(D("1.000490"),), (D("1.000490"),)], "q decimal(20,6)")
+    assert fine.agg(S.exact_sum("q", 3, "decimal(20,3)").alias("s")).first().s == D("2.001")
+    doubles = spark.createDataFrame([(0.29,), (0.29,)], "q double")
+    assert doubles.agg(S.exact_sum("q", 2).alias("s")).first().s == D("0.58")
+    old = spark.conf.get("spark.sql.ansi.enabled")
+    try:
+        for ansi in ("true", "false"):
+            spark.conf.set("spark.sql.ansi.enabled", ansi)
+            big = spark.createDataFrame([(D("9000000000000000.001"),)] * 3, "q decimal(19,3)")
+            assert big.agg(S.exact_sum("q", 3, "decimal(23,3)").alias("s")).first().s == D("27000000000000000.003")
+            with pytest.raises(Exception, match="does not fit"):
+                spark.createDataFrame([(1e-12,)], "q double").agg(S.exact_sum("q")).collect()
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", old)
+
+
+def test_opening_comes_first_whatever_the_order_value(spark):
+    from stockflow.operators.ledger import ledger
+
+    moves = spark.createDataFrame([(1, D("5.000"), None), (1, D("2.000"), 3)], "product_id int, movement_qty decimal(14,3), seq int")
+    opening = spark.createDataFrame([(1, D("100.000"))], "product_id int, on_hand_qty decimal(14,3)")
+    got = {r.seq: r.resulting_on_hand for r in ledger(moves, opening, ["seq"]).collect()}
+    assert got == {None: D("105.000"), 3: D("107.000")}

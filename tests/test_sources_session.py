@@ -46,14 +46,3 @@ def test_summary_json_keeps_nulls(spark, tmp_path):
     lines = [ln for f in sorted(os.listdir(path)) if f.endswith(".json")
              for ln in open(os.path.join(path, f)).read().splitlines() if ln.strip()]
     assert [json.loads(ln) for ln in lines] == [{"id": 1, "note": None}]
-
-
-def test_auto_bucket_on_dates(spark):
-    from stockflow.operators.scan import auto_bucket, prefix_scan
-    rows = [(0 if i % 2 else i % 7, dt.date(2024, 1, 1) + dt.timedelta(days=i // 3), i) for i in range(3000)]
-    df = spark.createDataFrame(rows, "k int, d date, i int").withColumn("v", F.lit(1))
-    assert auto_bucket(df, ["k"], "d", target_rows=200) is not None
-    a = {r.i: r.run for r in prefix_scan(df, ["k"], ["d", "i"], "v", "sum", "run", bucket="auto",
-                                         target_rows=200).collect()}
-    b = {r.i: r.run for r in prefix_scan(df, ["k"], ["d", "i"], "v", "sum", "run").collect()}
-    assert a == b
