@@ -94,13 +94,11 @@ def permissions_for_email(users: DataFrame, email: str, modules: Sequence[str],
 
 
 def permissions_by_user(permissions: DataFrame) -> DataFrame:
-    """Permission rows grouped per user (at most one per module, so the
-    group is bounded by the module list; checked before collecting)."""
-    from stockflow.operators.summaries import check_group_size
-    check_group_size(permissions, "user_id", limit=10 * len(MODULES))
-    return (permissions.groupBy("user_id")
-            .agg(F.sort_array(F.collect_list(F.struct("module", *[c for c in LEVELS if c in permissions.columns])))
-                 .alias("permissions")))
+    """Permission rows grouped per user: user_id, chunk_no, permissions
+    (one chunk unless a user has more rows than ``summaries.CHUNK``)."""
+    from stockflow.operators.summaries import collect_present
+    return collect_present(permissions, "user_id", ["module", *[c for c in LEVELS if c in permissions.columns]],
+                           "permissions", present="module")
 
 
 def duplicate_emails(existing: DataFrame, incoming: DataFrame) -> DataFrame:

@@ -3,10 +3,12 @@
 ``flat=True`` (the default) gives one row per (header, child) with the
 header's columns repeated and headers without children kept once with null
 child columns: the scalable form, since no group is gathered into one row.
-``flat=False`` gives the nested document form of the reference's views: one
-row per header with ``array<struct>`` children (empty array when none),
-built by pre-aggregating each child table separately so two children never
-multiply (no components x operations fan-out).
+``flat=False`` gives the nested document form of the reference's views:
+``array<struct>`` children (empty array when none), each child table
+aggregated separately so two children never multiply (no components x
+operations fan-out). A document holds at most ``CHUNK`` children of a kind;
+a header with more has several documents, numbered by ``chunk_no`` in the
+order of the children, which together hold every child.
 """
 
 from __future__ import annotations
@@ -18,59 +20,68 @@ from pyspark.sql import functions as F
 
 from stockflow.functions.scalars import availability
 from stockflow.operators.lines import line_total
+from stockflow.operators.scan import prefix_scan
 
 
-# Largest child group the nested (document) form will gather into one row.
-MAX_NESTED_CHILDREN = 100_000
+# Children of a kind that one nested document holds.
+CHUNK = 10_000
 
 
-class GroupTooLarge(ValueError):
-    """A parent has more children than a nested document may hold."""
-
-
-def check_group_size(df: DataFrame, key: str, limit: int = MAX_NESTED_CHILDREN) -> None:
-    """Size check before gathering groups into arrays: one partial + final
-    aggregate; raises GroupTooLarge if any key has more than ``limit`` rows,
-    so no unbounded group is ever collected into one task. Use the flat form
-    for such data."""
-    top = df.groupBy(key).count().agg(F.max("count").alias("m")).first()
-    if top is not None and top.m is not None and top.m > limit:
-        raise GroupTooLarge(f"a {key} has {top.m} children (> {limit}); use flat=True")
+def _chunks(df: DataFrame, key: str, fields: Sequence[Column | str], out: str, present: str | None,
+            distinct: bool, size: int) -> DataFrame:
+    """(key, chunk_no, out): the children of each key in order, cut into arrays
+    of at most ``size``. Children are numbered by a piecewise scan, so that no
+    task holds all children of a large key. Every key has a chunk 0."""
+    child = F.struct(*[F.col(f) if isinstance(f, str) else f for f in fields])
+    rows = (df.filter(F.col(present).isNotNull()) if present else df).select(key, child.alias("_child"))
+    if distinct:
+        rows = rows.distinct()
+    numbered = prefix_scan(rows, [key], ["_child"], F.lit(1), "sum", "_no")
+    arrays = (numbered.groupBy(key, F.floor((F.col("_no") - 1) / size).cast("long").alias("chunk_no"))
+              .agg(F.sort_array(F.collect_list("_child")).alias(out)))
+    empty = F.array().cast(arrays.schema[out].dataType)
+    some = arrays.withColumnRenamed(key, "_k")
+    return (df.select(key).distinct().join(some, F.col(key).eqNullSafe(F.col("_k")), "left")
+            .select(key, F.coalesce("chunk_no", F.lit(0)).alias("chunk_no"), F.coalesce(out, empty).alias(out)))
 
 
 def collect_present(df: DataFrame, key: str, fields: Sequence[Column | str], out: str,
-                    present: str = "id", limit: int = MAX_NESTED_CHILDREN) -> DataFrame:
-    """D12 (+ D11): per key, a sorted array of the child structs whose
-    ``present`` column is not null; an empty array when there are none.
-    Checked with ``check_group_size`` first."""
-    check_group_size(df, key, limit)
-    s = F.struct(*[F.col(f) if isinstance(f, str) else f for f in fields])
-    return (df.groupBy(key)
-            .agg(F.sort_array(F.collect_list(F.when(F.col(present).isNotNull(), s))).alias(out)))
+                    present: str = "id", size: int = CHUNK) -> DataFrame:
+    """D12 (+ D11): per key, sorted arrays of the child structs whose
+    ``present`` column is not null (key, chunk_no, out); an empty array when
+    there are none."""
+    return _chunks(df, key, fields, out, present, False, size)
 
 
 def collect_distinct(df: DataFrame, key: str, fields: Sequence[Column | str], out: str,
-                     limit: int = MAX_NESTED_CHILDREN) -> DataFrame:
-    """Per key, the sorted array of distinct child structs (the
-    reference's json_agg(distinct ...)). Duplicates are dropped during the
-    partial aggregation, so the group holds distinct values only; checked
-    with ``check_group_size`` first."""
-    check_group_size(df, key, limit)
-    s = F.struct(*[F.col(f) if isinstance(f, str) else f for f in fields])
-    return df.groupBy(key).agg(F.sort_array(F.collect_set(s)).alias(out))
+                     size: int = CHUNK) -> DataFrame:
+    """Per key, sorted arrays of the distinct child structs (the
+    reference's json_agg(distinct ...)): key, chunk_no, out."""
+    return _chunks(df, key, fields, out, None, True, size)
 
 
 def attach_children(headers: DataFrame, key: str, children: DataFrame, child_key: str,
-                    out: str, fields: Sequence[str], flat: bool) -> DataFrame:
+                    out: str, fields: Sequence[str], flat: bool, size: int = CHUNK) -> DataFrame:
     """C11: left join headers onto their children (flat) or onto the child
-    array (nested; headers without children get [])."""
+    arrays (nested; headers without children get []). Headers that already
+    have a ``chunk_no`` share it: chunk k of one kind stands with chunk k of
+    the other, so two kinds never multiply."""
     if flat:
         c = children.select(F.col(child_key).alias(key), *fields)
         return headers.join(c, key, "left")
-    arr = collect_present(children.withColumnRenamed(child_key, key), key, fields, out,
-                          present=fields[0])
-    return (headers.join(arr, key, "left")
-            .withColumn(out, F.coalesce(F.col(out), F.array().cast(arr.schema[out].dataType))))
+    arr = collect_present(children.withColumnRenamed(child_key, key), key, fields, out, present=fields[0], size=size)
+    kind = arr.schema[out].dataType
+    if "chunk_no" not in headers.columns:
+        joined = headers.join(arr, key, "left").withColumn("chunk_no", F.coalesce("chunk_no", F.lit(0).cast("long")))
+        return joined.withColumn(out, F.coalesce(F.col(out), F.array().cast(kind)))
+    # Chunks beyond those of the first kind: the header again, its own arrays empty.
+    arrays = [f.name for f in headers.schema if f.dataType.typeName() == "array"]
+    first = headers.filter("chunk_no = 0")
+    more = arr.join(headers.select(key, "chunk_no"), [key, "chunk_no"], "left_anti").select(key, F.col("chunk_no").alias("_more"))
+    extra = first.join(more, key).withColumn("chunk_no", F.col("_more")).drop("_more")
+    extra = extra.withColumns({a: F.array().cast(headers.schema[a].dataType) for a in arrays})
+    joined = headers.unionByName(extra.select(*headers.columns)).join(arr, [key, "chunk_no"], "left")
+    return joined.withColumn(out, F.coalesce(F.col(out), F.array().cast(kind)))
 
 
 def with_owner_name(df: DataFrame, users: DataFrame, col: str, name: str) -> DataFrame:
@@ -81,18 +92,23 @@ def with_owner_name(df: DataFrame, users: DataFrame, col: str, name: str) -> Dat
     return df.join(u, col, "left")
 
 
+def _product_rows(products: DataFrame, position: DataFrame) -> DataFrame:
+    """One row per product: its columns and its stock position. Products known
+    on one side only keep nulls for the other."""
+    pos = position.select("product_id", "on_hand_qty", "reserved_qty")
+    return products.drop("on_hand_qty", "reserved_qty").join(pos, "product_id", "full_outer")
+
+
 def _line_rows(lines: DataFrame, products: DataFrame, position: DataFrame | None,
                price_col: str, with_availability: bool) -> DataFrame:
     # The line's own price wins (the views read the stored line price); lines
     # without one take the product's current price, as at line creation.
-    if "unit_price" in lines.columns:
-        p = products.select("product_id", "product_name")
-    else:
-        p = products.select("product_id", "product_name", F.col(price_col).alias("unit_price"))
-    out = lines.join(p, "product_id", "left")
-    if with_availability and position is not None:
-        pos = position.select("product_id", "on_hand_qty", "reserved_qty")
-        out = (out.join(pos, "product_id", "left")
+    p = products.select("product_id", "product_name", *([] if "unit_price" in lines.columns else [F.col(price_col).alias("unit_price")]))
+    if not (with_availability and position is not None):
+        out = lines.join(p, "product_id", "left")
+    else:  # names, prices and stock as one row per product, joined once
+        about = _product_rows(p, position)
+        out = (lines.join(about, "product_id", "left")
                .withColumn("availability", availability("ordered_qty", "on_hand_qty", "reserved_qty", "sales")))
     return out.withColumn("total", line_total("unit_price", "ordered_qty", "done_qty", "view"))
 
@@ -134,9 +150,8 @@ def manufacturing_order_summary(mos: DataFrame, components: DataFrame, work_orde
     fp = products.select(F.col("product_id").alias("finished_product_id"),
                          F.col("product_name").alias("finished_product_name"))
     hdr = with_owner_name(mos.join(fp, "finished_product_id"), users, "assignee_id", "assignee_name")
-    pos = position.select("product_id", "on_hand_qty", "reserved_qty")
-    comp = (components.join(products.select("product_id", "product_name"), "product_id", "left")
-            .join(pos, "product_id", "left")
+    about = _product_rows(products.select("product_id", "product_name"), position)
+    comp = (components.join(about, "product_id", "left")
             .withColumn("availability", availability("to_consume_qty", "on_hand_qty", "reserved_qty", "mo")))
     cf = ["product_id", "product_name", "availability", "to_consume_qty", "consumed_qty"]
     wf = ["operation_name", "work_center", "expected_duration", "real_duration", "status"]

@@ -297,6 +297,91 @@ def q_sales_order_summary_nested(m: Model):
                       .cast("decimal(20,2)").alias("order_total"))
 
 
+@query("sales_order_nested_lines", sql="""
+select o.id, u.name as sales_person_name, l.line_seq, l.product_id, p.product_name,
+       case when l.ordered_qty > s.on_hand_qty - s.reserved_qty then 'Shortage' else 'Available' end as availability,
+       l.ordered_qty, l.done_qty as delivered_qty, p.sales_price as unit_price,
+       cast(case when l.done_qty > 0 then l.done_qty else l.ordered_qty end * p.sales_price as decimal(20,2)) as total
+from sales_order o left join app_user u on u.id = o.sales_person_id
+join sales_line l on l.order_id = o.id left join product p on p.product_id = l.product_id
+left join position_all s on s.product_id = l.product_id""")
+def q_sales_order_nested_lines(m: Model):
+    """D8 nested, contents: every line of every order's document."""
+    doc = summaries.sales_order_summary(m.sales_order, m.sales_line, m.product, m.app_user, _position_all(m), flat=False)
+    return lines.flatten(doc, "lines", keep=["id", "sales_person_name"])
+
+
+@query("purchase_order_nested_lines", sql="""
+select o.id, u.name as responsible_person_name, l.line_seq, l.product_id, p.product_name, l.ordered_qty,
+       l.done_qty as received_qty, p.cost_price as unit_price,
+       cast(case when l.done_qty > 0 then l.done_qty else l.ordered_qty end * p.cost_price as decimal(20,2)) as total
+from purchase_order o left join app_user u on u.id = o.responsible_person_id
+join purchase_line l on l.order_id = o.id left join product p on p.product_id = l.product_id""")
+def q_purchase_order_nested_lines(m: Model):
+    """D9 nested, contents: every line of every purchase order's document."""
+    doc = summaries.purchase_order_summary(m.purchase_order, m.purchase_line, m.product, m.app_user, flat=False)
+    return lines.flatten(doc, "lines", keep=["id", "responsible_person_name"])
+
+
+def _mo_documents(m: Model):
+    return summaries.manufacturing_order_summary(
+        m.manufacturing_order, _mo_components(m), bom.instantiate_operations(m.manufacturing_order, m.bom_operation, True),
+        m.product, m.app_user, _position_all(m), flat=False)
+
+
+@query("mo_nested_components", sql="""
+select mo.id, fp.product_name as finished_product_name, c.product_id, p.product_name,
+       case when s.on_hand_qty - s.reserved_qty >= c.to_consume_qty then 'Available' else 'Not Available' end as availability,
+       c.to_consume_qty, c.consumed_qty
+from manufacturing_order mo join product fp on fp.product_id = mo.finished_product_id
+join mo_component c on c.mo_id = mo.id left join product p on p.product_id = c.product_id
+left join position_all s on s.product_id = c.product_id""")
+def q_mo_nested_components(m: Model):
+    """D10 nested, contents: every component of every manufacturing order's document."""
+    return lines.flatten(_mo_documents(m), "components", keep=["id", "finished_product_name"])
+
+
+@query("mo_nested_operations", sql="""
+select mo.id, bo.operation_name, bo.work_center,
+       cast(bo.expected_duration * coalesce(nullif(mo.quantity, 0), 1) as decimal(20,2)) as expected_duration,
+       cast(0 as decimal(20,2)) as real_duration, 'Draft' as wo_status
+from manufacturing_order mo join product fp on fp.product_id = mo.finished_product_id
+join bom_operation bo on bo.bom_id = mo.bom_id""")
+def q_mo_nested_operations(m: Model):
+    """D10 nested, contents: every work order of every manufacturing order's document."""
+    return lines.flatten(_mo_documents(m), "operations", keep=["id"])
+
+
+@query("flatten_bom_operations", sql="""
+select b.id, o.operation_name, o.work_center, o.expected_duration
+from bom b join product p on p.product_id = b.finished_product_id join bom_operation o on o.bom_id = b.id""")
+def q_flatten_bom_operations(m: Model):
+    """F6 on D7: every operation of every BoM's document."""
+    doc = summaries.bom_summary(boms(m), m.bom_component, m.bom_operation, m.product, flat=False)
+    return lines.flatten(doc, "operations", keep=["id"])
+
+
+@query("collect_distinct_components", sql="""
+select distinct bom_id, component_product_id, to_consume_qty from bom_component""")
+def q_collect_distinct_components(m: Model):
+    """The distinct components per BoM out of a components x operations fan-out."""
+    fanned = m.bom_component.join(m.bom_operation.select("bom_id", "operation_name"), "bom_id")
+    doc = summaries.collect_distinct(fanned, "bom_id", ["component_product_id", "to_consume_qty"], "components")
+    return lines.flatten(doc, "components", keep=["bom_id"])
+
+
+@query("sales_line_text", sql="""
+select o.id, coalesce(string_agg(coalesce(p.product_name, '') || ' ' || cast(l.ordered_qty as varchar) || ' ' ||
+       case when l.ordered_qty > s.on_hand_qty - s.reserved_qty then 'Shortage' else 'Available' end, '<br>'
+       order by l.line_seq), '') as line_text
+from sales_order o left join sales_line l on l.order_id = o.id left join product p on p.product_id = l.product_id
+left join position_all s on s.product_id = l.product_id group by o.id""")
+def q_sales_line_text(m: Model):
+    """D16: 'name qty availability' per line, joined per order."""
+    doc = summaries.sales_order_summary(m.sales_order, m.sales_line, m.product, m.app_user, _position_all(m), flat=False)
+    return doc.select("id", search.line_text("lines").alias("line_text"))
+
+
 @query("purchase_order_summary", sql="""
 select o.*, u.name as responsible_person_name, x.line_seq, x.product_id, x.product_name,
        x.ordered_qty, x.received_qty, x.unit_price, x.total
@@ -909,7 +994,7 @@ def q_permissions_for_email(m: Model):
 select user_id, count(*) as module_count, string_agg(module || ':' || can_view, ',' order by module) as modules
 from permission group by user_id""")
 def q_permissions_by_user(m: Model):
-    """Permission rows grouped per user (bounded by the module list)."""
+    """Permission rows grouped per user."""
     g = access.permissions_by_user(m.permission)
     return g.select("user_id", F.size("permissions").cast("bigint").alias("module_count"),
                     F.array_join(F.transform("permissions", lambda x: F.concat(x["module"], F.lit(":"), x["can_view"])),

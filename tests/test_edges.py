@@ -119,13 +119,18 @@ def test_user_document_non_array_yields_nothing(spark, tmp_path):
     assert u2.count() == 0 and p2.count() == 0
 
 
-def test_nested_form_refuses_oversized_groups(spark):
-    import pytest
-    from stockflow.operators.summaries import GroupTooLarge, collect_present
-    df = spark.range(50).select(F.lit(1).alias("k"), F.col("id"))
-    with pytest.raises(GroupTooLarge):
-        collect_present(df, "k", ["id"], "ids", limit=10)
-    assert len(collect_present(df, "k", ["id"], "ids", limit=50).first().ids) == 50
+def test_nested_form_holds_every_child_in_chunks(spark):
+    from stockflow.operators.summaries import attach_children, collect_present
+    df = spark.range(50).select(F.when(F.col("id") < 45, 1).otherwise(F.lit(None)).cast("int").alias("k"), F.col("id"))
+    got = sorted(((r.k, r.chunk_no, [x.id for x in r.ids]) for r in collect_present(df, "k", ["id"], "ids", size=20).collect()), key=str)
+    assert got == [(1, 0, list(range(20))), (1, 1, list(range(20, 40))), (1, 2, list(range(40, 45))), (None, 0, list(range(45, 50)))]
+    heads = spark.createDataFrame([(1, "a"), (2, "b")], "id int, name string")
+    one = spark.createDataFrame([(1, i) for i in range(3)], "p int, x int")
+    two = spark.createDataFrame([(1, i) for i in range(7)] + [(2, 9)], "p int, y int")
+    doc = attach_children(heads, "id", one, "p", "xs", ["x"], False, size=2)
+    doc = attach_children(doc, "id", two, "p", "ys", ["y"], False, size=2)
+    got = sorted((r.id, r.chunk_no, r.name, [v.x for v in r.xs], [v.y for v in r.ys]) for r in doc.collect())
+    assert got == [(1, 0, "a", [0, 1], [0, 1]), (1, 1, "a", [2], [2, 3]), (1, 2, "a", [], [4, 5]), (1, 3, "a", [], [6]), (2, 0, "b", [], [9])]
 
 
 def test_to_document_keeps_nulls(spark):
