@@ -669,13 +669,12 @@ def q_apply_consumption(m: Model):
 
 
 @query("finished_movements", sql="""
-select mo.id as mo_id, mo.id as seq, mo.finished_product_id as product_id, cast(mo.quantity as decimal(20,3)) as movement_qty
-from manufacturing_order mo where mo.status = 'Done'""")
+select r.mo_id, r.seq, mo.finished_product_id as product_id, cast(mo.quantity as decimal(20,3)) as movement_qty
+from produce_request r join manufacturing_order mo on mo.id = r.mo_id""")
 def q_finished_movements(m: Model):
-    """E5: +quantity of the finished product per produce command (MOs in status Done)."""
-    cmds = (m.manufacturing_order.filter(F.col("status") == "Done")
-            .select(F.col("id").alias("mo_id"), F.col("id").alias("seq")))
-    return fulfil.finished_movements(cmds, m.manufacturing_order)
+    """E5: +quantity of the finished product for every produce request, repeated ones included."""
+    _, requests = produce_requests(m, _mo_components(m))
+    return fulfil.finished_movements(requests, m.manufacturing_order)
 
 
 @query("completion_status", sql="""
@@ -705,7 +704,7 @@ steps as (
 select order_id, line_seq, product_id, cmd_time, cast(-(after_qty - before_qty) as decimal(20,3)) as movement_qty
 from steps where after_qty > before_qty""")
 def q_fulfil_movements(m: Model):
-    """Stock movements from delivering open sales lines shipped before the as-of date."""
+    """Stock movements from delivering all open sales lines."""
     out = fulfil.fulfil_sales(m.sales_order, m.sales_line, deliver_command(m), ["cmd_time"])
     return out["movements"]
 

@@ -1,6 +1,6 @@
-"""Tier-3 views as SQL text, used as CTEs in every oracle query.
+"""The test-table views as SQL text, used as CTEs in every oracle query.
 
-Fixed values: this is the FIXTURES.md mapping verbatim, so that the DuckDB
+Fixed values: the mapping of FIXTURES.md, so that the DuckDB
 oracle and the DataFrame model (stockflow.sources.model) read the same rows.
 """
 
@@ -13,7 +13,7 @@ VIEWS = [
     ("purchase_line", "select * from line where l_returnflag = 'N'"),
     ("purchase_order", "select order_id as id, min(vendor_id) as vendor_id, cast(min(l_shipdate) as date) as creation_date, cast(min(l_shipdate) + interval 14 day as date) as due_date, order_id % 25 as responsible_person_id, case when order_id % 11 = 0 then 'Draft' when order_id % 13 = 0 then 'Cancelled' when sum(done_qty) = 0 then 'Confirmed' when sum(done_qty) < sum(ordered_qty) then 'Partially Received' else 'Fully Received' end as status from purchase_line group by order_id"),
     ("bom_component", "select p.product_id as bom_id, c.product_id as component_product_id, cast(c.product_id % 5 + 1 as decimal(14,3)) as to_consume_qty from product p cross join (values (1), (2)) as k(step) join product c on c.product_id = p.product_id + k.step where p.bom_id is not null"),
-    ("bom_operation", "select product_id as bom_id, op as operation_name, wc as work_center, cast(base + product_id % 10 as decimal(14,2)) as expected_duration from product cross join (values ('Assembly','Assembly Bay',60), ('Painting','Paint Booth',30), ('Packing','Dispatch Bay',20)) as o(op, wc, base) where bom_id is not null"),
+    ("bom_operation", "select product_id as bom_id, op as operation_name, wc as work_center, cast(base + product_id % 10 as decimal(14,2)) as expected_duration from product cross join (values ('Cutting','Saw Line',45), ('Sanding','Belt Room',25), ('Crating','Dock C',15)) as o(op, wc, base) where bom_id is not null"),
     ("manufacturing_order", "select l_orderkey as id, min(l_partkey) as finished_product_id, min(l_partkey) as bom_id, cast(max(l_quantity) as decimal(14,3)) as quantity, cast(min(l_shipdate) as date) as schedule_date, l_orderkey % 25 as assignee_id, case l_orderkey % 5 when 0 then 'Draft' when 1 then 'Confirmed' when 2 then 'In Progress' when 3 then 'Done' else 'Cancelled' end as status from lineitem where l_partkey % 3 = 0 group by l_orderkey"),
     ("stock_movement", "select product_id, l_shipdate as movement_date, order_id, line_seq, case when l_returnflag = 'N' then 'PO' else 'SO' end as reference_type, case when l_returnflag = 'N' then done_qty else -done_qty end as movement_qty from line where done_qty > 0"),
     ("fulfil_command", "select user_id as line_id, event_id as seq, cast(value as decimal(14,3)) as requested_qty, cast(100 as decimal(14,3)) as ordered_qty from events where event_type in ('click', 'purchase')"),
@@ -30,12 +30,12 @@ VIEWS = [
 DERIVED = [
     ("mo_component", "select mo.id as mo_id, bc.component_product_id as product_id, cast(bc.to_consume_qty * coalesce(nullif(mo.quantity, 0), 1) as decimal(20,3)) as to_consume_qty, cast(0 as decimal(20,3)) as consumed_qty from manufacturing_order mo join bom_component bc on bc.bom_id = mo.bom_id"),
     ("reserved_sales", "select l.product_id, cast(sum(greatest(l.ordered_qty - coalesce(l.done_qty, 0), 0)) as decimal(20,3)) as reserved_qty from sales_line l join sales_order o on o.id = l.order_id where o.status in ('Confirmed', 'Partially Delivered') group by l.product_id"),
-    ("reserved_all", "select product_id, cast(sum(qty) as decimal(20,3)) as reserved_qty from (select l.product_id, greatest(l.ordered_qty - coalesce(l.done_qty, 0), 0) as qty from sales_line l join sales_order o on o.id = l.order_id where o.status in ('Confirmed', 'Partially Delivered') union all select c.product_id, greatest(c.to_consume_qty - coalesce(c.consumed_qty, 0), 0) as qty from mo_component c join manufacturing_order mo on mo.id = c.mo_id where mo.status in ('Confirmed', 'In Progress')) q group by product_id"),
+    ("reserved_all", "select coalesce(a.product_id, b.product_id) as product_id, cast(coalesce(a.reserved_qty, 0) + coalesce(b.needed, 0) as decimal(20,3)) as reserved_qty from reserved_sales a full outer join (select product_id, sum(if(to_consume_qty > coalesce(consumed_qty, 0), to_consume_qty - coalesce(consumed_qty, 0), 0)) as needed from mo_component where mo_id in (select id from manufacturing_order where status = 'In Progress' or status = 'Confirmed') group by product_id) b on a.product_id = b.product_id"),
     ("position_sales", "select p.product_id, cast(p.on_hand_qty as decimal(20,3)) as on_hand_qty, cast(coalesce(r.reserved_qty, 0) as decimal(20,3)) as reserved_qty, cast(p.on_hand_qty - coalesce(r.reserved_qty, 0) as decimal(20,3)) as free_qty from product p left join reserved_sales r on r.product_id = p.product_id"),
     ("position_all", "select p.product_id, cast(p.on_hand_qty as decimal(20,3)) as on_hand_qty, cast(coalesce(r.reserved_qty, 0) as decimal(20,3)) as reserved_qty, cast(p.on_hand_qty - coalesce(r.reserved_qty, 0) as decimal(20,3)) as free_qty from product p left join reserved_all r on r.product_id = p.product_id"),
     ("receipt_command", "select user_id as line_id, event_id as seq, cast(value as decimal(14,3)) as requested_qty, cast(100 as decimal(14,3)) as ordered_qty from events where event_type in ('view', 'signup')"),
     ("consume_command", "select user_id as line_id, event_id as seq, cast(floor(value / 10) as decimal(14,3)) as requested_qty, cast(60 as decimal(14,3)) as need_qty from events where event_type = 'error'"),
-    ("deliver_command", "select l.order_id, l.line_seq, l.ordered_qty as requested_qty, l.l_shipdate as cmd_time from sales_line l join sales_order o on o.id = l.order_id where o.status in ('Confirmed', 'Partially Delivered') and l.l_shipdate < timestamp '1998-07-01 00:00:00'"),
+    ("deliver_command", "select l.order_id, l.line_seq, l.ordered_qty as requested_qty, l.l_shipdate as cmd_time from sales_line l join sales_order o on o.id = l.order_id where o.status in ('Confirmed', 'Partially Delivered')"),
     ("sales_order_view", "select o.*, concat('SO-', lpad(cast(o.id + 1 as string), 6, '0')) as reference, c.c_name as customer_name from sales_order o left join customer c on c.c_custkey = o.o_custkey"),
     ("status_command", "select user_id as order_id, event_id as seq, case when event_type in ('view', 'signup') then 'confirm' when event_type = 'click' then 'start' when event_type = 'purchase' then 'produce' else 'cancel' end as command from events"),
     ("saved_user", "select cast(n_nationkey as bigint) as pos, n_nationkey as id, n_name as name, upper(concat(lower(n_name), '@example.test')) as email, 'Manager' as role from nation where n_regionkey = 1 union all select cast(r_regionkey + 100 as bigint), r_regionkey + 100, r_name, concat(lower(r_name), '@example.test'), 'User' from region"),

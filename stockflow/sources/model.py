@@ -21,14 +21,14 @@ MONEY = "decimal(12,2)"
 DURATION = "decimal(14,2)"
 
 # Bump when a stored entity table's definition changes (part of its storage key).
-MODEL_VERSION = 4
+MODEL_VERSION = 5
 
 # Fixed values of the tier-3 mapping.
 AS_OF = "1998-07-01"
 MODULE_ORDER = ["Sales", "Purchase", "Manufacturing", "Product", "BoM", "Audit", "User"]
-OPERATION_TEMPLATES = [("Assembly", "Assembly Bay", 60),
-                       ("Painting", "Paint Booth", 30),
-                       ("Packing", "Dispatch Bay", 20)]
+OPERATION_TEMPLATES = [("Cutting", "Saw Line", 45),
+                       ("Sanding", "Belt Room", 25),
+                       ("Crating", "Dock C", 15)]
 
 
 def _pad6(c: Column) -> Column:
@@ -62,21 +62,25 @@ class Model:
         import os
 
         from stockflow.session import checkpoint_dir
-        stats = []
-        for t in ("part", "supplier", "orders", "lineitem", "events", "nation", "customer", "region"):
-            src = os.path.join(self.sf_dir, f"{t}.parquet")
-            if os.path.exists(src):
-                st = os.stat(src)
-                stats.append(f"{t}:{st.st_size}:{st.st_mtime_ns}")
-        tag = hashlib.sha1("|".join([f"v{MODEL_VERSION}", os.path.abspath(self.sf_dir)] + stats)
-                           .encode()).hexdigest()[:12]
-        path = os.path.join(checkpoint_dir(self.spark), "model", tag, name)
         try:
             jvm = self.spark._jvm
+            conf = self.spark._jsc.hadoopConfiguration()
             Path = jvm.org.apache.hadoop.fs.Path
-            fs = Path(path).getFileSystem(self.spark._jsc.hadoopConfiguration())
         except Exception:  # no JVM handle (Spark Connect): compute instead of storing
             return df
+        # The inputs' files as their own store reports them: changed input, other tables.
+        stats = []
+        for t in ("part", "supplier", "orders", "lineitem", "events", "nation", "customer", "region"):
+            src = Path(f"{self.sf_dir}/{t}.parquet")
+            store = src.getFileSystem(conf)
+            if store.exists(src):
+                files = store.listFiles(src, True)
+                while files.hasNext():
+                    f = files.next()
+                    stats.append(f"{f.getPath()}:{f.getLen()}:{f.getModificationTime()}")
+        tag = hashlib.sha1("|".join([f"v{MODEL_VERSION}", self.sf_dir] + sorted(stats)).encode()).hexdigest()[:12]
+        path = os.path.join(checkpoint_dir(self.spark), "model", tag, name)
+        fs = Path(path).getFileSystem(conf)
         if not fs.exists(Path(path + "/_SUCCESS")):
             # Write aside, then publish with one directory rename (atomic on
             # HDFS-like stores): concurrent writers never see a half table.
@@ -306,12 +310,11 @@ def consume_command(m: Model) -> DataFrame:
 
 
 def deliver_command(m: Model) -> DataFrame:
-    """Delivery requests for open sales lines shipped before AS_OF: the full
-    ordered quantity, at the ship time."""
+    """Delivery requests for all open sales lines: the full ordered quantity,
+    at the ship time."""
     open_orders = (m.sales_order.filter(F.col("status").isin("Confirmed", "Partially Delivered"))
                    .select(F.col("id").alias("order_id")))
     return (m.sales_line.join(open_orders, "order_id", "left_semi")
-            .filter(F.col("l_shipdate") < F.lit(AS_OF).cast("timestamp_ntz"))
             .select("order_id", "line_seq", F.col("ordered_qty").alias("requested_qty"),
                     F.col("l_shipdate").alias("cmd_time")))
 

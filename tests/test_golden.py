@@ -1,4 +1,4 @@
-"""Tier 1: the reference's seed rows and the answers worked out by hand."""
+"""The invented seed rows and the answers worked out by hand."""
 
 from decimal import Decimal as D
 
@@ -19,17 +19,17 @@ def mo_components(seed):
 def test_reserved_sales_and_mo_scope(seed):
     s = seed
     r_sales = as_map(stock.reserved_sales(s["sales_orders"], s["sales_lines"], s["products"]), "product_id", "reserved_qty")
-    assert r_sales == {1: D(2), 2: D(3), **{i: D(0) for i in range(3, 10)}}
+    assert r_sales == {1: D(3), 2: D(8), **{i: D(0) for i in range(3, 8)}}
     r_all = as_map(stock.reserved_all(s["sales_orders"], s["sales_lines"], s["manufacturing_orders"],
                                       mo_components(s), s["products"]), "product_id", "reserved_qty")
-    assert r_all == {1: 2, 2: 3, 3: 0, 4: 0, 5: 28, 6: 9, 7: 100, 8: 0, 9: 0}
+    assert r_all == {1: 3, 2: 8, 3: 0, 4: 18, 5: 18, 6: 80, 7: 0}
 
 
 def test_free_to_use(seed):
     s = seed
     r = stock.reserved_all(s["sales_orders"], s["sales_lines"], s["manufacturing_orders"], mo_components(s))
     free = as_map(stock.stock_position(s["products"], r), "product_id", "free_qty")
-    assert [free[i] for i in range(1, 10)] == [10, 32, 10, 5, 92, 21, 1900, 9, 11]
+    assert [free[i] for i in range(1, 8)] == [4, 6, 3, 42, 27, 820, 0]
 
 
 def test_apply_reserved_keeps_unmatched(seed):
@@ -37,27 +37,28 @@ def test_apply_reserved_keeps_unmatched(seed):
     base = s["products"].withColumn("reserved_qty", F.lit(D("7.000")))
     r = stock.reserved_sales(s["sales_orders"], s["sales_lines"])
     out = as_map(stock.apply_reserved(base, r), "product_id", "reserved_qty")
-    assert out[1] == 2 and out[2] == 3 and out[9] == 7
+    assert out[1] == 3 and out[2] == 8 and out[5] == 7
 
 
 def test_line_totals_both_rules(seed):
     s = seed
     so = as_map(lines.order_totals(s["sales_lines"], "unit_price", "view"), "order_id", "order_total")
-    assert so == {1: D("17000.00"), 2: D("7200.00")}
+    assert so == {1: D("1155.00"), 2: D("45.00"), 3: D("12.00")}
     po = as_map(lines.order_totals(s["purchase_lines"], "unit_price", "view"), "order_id", "order_total")
-    assert po == {1: D("7200.00"), 2: D("300.00")}
+    assert po == {1: D("725.00"), 2: D("110.00")}
     so_b = as_map(lines.order_totals(s["sales_lines"], "unit_price", "booked"), "order_id", "order_total")
     po_b = as_map(lines.order_totals(s["purchase_lines"], "unit_price", "booked"), "order_id", "order_total")
-    assert so_b[2] == D("14400.00") and po_b[2] == D("1000.00")
+    assert so_b[2] == D("180.00") and po_b[2] == D("245.00")
 
 
-def test_availability_all_available(seed):
+def test_availability(seed):
     s = seed
     r = stock.reserved_all(s["sales_orders"], s["sales_lines"], s["manufacturing_orders"], mo_components(s))
     pos = stock.stock_position(s["products"], r)
     sl = stock.line_availability(s["sales_lines"], pos, mode="sales")
     mc = stock.line_availability(mo_components(s), pos, need="to_consume_qty", mode="mo")
-    assert {r.availability for r in sl.collect()} == {"Available"}
+    assert {(r.order_id, r.line_seq): r.availability for r in sl.collect()} == {
+        (1, 1): "Available", (1, 2): "Available", (2, 1): "Available", (3, 1): "Shortage"}
     assert {r.availability for r in mc.collect()} == {"Available"}
 
 
@@ -66,7 +67,7 @@ def test_dashboard_at_seed_date(seed):
     b = boards.status_board(s["sales_orders"], boards.BOARD_STATUSES["sales"], "sales_person_id", 2,
                             str(SEED_DATE), kind="sales")
     rows = {r.status: (r.all_count, r.my_count, r.late_count) for r in b.collect()}
-    assert rows == {"Draft": (0, 0, 0), "Confirmed": (1, 1, 0), "Partially Delivered": (1, 1, 1),
+    assert rows == {"Draft": (1, 1, 0), "Confirmed": (1, 1, 0), "Partially Delivered": (1, 1, 1),
                     "Fully Delivered": (0, 0, 0)}
     p = boards.status_board(s["purchase_orders"], boards.BOARD_STATUSES["purchase"], "responsible_person_id", 2,
                             str(SEED_DATE))
@@ -79,26 +80,26 @@ def test_dashboard_at_seed_date(seed):
 
 def test_audit_counts(seed):
     c = audit.audit_counts(seed["audit_logs"]).first()
-    assert (c.total, c.created, c.updated, c.deleted) == (5, 2, 0, 0)
+    assert (c.total, c.created, c.updated, c.deleted) == (6, 2, 2, 1)
 
 
 def test_bom_instantiation_and_scaled_durations(seed):
     s = seed
     comps = {(r.mo_id, r.product_id): r.to_consume_qty for r in mo_components(s).collect()}
-    assert comps == {(1, 5): 20, (1, 6): 5, (1, 7): 60, (2, 5): 8, (2, 6): 4, (2, 7): 40}
+    assert comps == {(1, 4): 12, (1, 6): 32, (2, 4): 6, (2, 5): 18, (2, 6): 48}
     ops = bom.instantiate_operations(s["manufacturing_orders"], s["bom_operations"], scale_duration=True)
     d = sorted((r.mo_id, float(r.expected_duration)) for r in ops.collect())
-    assert [x for _, x in d if _ == 1] == sorted([300.0, 150.0, 100.0])
-    assert sorted(x for m, x in d if m == 2) == sorted([180.0, 90.0, 50.0])
+    assert [x for _, x in d if _ == 1] == [50.0, 80.0]
+    assert sorted(x for m, x in d if m == 2) == [90.0, 120.0, 210.0]
     unscaled = bom.instantiate_operations(s["manufacturing_orders"], s["bom_operations"])
-    assert sorted(float(r.expected_duration) for r in unscaled.filter("mo_id = 1").collect()) == [20.0, 30.0, 60.0]
+    assert sorted(float(r.expected_duration) for r in unscaled.filter("mo_id = 1").collect()) == [25.0, 40.0]
 
 
 def test_nested_bom_summary_no_fan_out(seed):
     s = seed
     doc = summaries.bom_summary(s["boms"], s["bom_components"], s["bom_operations"], s["products"], flat=False)
     r = {x.id: (len(x.components), len(x.operations)) for x in doc.collect()}
-    assert r == {1: (3, 3), 2: (3, 3)}
+    assert r == {1: (2, 2), 2: (3, 3)}
 
 
 def test_nested_sales_summary_and_completion(seed):
@@ -107,7 +108,7 @@ def test_nested_sales_summary_and_completion(seed):
     pos = stock.stock_position(s["products"], r)
     doc = summaries.sales_order_summary(s["sales_orders"], s["sales_lines"], s["products"], s["users"], pos, flat=False)
     got = {x.id: (x.sales_person_name, [l.total for l in x.lines]) for x in doc.collect()}
-    assert got == {1: ("Sales One", [D("17000.00")]), 2: ("Sales One", [D("7200.00")])}
+    assert got == {1: ("Rosa Field", [D("225.00"), D("930.00")]), 2: ("Rosa Field", [D("45.00")]), 3: ("Rosa Field", [D("12.00")])}
     st = as_map(fulfil.completion_status(s["purchase_orders"], s["purchase_lines"], "purchase"), "order_id", "status")
     assert st == {1: "Partially Received", 2: "Partially Received"}
 
@@ -119,7 +120,7 @@ def test_line_text_over_nested_lines(seed):
     pos = stock.stock_position(s["products"], r)
     doc = summaries.sales_order_summary(s["sales_orders"], s["sales_lines"], s["products"], s["users"], pos, flat=False)
     got = {x.id: x.t for x in doc.select("id", line_text("lines").alias("t")).collect()}
-    assert got == {1: "Product 1 2.000 Available", 2: "Product 2 6.000 Available"}
+    assert got == {1: "Lamp 5.000 Available<br>Oak bench 3.000 Available", 2: "Lamp 4.000 Available", 3: "Oil can 2.000 Shortage"}
 
 
 def test_summary_views_for_sql(spark, seed):
@@ -133,16 +134,16 @@ def test_summary_views_for_sql(spark, seed):
     assert "sales_order_summary" in names
     r = spark.sql("select id, size(lines) as n, aggregate(lines, cast(0 as decimal(20,2)), (a, l) -> "
                   "cast(a + l.total as decimal(20,2))) as total from sales_order_summary order by id").collect()
-    assert [(x.id, x.n, x.total) for x in r] == [(1, 1, D("17000.00")), (2, 1, D("7200.00"))]
-    free = spark.sql("select free_qty from stock_position where product_id = 7").first().free_qty
-    assert free == 1900
+    assert [(x.id, x.n, x.total) for x in r] == [(1, 2, D("1155.00")), (2, 1, D("45.00")), (3, 1, D("12.00"))]
+    free = spark.sql("select free_qty from stock_position where product_id = 6").first().free_qty
+    assert free == 820
     mo = spark.sql("select id, size(components) as c, size(operations) as o from manufacturing_order_summary "
                    "order by id").collect()
-    assert [(x.id, x.c, x.o) for x in mo] == [(1, 3, 3), (2, 3, 3)]
+    assert [(x.id, x.c, x.o) for x in mo] == [(1, 2, 2), (2, 3, 3)]
 
 
 def test_collect_distinct_undoes_fan_out(spark, seed):
     s = seed
-    fanned = s["bom_components"].join(s["bom_operations"], "bom_id")  # 3 x 3 rows per BoM
+    fanned = s["bom_components"].join(s["bom_operations"], "bom_id")  # components x operations rows per BoM
     got = summaries.collect_distinct(fanned, "bom_id", ["component_product_id", "to_consume_qty"], "c").collect()
-    assert {r.bom_id: len(r.c) for r in got} == {1: 3, 2: 3}
+    assert {r.bom_id: len(r.c) for r in got} == {1: 2, 2: 3}
