@@ -20,6 +20,13 @@ from stockflow.operators.scan import prefix_scan
 from stockflow.types import QTY_SUM
 
 
+# Fixed values per kind of order: the word of its done statuses, the audit
+# module and record type, and the sign of its movements.
+_DONE_WORD = {"sales": "Delivered", "purchase": "Received"}
+_AUDIT = {"sales": ("Sales", "SalesOrder"), "purchase": ("Purchase", "PurchaseOrder")}
+_SIGN = {"sales": -1, "purchase": 1}
+
+
 def _request(col: str, need: Column, fallback_to_need: bool) -> Column:
     # NaN is falsy in JavaScript; Spark's max / greatest would keep it.
     r = F.when(F.isnan(F.col(col).cast("double")), F.lit(None)).otherwise(F.col(col))
@@ -88,7 +95,7 @@ def finished_movements(produce_commands: DataFrame, mos: DataFrame) -> DataFrame
 def completion_status(orders: DataFrame, lines: DataFrame, kind: str = "sales") -> DataFrame:
     """D13: 'Fully <x>' when every line has done >= ordered (also when the
     order has no lines), else 'Partially <x>'."""
-    word = {"sales": "Delivered", "purchase": "Received"}[kind]
+    word = _DONE_WORD[kind]
     per = lines.groupBy("order_id").agg(
         F.every(F.coalesce(F.col("done_qty"), F.lit(0)) >= F.col("ordered_qty")).alias("_all"))
     return (orders.select(F.col("id").alias("order_id")).join(per, "order_id", "left")
@@ -97,23 +104,28 @@ def completion_status(orders: DataFrame, lines: DataFrame, kind: str = "sales")
 
 
 def request_status(lines: DataFrame, applied: DataFrame, request: Sequence[str],
-                   kind: str = "sales") -> DataFrame:
+                   kind: str = "sales", requests: DataFrame | None = None) -> DataFrame:
     """Status of each order right after each of its requests (D13 as of then).
 
     A request is a group of command rows with the same (order_id, *request)
-    columns. The order is complete after request r exactly when its lines
-    that were initially incomplete minus the lines completed by requests up
-    to r is zero. A line completes at the command whose done_before <
-    ordered <= done_after, so the status is a prefix sum of completions per
-    order (hot orders are split): no line is paired with any request.
+    columns; ``requests`` (order_id, *request) adds those that name no line.
+    The order is complete after request r exactly when its lines that were
+    initially incomplete minus the lines completed by requests up to r is
+    zero (so an order without lines always is). A line completes at the
+    command whose done_before < ordered <= done_after, so the status is a
+    prefix sum of completions per order (hot orders are split): no line is
+    paired with any request.
     """
-    word = {"sales": "Delivered", "purchase": "Received"}[kind]
+    word = _DONE_WORD[kind]
     request = list(request)
     done0 = F.coalesce(F.col("done_qty"), F.lit(0))
     incomplete = (lines.groupBy("order_id")
                   .agg(F.count_if(done0 < F.col("ordered_qty")).alias("_incomplete")))
     completed = (F.col("done_before") < F.col("ordered_qty")) & (F.col("done_after") >= F.col("ordered_qty"))
-    per_req = applied.groupBy("order_id", *request).agg(F.count_if(completed).alias("_done_lines"))
+    rows = applied.select("order_id", *request, completed.cast("long").alias("_done"))
+    if requests is not None:
+        rows = rows.unionByName(requests.select("order_id", *request, F.lit(0).cast("long").alias("_done")))
+    per_req = rows.groupBy("order_id", *request).agg(F.coalesce(F.sum("_done"), F.lit(0)).alias("_done_lines"))
     cum = prefix_scan(per_req, ["order_id"], request, "_done_lines", "sum", "_cum")
     left = F.coalesce(F.col("_incomplete"), F.lit(0)) - F.col("_cum")
     return (cum.join(incomplete, "order_id", "left")
@@ -122,13 +134,14 @@ def request_status(lines: DataFrame, applied: DataFrame, request: Sequence[str],
 
 
 class FulfilResult:
-    """Outputs of ``fulfil_sales``, each built on first access (so asking
+    """Outputs of ``fulfil_orders``, each built on first access (so asking
     for ``status`` alone runs none of the ordered scans). Dict-style access
     (``result["status"]``) works too."""
 
     _NAMES = ("lines", "movements", "status", "audit", "ledger", "rejects")
 
-    def __init__(self, orders, lines, commands, order, opening):
+    def __init__(self, kind, orders, lines, commands, order, opening, requests):
+        self._kind, self._extra_requests = kind, requests
         self._orders, self._lines, self._commands = orders, lines, commands
         self._order, self._opening = list(order), opening
         self._keys = ["order_id", "line_seq"]
@@ -167,7 +180,16 @@ class FulfilResult:
     def _build_movements(self) -> DataFrame:
         return (self._applied().filter(F.col("delta") > 0)
                 .select(*self._keys, "product_id", *self._extra_order(),
-                        (-F.col("delta")).cast(QTY_SUM).alias("movement_qty")))
+                        (F.col("delta") * _SIGN[self._kind]).cast(QTY_SUM).alias("movement_qty")))
+
+    def _requests(self) -> DataFrame:
+        """Every request on a known order, those without lines included."""
+        cols = ["order_id", *self._extra_order()]
+        named = self._commands.select(*cols)
+        if self._extra_requests is not None:
+            named = named.unionByName(self._extra_requests.select(*cols))
+        known = self._orders.select(F.col("id").alias("order_id"))
+        return named.distinct().join(known, "order_id", "left_semi")
 
     def _per_line(self) -> DataFrame:
         keys = self._keys
@@ -176,30 +198,26 @@ class FulfilResult:
         capped = F.when(F.col("_cmd"), F.least(_request("requested_qty", need, False), need))
         per_line = (self._lines.join(cmd, keys, "left").groupBy(*keys)
                     .agg(F.first("product_id").alias("product_id"), F.first("ordered_qty").alias("ordered_qty"),
-                         F.first("done_qty").alias("_done"), F.max(capped).alias("_max"),
-                         F.count("_cmd").alias("_n_cmd")))
+                         F.first("done_qty").alias("_done"), F.max(capped).alias("_max")))
         after = F.when(F.col("_max").isNull(), F.col("_done")).otherwise(
             F.greatest(F.coalesce(F.col("_done"), F.lit(0)), F.col("_max")))
-        return per_line.select(*keys, "product_id", "ordered_qty", after.cast(QTY_SUM).alias("done_qty"),
-                               "_n_cmd")
+        return per_line.select(*keys, "product_id", "ordered_qty", after.cast(QTY_SUM).alias("done_qty"))
 
     def _build_lines(self) -> DataFrame:
-        return self._per_line().drop("_n_cmd")
+        return self._per_line()
 
     def _build_status(self) -> DataFrame:
-        return (self._per_line().groupBy("order_id")
-                .agg(F.every(F.coalesce(F.col("done_qty"), F.lit(0)) >= F.col("ordered_qty")).alias("_all"),
-                     F.sum("_n_cmd").alias("_n"))
-                .filter(F.col("_n") > 0)
-                .select("order_id", F.when(F.col("_all"), F.lit("Fully Delivered"))
-                        .otherwise(F.lit("Partially Delivered")).alias("status")))
+        asked = self._requests().select(F.col("order_id").alias("id")).distinct()
+        return completion_status(asked, self._per_line(), self._kind)
 
     def _build_audit(self) -> DataFrame:
-        req = request_status(self._targets(), self._applied(), self._extra_order(), "sales")
-        return req.select("order_id", *self._extra_order(),
-                          F.lit("Sales").alias("module"), F.lit("SalesOrder").alias("record_type"),
-                          F.lit("Updated").alias("action"), F.lit("status").alias("field_changed"),
-                          F.lit("").alias("old_value"), F.col("status").alias("new_value"))
+        req = request_status(self._targets(), self._applied(), self._extra_order(), self._kind, self._requests())
+        known = self._orders.select(F.col("id").alias("order_id"))
+        module, record = _AUDIT[self._kind]
+        return req.join(known, "order_id", "left_semi").select(
+            "order_id", *self._extra_order(), F.lit(module).alias("module"), F.lit(record).alias("record_type"),
+            F.lit("Updated").alias("action"), F.lit("status").alias("field_changed"),
+            F.lit("").alias("old_value"), F.col("status").alias("new_value"))
 
     def _build_ledger(self) -> DataFrame:
         if self._opening is None:
@@ -208,30 +226,46 @@ class FulfilResult:
         return ledger(self["movements"], self._opening, self._order + self._keys)
 
 
-def fulfil_sales(orders: DataFrame, lines: DataFrame, commands: DataFrame,
-                 order: Sequence[str], opening: DataFrame | None = None) -> FulfilResult:
-    """Deliver commands on sales lines.
+def fulfil_orders(kind: str, orders: DataFrame, lines: DataFrame, commands: DataFrame,
+                  order: Sequence[str], opening: DataFrame | None = None,
+                  requests: DataFrame | None = None) -> FulfilResult:
+    """Deliver commands on sales lines (kind 'sales') or receive commands
+    on purchase lines (kind 'purchase').
 
     commands(order_id, line_seq, requested_qty, <order columns>) against
-    lines(order_id, line_seq, product_id, ordered_qty, done_qty). Returns a
+    lines(order_id, line_seq, product_id, ordered_qty, done_qty).
+    ``requests`` (order_id, <order columns>) adds requests that name no line:
+    they move nothing but set the status and write an audit row. Returns a
     FulfilResult whose frames are built on first use:
 
-    - movements: one negative movement per command that raised delivered
-      (ordered prefix max per line; hot lines are split);
-    - lines: every line with its delivered quantity after all commands;
-    - status: D13 status of every order that received a command;
-    - audit: one row per deliver request (order_id, *order) with the status
-      right after it, as the reference writes (old value '');
+    - movements: one movement per command that raised the done quantity,
+      negative for deliveries (ordered prefix max per line; hot lines are split);
+    - lines: every line with its done quantity after all commands;
+    - status: D13 status of every order that received a request;
+    - audit: one row per request (order_id, *order) with the status right
+      after it, as the reference writes (old value '');
     - ledger: movements with the running on-hand (E1), when ``opening``
       (product_id, on_hand_qty) is given;
     - rejects: commands for a line that does not exist.
 
-    The final line state needs no ordering: delivered after = greatest(
-    initial, max over the line's commands of least(request, ordered)), so
-    lines and status are two aggregates (partial aggregation handles hot
-    lines and orders) over lines left-joined to their commands.
+    The final line state needs no ordering: done after = greatest(initial,
+    max over the line's commands of least(request, ordered)), so lines and
+    status are two aggregates (partial aggregation handles hot lines and
+    orders) over lines left-joined to their commands.
     """
-    return FulfilResult(orders, lines, commands, order, opening)
+    return FulfilResult(kind, orders, lines, commands, order, opening, requests)
+
+
+def fulfil_sales(orders: DataFrame, lines: DataFrame, commands: DataFrame, order: Sequence[str],
+                 opening: DataFrame | None = None, requests: DataFrame | None = None) -> FulfilResult:
+    """E6 for sales orders (see ``fulfil_orders``)."""
+    return fulfil_orders("sales", orders, lines, commands, order, opening, requests)
+
+
+def fulfil_purchases(orders: DataFrame, lines: DataFrame, commands: DataFrame, order: Sequence[str],
+                     opening: DataFrame | None = None, requests: DataFrame | None = None) -> FulfilResult:
+    """E6 for purchase orders (see ``fulfil_orders``)."""
+    return fulfil_orders("purchase", orders, lines, commands, order, opening, requests)
 
 
 def produce_orders(mos: DataFrame, components: DataFrame, explicit: DataFrame, produce: DataFrame,
@@ -306,4 +340,4 @@ def produce_orders(mos: DataFrame, components: DataFrame, explicit: DataFrame, p
 
 
 # E6 under the inventory's name.
-fulfil = fulfil_sales
+fulfil = fulfil_orders

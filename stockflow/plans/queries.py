@@ -15,7 +15,7 @@ from stockflow.session import checkpoint_dir
 from stockflow.sources import documents
 from stockflow.streaming import streams
 from stockflow.plans.catalog import query
-from stockflow.sources.model import (AS_OF, Model, audit_stream, boms, read_stream, consume_command, deliver_command,
+from stockflow.sources.model import (AS_OF, Model, audit_stream, boms, read_stream, consume_command, deliver_command, empty_requests, receive_command,
                                      produce_requests, product_patch, receipt_command, sales_order_view,
                                      saved_permissions,
                                      saved_users, status_command)
@@ -687,41 +687,134 @@ def q_completion_status(m: Model):
     return fulfil.completion_status(m.purchase_order, m.purchase_line, "purchase")
 
 
-_FULFIL_SQL = """
+def _fulfil_sql(kind: str) -> str:
+    """CTEs: every command's line before and after it (steps), every request
+    (asked), and the lines each request completes (per_req)."""
+    commands, line_table, empties, order_table = {
+        "sales": ("deliver_command", "sales_line", "sales_empty_request", "sales_order"),
+        "purchase": ("receive_command", "purchase_line", "purchase_empty_request", "purchase_order")}[kind]
+    return f"""
 with applied as (
-  select c.order_id, c.line_seq, l.product_id, c.cmd_time, coalesce(l.done_qty, 0) as init_qty,
+  select c.order_id, c.line_seq, l.product_id, c.cmd_time, l.ordered_qty, coalesce(l.done_qty, 0) as init_qty,
          least(coalesce(c.requested_qty, 0), l.ordered_qty) as capped,
          max(least(coalesce(c.requested_qty, 0), l.ordered_qty)) over (partition by c.order_id, c.line_seq
              order by c.cmd_time rows between unbounded preceding and 1 preceding) as prior
-  from deliver_command c join sales_line l on l.order_id = c.order_id and l.line_seq = c.line_seq),
+  from {commands} c join {line_table} l on l.order_id = c.order_id and l.line_seq = c.line_seq),
 steps as (
   select *, greatest(init_qty, coalesce(prior, init_qty)) as before_qty,
-         greatest(greatest(init_qty, coalesce(prior, init_qty)), capped) as after_qty from applied)
+         greatest(greatest(init_qty, coalesce(prior, init_qty)), capped) as after_qty from applied),
+asked as (
+  select order_id, cmd_time from {commands} union select order_id, cmd_time from {empties}),
+per_req as (
+  select a.order_id, a.cmd_time, count(s.line_seq) filter (where before_qty < ordered_qty and after_qty >= ordered_qty) as done_lines
+  from asked a left join steps s on s.order_id = a.order_id and s.cmd_time = a.cmd_time
+  where a.order_id in (select id from {order_table}) group by a.order_id, a.cmd_time),
+incomplete as (
+  select order_id, count(*) filter (where coalesce(done_qty, 0) < ordered_qty) as n from {line_table} group by order_id),
+lines_after as (
+  select l.order_id, l.line_seq, l.product_id, l.ordered_qty, cast(coalesce(s.after_qty, l.done_qty) as decimal(20,3)) as done_qty
+  from {line_table} l left join (select order_id, line_seq, max(after_qty) as after_qty from steps group by order_id, line_seq) s
+    on s.order_id = l.order_id and s.line_seq = l.line_seq)
 """
 
 
-@query("fulfil_movements", sql=_FULFIL_SQL + """
-select order_id, line_seq, product_id, cmd_time, cast(-(after_qty - before_qty) as decimal(20,3)) as movement_qty
-from steps where after_qty > before_qty""")
+def _movement_sql(kind: str) -> str:
+    sign = "-" if kind == "sales" else ""
+    return _fulfil_sql(kind) + f"""
+select order_id, line_seq, product_id, cmd_time, cast({sign}(after_qty - before_qty) as decimal(20,3)) as movement_qty
+from steps where after_qty > before_qty"""
+
+
+def _status_sql(kind: str, word: str) -> str:
+    return _fulfil_sql(kind) + f"""
+select a.order_id, case when coalesce(bool_and(coalesce(l.done_qty, 0) >= l.ordered_qty), true)
+                        then 'Fully {word}' else 'Partially {word}' end as status
+from (select distinct order_id from per_req) a left join lines_after l on l.order_id = a.order_id
+group by a.order_id"""
+
+
+def _audit_sql(kind: str, word: str, module: str) -> str:
+    return _fulfil_sql(kind) + f"""
+select r.order_id, r.cmd_time, '{module}' as module, '{module}Order' as record_type, 'Updated' as action,
+       'status' as field_changed, '' as old_value,
+       case when coalesce(i.n, 0) - sum(r.done_lines) over (partition by r.order_id order by r.cmd_time
+                 rows between unbounded preceding and current row) <= 0
+            then 'Fully {word}' else 'Partially {word}' end as new_value
+from per_req r left join incomplete i on i.order_id = r.order_id"""
+
+
+def _ledger_sql(kind: str) -> str:
+    sign = "-" if kind == "sales" else ""
+    return _fulfil_sql(kind) + f"""
+select s.order_id, s.line_seq, s.product_id, s.cmd_time, cast({sign}(s.after_qty - s.before_qty) as decimal(20,3)) as movement_qty,
+       cast(p.on_hand_qty + sum({sign}(s.after_qty - s.before_qty)) over (partition by s.product_id
+            order by s.cmd_time, s.order_id, s.line_seq rows between unbounded preceding and current row) as decimal(20,3))
+         as resulting_on_hand
+from steps s left join product p on p.product_id = s.product_id where s.after_qty > s.before_qty"""
+
+
+def _deliveries(m: Model):
+    return fulfil.fulfil_sales(m.sales_order, m.sales_line, deliver_command(m), ["cmd_time"],
+                               m.product.select("product_id", "on_hand_qty"), empty_requests(m.sales_order))
+
+
+def _receipts(m: Model):
+    return fulfil.fulfil_purchases(m.purchase_order, m.purchase_line, receive_command(m), ["cmd_time"],
+                                   m.product.select("product_id", "on_hand_qty"), empty_requests(m.purchase_order))
+
+
+@query("fulfil_movements", sql=_movement_sql("sales"))
 def q_fulfil_movements(m: Model):
     """Stock movements from delivering all open sales lines."""
-    out = fulfil.fulfil_sales(m.sales_order, m.sales_line, deliver_command(m), ["cmd_time"])
-    return out["movements"]
+    return _deliveries(m)["movements"]
 
 
-@query("fulfil_order_status", sql=_FULFIL_SQL + """
-select o.id as order_id,
-       case when coalesce(bool_and(coalesce(s.after_qty, l.done_qty, 0) >= l.ordered_qty), true)
-            then 'Fully Delivered' else 'Partially Delivered' end as status
-from sales_order o join sales_line l on l.order_id = o.id
-left join (select order_id, line_seq, max(after_qty) as after_qty from steps group by order_id, line_seq) s
-  on s.order_id = l.order_id and s.line_seq = l.line_seq
-where o.id in (select order_id from deliver_command)
-group by o.id""")
+@query("fulfil_order_status", sql=_status_sql("sales", "Delivered"))
 def q_fulfil_order_status(m: Model):
-    """E6 + D13: status of every order that received delivery commands, from its lines after."""
-    out = fulfil.fulfil_sales(m.sales_order, m.sales_line, deliver_command(m), ["cmd_time"])
-    return out["status"]
+    """E6 + D13: status of every order that received a delivery request (one without lines, too)."""
+    return _deliveries(m)["status"]
+
+
+@query("fulfil_audit_rows", sql=_audit_sql("sales", "Delivered", "Sales"))
+def q_fulfil_audit_rows(m: Model):
+    """E6 + E10: one audit row per deliver request with the order's status right after it."""
+    return _deliveries(m)["audit"]
+
+
+@query("fulfil_ledger", sql=_ledger_sql("sales"))
+def q_fulfil_ledger(m: Model):
+    """E6 + E1: the delivery movements with the running on-hand from the products' stock."""
+    return _deliveries(m)["ledger"]
+
+
+@query("receive_movements", sql=_movement_sql("purchase"))
+def q_receive_movements(m: Model):
+    """Stock movements from receiving all open purchase lines."""
+    return _receipts(m)["movements"]
+
+
+@query("receive_lines_after", sql=_fulfil_sql("purchase") + " select * from lines_after")
+def q_receive_lines_after(m: Model):
+    """Every purchase line with its received quantity after the receive requests."""
+    return _receipts(m)["lines"]
+
+
+@query("receive_order_status", sql=_status_sql("purchase", "Received"))
+def q_receive_order_status(m: Model):
+    """E6 + D13: Fully / Partially Received per purchase order that received a request."""
+    return _receipts(m)["status"]
+
+
+@query("receive_audit_rows", sql=_audit_sql("purchase", "Received", "Purchase"))
+def q_receive_audit_rows(m: Model):
+    """E6 + E10: one audit row per receive request with the order's status right after it."""
+    return _receipts(m)["audit"]
+
+
+@query("receive_ledger", sql=_ledger_sql("purchase"))
+def q_receive_ledger(m: Model):
+    """E6 + E1: the receipts with the running on-hand from the products' stock."""
+    return _receipts(m)["ledger"]
 
 
 # --------------------------------------------------------------------------
@@ -1398,39 +1491,6 @@ def q_bom_texts(m: Model):
                       search.operation_text("operations").alias("operation_text"))
 
 
-@query("fulfil_audit_rows", sql=_FULFIL_SQL + """,
-per_req as (
-  select order_id, cmd_time,
-         count(*) filter (where before_qty < ordered_qty and after_qty >= ordered_qty) as done_lines
-  from (select s.*, l.ordered_qty from steps s join sales_line l on l.order_id = s.order_id and l.line_seq = s.line_seq) x
-  group by order_id, cmd_time),
-incomplete as (
-  select order_id, count(*) filter (where coalesce(done_qty, 0) < ordered_qty) as n from sales_line group by order_id)
-select r.order_id, r.cmd_time, 'Sales' as module, 'SalesOrder' as record_type, 'Updated' as action,
-       'status' as field_changed, '' as old_value,
-       case when coalesce(i.n, 0) - sum(r.done_lines) over (partition by r.order_id order by r.cmd_time
-                 rows between unbounded preceding and current row) <= 0
-            then 'Fully Delivered' else 'Partially Delivered' end as new_value
-from per_req r left join incomplete i on i.order_id = r.order_id""")
-def q_fulfil_audit_rows(m: Model):
-    """E6 + E10: one audit row per deliver request with the order's status right after it."""
-    out = fulfil.fulfil_sales(m.sales_order, m.sales_line, deliver_command(m), ["cmd_time"])
-    return out["audit"]
-
-
-@query("fulfil_ledger", sql=_FULFIL_SQL + """
-select s.order_id, s.line_seq, s.product_id, s.cmd_time, cast(-(s.after_qty - s.before_qty) as decimal(20,3)) as movement_qty,
-       cast(p.on_hand_qty - sum(s.after_qty - s.before_qty) over (partition by s.product_id
-            order by s.cmd_time, s.order_id, s.line_seq rows between unbounded preceding and current row) as decimal(20,3))
-         as resulting_on_hand
-from steps s left join product p on p.product_id = s.product_id where s.after_qty > s.before_qty""")
-def q_fulfil_ledger(m: Model):
-    """E6 + E1: the delivery movements with the running on-hand from the products' stock."""
-    out = fulfil.fulfil_sales(m.sales_order, m.sales_line, deliver_command(m), ["cmd_time"],
-                              opening=m.product.select("product_id", "on_hand_qty"))
-    return out["ledger"]
-
-
 @query("patch_rejects", sql="""
 select user_id as product_id, event_id as seq, 'not found' as error from events e
 where not exists (select 1 from product p where p.product_id = e.user_id)""")
@@ -1484,3 +1544,37 @@ def q_produce_components_after(m: Model):
     comps = _mo_components(m)
     explicit, produce = produce_requests(m, comps)
     return fulfil.produce_orders(m.manufacturing_order, comps, explicit, produce)["components"]
+
+
+@query("ledger_all", sql=f"""
+with sold as ({_movement_sql("sales")}),
+bought as ({_movement_sql("purchase")}),
+made as ({_PRODUCE_SQL}
+  select mo_id, product_id, seq, cast(-(greatest(before_qty, eff) - before_qty) as decimal(20,3)) as movement_qty, 'consume' as kind
+  from s3 where greatest(before_qty, eff) > before_qty
+  union all
+  select r.mo_id, mo.finished_product_id, r.seq, cast(mo.quantity as decimal(20,3)), 'finish'
+  from produce_request r join manufacturing_order mo on mo.id = r.mo_id),
+moves as (
+  select product_id, cmd_time as at, 'deliver' as kind, order_id as source_id, line_seq as item, movement_qty from sold
+  union all select product_id, cmd_time, 'receive', order_id, line_seq, movement_qty from bought
+  union all select x.product_id, cast(mo.schedule_date as timestamp), x.kind, x.mo_id, x.seq, x.movement_qty
+            from made x join manufacturing_order mo on mo.id = x.mo_id)
+select m.product_id, m.at, m.kind, m.source_id, m.item, m.movement_qty,
+       cast(p.on_hand_qty + sum(m.movement_qty) over (partition by m.product_id order by m.at, m.kind, m.source_id, m.item
+            rows between unbounded preceding and current row) as decimal(20,3)) as resulting_on_hand
+from moves m left join product p on p.product_id = m.product_id""")
+def q_ledger_all(m: Model):
+    """E1 over all sources: deliveries, receipts, consumption and finished goods of a product in one running balance."""
+    def moves(df, kind):
+        return df.select("product_id", F.col("cmd_time").alias("at"), F.lit(kind).alias("kind"), F.col("order_id").alias("source_id"),
+                         F.col("line_seq").cast("bigint").alias("item"), "movement_qty")
+
+    comps = _mo_components(m)
+    made = fulfil.produce_orders(m.manufacturing_order, comps, *produce_requests(m, comps))["movements"]
+    when = m.manufacturing_order.select(F.col("id").alias("mo_id"), F.col("schedule_date").cast("timestamp_ntz").alias("at"))
+    produced = made.join(when, "mo_id").select("product_id", "at", "kind", F.col("mo_id").alias("source_id"),
+                                               F.col("seq").cast("bigint").alias("item"), "movement_qty")
+    everything = (moves(_deliveries(m)["movements"], "deliver").unionByName(moves(_receipts(m)["movements"], "receive"))
+                  .unionByName(produced))
+    return ledger.ledger(everything, m.product.select("product_id", "on_hand_qty"), ["at", "kind", "source_id", "item"])

@@ -36,6 +36,9 @@ DERIVED = [
     ("receipt_command", "select user_id as line_id, event_id as seq, cast(value as decimal(14,3)) as requested_qty, cast(100 as decimal(14,3)) as ordered_qty from events where event_type in ('view', 'signup')"),
     ("consume_command", "select user_id as line_id, event_id as seq, cast(floor(value / 10) as decimal(14,3)) as requested_qty, cast(60 as decimal(14,3)) as need_qty from events where event_type = 'error'"),
     ("deliver_command", "select l.order_id, l.line_seq, l.ordered_qty as requested_qty, l.l_shipdate as cmd_time from sales_line l join sales_order o on o.id = l.order_id where o.status in ('Confirmed', 'Partially Delivered')"),
+    ("receive_command", "select l.order_id, l.line_seq, cast(floor(l.ordered_qty / 10) * 10 as decimal(14,3)) as requested_qty, l.l_shipdate as cmd_time from purchase_line l join purchase_order o on o.id = l.order_id where o.status in ('Confirmed', 'Partially Received')"),
+    ("sales_empty_request", "select id as order_id, cast(due_date as timestamp) as cmd_time from sales_order where id % 7 = 0"),
+    ("purchase_empty_request", "select id as order_id, cast(due_date as timestamp) as cmd_time from purchase_order where id % 7 = 0"),
     ("sales_order_view", "select o.*, concat('SO-', lpad(cast(o.id + 1 as string), 6, '0')) as reference, c.c_name as customer_name from sales_order o left join customer c on c.c_custkey = o.o_custkey"),
     ("status_command", "select user_id as order_id, event_id as seq, case when event_type in ('view', 'signup') then 'confirm' when event_type = 'click' then 'start' when event_type = 'purchase' then 'produce' else 'cancel' end as command from events"),
     ("saved_user", "select cast(n_nationkey as bigint) as pos, n_nationkey as id, n_name as name, upper(concat(lower(n_name), '@example.test')) as email, 'Manager' as role from nation where n_regionkey = 1 union all select cast(r_regionkey + 100 as bigint), r_regionkey + 100, r_name, concat(lower(r_name), '@example.test'), 'User' from region"),

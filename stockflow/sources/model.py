@@ -319,6 +319,22 @@ def deliver_command(m: Model) -> DataFrame:
                     F.col("l_shipdate").alias("cmd_time")))
 
 
+def receive_command(m: Model) -> DataFrame:
+    """Receive requests for all open purchase lines: the ordered quantity
+    rounded down to tens, at the ship time."""
+    open_orders = (m.purchase_order.filter(F.col("status").isin("Confirmed", "Partially Received"))
+                   .select(F.col("id").alias("order_id")))
+    return (m.purchase_line.join(open_orders, "order_id", "left_semi")
+            .select("order_id", "line_seq", (F.floor(F.col("ordered_qty") / 10) * 10).cast(QTY).alias("requested_qty"),
+                    F.col("l_shipdate").alias("cmd_time")))
+
+
+def empty_requests(orders: DataFrame) -> DataFrame:
+    """Requests that name no line: one at the due date of every seventh order."""
+    return orders.filter(F.col("id") % 7 == 0).select(
+        F.col("id").alias("order_id"), F.col("due_date").cast("timestamp_ntz").alias("cmd_time"))
+
+
 def sales_order_view(m: Model) -> DataFrame:
     """Sales orders as the list view shows them: reference and customer name."""
     cust = m.raw("customer").select(F.col("c_custkey").alias("o_custkey"),
