@@ -157,6 +157,8 @@ def final_status(orders: DataFrame, commands: DataFrame) -> DataFrame:
 
 def _with_previous_status(orders: DataFrame, commands: DataFrame) -> DataFrame:
     st = _command_status(F.col("command"))
+    if "status" in commands.columns:
+        st = F.coalesce(F.col("status"), st)
     c = commands.withColumn("new_status", st).filter(F.col("new_status").isNotNull())
     c = prefix_scan(c, ["order_id"], ["seq"], "new_status", "last", "_prev", inclusive=False)
     cur = orders.select(F.col("id").alias("order_id"), F.col("status").alias("_initial"))
@@ -184,29 +186,22 @@ def audit_rows(orders: DataFrame, commands: DataFrame, module: str, record_type:
         null_to_empty(old).alias("old_value"), null_to_empty(F.col("new_status")).alias("new_value"))
 
 
-# Commands the client offers per status of a manufacturing
-# order (the action menu rules of B9, as rows).
-ALLOWED_COMMANDS = [
-    ("Draft", "confirm"), ("Draft", "cancel"),
-    ("Confirmed", "start"), ("Confirmed", "produce"), ("Confirmed", "cancel"),
-    ("In Progress", "produce"), ("In Progress", "cancel"),
-]
-
-
-def illegal_transitions(orders: DataFrame, commands: DataFrame) -> DataFrame:
+def illegal_transitions(orders: DataFrame, commands: DataFrame, kind: str = "manufacturing") -> DataFrame:
     """Commands the client would not have offered from the status the
-    order had at that point. The allowed table is a fixed 7-row list, so it
-    is broadcast."""
+    order had at that point, by the rule table of the action menus. That is
+    a fixed list of a few rows, so it is broadcast."""
+    from stockflow.operators.search import allowed_commands
     c = _with_previous_status(orders, commands)
-    allowed = orders.sparkSession.createDataFrame(ALLOWED_COMMANDS, "old_status string, command string")
+    allowed = orders.sparkSession.createDataFrame(allowed_commands(kind), "old_status string, command string")
     return (c.join(F.broadcast(allowed), ["old_status", "command"], "left_anti")
             .select("order_id", "seq", "command", "old_status", "new_status"))
 
 
-def assign_references(df: DataFrame, prefix: str, start: int, order: Sequence[str],
+def assign_references(df: DataFrame, prefix: str, start: int | DataFrame, order: Sequence[str],
                       num_partitions: int | None = None) -> DataFrame:
     """Number rows in ``order`` from ``start`` (new_id) and give each the
-    reference prefix + zero-padded (new_id + 1).
+    reference prefix + zero-padded (new_id + 1). ``start`` may be a frame of
+    one row (``next_ids``), which is joined, not fetched.
 
     Global numbering without a single-task window: range-partition on the
     order, sort inside partitions, checkpoint (so both passes see the same
@@ -225,11 +220,15 @@ def assign_references(df: DataFrame, prefix: str, start: int, order: Sequence[st
         F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
         F.lit(0)).alias("_off"))
     within = F.col("_pos") - F.shiftleft(F.col("_pid").cast("long"), 33)
-    new_id = (F.lit(start) + F.col("_off") + within).cast("bigint")
+    if isinstance(start, DataFrame):  # one row
+        offsets = offsets.crossJoin(F.broadcast(start.select(F.first("next_id").alias("_start"))))
+    else:
+        offsets = offsets.withColumn("_start", F.lit(start))
+    new_id = (F.col("_start") + F.col("_off") + within).cast("bigint")
     return (tagged.join(F.broadcast(offsets), "_pid")
             .withColumn("new_id", new_id)
             .withColumn("reference", reference_code(prefix, F.col("new_id") + 1))
-            .drop("_pid", "_pos", "_off"))
+            .drop("_pid", "_pos", "_off", "_start"))
 
 
 def next_ids(df: DataFrame, floor: int = 1, col: str = "id") -> DataFrame:
@@ -238,25 +237,29 @@ def next_ids(df: DataFrame, floor: int = 1, col: str = "id") -> DataFrame:
                              F.coalesce(F.max(col).cast("bigint") + 1, F.lit(floor).cast("bigint"))).alias("next_id"))
 
 
-def load_users_merge(base: DataFrame, saved: DataFrame, order: str = "pos") -> DataFrame:
-    """Overlay saved users onto base users by lower(email); the last
-    saved record per email wins; saved users without a match are appended.
-    Columns of ``saved`` overwrite, others keep the base value."""
-    k = F.lower(F.col("email"))
-    last = (saved.withColumn("_k", k).groupBy("_k")
-            .agg(F.max_by(F.struct(*[c for c in saved.columns if c != order]), order).alias("_s")))
-    b = base.withColumn("_k", k)
-    j = b.join(last, "_k", "full_outer")
-    cols = list(dict.fromkeys(base.columns + [c for c in saved.columns if c != order]))
+def load_users_merge(base: DataFrame, saved: DataFrame, order: str = "pos", present: str | None = None) -> DataFrame:
+    """Overlay saved users onto base users by lower(email). Saved records
+    of one e-mail apply in ``order``, field by field; saved users without a
+    match are appended. ``present`` names an array column with the fields a
+    saved record carries: others are absent and keep what was there (a
+    carried null overwrites). Without it every record carries all columns."""
+    fields = [c for c in saved.columns if c not in (order, present)]
+
+    def last(c: str) -> Column:
+        at = F.col(order) if present is None else F.when(F.array_contains(present, c), F.col(order))
+        return F.max_by(F.struct(F.col(c).alias("v")), at).alias(f"_s_{c}")
+
+    merged = saved.withColumn("_k", F.lower("email")).groupBy("_k").agg(*[last(c) for c in fields])
+    joined = base.withColumn("_k", F.lower("email")).join(merged, "_k", "full_outer")
+    cols = list(dict.fromkeys(base.columns + fields))
 
     def pick(c: str) -> Column:
-        s = F.col(f"_s.{c}") if c in saved.columns else None
-        bc = F.col(c) if c in base.columns else None
-        if s is not None and bc is not None:
-            return F.when(F.col("_s").isNotNull(), s).otherwise(bc)
-        return s if s is not None else bc
+        if c not in fields:
+            return F.col(c)
+        value = F.col(f"_s_{c}.v")
+        return F.when(F.col(f"_s_{c}").isNotNull(), value).otherwise(F.col(c)) if c in base.columns else value
 
-    return j.select(*[pick(c).alias(c) for c in cols])
+    return joined.select(*[pick(c).alias(c) for c in cols])
 
 
 def load_permissions_merge(base: DataFrame, saved: DataFrame, order: str = "pos") -> DataFrame:

@@ -23,7 +23,7 @@ def lookup(rows: DataFrame, ref: DataFrame, row_key: str, ref_key: str,
     or has no match goes to ``missing`` with an error text, as a 404 would."""
     k = F.col(row_key).cast("string").try_cast("bigint")
     keyed = rows.withColumn("_k", k)
-    r = ref.select(F.col(ref_key).cast("bigint").alias("_k")).distinct()
+    r = ref.select(F.col(ref_key).cast("bigint").alias("_k"))  # semi and anti joins need no distinct
     found = keyed.join(r, "_k", "left_semi").drop("_k")
     missing = (keyed.join(r, "_k", "left_anti").drop("_k")
                .withColumn("error", F.lit(f"{label} not found")))
@@ -42,9 +42,13 @@ def enrich_lines(lines: DataFrame, products: DataFrame, kind: str,
                            F.coalesce(*([F.col("unit")] if "unit" in products.columns else []),
                                       F.lit("Units")).alias("unit"),
                            F.col(price_col).alias("unit_price"))
-    found, rejects = lookup(lines, products, "product_id", "product_id", "Product")
-    out = found.drop(*[c for c in ("product_name", "unit", "unit_price") if c in found.columns])
-    out = out.join(prod, "product_id")
+    # One left join on the product, split on whether it was found.
+    known = prod.withColumnRenamed("product_id", "_k").withColumn("_found", F.lit(True))
+    bare = lines.drop(*[c for c in ("product_name", "unit", "unit_price") if c in lines.columns])
+    joined = bare.withColumn("_k", F.col("product_id").cast("string").try_cast("bigint")).join(known, "_k", "left").drop("_k")
+    rejects = (joined.filter(F.col("_found").isNull()).select(*[c for c in bare.columns])
+               .withColumn("error", F.lit("Product not found")))
+    out = joined.filter(F.col("_found")).drop("_found")
     out = out.withColumn("total", (F.col("unit_price") * F.col("ordered_qty")).cast(MONEY_SUM))
     if position is not None:
         pos = position.select("product_id", "on_hand_qty", "reserved_qty")

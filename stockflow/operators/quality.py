@@ -32,7 +32,7 @@ def check_unique(df: DataFrame, table: str, key: Sequence[str]) -> DataFrame:
 def check_foreign_key(child: DataFrame, table: str, cols: Sequence[str], parent: DataFrame,
                       parent_cols: Sequence[str], key: Sequence[str]) -> DataFrame:
     """H2: child rows whose non-null reference has no parent row."""
-    p = parent.select(*[F.col(pc).alias(c) for pc, c in zip(parent_cols, cols)]).distinct()
+    p = parent.select(*[F.col(pc).alias(c) for pc, c in zip(parent_cols, cols)])
     c = child.filter(reduce(lambda a, b: a & b, [F.col(x).isNotNull() for x in cols]))
     miss = c.join(p, list(cols), "left_anti")
     return _out(miss, "foreign_key", table, _key(key),

@@ -33,22 +33,47 @@ def search(df: DataFrame, view: str, term: str | None = None, status: str | None
     return out
 
 
+# The actions the client offers, the kinds of order that have
+# them, and the statuses they are offered from (None: all). The one rule table
+# behind the action menus (B9) and the check of transitions.
+_KINDS = ("sales", "purchase", "manufacturing")
+_FINISHED = ("Fully Delivered", "Fully Received", "Done", "Cancelled")
+ORDER_STATUSES = {
+    "sales": ("Draft", "Confirmed", "Partially Delivered", "Fully Delivered", "Cancelled"),
+    "purchase": ("Draft", "Confirmed", "Partially Received", "Fully Received", "Cancelled"),
+    "manufacturing": ("Draft", "Confirmed", "In Progress", "Done", "Cancelled"),
+}
+ACTION_RULES: list[tuple[str, tuple[str, ...], tuple[str, ...] | None]] = [
+    ("Edit", _KINDS, None),
+    ("Logs", _KINDS, None),
+    ("Confirm", _KINDS, ("Draft",)),
+    ("Deliver", ("sales",), ("Confirmed", "Partially Delivered")),
+    ("Receive", ("purchase",), ("Confirmed", "Partially Received")),
+    ("Start", ("manufacturing",), ("Confirmed",)),
+    ("Produce", ("manufacturing",), ("Confirmed", "In Progress")),
+    ("Cancel", _KINDS, tuple(s for k in _KINDS for s in ORDER_STATUSES[k] if s not in _FINISHED)),
+]
+
+
 def allowed_actions(orders: DataFrame, kind: str) -> DataFrame:
     """The actions the client offers per order, from its status. Built
     as an array expression (no join, stays in generated code)."""
     s = F.col("status")
-    rules: list[tuple[str, Column]] = [
-        ("Edit", F.lit(True)),
-        ("Logs", F.lit(True)),
-        ("Confirm", s == "Draft"),
-        ("Deliver", F.lit(kind == "sales") & s.isin("Confirmed", "Partially Delivered")),
-        ("Receive", F.lit(kind == "purchase") & s.isin("Confirmed", "Partially Received")),
-        ("Start", F.lit(kind == "manufacturing") & (s == "Confirmed")),
-        ("Produce", F.lit(kind == "manufacturing") & s.isin("Confirmed", "In Progress")),
-        ("Cancel", ~s.isin("Fully Delivered", "Fully Received", "Done", "Cancelled")),
-    ]
-    arr = F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(a)) for a, c in rules])
-    return orders.withColumn("actions", F.filter(arr, lambda x: x.isNotNull()))
+    offered = []
+    for action, kinds, statuses in ACTION_RULES:
+        if kind in kinds:
+            if action == "Cancel":  # any status but a finished one, unknown ones included
+                holds = ~s.isin(*_FINISHED)
+            else:
+                holds = F.lit(True) if statuses is None else s.isin(*statuses)
+            offered.append(F.when(F.coalesce(holds, F.lit(False)), F.lit(action)))
+    return orders.withColumn("actions", F.filter(F.array(*offered), lambda x: x.isNotNull()))
+
+
+def allowed_commands(kind: str) -> list[tuple[str, str]]:
+    """(status, command) pairs that the client offers for a kind of order."""
+    return [(status, action.lower()) for action, kinds, statuses in ACTION_RULES if kind in kinds and statuses
+            for status in ORDER_STATUSES[kind] if status in statuses]
 
 
 def procurement_label(products: DataFrame) -> DataFrame:

@@ -15,7 +15,8 @@ from stockflow.session import checkpoint_dir
 from stockflow.sources import documents
 from stockflow.streaming import streams
 from stockflow.plans.catalog import query
-from stockflow.sources.model import (AS_OF, Model, audit_stream, boms, read_stream, consume_command, deliver_command, empty_requests, receive_command,
+from stockflow.sources.model import (AS_OF, Model, audit_stream, boms, read_stream, consume_command, deliver_command,
+                                     empty_requests, order_command, receive_command,
                                      produce_requests, product_patch, receipt_command, sales_order_view,
                                      saved_permissions,
                                      saved_users, status_command)
@@ -969,6 +970,147 @@ def q_illegal_transitions(m: Model):
     return changes.illegal_transitions(m.manufacturing_order.select("id", "status"), status_command(m))
 
 
+def _sequence_sql(kind: str, word: str) -> str:
+    """Status commands on sales / purchase orders with the status before each."""
+    table = f"{kind}_order"
+    verb = "deliver" if kind == "sales" else "receive"
+    return f"""
+select c.order_id, c.seq, c.command, c.new_status,
+       coalesce(lag(c.new_status) over (partition by c.order_id order by c.seq), o.status, 'Draft') as old_status
+from (select user_id as order_id, event_id as seq,
+             case when event_type in ('view', 'signup') then 'confirm' when event_type = 'error' then 'cancel' else '{verb}' end as command,
+             case when event_type in ('view', 'signup') then 'Confirmed' when event_type = 'error' then 'Cancelled'
+                  when value >= 50 then 'Fully {word}' else 'Partially {word}' end as new_status
+      from events) c
+left join {table} o on o.id = c.order_id"""
+
+
+def _illegal_sql(kind: str, word: str) -> str:
+    verb = "deliver" if kind == "sales" else "receive"
+    return f"""
+select order_id, seq, command, old_status, new_status from ({_sequence_sql(kind, word)}) x
+where not coalesce((command = 'confirm' and old_status = 'Draft')
+                or (command = '{verb}' and old_status in ('Confirmed', 'Partially {word}'))
+                or (command = 'cancel' and old_status in ('Draft', 'Confirmed', 'Partially {word}')), false)"""
+
+
+def _final_sql(kind: str, word: str) -> str:
+    return f"""
+select o.id as order_id, coalesce(c.status, o.status, 'Draft') as status
+from {kind}_order o left join (select order_id, max_by(new_status, seq) as status from ({_sequence_sql(kind, word)}) x group by order_id) c
+on c.order_id = o.id"""
+
+
+@query("illegal_transitions_sales", sql=_illegal_sql("sales", "Delivered"))
+def q_illegal_transitions_sales(m: Model):
+    """E12 for sales orders: commands not offered from the status at that point."""
+    return changes.illegal_transitions(m.sales_order.select("id", "status"), order_command(m, "sales"), "sales")
+
+
+@query("illegal_transitions_purchase", sql=_illegal_sql("purchase", "Received"))
+def q_illegal_transitions_purchase(m: Model):
+    """E12 for purchase orders."""
+    return changes.illegal_transitions(m.purchase_order.select("id", "status"), order_command(m, "purchase"), "purchase")
+
+
+@query("final_status_sales", sql=_final_sql("sales", "Delivered"))
+def q_final_status_sales(m: Model):
+    """E8 for sales orders: the last command wins, deliveries with the status they led to."""
+    return changes.final_status(m.sales_order.select("id", "status"), order_command(m, "sales"))
+
+
+@query("final_status_purchase", sql=_final_sql("purchase", "Received"))
+def q_final_status_purchase(m: Model):
+    """E8 for purchase orders."""
+    return changes.final_status(m.purchase_order.select("id", "status"), order_command(m, "purchase"))
+
+
+@query("load_users_merge_fields", sql="""
+select coalesce(s.id, u.id) as id, coalesce(s.name, u.name) as name, coalesce(s.email, u.email) as email, coalesce(s.role, u.role) as role
+from app_user u full outer join (
+  select lower(email) as k, max_by(email, pos) as email, max_by(id, case when pos >= 100 then pos end) as id,
+         max_by(name, case when pos >= 100 then pos end) as name, max_by(role, case when pos >= 100 or pos % 2 = 0 then pos end) as role
+  from saved_user group by lower(email)) s on lower(u.email) = s.k""")
+def q_load_users_merge_fields(m: Model):
+    """A7 with absent fields: re-saved users carry their e-mail and every second one a role; the rest stays."""
+    every = F.array(*[F.lit(c) for c in ("id", "name", "email", "role")])
+    some = F.when(F.col("pos") >= 100, every).when(F.col("pos") % 2 == 0, F.array(F.lit("email"), F.lit("role"))).otherwise(F.array(F.lit("email")))
+    saved = saved_users(m).withColumn("carried", some)
+    return changes.load_users_merge(m.app_user, saved, present="carried").select("id", "name", "email", "role")
+
+
+@query("search_boms", sql="""
+select b.id, b.reference, p.product_name as finished_product_name from bom b join product p on p.product_id = b.finished_product_id
+where contains(lower(b.reference), 'gear') or contains(lower(p.product_name), 'gear')""")
+def q_search_boms(m: Model):
+    """BoM search for 'Gear' over reference and finished product."""
+    names = m.product.select(F.col("product_id").alias("finished_product_id"), F.col("product_name").alias("finished_product_name"))
+    view = boms(m).join(names, "finished_product_id")
+    return search.search(view, "boms", "Gear").select("id", "reference", "finished_product_name")
+
+
+@query("search_purchase", sql="""
+select o.id, concat('PO-', lpad(cast(o.id as varchar), 6, '0')) as reference, v.vendor_name, o.status
+from purchase_order o left join vendor v on v.id = o.vendor_id
+where (contains(concat('po-', lpad(cast(o.id as varchar), 6, '0')), '00001') or coalesce(contains(lower(v.vendor_name), '00001'), false))
+  and o.status = 'Fully Received'""")
+def q_search_purchase(m: Model):
+    """Purchase search for '00001' (reference or vendor) with status Fully Received."""
+    names = m.vendor.select(F.col("id").alias("vendor_id"), "vendor_name")
+    view = (m.purchase_order.withColumn("reference", F.concat(F.lit("PO-"), F.lpad(F.col("id").cast("string"), 6, "0")))
+            .join(names, "vendor_id", "left"))
+    return search.search(view, "purchase", "00001", "Fully Received").select("id", "reference", "vendor_name", "status")
+
+
+@query("search_manufacturing", sql="""
+select mo.id, p.product_name as finished_product_name, mo.status
+from manufacturing_order mo left join product p on p.product_id = mo.finished_product_id
+where mo.status = 'Done' and coalesce(contains(lower(p.product_name), 'blue'), false)""")
+def q_search_manufacturing(m: Model):
+    """Manufacturing search for 'BLUE' in the finished product with status Done."""
+    names = m.product.select(F.col("product_id").alias("finished_product_id"), F.col("product_name").alias("finished_product_name"))
+    view = m.manufacturing_order.join(names, "finished_product_id", "left")
+    return search.search(view, "manufacturing", "BLUE", "Done").select("id", "finished_product_name", "status")
+
+
+@query("enrich_purchase_lines", sql="""
+select l.order_id, l.line_seq, l.product_id, p.product_name, 'Units' as unit, p.cost_price as unit_price,
+       cast(p.cost_price * l.ordered_qty as decimal(20,2)) as total
+from purchase_line l join product p on p.product_id = l.product_id""")
+def q_enrich_purchase_lines(m: Model):
+    """C1 for purchase lines: names, unit, cost price and booked total."""
+    out, _ = lines.enrich_lines(m.purchase_line, m.product, "purchase")
+    return out.select("order_id", "line_seq", "product_id", "product_name", "unit", "unit_price", "total")
+
+
+@query("product_documents", sql="""
+select product_id, '{"product_id":' || cast(product_id as varchar) || ',"reference":"' || reference || '","procurement_type":' ||
+       coalesce('"' || procurement_type || '"', 'null') || '}' as document from product""")
+def q_product_documents(m: Model):
+    """Every product as a JSON object, nulls kept."""
+    from stockflow.functions.scalars import to_document
+    return m.product.select("product_id", to_document("product_id", "reference", "procurement_type").alias("document"))
+
+
+@query("compact_changes_with_base", sql="""
+with all_rows as (
+  select record_id, seq, op, new_value, new_label from change_feed
+  union all select product_id, -4611686018427387904, 'create', on_hand_qty, product_name from product),
+g as (
+  select record_id, max(case when op = 'create' then seq end) as last_create, max(case when op = 'delete' then seq end) as last_delete,
+         max(case when op in ('create', 'update') then seq end) as last_seq, max(case when new_value is not null then seq end) as vseq
+  from all_rows group by record_id)
+select g.record_id, case when g.vseq >= g.last_create then f.new_value end as new_value, fl.new_label,
+       case when g.last_seq > -4611686018427387904 then g.last_seq end as last_seq
+from g left join all_rows f on f.record_id = g.record_id and f.seq = g.vseq
+left join all_rows fl on fl.record_id = g.record_id and fl.seq = g.last_seq
+where g.last_create is not null and (g.last_delete is null or g.last_create > g.last_delete)""")
+def q_compact_changes_with_base(m: Model):
+    """E7 on top of existing records: products that the feed then updates and deletes."""
+    base = m.product.select(F.col("product_id").alias("record_id"), F.col("on_hand_qty").alias("new_value"), F.col("product_name").alias("new_label"))
+    return changes.compact_changes(m.change_feed, "record_id", keep_cols=["new_value"], overlay_cols=["new_label"], base=base)
+
+
 @query("assign_references", sql="""
 select id, creation_date, cast(999 + row_number() over (order by creation_date, id) as bigint) as new_id,
        concat('SO-', lpad(cast(1000 + row_number() over (order by creation_date, id) as varchar), 6, '0')) as reference
@@ -1438,8 +1580,7 @@ def q_append_draft_purchase_orders(m: Model):
     from stockflow.functions.scalars import reference_code
     plan = _plan(m)["purchase_lines"]
     drafts = plan.select("source_order_id", "vendor_id").distinct()
-    start = changes.next_ids(m.purchase_order).first().next_id
-    numbered = changes.assign_references(drafts, "PO", start, ["source_order_id", "vendor_id"])
+    numbered = changes.assign_references(drafts, "PO", changes.next_ids(m.purchase_order), ["source_order_id", "vendor_id"])
     new = numbered.select(F.col("new_id").alias("id"), "vendor_id", F.lit("Draft").alias("status"),
                           "reference", reference_code("SO", F.col("source_order_id") + 1).alias("source_note"))
     return lines.append_rows(m.purchase_order.select("id", "vendor_id", "status"), new)

@@ -353,6 +353,17 @@ def status_command(m: Model) -> DataFrame:
                                   cmd.alias("command"))
 
 
+def order_command(m: Model, kind: str) -> DataFrame:
+    """Status commands on sales or purchase orders, one per event. Deliveries
+    and receipts carry the status they led to."""
+    verb, word = {"sales": ("deliver", "Delivered"), "purchase": ("receive", "Received")}[kind]
+    et = F.col("event_type")
+    cmd = F.when(et.isin("view", "signup"), "confirm").when(et == "error", "cancel").otherwise(verb)
+    led_to = F.when(cmd == verb, F.when(F.col("value") >= 50, f"Fully {word}").otherwise(f"Partially {word}"))
+    return m.raw("events").select(F.col("user_id").alias("order_id"), F.col("event_id").alias("seq"),
+                                  cmd.alias("command"), led_to.alias("status"))
+
+
 def product_patch(m: Model) -> DataFrame:
     """Product edits as sent by a form: one map of changed fields per event
     (a present null, a zero, a rename, a protected field)."""

@@ -2,14 +2,12 @@
 
 Both are stateful aggregations with one state row per product (I1) or a
 single row (I2), so no watermark is needed. Output goes through
-``foreachBatch`` in update mode: each micro-batch appends only the rows
-whose aggregate changed, tagged with the batch id, to a parquet table in
-the shared checkpoint folder. Readers take the latest row per key. The
-stream's own checkpoint lives next to it, so a restarted query resumes from
-the last committed batch. A batch that was written but not committed is
-replayed with the same batch id and the same rows. Since readers take the
-latest batch per key, the results stay exactly-once even though such a
-replay can leave duplicate files.
+``foreachBatch`` in complete mode: each micro-batch writes the whole result
+as a new version, numbered by the batch, and drops versions before the last
+two. Readers take the newest finished version, so what they read is as large
+as the result, however many batches there were. The stream's own checkpoint
+lives next to it, so a restarted query resumes from the last committed batch;
+a replayed batch overwrites its own version.
 """
 
 from __future__ import annotations
@@ -72,6 +70,17 @@ def stream_audit_counts(logs: DataFrame) -> DataFrame:
                               F.count_if(a == "Deleted").alias("deleted"))
 
 
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Finished versions under ``path``, ascending."""
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
+        return []
+    found = [s.getPath() for s in fs.listStatus(folder) if s.getPath().getName().startswith("v=")]
+    return sorted(int(p.getName()[2:]) for p in found if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+
 def run_to_table(agg: DataFrame, name: str, spark: SparkSession, base: str | None = None) -> str:
     """Run a streaming aggregate over everything available now; return the
     folder of the versioned output table."""
@@ -79,18 +88,18 @@ def run_to_table(agg: DataFrame, name: str, spark: SparkSession, base: str | Non
     out, ckpt = os.path.join(base, "table"), os.path.join(base, "checkpoint")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("_batch", F.lit(batch_id)).write.mode("append").parquet(out)
+        batch.write.mode("overwrite").parquet(f"{out}/v={batch_id}")
+        session = batch.sparkSession
+        for old in _versions(session, out)[:-2]:  # a reader may still hold the last but one
+            p = session._jvm.org.apache.hadoop.fs.Path(f"{out}/v={old}")
+            p.getFileSystem(session._jsc.hadoopConfiguration()).delete(p, True)
 
-    q = (agg.writeStream.outputMode("update").foreachBatch(write)
+    q = (agg.writeStream.outputMode("complete").foreachBatch(write)
          .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
     q.awaitTermination()
     return out
 
 
 def latest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    """Latest row per key of a versioned output table."""
-    df = spark.read.parquet(path)
-    vals = [c for c in df.columns if c not in keys and c != "_batch"]
-    if not keys:
-        return df.agg(F.max_by(F.struct(*vals), "_batch").alias("_r")).select("_r.*")
-    return df.groupBy(*keys).agg(F.max_by(F.struct(*vals), "_batch").alias("_r")).select(*keys, "_r.*")
+    """The newest version of an output table, one row per key."""
+    return spark.read.parquet(f"{path}/v={_versions(spark, path)[-1]}")
