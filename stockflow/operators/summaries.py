@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stockflow.functions.scalars import availability
+from stockflow.operators.bom import with_finished_product
 from stockflow.operators.lines import line_total
 from stockflow.operators.scan import prefix_scan
 
@@ -147,9 +148,7 @@ def manufacturing_order_summary(mos: DataFrame, components: DataFrame, work_orde
     flat=True returns (component rows, work order rows), each with the MO
     header; nested returns one row with both arrays.
     """
-    fp = products.select(F.col("product_id").alias("finished_product_id"),
-                         F.col("product_name").alias("finished_product_name"))
-    hdr = with_owner_name(mos.join(fp, "finished_product_id"), users, "assignee_id", "assignee_name")
+    hdr = with_owner_name(with_finished_product(mos, products), users, "assignee_id", "assignee_name")
     about = _product_rows(products.select("product_id", "product_name"), position)
     comp = (components.join(about, "product_id", "left")
             .withColumn("availability", availability("to_consume_qty", "on_hand_qty", "reserved_qty", "mo")))
@@ -168,9 +167,7 @@ def bom_summary(boms: DataFrame, components: DataFrame, operations: DataFrame,
                 products: DataFrame, flat: bool = True) -> tuple[DataFrame, DataFrame] | DataFrame:
     """BoM + finished product name (inner) + components (with names) and
     operations."""
-    fp = products.select(F.col("product_id").alias("finished_product_id"),
-                         F.col("product_name").alias("finished_product_name"))
-    hdr = boms.join(fp, "finished_product_id")
+    hdr = with_finished_product(boms, products)
     names = products.select(F.col("product_id").alias("component_product_id"),
                             F.col("product_name").alias("component_name"))
     comp = components.join(names, "component_product_id", "left")

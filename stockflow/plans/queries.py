@@ -167,11 +167,11 @@ def q_enrich_sales_lines(m: Model):
 
 @query("line_lookup_rejects", sql="""
 select l.order_id, l.line_seq, l.product_id, 'Product not found' as error
-from sales_line l where not exists (select 1 from product p where p.product_id = l.product_id)""")
+from sales_line l where not exists (select 1 from product p where p.product_id = l.product_id and p.procure_on_demand)""")
 def q_line_lookup_rejects(m: Model):
-    """Sales lines whose product cannot be found."""
+    """Sales lines whose product is not among those procured on demand."""
     src = m.sales_line.select("order_id", "line_seq", "product_id")
-    _, rejects = lines.lookup(src, m.product, "product_id", "product_id", "Product")
+    _, rejects = lines.lookup(src, m.product.filter("procure_on_demand"), "product_id", "product_id", "Product")
     return rejects
 
 
@@ -1244,10 +1244,13 @@ def q_duplicate_emails(m: Model):
 
 @query("unsold_products", sql="""
 select p.product_id, p.reference from product p
-where not exists (select 1 from sales_line l where l.product_id = p.product_id)""")
+where not exists (select 1 from sales_line l join sales_order o on o.id = l.order_id
+                  where l.product_id = p.product_id and o.status = 'Cancelled')""")
 def q_unsold_products(m: Model):
-    """Products never on a sales line (anti join)."""
-    return access.not_in(m.product.select("product_id", "reference"), m.sales_line, ["product_id"])
+    """Products on no line of a cancelled order (anti join)."""
+    cancelled = m.sales_order.filter(F.col("status") == "Cancelled").select(F.col("id").alias("order_id"))
+    lost = access.exists_in(m.sales_line, cancelled, ["order_id"])
+    return access.not_in(m.product.select("product_id", "reference"), lost, ["product_id"])
 
 
 @query("access_denied", sql="""
@@ -1634,10 +1637,10 @@ def q_bom_texts(m: Model):
 
 @query("patch_rejects", sql="""
 select user_id as product_id, event_id as seq, 'not found' as error from events e
-where not exists (select 1 from product p where p.product_id = e.user_id)""")
+where not exists (select 1 from product p where p.product_id = e.user_id and p.procure_on_demand)""")
 def q_patch_rejects(m: Model):
-    """Product edits for products that do not exist."""
-    return changes.patch_rejects(m.product.select("product_id"), product_patch(m), "product_id")
+    """Product edits for products that are not in the on-demand list."""
+    return changes.patch_rejects(m.product.filter("procure_on_demand").select("product_id"), product_patch(m), "product_id")
 
 
 _PRODUCE_SQL = """
