@@ -201,7 +201,7 @@ def assign_references(df: DataFrame, prefix: str, start: int | DataFrame, order:
                       num_partitions: int | None = None) -> DataFrame:
     """Number rows in ``order`` from ``start`` (new_id) and give each the
     reference prefix + zero-padded (new_id + 1). ``start`` may be a frame of
-    one row (``next_ids``), which is joined, not fetched.
+    one row (``next_ids``), which is read as a scalar subquery.
 
     Global numbering without a single-task window: range-partition on the
     order, sort inside partitions, checkpoint (so both passes see the same
@@ -220,15 +220,13 @@ def assign_references(df: DataFrame, prefix: str, start: int | DataFrame, order:
         F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
         F.lit(0)).alias("_off"))
     within = F.col("_pos") - F.shiftleft(F.col("_pid").cast("long"), 33)
-    if isinstance(start, DataFrame):  # one row
-        offsets = offsets.crossJoin(F.broadcast(start.select(F.first("next_id").alias("_start"))))
-    else:
-        offsets = offsets.withColumn("_start", F.lit(start))
-    new_id = (F.col("_start") + F.col("_off") + within).cast("bigint")
+    # A frame of one row becomes a scalar subquery.
+    first = start.agg(F.first("next_id")).scalar() if isinstance(start, DataFrame) else F.lit(start)
+    new_id = (first + F.col("_off") + within).cast("bigint")
     return (tagged.join(F.broadcast(offsets), "_pid")
             .withColumn("new_id", new_id)
             .withColumn("reference", reference_code(prefix, F.col("new_id") + 1))
-            .drop("_pid", "_pos", "_off", "_start"))
+            .drop("_pid", "_pos", "_off"))
 
 
 def next_ids(df: DataFrame, floor: int = 1, col: str = "id") -> DataFrame:
