@@ -29,8 +29,8 @@ SHINGLE = 5
 BASE = 1.02            # step between register values
 RATE = 20.0            # rate of the exponential hashes
 TOP = 2_000            # largest register: sets beyond 10**15 would saturate
-BANDS, ROWS = 30, 6    # a pair at 0.85 is missed with probability 7e-7
-REGISTERS = BANDS * ROWS
+REGISTERS = 180
+MISSED = 1e-6          # most that a pair at the limit may be missed with
 # Pairs whose likeliest similarity lies this far below the limit are dropped:
 # over five standard deviations of the estimate.
 MARGIN = 0.15
@@ -68,12 +68,20 @@ def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(a, b)
 
 
-def band_keys(regs: np.ndarray) -> np.ndarray:
-    """One 64-bit key per band."""
-    rows = regs.reshape(BANDS, ROWS).astype(np.uint64)
-    key = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for j in range(ROWS):
-        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + rows[:, j])
+def band_rows(percent: int) -> int:
+    """Registers per band: the most with which a pair at ``percent`` shares no
+    band with probability ``MISSED`` at most (6 at 85, 5 at 80)."""
+    p = percent / 100
+    return max([n for n in range(1, 13) if (1 - p ** n) ** (REGISTERS // n) <= MISSED], default=1)
+
+
+def band_keys(regs: np.ndarray, rows: int) -> np.ndarray:
+    """One 64-bit key per band of ``rows`` registers."""
+    bands = REGISTERS // rows
+    parts = regs[:bands * rows].reshape(bands, rows).astype(np.uint64)
+    key = np.arange(1, bands + 1, dtype=np.uint64)
+    for j in range(rows):
+        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + parts[:, j])
     return key.astype(np.int64)
 
 
@@ -95,7 +103,7 @@ def _slope(regs_a, regs_b, n_a, n_b, j: float) -> np.ndarray:
     return above * dp / p + below * dq / q + equal * (-dp - dq) / np.maximum(1 - p - q, 1e-9)
 
 
-def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _sketch(batches: Iterator[pd.DataFrame], rows: int) -> Iterator[pd.DataFrame]:
     words = WordHashes()
     for pdf in batches:
         out = []
@@ -103,7 +111,7 @@ def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             items = shingle_set(text, words)
             regs = registers(items) if len(items) else None
             out.append((doc_id, len(items), hashlib.blake2b(items.tobytes(), digest_size=16).digest(),
-                        None if regs is None else regs.tobytes(), [] if regs is None else band_keys(regs)))
+                        None if regs is None else regs.tobytes(), [] if regs is None else band_keys(regs, rows)))
         yield pd.DataFrame(out, columns=["doc_id", "n_shingles", "same", "regs", "keys"])
 
 
@@ -216,7 +224,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     named = texts.filter("doc_id IS NOT NULL")
-    sketched = store(named.mapInPandas(_sketch, "doc_id long, n_shingles long, same binary, regs binary, keys array<long>"), "sketches")
+    rows_per_band = band_rows(percent)
+    sketched = store(named.mapInPandas(lambda b: _sketch(b, rows_per_band), "doc_id long, n_shingles long, same binary, regs binary, keys array<long>"), "sketches")
     filled = sketched.filter("n_shingles > 0")
     # Equal sets: one class, stood for by its least id.
     classes = store(filled.groupBy("same", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "classes")
@@ -250,7 +259,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     component = F.coalesce("component_id", "doc_id")
     out = out.select("doc_id", "n_shingles", component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
     nameless = texts.filter("doc_id IS NULL").withColumn("doc_id", F.lit(0).cast("long")).mapInPandas(
-        _sketch, "doc_id long, n_shingles long, same binary, regs binary, keys array<long>")
+        lambda b: _sketch(b, rows_per_band), "doc_id long, n_shingles long, same binary, regs binary, keys array<long>")
     return out.union(nameless.select(F.lit(None).cast("long"), "n_shingles", F.lit(None).cast("long"), F.lit(True)))
 
 
