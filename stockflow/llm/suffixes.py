@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stockflow.llm.common import small, store
-from stockflow.llm.hashing import WordHashes, runs
+from stockflow.llm.hashing import Prefix, WordHashes
 
 LEAST = 50     # words of a passage that count as a repeat
 WINDOW = 20    # a minimiser among so many consecutive runs
@@ -35,10 +35,19 @@ def word_hashes(text: str | None, words: WordHashes) -> np.ndarray:
     return words.of((text or "").encode().lower().split())
 
 
-def minimisers(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _frame(columns: tuple[str, ...], parts: list[tuple]) -> pd.DataFrame:
+    """One frame from per-document tuples of arrays and (doc_id, text_hash)."""
+    size = [len(p[1]) for p in parts]
+    of = {c: np.concatenate([p[k + 1] for p in parts]) for k, c in enumerate(columns)}
+    of["doc_id"] = np.repeat(np.array([p[0][0] for p in parts], np.int64), size)
+    of["text_hash"] = np.repeat(np.array([p[0][1] for p in parts], np.int64), size)
+    return pd.DataFrame(of)
+
+
+def minimisers(h: Prefix) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(places, first, last): the minimisers (leftmost on ties), ascending,
     and the first and last window of runs that chose each."""
-    g = runs(h, RUN)
+    g = h.runs(RUN)
     if len(g) < WINDOW:
         return (np.empty(0, np.int64),) * 3
     view = np.lib.stride_tricks.sliding_window_view(g, WINDOW)
@@ -53,18 +62,20 @@ def _suffixes(batches: Iterator[pd.DataFrame], least: int) -> Iterator[pd.DataFr
         parts = []
         for doc_id, text_hash, text in zip(pdf["doc_id"], pdf["text_hash"], pdf["text"], strict=True):
             h = word_hashes(text, words)
-            if len(h) < least:
+            n = len(h)
+            if n < least:
                 continue
+            h = Prefix(h)
             at, low, high = minimisers(h)
-            keep = at + right <= len(h)
+            keep = at + right <= n
             at, low, high = at[keep], low[keep], high[keep]
             long = np.zeros(len(at), np.int64)  # 0: fewer than ``least`` words follow
-            whole = at + least <= len(h)
-            long[whole] = runs(h, least)[at[whole]].astype(np.int64)
-            parts.append(pd.DataFrame({"short": runs(h, right)[at].astype(np.int64), "long": long, "doc_id": doc_id, "text_hash": text_hash,
-                                       "pos": at.astype(np.int32), "low": low.astype(np.int32), "high": high.astype(np.int32)}))
+            whole = at + least <= n
+            long[whole] = h.runs(least, at[whole]).astype(np.int64)
+            parts.append(((doc_id, text_hash), h.runs(right, at).astype(np.int64), long, at.astype(np.int32),
+                          low.astype(np.int32), high.astype(np.int32)))
         if parts:
-            yield pd.concat(parts, ignore_index=True)
+            yield _frame(("short", "long", "pos", "low", "high"), parts)
 
 
 def _neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -115,12 +126,13 @@ def _inside(batches: Iterator[pd.DataFrame], least: int) -> Iterator[pd.DataFram
     for pdf in batches:
         parts = []
         for doc_id, text_hash, found in zip(pdf["doc_id"], pdf["text_hash"], pdf["found"], strict=True):
-            rows = pd.DataFrame([dict(x) if isinstance(x, dict) else x.asDict() for x in found])
-            at = np.sort(rows["pos"][rows["core"]].to_numpy())
-            before = np.append(-least - 1, at)[np.searchsorted(at, rows["low"].to_numpy(), side="right")]
-            parts.append(rows.assign(doc_id=doc_id, text_hash=text_hash, inside=rows["core"] & (before >= rows["pos"] - least)))
+            short, pos, low, high, core = (np.array([x[c] for x in found], t) for c, t in (
+                ("short", np.int64), ("pos", np.int32), ("low", np.int32), ("high", np.int32), ("core", bool)))
+            at = np.sort(pos[core])
+            before = np.append(-least - 1, at)[np.searchsorted(at, low, side="right")]
+            parts.append(((doc_id, text_hash), short, pos, low, high, core, core & (before >= pos - least)))
         if parts:
-            yield pd.concat(parts, ignore_index=True)
+            yield _frame(("short", "pos", "low", "high", "core", "inside"), parts)
 
 
 def _extend(batches: Iterator[pd.DataFrame], least: int) -> Iterator[pd.DataFrame]:
@@ -130,13 +142,13 @@ def _extend(batches: Iterator[pd.DataFrame], least: int) -> Iterator[pd.DataFram
     for pdf in batches:
         parts = []
         for doc_id, text_hash, text, found in zip(pdf["doc_id"], pdf["text_hash"], pdf["text"], pdf["found"], strict=True):
-            h = runs(word_hashes(text, words), least)
+            h = word_hashes(text, words)
             starts = {s for x in found for s in range(int(x["low"]), int(x["high"]) + 1)}
-            at = np.array(sorted(s for s in starts if s < len(h)), np.int64)
+            at = np.array(sorted(s for s in starts if s + least <= len(h)), np.int64)
             if len(at):
-                parts.append(pd.DataFrame({"window": h[at].astype(np.int64), "doc_id": doc_id, "text_hash": text_hash, "pos": at.astype(np.int32)}))
+                parts.append(((doc_id, text_hash), Prefix(h).runs(least, at).astype(np.int64), at.astype(np.int32)))
         if parts:
-            yield pd.concat(parts, ignore_index=True)
+            yield _frame(("window", "pos"), parts)
 
 
 def repeated_windows(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -162,12 +174,14 @@ def repeated_windows(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id"
     matches = store(per_doc.mapInPandas(lambda b: _inside(b, least), "doc_id long, text_hash long, short long, pos int, low int, high int, "
                                         "core boolean, inside boolean"), "matches")
     open_runs = matches.groupBy("short").agg(F.min("inside").alias("inside")).filter("NOT inside").select("short")
+    open_runs = small(store(open_runs, "open-runs"))  # stored: a join of plain exchanges can be split where a run is hot
     per_doc = store(matches.join(open_runs, "short", "left_semi").groupBy(*doc)
                     .agg(F.collect_list(F.struct("low", "high")).alias("found")), "open-matches")
     ids = small(per_doc.select(*doc))
     held = texts.join(ids, doc, "left_semi").dropDuplicates(doc).join(per_doc, doc)
     windows = store(held.mapInPandas(lambda b: _extend(b, least), "window long, doc_id long, text_hash long, pos int"), "windows")
     again = windows.groupBy("window").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("window")
+    again = small(store(again, "again"))
     extended = windows.join(again, "window", "left_semi").select("doc_id", "text_hash", "pos")
     cores = matches.filter("core").select("doc_id", "text_hash", "pos")
     return cores.union(extended)
