@@ -87,28 +87,28 @@ def best_paths(messages: DataFrame, top: int = 1) -> DataFrame:
     nodes = messages.select("tree", "node", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
     known = nodes.select(F.col("tree").alias("_tree"), F.col("node").alias("_node"))
     linked = nodes.join(known, _same(nodes, known, "parent", "_node"), "left")
-    # jumps[k]: each node's ancestor 2^k steps up (null: past the root), and what the steps sum up to.
-    jump = store(linked.select("tree", "node", F.col("_node").alias("up"), F.lit(1).cast("long").alias("steps"), "score"), "jump0")
-    jumps = [jump]
-    size = None
-    while (left := jump.filter("up IS NOT NULL").count()) and (size is None or len(jumps) <= size.bit_length()):
-        size = size or nodes.count()  # no path is longer
-        to = jump.select(F.col("tree").alias("_tree"), F.col("node").alias("_node"), F.col("up").alias("_up"),
-                         F.col("steps").alias("_steps"), F.col("score").alias("_score"))
-        jump = store(jump.join(to, _same(jump, to, "up", "_node"), "left").select(
-            "tree", "node", F.col("_up").alias("up"), (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps"),
-            (F.col("score") + F.coalesce("_score", F.lit(0.0))).alias("score")), f"jump{len(jumps)}")
-        jumps.append(jump)
-    del left
+    # jumps[k]: the nodes over 2^k steps below a root, their ancestor 2^k steps up, and
+    # what those steps sum up to. A node whose steps passed the root is done.
+    first = store(linked.select("tree", "node", F.col("_node").alias("up"), F.lit(1).cast("long").alias("steps"), "score"), "jump0")
+    live, done = first.filter("up IS NOT NULL"), first.filter("up IS NULL")
+    jumps = []
+    rounds = nodes.count().bit_length()  # no path is longer; what is left runs in a circle
+    while len(jumps) < rounds and not live.isEmpty():
+        jumps.append(live)
+        to = live.union(done).select(F.col("tree").alias("_tree"), F.col("node").alias("_node"), F.col("up").alias("_up"),
+                                     F.col("steps").alias("_steps"), F.col("score").alias("_score"))
+        twice = store(live.join(to, _same(live, to, "up", "_node")).select(
+            "tree", "node", F.col("_up").alias("up"), (F.col("steps") + F.col("_steps")).alias("steps"),
+            (F.col("score") + F.col("_score")).alias("score")), f"jump{len(jumps)}")
+        live, done = twice.filter("up IS NOT NULL"), done.union(twice.filter("up IS NULL"))
     parents = nodes.filter("parent IS NOT NULL").select(F.col("tree").alias("_tree"), F.col("parent").alias("_node")).distinct()
-    rooted = jump.filter("up IS NULL")  # what still has an ancestor runs in a circle
-    leaves = rooted.join(parents, _same(rooted, parents, "node", "_node"), "left_anti")
+    leaves = done.join(parents, _same(done, parents, "node", "_node"), "left_anti")
     by = Window.partitionBy("tree").orderBy(F.desc(F.col("score") / F.col("steps")), "node")
     chosen = leaves.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= top)
     paths = store(chosen.select("tree", F.col("node").alias("leaf"), "rank", F.lit(0).cast("long").alias("depth"), "node"), "leaves")
-    for k, jump in enumerate(jumps[:-1]):
+    for k, jump in enumerate(jumps):
         to = jump.select(F.col("tree").alias("_tree"), F.col("node").alias("_node"), F.col("up").alias("_up"))
-        higher = paths.join(to, _same(paths, to, "node", "_node")).filter("_up IS NOT NULL").select(
+        higher = paths.join(to, _same(paths, to, "node", "_node")).select(
             "tree", "leaf", "rank", (F.col("depth") + (1 << k)).alias("depth"), F.col("_up").alias("node"))
         paths = store(paths.union(higher), f"paths{k}")
     return paths
