@@ -41,6 +41,22 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def most_frequent(counts: DataFrame, rows: int, n: str = "n") -> DataFrame:
+    """The rows of ``counts`` (a stored table) with the largest ``n``, at most
+    ``rows`` of them: all above the count from which there are no more.
+
+    A histogram of log counts gives that count. A sort with a limit would send
+    ``rows`` rows of every partition to the driver."""
+    size = F.floor(F.log(F.col(n).cast("double")) * 64).cast("long")
+    left, least = rows, None
+    for r in sorted(counts.groupBy(size.alias("size")).count().collect(), key=lambda r: -r["size"]):  # some 64 rows per e-fold
+        left -= r["count"]
+        if left < 0:
+            break
+        least = r["size"]
+    return counts.filter(F.lit(False) if least is None else size >= least)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` evaluated once per row, however often
     (or inside whichever lambda) the body uses it."""
