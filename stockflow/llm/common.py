@@ -16,9 +16,16 @@ from stockflow.session import checkpoint_dir
 BROADCAST_ROWS = 500_000
 
 
+# Rows that Python workers get at a time. Texts are long: the default of
+# 10,000 would hold tens of MB of them, several times over, in each worker.
+BATCH_ROWS = 1_000
+
+
 def reach_workers(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it.
-    For local runs; on a cluster ship the package with ``--py-files``."""
+    """Let Python workers import this package from where the driver has it
+    (for local runs; on a cluster ship it with ``--py-files``), and hand them
+    rows in batches of ``BATCH_ROWS``."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]

@@ -28,7 +28,7 @@ LEAST_TEXTS = 5        # texts of the sample that must hold a feature
 LEAST_Z = 4.0          # how surely it must tell the classes apart
 TOXIC_WEIGHT = 3.0     # what a missed toxic text costs against a wrongly rejected one
 BEGINNINGS = (4, 5, 6)
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 
 # Groups of identity terms; a term's counterfactual is the next of its group.
 IDENTITY_TERMS: tuple[tuple[str, ...], ...] = (
