@@ -8,6 +8,7 @@ that row. Documents longer than a row are split; no token is lost.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stockflow.llm.tokens import PieceCache, load, pieces_of, specials, tokenizer_path
+from stockflow.llm.tokens import PieceIds, load, pieces_of, specials, tokenizer_path
 
 GROUP_TOKENS = 4_000_000  # tokens that a task packs at once
 PACKED = ("pack_id string, input_ids binary, n_tokens int, cu_seqlens array<int>, position_resets array<int>, "
@@ -70,7 +71,7 @@ def best_fit_decreasing(lengths: list[int], capacity: int) -> list[list[int]]:
     return rows
 
 
-def pack_tokens(docs: DataFrame, path: str | None = None, capacity: int = 2048, pad_id: int = 0,
+def pack_tokens(docs: DataFrame, path: str | None = None, ranks: str | None = None, capacity: int = 2048, pad_id: int = 0,
                 id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of ``capacity`` ids packed from all documents of ``docs``.
 
@@ -80,17 +81,23 @@ def pack_tokens(docs: DataFrame, path: str | None = None, capacity: int = 2048,
     restart at 0, the start of each segment. doc_ids, doc_offsets, doc_lengths:
     per segment its document, its first token there and the document's tokens.
 
-    Null and empty texts have no tokens and so no segment. Repeated rows are
+    Ids are those that the tokenizers library gives for the file at ``path``;
+    ``ranks`` names the same vocabulary as ranks, to encode faster (both by
+    default byte_bpe_50k). Null and empty texts have no tokens and so no segment. Repeated rows are
     packed each. A null doc_id stays null. Extra columns are ignored.
     """
-    path = path or tokenizer_path()
+    if path is None:
+        path, ranks = tokenizer_path(), tokenizer_path("byte_bpe_50k.tiktoken")
+
+    # Found here, so that workers load the library's tokenizer only where a text needs it.
+    code, special = "I" if load(path).get_vocab_size() > 1 << 16 else "H", specials(path)
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        wide = "<u4" if load(path).get_vocab_size() > 1 << 16 else "<u2"
-        size, part, group = int(wide[-1]), TaskContext.get().partitionId(), 0
-        cache, special = PieceCache(path, lambda ids: np.array(ids, wide).tobytes()), specials(path)
+        size, part, group = array(code).itemsize, TaskContext.get().partitionId(), 0
+        pieces = PieceIds(path, ranks, code)
+        packed = lambda ids: array(code, ids).tobytes()
         held, tokens = [], 0  # (doc_id, offset, doc tokens, ids)
 
         def rows() -> pd.DataFrame:
@@ -98,7 +105,7 @@ def pack_tokens(docs: DataFrame, path: str | None = None, capacity: int = 2048,
             for k, row in enumerate(best_fit_decreasing([len(s[3]) // size for s in held], capacity)):
                 segments = [held[i] for i in row]
                 ends = np.cumsum([0] + [len(s[3]) // size for s in segments]).tolist()
-                ids = b"".join(s[3] for s in segments) + np.full(capacity - ends[-1], pad_id, wide).tobytes()
+                ids = b"".join(s[3] for s in segments) + packed([pad_id]) * (capacity - ends[-1])
                 out.append((f"{part}-{group}-{k}", ids, ends[-1], ends, ends[:-1], [s[0] for s in segments],
                             [s[1] for s in segments], [s[2] for s in segments]))
             return pd.DataFrame(out, columns=[c.split()[0] for c in PACKED.split(", ")])
@@ -109,10 +116,10 @@ def pack_tokens(docs: DataFrame, path: str | None = None, capacity: int = 2048,
                     continue
                 parts = pieces_of(text, special)
                 if parts is None:
-                    ids = cache.encode([text])[0]
+                    marked = any(s in text for s in special)
+                    ids = packed(load(path).encode(text, add_special_tokens=False).ids if marked else pieces.ids_of(text))
                 else:
-                    cache.fill(set(parts[1:]))
-                    ids = cache.encode(parts[:1])[0] + b"".join(map(cache.__getitem__, parts[1:]))
+                    ids = packed(pieces.ids_of(parts[0])) + b"".join(map(pieces.__getitem__, parts[1:]))
                 n = len(ids) // size
                 who = None if doc_id is None or doc_id != doc_id else int(doc_id)
                 for at in range(0, n, capacity):
