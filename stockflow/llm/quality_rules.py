@@ -1,7 +1,9 @@
 """Quality rules with adaptive thresholds.
 
-Per language and source, mergeable quantile sketches of each measure give a
-fence around the group's median; a text outside a fence is rejected. The
+Per language and source, mergeable quantile sketches of each measure give
+fences beyond the group's own quartiles; a text outside a fence by more than
+its length explains is rejected. The quantiles of a group lean towards its
+language's, and those towards all rows', the more the fewer texts it has. The
 fixed rules (``base_failed``) hold besides. Only DataFrame functions.
 """
 
@@ -12,16 +14,17 @@ from pyspark.sql import functions as F
 
 from stockflow.llm.common import BLANK, let, small, split_words, store
 
-# measure -> (least spread, fenced below too). The spread of a group's inner
-# quarter counts as at least this much, so that uniform groups get no tight fence.
-MEASURES: dict[str, tuple[float, bool]] = {
-    "mean_word_length": (0.5, True),
-    "symbol_share": (0.005, False),
-    "dup_line_share": (0.07, False),
-    "repeat_share": (0.06, False),
+# measure -> (what it is counted over, how many of them come together, fenced below too)
+MEASURES: dict[str, tuple[str, int, bool]] = {
+    "mean_word_length": ("n_words", 1, True),
+    "symbol_share": ("word_chars", 1, False),
+    "dup_line_share": ("n_lines", 1, False),
+    "repeat_share": ("n_words", 3, False),  # whole windows
 }
-FENCE = 6.0          # spreads from the median to the fence
-LEAST_GROUP = 100    # smaller groups take the fences of all rows together
+FENCE = 5.0          # spreads from a quartile to its fence
+RANKS = (0.15, 0.25, 0.5, 0.75, 0.85)
+PRIOR = 30.0         # texts that a group's language counts as in its quantiles
+ERRORS = 2.0         # standard errors of a text's own measure that pass beyond a fence
 SKETCH_K = 800       # size of a sketch: rank error well under 1 %
 
 
@@ -88,18 +91,47 @@ def sketches(shares: DataFrame) -> DataFrame:
 
 
 def fences(groups: DataFrame) -> DataFrame:
-    """(lang, source, low_<measure>, high_<measure>) from ``sketches``. Groups
-    of under ``LEAST_GROUP`` texts use the merged sketch of all groups."""
-    everything = groups.agg(*[F.kll_merge_agg_double(c, SKETCH_K).alias(f"all_{c}") for c in MEASURES])
-    both = groups.crossJoin(F.broadcast(everything))  # one row
-    out = [F.col("lang").alias("_lang"), F.col("source").alias("_source")]
-    for c, (least, two_sided) in MEASURES.items():
-        s = F.when(F.col("n") >= LEAST_GROUP, F.col(c)).otherwise(F.col(f"all_{c}"))
-        at = lambda r, s=s: F.kll_sketch_get_quantile_double(s, F.lit(r))
-        out.append((at(0.5) + FENCE * F.greatest(at(0.5) - at(0.25), F.lit(least))).alias(f"high_{c}"))
-        out.append((at(0.5) - FENCE * F.greatest(at(0.75) - at(0.5), F.lit(least)) if two_sided
-                    else F.lit(float("-inf"))).alias(f"low_{c}"))
-    return both.select(*out)
+    """(lang, source, low_<measure>, high_<measure>) from ``sketches``.
+
+    A fence lies ``FENCE`` spreads beyond a quartile. A spread is the way from
+    the median to the quartile or from there to the outer 15 %, whichever is
+    longer: where the median is 0, the upper quantiles alone tell it.
+    """
+    def quantiles(df: DataFrame, level: str, *keys: str) -> DataFrame:
+        at = lambda c: F.array(*[F.kll_sketch_get_quantile_double(c, F.lit(r)) for r in RANKS])
+        return df.select(*[F.col(k).alias(f"{level}_{k}") for k in keys], F.col("n").alias(f"{level}_n"),
+                         *[at(c).alias(f"{level}_{c}") for c in MEASURES])
+
+    merged = [F.sum("n").alias("n"), *[F.kll_merge_agg_double(c, SKETCH_K).alias(c) for c in MEASURES]]
+    own = quantiles(groups, "own", "lang", "source")
+    langs = quantiles(groups.groupBy("lang").agg(*merged), "all", "lang")
+    everything = quantiles(groups.agg(*merged).filter("n > 0"), "any")
+    rows = own.join(langs, F.col("own_lang").eqNullSafe(F.col("all_lang"))).crossJoin(F.broadcast(everything))  # one row
+
+    def leaning(q: Column, n: str, to: Column) -> Column:
+        return F.zip_with(q, to, lambda x, y: (F.col(n) * x + PRIOR * y) / (F.col(n) + PRIOR))
+
+    out = [F.col("own_lang").alias("_lang"), F.col("own_source").alias("_source")]
+    for c, (*_, two_sided) in MEASURES.items():
+        lang = leaning(F.col(f"all_{c}"), "all_n", F.col(f"any_{c}"))
+        rows = rows.withColumn(f"q_{c}", leaning(F.col(f"own_{c}"), "own_n", lang))
+        q15, q25, q50, q75, q85 = (F.get(f"q_{c}", F.lit(i)) for i in range(len(RANKS)))
+        out.append((q75 + FENCE * F.greatest(q75 - q50, q85 - q75)).alias(f"high_{c}"))
+        out.append((q25 - FENCE * F.greatest(q50 - q25, q25 - q15) if two_sided else F.lit(float("-inf"))).alias(f"low_{c}"))
+    return rows.select(*out)
+
+
+def _inside(c: str, over: str, together: int, two_sided: bool) -> Column:
+    """Whether a measure is inside its fences, give or take ``ERRORS`` standard
+    errors: a few words or lines tell a share only roughly. A share's are those
+    of a proportion at the fence (Wilson's bound, so that a fence of 0 has some
+    too); word lengths are taken to vary by their mean."""
+    n, low, high = F.greatest(F.col(over), F.lit(1)).cast("double") / together, F.col(f"low_{c}"), F.col(f"high_{c}")
+    if two_sided:
+        error = ERRORS * F.col(c) / F.sqrt(n)
+        return F.col(c).between(low - error, high + error)
+    z, p = ERRORS ** 2, F.least(high, F.lit(1.0))
+    return F.col(c) <= (p + z / (2 * n) + ERRORS * F.sqrt(p * (1 - p) / n + z / (4 * n * n))) / (1 + z / n)
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
@@ -107,7 +139,8 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     n_dup_lines, n_repeat_words, base_failed, kept.
 
     base_failed: under 50 words, or over half of them in repeated windows.
-    kept: not base_failed and every measure inside its group's fences. Null
+    kept: not base_failed and every measure inside its group's fences, give or
+    take the error that the text's length leaves. Null
     language or source is a group of its own; null and empty texts fail.
     Repeated rows each get their row. Extra columns are ignored.
     """
@@ -115,8 +148,8 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     limits = store(fences(store(sketches(shares), "sketches")), "fences")
     rows = shares.join(small(limits), F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
     inside = F.lit(True)
-    for c in MEASURES:
-        inside = inside & F.coalesce(F.col(c).between(F.col(f"low_{c}"), F.col(f"high_{c}")), F.lit(False))
+    for c, (over, together, two_sided) in MEASURES.items():
+        inside = inside & F.coalesce(_inside(c, over, together, two_sided), F.lit(False))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                        failed.alias("base_failed"), (~failed & inside).alias("kept"))

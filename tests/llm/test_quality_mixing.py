@@ -45,6 +45,22 @@ def test_quality_rejects_symbol_junk_and_keeps_clean(spark):
     assert all(got[i] for i in range(150)) and not any(got[1000 + i] for i in range(10))
 
 
+def test_quality_fences_follow_the_group(spark):
+    """The same text in a source of prose, in one where two texts of five have
+    formulas (its median is 0), and in a small one of formulas."""
+    def text(i, symbols):
+        words = [f"{a}{i}x{j}" for j, a in enumerate("some plain words of text here".split() * 20)]
+        return " ".join(w + "$" * (j < symbols) for j, w in enumerate(words))
+
+    prose = [(i, text(i, 0), "en", "prose", 1) for i in range(400)]
+    maths = [(1000 + i, text(1000 + i, 70 + i % 21 if i % 5 < 2 else 0), "en", "maths", 1) for i in range(400)]
+    few = [(2000 + i, text(2000 + i, 70 + i % 21), "fr", "maths", 1) for i in range(60)]
+    same = [(5001, text(5000, 85), "en", "prose", 1), (5002, text(5000, 85), "en", "maths", 1), (5003, text(5000, 85), "fr", "maths", 1)]
+    got = {r.doc_id: r.kept for r in quality_rules(spark.createDataFrame(prose + maths + few + same, "doc_id long, text string, lang string, source string, n_chars long")).collect()}
+    assert not got[5001] and got[5002] and got[5003]
+    assert all(got[i] for i, *_ in prose + maths + few)
+
+
 @pytest.mark.parametrize("rate", [0.0, 0.3, 1.0, 7.5, 300.0])
 def test_poisson_inverse(spark, rate):
     import math
