@@ -94,28 +94,48 @@ def violations(checks: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, checks)
 
 
+def check_rows(df: DataFrame, table: str, rules: Sequence[tuple[str, Column, Column]], key: Sequence[str]) -> DataFrame:
+    """Rules that a row breaks by itself, (rule, condition, detail) each, in
+    one scan: one row per (row, broken rule)."""
+    broken = F.array(*[F.when(bad, F.struct(F.lit(rule).alias("rule"), detail.cast("string").alias("detail"))) for rule, bad, detail in rules])
+    out = df.select(_key(key).alias("key"), F.explode(F.filter(broken, lambda x: x.isNotNull())).alias("b"))
+    return out.select("b.rule", F.lit(table).alias("table_name"), "key", "b.detail")
+
+
 def entity_violations(tables: dict[str, DataFrame]) -> DataFrame:
     """All schema rules (stockflow.schemas) over the entity tables given;
-    rules whose tables are missing are skipped."""
+    rules whose tables or columns are missing are skipped."""
     from stockflow import schemas as R
+    has = lambda t, *cols: t in tables and set(cols) <= set(tables[t].columns)
     checks = []
     for t, keysets in R.UNIQUE.items():
-        if t in tables:
-            checks += [check_unique(tables[t], t, ks) for ks in keysets]
+        checks += [check_unique(tables[t], t, ks) for ks in keysets if has(t, *ks)]
     for child, col, parent in R.FOREIGN_KEYS:
-        if child in tables and parent in tables:
+        if has(child, col) and has(parent, "id"):
             checks.append(check_foreign_key(tables[child], child, [col], tables[parent], ["id"],
-                                            ["id"] if "id" in tables[child].columns else [col]))
+                                            ["id"] if has(child, "id") else [col]))
+    rules: dict[str, list[tuple[str, Column, Column]]] = {}
+    add = lambda t, col, *rule: rules.setdefault(t, []).append(rule) if has(t, col) else None
     for t, col, values in R.DOMAINS:
-        if t in tables:
-            checks.append(check_domain(tables[t], t, col, values, ["id"] if "id" in tables[t].columns else [col]))
+        c = F.col(col)
+        add(t, col, "domain", c.isNotNull() & ~c.isin(*values), F.concat(F.lit(col + "="), c.cast("string")))
     for t, cols in R.NOT_NULL.items():
-        if t in tables:
-            checks.append(check_not_null(tables[t], t, cols, ["id"] if "id" in tables[t].columns else cols[:1]))
+        for col in cols:
+            add(t, col, "not_null", F.col(col).isNull(), F.lit(col))
     for t, col, n in R.LENGTH:
-        if t in tables:
-            checks.append(check_length(tables[t], t, col, n, ["id"]))
+        add(t, col, "length", F.char_length(col) > n, F.concat(F.lit(col + " length="), F.char_length(col).cast("string")))
     for t, cols in R.REQUIRED:
-        if t in tables:
-            checks.append(check_required(tables[t], t, cols, ["id"]))
+        for col in cols:
+            add(t, col, "required", F.col(col).isNull() | (F.trim(F.col(col)) == ""), F.lit(col))
+    for t, of in rules.items():
+        key = ["id"] if has(t, "id") else [c for c in R.UNIQUE[t][0] if has(t, c)] or tables[t].columns[:1]
+        checks.append(check_rows(tables[t], t, of, key))
     return violations(checks)
+
+
+def cascade_delete_all(tables: dict[str, DataFrame], left: dict[str, DataFrame]) -> DataFrame:
+    """H7 over every row of schemas.CASCADE: (table_name, key) of the children
+    that survive when of each parent table only the rows in ``left`` remain."""
+    from stockflow import schemas as R
+    return violations([cascade_delete(tables[t], left[parent], col).select(F.lit(t).alias("table_name"), _key(["id"]).alias("key"))
+                       for t, col, parent in R.CASCADE if t in tables and parent in left])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from stockflow.functions.scalars import contains_ci
 from stockflow.operators import (access, audit, boards, bom, changes, fulfil, ledger, lines, quality,
                                  search, stock, summaries)
-from stockflow.plans import procurement
+from stockflow.plans import entity_rules, procurement
 from stockflow.session import checkpoint_dir
 from stockflow.sources import documents
 from stockflow.streaming import streams
@@ -1332,6 +1332,21 @@ def q_cascade_delete(m: Model):
     return quality.cascade_delete(m.sales_line.select("order_id", "line_seq"), remaining, "order_id")
 
 
+@query("entity_violations", sql=entity_rules.violations_sql())
+def q_entity_violations(m: Model):
+    """H1-H6, H9: every rule of the schema over all entity tables that the given tables hold."""
+    checks = [quality.check_precision(m.raw(t), t, c, p, s, key) for t, c, p, s, key in entity_rules.PRECISION]
+    return quality.violations([quality.entity_violations(entity_rules.entities(m)), *checks])
+
+
+@query("cascade_delete_all", sql=entity_rules.cascade_sql())
+def q_cascade_delete_all(m: Model):
+    """H7: children left in all seven child tables after deleting some parents of each kind."""
+    tables = entity_rules.entities(m)
+    left = {t: tables[t].filter(~F.coalesce(F.expr(gone), F.lit(False))) for t, gone in entity_rules.DELETED.items()}
+    return quality.cascade_delete_all(tables, left)
+
+
 @query("orphans", sql="""
 select order_id, line_seq from sales_line l where not exists (
   select 1 from sales_order o where o.id = l.order_id and o.status <> 'Cancelled')""")

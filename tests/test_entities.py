@@ -74,6 +74,28 @@ def test_planted_violations_are_found(spark):
             ("required", "users")} <= got
 
 
+def test_rules_and_cascades_of_all_entities_are_registered(spark):
+    """A bad status, an orphan component and a null price in the given tables
+    are reported; every cascading child table loses rows."""
+    from stockflow.plans import entity_rules
+    from stockflow.plans.catalog import load_all
+    from stockflow.sources.model import Model
+
+    m = Model(spark, "/root/testdata/sf0.001", materialize=False)
+    m.sales_order = m.sales_order.replace("Draft", "Shipped", "status")
+    m.manufacturing_order = m.manufacturing_order.replace("Done", "Finished", "status")
+    assert m.bom_component.count() > 0  # of the whole product table
+    m.product = m.product.filter("product_id <> 4").selectExpr("* except (sales_price)", "if(product_id = 5, null, sales_price) as sales_price")
+    got = {(r.rule, r.table_name, r.detail.split("=")[0]) for r in quality.entity_violations(entity_rules.entities(m)).collect()}
+    assert {("domain", "sales_orders", "status"), ("domain", "manufacturing_orders", "status"), ("foreign_key", "bom_components", "component_product_id"),
+            ("foreign_key", "mo_components", "product_id"), ("not_null", "products", "sales_price")} <= got
+    assert {"entity_violations", "cascade_delete_all"} <= set(load_all())
+    m = Model(spark, "/root/testdata/sf0.001")
+    tables = entity_rules.entities(m)
+    left = {r.table_name: r["count"] for r in load_all()["cascade_delete_all"].build(spark, "/root/testdata/sf0.001").groupBy("table_name").count().collect()}
+    assert set(left) == {t for t, _, _ in R.CASCADE} and all(0 < n < tables[t].count() for t, n in left.items())
+
+
 def test_month_partitioned_facts_are_pruned(spark, tmp_path):
     from stockflow.sources.model import Model
     from stockflow.sources.tables import read_months, write_by_month
