@@ -182,3 +182,25 @@ def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stockflow.llm.common import crc_mod
 
     return lm_scores(_table(spark, sf_dir, "documents"), crc_mod(F.col("doc_id"), 7) == 2)
+
+
+_SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_OP11_SQL = f"""
+WITH l AS (
+  SELECT doc_id, p AS pos, lines[p] AS line,
+         translate(trim(lines[p], {_SPACE}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents), unnest(range(1, len(lines) + 1)) t(p)),
+often AS (SELECT key FROM l WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10),
+marked AS (SELECT l.*, often.key IS NULL AS stays FROM l LEFT JOIN often USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT stays) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (stays), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
+
+@_register(_OP11_SQL)
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines that 10 documents or more have."""
+    from stockflow.llm.line_dedup import digests, line_dedup
+
+    return digests(line_dedup(_table(spark, sf_dir, "documents"), least=10))
