@@ -68,8 +68,7 @@ class LineRuns:
         """Write ``rows`` as a run under the shared checkpoint folder."""
         name = f"line_run_{uuid.uuid4().hex}"
         path = f"{checkpoint_dir(self.spark).rstrip('/')}/{name}"
-        (rows.repartition(self.buckets, "h1", "h2").write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2")
-         .option("path", path).saveAsTable(name))
+        rows.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", path).saveAsTable(name)
         run = self.spark.table(name)
         run.schema  # resolved here; the files stay when the name goes
         self.spark.sql(f"DROP TABLE {name}")
@@ -79,8 +78,14 @@ class LineRuns:
         return [run for level in self.levels for run in level]
 
     def _merged(self, runs: list[DataFrame]) -> DataFrame:
-        """One row per key. Runs are bucketed alike, so nothing is moved."""
-        return reduce(DataFrame.unionByName, runs).groupBy("h1", "h2").agg(F.sum("n").alias("n"))
+        """One row per key. Two runs are bucketed alike, so nothing is moved.
+        (An aggregate over their union would rely on the union to keep the
+        buckets together, which it does not in all plans.)"""
+        def merge(a: DataFrame, b: DataFrame) -> DataFrame:
+            more = b.withColumnRenamed("n", "more").hint("merge")
+            return a.join(more, ["h1", "h2"], "full_outer").select("h1", "h2", (F.coalesce("n", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("n"))
+
+        return reduce(merge, runs)
 
     def unsettled(self, batch: DataFrame) -> DataFrame:
         """Rows of ``batch`` whose key no run has in ``least`` documents."""
@@ -98,7 +103,7 @@ class LineRuns:
         """Count ``batch`` (h1, h2, n: a document may send its keys in any
         number of rows as long as n adds up) and keep it as a run."""
         counted = batch.groupBy("h1", "h2").agg(F.sum("n").alias("n"))
-        self._push(0, self._run(self.unsettled(counted)))
+        self._push(0, self._run(self.unsettled(counted).repartition(self.buckets, "h1", "h2")))
 
     def _push(self, level: int, run: DataFrame) -> None:
         if level == len(self.levels):
