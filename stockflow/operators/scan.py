@@ -40,7 +40,8 @@ def _combine(op: str, offset: Column, inner: Column) -> Column:
 
 
 def prefix_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column | str,
-                op: str, out: str, inclusive: bool = True, num_partitions: int | None = None) -> DataFrame:
+                op: str, out: str, inclusive: bool = True, num_partitions: int | None = None,
+                carry: DataFrame | None = None) -> DataFrame:
     """Add column ``out`` = op over rows of the same key up to this row.
 
     ``inclusive=False`` excludes the row itself (a 'before' value). ``last``
@@ -48,17 +49,19 @@ def prefix_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], value:
     no rows -> null. Rows that tie in ``order`` are taken in the order of a
     hash of all their columns.
     """
-    return prefix_scans(df, keys, order, [(value, op, out)], inclusive, num_partitions)
+    return prefix_scans(df, keys, order, [(value, op, out)], inclusive, num_partitions, carry)
 
 
 def prefix_scans(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                  specs: Sequence[tuple[Column | str, str, str]], inclusive: bool = True,
-                 num_partitions: int | None = None) -> DataFrame:
+                 num_partitions: int | None = None, carry: DataFrame | None = None) -> DataFrame:
     """Several prefix values over the same key and order in one pass:
     ``specs`` = [(value, op, out), ...]. However many values are scanned,
     there is one range exchange, one aggregate, one offset join and one
     window. ``num_partitions``: pieces overall (default: the session's shuffle
-    partitions, which ``session.tune_for_input`` sizes from the data)."""
+    partitions, which ``session.tune_for_input`` sizes from the data).
+    ``carry``: a state that the scan starts from (see ``scan_carry``); it meets
+    the pieces, at most one row per key and partition, never the rows."""
     keys, order = list(keys), list(order)
     vals = [(F.col(v) if isinstance(v, str) else v, op, out) for v, op, out in specs]
     n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -84,6 +87,11 @@ def prefix_scans(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     # (Spark plans <=> as an equi-join, so this stays a hash / sort-merge join).
     offsets = pieces.select(*[F.col(k).alias(f"_o_{k}") for k in keys], F.col("_piece").alias("_o_piece"),
                             "_rows", "_max_tie", *priors)
+    if carry is not None:
+        start = carry.select(*[F.col(k).alias(f"_c_{k}") for k in keys], *[F.col(out).alias(f"_carry{i}") for i, (_, _, out) in enumerate(vals)])
+        offsets = (offsets.join(start, [F.col(f"_o_{k}").eqNullSafe(F.col(f"_c_{k}")) for k in keys], "left")
+                   .withColumns({f"_off{i}": _combine(op, F.col(f"_carry{i}"), F.col(f"_off{i}")) for i, (_, op, _) in enumerate(vals)})
+                   .drop(*[f"_c_{k}" for k in keys], *[f"_carry{i}" for i in range(len(vals))]))
     cond = [ranged[k].eqNullSafe(offsets[f"_o_{k}"]) for k in keys] + [ranged["_piece"].eqNullSafe(offsets["_o_piece"])]
     joined = ranged.join(offsets, on=cond, how="left").drop(*[f"_o_{k}" for k in keys], "_o_piece")
 
@@ -100,3 +108,35 @@ def prefix_scans(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     checked = scanned.filter(F.when(F.col("_same"), F.lit(True)).otherwise(
         F.raise_error(F.lit("prefix scan saw two different partitionings")).cast("boolean")))
     return checked.drop("_piece", "_tie", "_rows", "_max_tie", "_same", *[f"_off{i}" for i in range(len(vals))])
+
+
+def scan_carry(df: DataFrame, keys: Sequence[str], order: Sequence[str], specs: Sequence[tuple[Column | str, str, str]],
+               carry: DataFrame | None = None, through: str = "through") -> DataFrame:
+    """The state after ``df``, from which a later batch resumes: per key the
+    value of every spec over all rows so far, and ``through``, the last order
+    values. ``carry`` is the state before. One aggregate of the new rows, then
+    one row per key meets one row per key."""
+    keys, order = list(keys), list(order)
+    vals = [(F.col(v) if isinstance(v, str) else v, op, out) for v, op, out in specs]
+    at = F.struct(*order)
+    tie = F.xxhash64(*df.columns)
+    aggs = [(F.max_by(val, F.when(val.isNotNull(), F.struct(at, tie))) if op == "last" else _AGG[op](val)).alias(out) for val, op, out in vals]
+    new = df.groupBy(*keys).agg(*aggs, F.max(at).alias(through))
+    if carry is None:
+        return new
+    old = carry.select(*[F.col(k).alias(f"_c_{k}") for k in keys], *[F.col(out).alias(f"_c_{out}") for _, _, out in vals], F.col(through).alias("_c_through"))
+    met = new.withColumn("_new", F.lit(True)).join(old, [F.col(k).eqNullSafe(F.col(f"_c_{k}")) for k in keys], "full_outer")
+    return met.select(*[F.when(F.col("_new"), F.col(k)).otherwise(F.col(f"_c_{k}")).alias(k) for k in keys],
+                      *[_combine(op, F.col(f"_c_{out}"), F.col(out)).alias(out) for _, op, out in vals],
+                      F.greatest(F.col(through), F.col("_c_through")).alias(through))
+
+
+def split_late(df: DataFrame, keys: Sequence[str], order: Sequence[str], carry: DataFrame, through: str = "through") -> tuple[DataFrame, DataFrame]:
+    """(on time, late): rows after the state's last order values of their key,
+    and rows at or before them, which belonged into an earlier batch. Keys
+    without a state, or with one that has seen no row, are on time."""
+    keys = list(keys)
+    seen = carry.select(*[F.col(k).alias(f"_c_{k}") for k in keys], F.col(through).alias("_c_through"))
+    met = df.join(seen, [df[k].eqNullSafe(seen[f"_c_{k}"]) for k in keys], "left")
+    late = F.coalesce(F.struct(*[df[c] for c in order]) <= F.col("_c_through"), F.lit(False))
+    return met.filter(~late).select(*[df[c] for c in df.columns]), met.filter(late).select(*[df[c] for c in df.columns])

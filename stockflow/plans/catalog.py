@@ -47,5 +47,5 @@ def query(name: str, sql: str | None = None):
 
 def load_all() -> dict[str, Query]:
     # Importing the query modules fills REGISTRY.
-    from stockflow.plans import queries  # noqa: F401
+    from stockflow.plans import queries, queries_history  # noqa: F401
     return REGISTRY

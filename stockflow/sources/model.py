@@ -438,3 +438,37 @@ def produce_requests(m: Model, mo_components: DataFrame) -> tuple[DataFrame, Dat
     without = open_mo.select(F.col("id").alias("mo_id"), (F.col("id") * 10 + 1).alias("seq"),
                              F.lit(True).alias("all_components"))
     return explicit, with_list.unionByName(without)
+
+
+def status_events(m: Model, kind: str) -> DataFrame:
+    """Status changes in time: an order that is no draft was confirmed when it
+    was made (an MO: when it was scheduled); one that ended did so at its due
+    date (an MO: a week later)."""
+    ntz = "timestamp_ntz"
+    if kind == "sales":
+        rows, made, over = m.sales_order, F.col("creation_date").cast(ntz), F.col("due_date").cast(ntz)
+        ends = ("Fully Delivered", "Cancelled")
+    else:
+        rows, made, over = m.manufacturing_order, F.col("schedule_date").cast(ntz), F.date_add("schedule_date", 7).cast(ntz)
+        ends = ("Done", "Cancelled")
+    known = rows.filter(F.col("status") != "Draft")
+    first = known.select(F.col("id").alias("order_id"), made.alias("at"), F.lit("Confirmed").alias("status"))
+    return first.unionByName(known.filter(F.col("status").isin(*ends)).select(F.col("id").alias("order_id"), over.alias("at"), "status"))
+
+
+def line_deliveries(m: Model) -> DataFrame:
+    """What was delivered of each sales line, and when."""
+    return (m.stock_movement.filter(F.col("reference_type") == "SO")
+            .select("order_id", "line_seq", F.col("movement_date").alias("at"), (-F.col("movement_qty")).alias("qty")))
+
+
+def document_patch(m: Model) -> DataFrame:
+    """Product edits with any keys, as JSON texts, one per event."""
+    et, n = F.col("event_type"), F.col("event_id").cast("string")
+    few = (F.col("event_id") % 7).cast("string")
+    body = (F.when(et == "click", F.concat(F.lit('{"on_hand_qty":'), F.floor("value").cast("string"), F.lit(',"colour":"c'), few, F.lit('"}')))
+             .when(et == "purchase", F.concat(F.lit('{"on_hand_qty":null,"sold":'), (F.col("event_id") % 2 == 0).cast("string"), F.lit("}")))
+             .when(et == "error", F.concat(F.lit('{"procurement_type":null,"size":{"h":'), few, F.lit(',"w":[1,"x"]}}')))
+             .when(et == "signup", F.concat(F.lit('{"product_name":"renamed '), n, F.lit('","colour":null}')))
+             .otherwise(F.concat(F.lit('{"reference":"X-'), n, F.lit('","on_hand_qty":"about '), few, F.lit('","rank":'), few, F.lit("}"))))
+    return m.raw("events").select(F.col("user_id").alias("product_id"), F.col("event_id").alias("seq"), body.alias("body"))
