@@ -45,6 +45,12 @@ PRECISION = [("part", "p_retailprice", 12, 2, ["p_partkey"]), ("customer", "c_ac
 DELETED = {"users": "id % 5 = 1", "bills_of_material": "id % 7 = 0", "sales_orders": "status = 'Cancelled'",
            "purchase_orders": "status = 'Cancelled'", "manufacturing_orders": "status = 'Cancelled'"}
 
+# Rows whose deletion ``delete_outcomes`` is asked for: most documents, so that
+# some of what they refer to can go as well.
+REQUESTED = {"users": "id % 5 = 1", "vendors": "id % 3 > 0", "products": "id % 2 = 0", "bills_of_material": "id % 4 <> 0",
+             "sales_orders": "id % 400 <> 0", "purchase_orders": "id % 300 <> 0", "manufacturing_orders": "id % 200 <> 0",
+             "stock_ledger": "reference_id % 500 <> 0", "audit_logs": "id % 50 <> 0"}
+
 
 def entities(m: Model) -> dict[str, DataFrame]:
     """Entity name -> rows of the given tables."""
@@ -128,3 +134,33 @@ def cascade_sql() -> str:
     return _ctes() + "\n" + "\nunion all\n".join(
         f"select '{t}' as table_name, {_text('id')} as key from e_{t} where {c} in (select id from e_{p} where not coalesce({DELETED[p]}, false))"
         for t, c, p in R.CASCADE)
+
+
+def deletes_sql() -> str:
+    """Reachability over all references, as a recursive query."""
+    restrict = [k for k in R.FOREIGN_KEYS if k not in R.CASCADE and _has(k[0], k[1]) and _has(k[2], "id")]
+    down = [k for k in R.CASCADE if _has(k[0], k[1])]
+    node = lambda t, x="": f"'{t}' as t, cast({x}id as varchar) as k"
+    refs = lambda keys: " union all ".join(
+        f"select {node(c)}, '{c}.{col}' as fk, '{p}' as to_t, cast({col} as varchar) as to_k from e_{c} where {col} is not null" for c, col, p in keys)
+    asked = " union all ".join(f"select {node(t)} from e_{t} where {rule}" for t, rule in REQUESTED.items())
+    return _ctes() + f""",
+asked as (select distinct t, k from ({asked}) a),
+down as ({refs(down)}),
+going as (select t, k, max(asked) as asked from (
+  select t, k, true as asked from asked union all
+  select d.t, d.k, false from down d join asked a on a.t = d.to_t and a.k = d.to_k) g group by t, k),
+held as (select r.*, s.t is not null as going from ({refs(restrict)}) r join going g on g.t = r.to_t and g.k = r.to_k
+         left join going s on s.t = r.t and s.k = r.k),
+spread as (
+  select t, k, to_t, to_k from held where going
+  union select d.t, d.k, d.to_t, d.to_k from down d join going a on a.t = d.t and a.k = d.k join going b on b.t = d.to_t and b.k = d.to_k
+  union select d.to_t, d.to_k, d.t, d.k from down d join going a on a.t = d.t and a.k = d.k and not a.asked join going b on b.t = d.to_t and b.k = d.to_k),
+stays as (select * from (
+  with recursive s as (select distinct to_t as t, to_k as k from held where not going
+                       union select e.to_t, e.to_k from s join spread e on e.t = s.t and e.k = s.k) select * from s) y),
+blocks as (select h.to_t as t, h.to_k as k, min(h.fk) as fk from held h left join stays s on s.t = h.t and s.k = h.k
+           where not h.going or s.t is not null group by 1, 2)
+select g.t as table_name, g.k as key, case when s.t is not null and g.asked then 'refused' when s.t is not null then 'kept'
+       when g.asked then 'deleted' else 'cascaded' end as outcome, b.fk as blocked_by
+from going g left join stays s on s.t = g.t and s.k = g.k left join blocks b on b.t = g.t and b.k = g.k"""

@@ -5,7 +5,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stockflow.operators import asof, history, machine, patches, resume
+from stockflow import schemas
+from stockflow.operators import asof, deletes, history, machine, patches, resume
+from stockflow.plans import entity_rules
 from stockflow.plans.catalog import query
 from stockflow.plans.queries import _fulfil_sql, _ledger_sql, _mo_components, _sequence_sql
 from stockflow.sources.model import (Model, deliver_command, document_patch, line_deliveries, order_command, receive_command,
@@ -297,3 +299,16 @@ def q_fulfil_resumed_ledger(m: Model):
 def q_receive_resumed_lines(m: Model):
     """E6 in two batches: purchase lines after all receipts."""
     return _resumed(m, "purchase")[1].lines
+
+
+# --------------------------------------------------------------------------
+# Deletes with cascades and refusals (H7)
+# --------------------------------------------------------------------------
+
+
+@query("delete_outcomes", sql=entity_rules.deletes_sql())
+def q_delete_outcomes(m: Model):
+    """H7 with refusal: of many requested deletes in all tables, which rows go, cascade, are refused or kept, and what blocks them."""
+    tables = entity_rules.entities(m)
+    asked = {t: tables[t].filter(F.expr(rule)) for t, rule in entity_rules.REQUESTED.items()}
+    return deletes.delete_outcomes(tables, asked, schemas.CASCADE, schemas.FOREIGN_KEYS)
