@@ -16,12 +16,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stockflow.operators.reach import reached
 from stockflow.stored import store
 
 Key = tuple[str, str, str]  # child table, column, parent table
 
 
-NODE = ["table_name", "key"]
+NODE, TO = ["table_name", "key"], ["to_table", "to_key"]
 
 
 def _union(frames: Sequence[DataFrame]) -> DataFrame:
@@ -44,24 +45,6 @@ def _references(tables: Mapping[str, DataFrame], keys: Sequence[Key]) -> DataFra
     return _union(frames) if frames else None
 
 
-def _reached(seeds: DataFrame, edges: DataFrame | None, tag: str) -> DataFrame:
-    """Nodes reachable from ``seeds`` along edges (table_name, key, to_table,
-    to_key), the seeds included. Each round joins the newest nodes only."""
-    found = frontier = store(seeds.distinct(), tag)
-    rounds = 0
-    while edges is not None:
-        ahead = (edges.join(frontier, NODE, "left_semi").select(F.col("to_table").alias("table_name"), F.col("to_key").alias("key")).distinct()
-                 .join(found, NODE, "left_anti"))
-        frontier = store(ahead, tag)
-        if frontier.isEmpty():
-            break
-        rounds += 1
-        found = found.unionByName(frontier)
-        if rounds % 8 == 0:  # keep the plan short
-            found = store(found, tag)
-    return found
-
-
 def delete_outcomes(tables: Mapping[str, DataFrame], requests: Mapping[str, DataFrame], cascade: Sequence[Key],
                     foreign_keys: Sequence[Key]) -> DataFrame:
     """(table_name, key, outcome, blocked_by) for every row that the deletes
@@ -92,12 +75,12 @@ def delete_outcomes(tables: Mapping[str, DataFrame], requests: Mapping[str, Data
     to_children = None
     if down is not None:
         to_children = down.select(F.col("to_table").alias("table_name"), F.col("to_key").alias("key"), F.col("table_name").alias("to_table"), F.col("key").alias("to_key"))
-    going = _reached(asked, to_children, "candidates")
+    going = reached(asked, to_children, NODE, TO)
 
     def among(edges: DataFrame) -> DataFrame:
         """Edges that lead to candidates, with whether they come from one."""
         at = going.select(F.col("table_name").alias("to_table"), F.col("key").alias("to_key"))
-        return (edges.join(at, ["to_table", "to_key"], "left_semi")
+        return (edges.join(at, TO, "left_semi")
                 .join(going.withColumn("going", F.lit(True)), NODE, "left"))
 
     spread, seeds = [], asked.limit(0)
@@ -111,7 +94,7 @@ def delete_outcomes(tables: Mapping[str, DataFrame], requests: Mapping[str, Data
         spread.append(family)  # a child that stays keeps its parent
         kept = family.join(asked, NODE, "left_anti")
         spread.append(kept.select(F.col("to_table").alias("table_name"), F.col("to_key").alias("key"), F.col("table_name").alias("to_table"), F.col("key").alias("to_key")))
-    stays = _reached(seeds, store(_union(spread).distinct(), "spread") if spread else None, "stays")
+    stays = reached(seeds, store(_union(spread).distinct(), "spread") if spread else None, NODE, TO)
 
     rows = (going.join(asked.withColumn("_asked", F.lit(True)), NODE, "left").join(stays.withColumn("_stays", F.lit(True)), NODE, "left"))
     if refs is not None:

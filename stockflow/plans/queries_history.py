@@ -6,12 +6,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stockflow import schemas
-from stockflow.operators import asof, deletes, history, machine, patches, resume
+from stockflow.operators import asof, deletes, history, machine, patches, resume, stock, supply
 from stockflow.plans import entity_rules
 from stockflow.plans.catalog import query
-from stockflow.plans.queries import _fulfil_sql, _ledger_sql, _mo_components, _sequence_sql
-from stockflow.sources.model import (Model, deliver_command, document_patch, line_deliveries, order_command, receive_command,
-                                     status_command, status_events)
+from stockflow.plans.queries import _NEED_SQL, _fulfil_sql, _ledger_sql, _mo_components, _position_all, _sequence_sql
+from stockflow.sources.model import (Model, deliver_command, document_patch, layered_bom, line_deliveries, order_command,
+                                     receive_command, status_command, status_events)
 from stockflow.stored import store
 
 # --------------------------------------------------------------------------
@@ -312,3 +312,65 @@ def q_delete_outcomes(m: Model):
     tables = entity_rules.entities(m)
     asked = {t: tables[t].filter(F.expr(rule)) for t, rule in entity_rules.REQUESTED.items()}
     return deletes.delete_outcomes(tables, asked, schemas.CASCADE, schemas.FOREIGN_KEYS)
+
+
+# --------------------------------------------------------------------------
+# Supply over all levels of the BoMs
+# --------------------------------------------------------------------------
+
+
+def _supply_sql(levels: int = 16) -> str:
+    """Levels from a recursive walk, then one CTE per level (no more than 16
+    halvings of a product's id)."""
+    steps = []
+    for k in range(levels):
+        above = " union all ".join(f"select product_id, net_qty from plan_{j}" for j in range(k)) or "select 0 as product_id, 0 as net_qty where false"
+        steps.append(f"""plan_{k} as (
+  select n.product_id, n.level, coalesce(d.quantity, 0) as demand_qty, coalesce(u.needed, 0) as needed_qty,
+         cast(coalesce(d.quantity, 0) + greatest(coalesce(u.needed, 0) - greatest(coalesce(p.free_qty, 0), 0), 0) as decimal(20,3)) as net_qty
+  from level n left join demand d on d.product_id = n.product_id left join position_all p on p.product_id = n.product_id
+  left join (select e.part_id, sum(a.net_qty * e.each_qty) as needed from ({above}) a join edge e on e.product_id = a.product_id group by 1) u
+    on u.part_id = n.product_id
+  where n.level = {k})""")
+    every = " union all ".join(f"select * from plan_{k}" for k in range(levels))
+    return _NEED_SQL.rstrip() + f""",
+demand as (select product_id, sum(quantity) as quantity from need group by product_id),
+edge as (
+  select product_id, part_id, sum(each_qty) as each_qty from (
+    select product_id, x.part_id, cast(x.part_id % 5 + 1 as decimal(20,3)) as each_qty
+    from (select product_id, unnest([product_id // 2, product_id // 3]) as part_id from product
+          where product_id % 3 = 0 and product_id >= 6 and procure_on_demand and procurement_type = 'Manufacturing') x) y
+  group by 1, 2),
+level as (select product_id, max(level) as level from (
+  with recursive w as (select product_id, 0 as level from demand
+                       union select e.part_id, w.level + 1 from w join edge e on e.product_id = w.product_id)
+  select * from w) z group by product_id),
+{", ".join(steps)},
+planned as (
+  select a.product_id, a.level, cast(a.demand_qty as decimal(20,3)) as demand_qty, cast(a.needed_qty as decimal(20,3)) as needed_qty, a.net_qty,
+         case when a.net_qty > 0 and p.procure_on_demand then p.procurement_type end as supply
+  from ({every}) a left join product p on p.product_id = a.product_id)"""
+
+
+def _supply(m: Model):
+    short = stock.shortages(m.sales_order, m.sales_line, m.product).filter("short_qty > 0")
+    free = m.product.join(_position_all(m).select("product_id", "free_qty"), "product_id", "left")
+    wanted = short.join(m.product.filter("procure_on_demand").select("product_id"), "product_id", "left_semi")
+    plan, _ = supply.supply_plan(wanted.select("product_id", F.col("short_qty").alias("quantity")), free, layered_bom(m))
+    return plan
+
+
+@query("supply_plan", sql=_supply_sql() + " select * from planned")
+def q_supply_plan(m: Model):
+    """K2 on all levels: what shortages, and the needs of what is made for them, raise as purchases and MOs."""
+    return _supply(m)
+
+
+@query("supply_components", sql=_supply_sql() + """
+select a.product_id, a.level, e.part_id, cast(a.net_qty * e.qty as decimal(20,3)) as to_consume_qty
+from planned a join (select product_id, part_id, cast(part_id % 5 + 1 as decimal(14,3)) as qty
+                     from (select product_id, unnest([product_id // 2, product_id // 3]) as part_id from product where product_id >= 6) x) e
+  on e.product_id = a.product_id where a.supply = 'Manufacturing'""")
+def q_supply_components(m: Model):
+    """C6 on all levels: components of all draft MOs of the supply plan."""
+    return supply.supply_components(_supply(m), m.product, layered_bom(m))

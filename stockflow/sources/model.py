@@ -472,3 +472,12 @@ def document_patch(m: Model) -> DataFrame:
              .when(et == "signup", F.concat(F.lit('{"product_name":"renamed '), n, F.lit('","colour":null}')))
              .otherwise(F.concat(F.lit('{"reference":"X-'), n, F.lit('","on_hand_qty":"about '), few, F.lit('","rank":'), few, F.lit("}"))))
     return m.raw("events").select(F.col("user_id").alias("product_id"), F.col("event_id").alias("seq"), body.alias("body"))
+
+
+def layered_bom(m: Model) -> DataFrame:
+    """BoM components on several levels: products 6, 9, 12, ... are made of
+    the products with half and a third of their id."""
+    made = m.product.filter((F.col("product_id") % 3 == 0) & (F.col("product_id") >= 6)).select("product_id")
+    parts = made.select(F.col("product_id").alias("bom_id"),
+                        F.explode(F.array((F.floor(F.col("product_id") / 2)), F.floor(F.col("product_id") / 3))).alias("component_product_id"))
+    return parts.withColumn("to_consume_qty", (F.col("component_product_id") % 5 + 1).cast(QTY))
