@@ -38,7 +38,7 @@ def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time:
         F.lit(None).cast(l_rows.schema["_left"].dataType).alias("_left"), *[right[k] for k in keys], right[right_time].alias("_at"),
         F.lit(1 if strict else 0).alias("_side"), (F.struct(*order) if order else F.lit(None).cast("int")).alias("_order"),
         F.struct(F.col(right_time).alias("at"), *values).alias("_right"))
-    merged = prefix_scan(l_rows.unionByName(r_rows), keys, ["_at", "_side", "_order"], "_right", "last", "_match", inclusive=True)
+    merged = prefix_scan(l_rows.unionByName(r_rows), keys, ["_at", "_side", "_order"], "_right", "last", "_match", settle=True)
     known = F.col("_at").isNotNull()
     if within is not None:
         known = known & (F.col("_match.at") + within >= F.col("_at"))

@@ -46,27 +46,47 @@ def compact_changes(feed: DataFrame, key: str, keep_cols: Sequence[str] = (),
     alive at that point are rejects (see ``feed_rejects``) and cannot affect
     the final state of a live key.
     """
-    rows = _with_base(feed, base, key)
+    return state_of(change_summary(_with_base(feed, base, key), key, keep_cols, overlay_cols), key, keep_cols, overlay_cols)
+
+
+def change_summary(feed: DataFrame, key: str, keep_cols: Sequence[str] = (), overlay_cols: Sequence[str] = ()) -> DataFrame:
+    """E7, mergeable: one row per key with what decides its state: the last
+    create, delete and write, and per column the last value with its seq.
+    Deleted keys keep a row, so that summaries merge in any order."""
     op = F.col("op")
     write = op.isin("create", "update")
-    aggs = [F.max(F.when(op == "create", F.col("seq"))).alias("_last_create"),
-            F.max(F.when(op == "delete", F.col("seq"))).alias("_last_delete"),
+    aggs = [F.max(F.when(op == "create", F.col("seq"))).alias("last_create"),
+            F.max(F.when(op == "delete", F.col("seq"))).alias("last_delete"),
             F.max(F.when(write, F.col("seq"))).alias("last_seq")]
     for c in keep_cols:
-        aggs += [F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("seq"))).alias(f"_v_{c}"),
-                 F.max(F.when(F.col(c).isNotNull(), F.col("seq"))).alias(f"_s_{c}")]
+        aggs += [F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("seq"))).alias(f"v_{c}"),
+                 F.max(F.when(F.col(c).isNotNull(), F.col("seq"))).alias(f"s_{c}")]
     for c in overlay_cols:
-        aggs.append(F.max_by(F.struct(F.col(c).alias("v")), F.when(write, F.col("seq"))).alias(f"_o_{c}"))
-    g = rows.groupBy(key).agg(*aggs)
-    alive = F.col("_last_create").isNotNull() & (
-        F.col("_last_delete").isNull() | (F.col("_last_create") > F.col("_last_delete")))
+        aggs.append(F.max_by(F.struct(F.col(c).alias("v")), F.when(write, F.col("seq"))).alias(f"o_{c}"))
+    return feed.groupBy(key).agg(*aggs)
+
+
+def merge_summaries(rows: DataFrame, key: str, keep_cols: Sequence[str] = (), overlay_cols: Sequence[str] = ()) -> DataFrame:
+    """Summaries of any parts of a feed, put together: one row per key. Parts
+    may come in any order and more than once."""
+    aggs = [F.max(c).alias(c) for c in ("last_create", "last_delete", "last_seq")]
+    for c in keep_cols:
+        aggs += [F.max_by(f"v_{c}", f"s_{c}").alias(f"v_{c}"), F.max(f"s_{c}").alias(f"s_{c}")]
+    aggs += [F.max_by(f"o_{c}", "last_seq").alias(f"o_{c}") for c in overlay_cols]
+    return rows.groupBy(key).agg(*aggs)
+
+
+def state_of(summary: DataFrame, key: str, keep_cols: Sequence[str] = (), overlay_cols: Sequence[str] = ()) -> DataFrame:
+    """The records that a summary leaves alive (see ``compact_changes``)."""
+    alive = F.col("last_create").isNotNull() & (
+        F.col("last_delete").isNull() | (F.col("last_create") > F.col("last_delete")))
     out = [F.col(key)]
     for c in keep_cols:
-        out.append(F.when(F.col(f"_s_{c}") >= F.col("_last_create"), F.col(f"_v_{c}")).alias(c))
+        out.append(F.when(F.col(f"s_{c}") >= F.col("last_create"), F.col(f"v_{c}")).alias(c))
     for c in overlay_cols:
-        out.append(F.col(f"_o_{c}.v").alias(c))
+        out.append(F.col(f"o_{c}.v").alias(c))
     out.append(F.when(F.col("last_seq") > F.lit(_MIN_SEQ), F.col("last_seq")).alias("last_seq"))
-    return g.filter(alive).select(*out)
+    return summary.filter(alive).select(*out)
 
 
 def feed_rejects(feed: DataFrame, key: str, base: DataFrame | None = None) -> DataFrame:

@@ -25,7 +25,7 @@ def open_switches(status_events: DataFrame, open_statuses: Sequence[str] = OPEN_
     reserving. An order is closed before its first event; events that leave it
     open, or closed, give no row."""
     now = F.coalesce(F.col("status").isin(*open_statuses), F.lit(False))
-    rows = prefix_scan(status_events.withColumn("open", now), ["order_id"], list(order), "open", "last", "_before", inclusive=False)
+    rows = prefix_scan(status_events.withColumn("open", now), ["order_id"], list(order), "open", "last", "_before", inclusive=False, settle=True)
     return rows.filter(F.col("open") != F.coalesce("_before", F.lit(False))).select("order_id", "at", "open")
 
 
@@ -45,7 +45,7 @@ def reservation_changes(lines: DataFrame, switches: DataFrame, deliveries: DataF
     turned = switches.join(need, "order_id").select(*line, "at", F.lit(0).cast(QTY_SUM).alias("_qty"), F.col("open").alias("_open"), "product_id", "_need")
     # At one moment deliveries come before switches.
     events = done.unionByName(turned).withColumn("_turn", F.col("_open").isNotNull().cast("int"))
-    run = prefix_scans(events, line, ["at", "_turn", "_open"], [(exact("_qty"), "sum", "_done"), ("_open", "last", "_now")])
+    run = prefix_scans(events, line, ["at", "_turn", "_open"], [(exact("_qty"), "sum", "_done"), ("_open", "last", "_now")], settle=True)
     now = F.coalesce("_now", F.lit(False))
     before = F.when(F.col("_open").isNotNull(), ~F.col("_open")).otherwise(now)
 
@@ -73,7 +73,7 @@ def reserved_over_time(changes: DataFrame) -> DataFrame:
     a change. A sweep over opening and closing events: changes of one moment
     are added up first (map-side), then summed along the product's time."""
     per = changes.groupBy("product_id", "at").agg(F.sum(exact("change_qty")).cast(QTY_SUM).alias("change_qty"))
-    run = prefix_scan(per, ["product_id"], ["at"], exact("change_qty"), "sum", "reserved_qty")
+    run = prefix_scan(per, ["product_id"], ["at"], exact("change_qty"), "sum", "reserved_qty", settle=True)
     return run.select("product_id", "at", F.col("reserved_qty").cast(QTY_SUM).alias("reserved_qty"))
 
 
@@ -112,7 +112,7 @@ def availability_at(lines: DataFrame, movements: DataFrame, changes: DataFrame,
               .unionByName(stream(opening, first, F.col("on_hand_qty"), none, 0))
               .unionByName(stream(movements.filter(F.col("at").isNotNull()), F.col("at").alias("_at"), F.col("movement_qty"), none, 2))
               .unionByName(stream(changes.filter(F.col("at").isNotNull()), F.col("at").cast(kind).alias("_at"), none, F.col("change_qty"), 2)))
-    run = prefix_scans(events, ["product_id"], ["_at", "_turn"], [(exact("_moved"), "sum", "_on_hand"), (exact("_held"), "sum", "_reserved")])
+    run = prefix_scans(events, ["product_id"], ["_at", "_turn"], [(exact("_moved"), "sum", "_on_hand"), (exact("_held"), "sum", "_reserved")], settle=True)
     out = run.filter(F.col("_line").isNotNull()).select(
         "_line.*", F.coalesce("_on_hand", F.lit(0)).cast(QTY_SUM).alias("on_hand_qty"), F.coalesce("_reserved", F.lit(0)).cast(QTY_SUM).alias("reserved_qty"))
     return out.withColumn("availability", availability(need, "on_hand_qty", "reserved_qty", "snapshot"))

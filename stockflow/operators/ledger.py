@@ -16,14 +16,15 @@ from stockflow.operators.scan import prefix_scan
 from stockflow.types import QTY_SUM
 
 
-def ledger(movements: DataFrame, opening: DataFrame, order: Sequence[str]) -> DataFrame:
+def ledger(movements: DataFrame, opening: DataFrame, order: Sequence[str], settle: bool = False) -> DataFrame:
     """Each movement with resulting_on_hand = opening + running sum of
     movements up to and including it, per product in ``order``.
 
     The opening balance enters the scan as one leading row per product, so
     the movements are never joined to the products. It comes first whatever
     the movements' order values are, null ones included. Hot products are
-    split across tasks (see operators.scan).
+    split across tasks (see operators.scan; ``settle`` is for movements that
+    are joins or scans themselves).
     """
     order = list(order)
     cols = movements.columns
@@ -33,7 +34,7 @@ def ledger(movements: DataFrame, opening: DataFrame, order: Sequence[str]) -> Da
           for c in cols if c not in ("product_id", "movement_qty")],
         F.lit(0).alias("_after_opening"))
     rows = movements.withColumn("_after_opening", F.lit(1)).unionByName(open_rows)
-    run = prefix_scan(rows, ["product_id"], ["_after_opening", *order], exact("movement_qty"), "sum", "resulting_on_hand")
+    run = prefix_scan(rows, ["product_id"], ["_after_opening", *order], exact("movement_qty"), "sum", "resulting_on_hand", settle=settle)
     return (run.filter(F.col("_after_opening") == 1).drop("_after_opening")
             .withColumn("resulting_on_hand", F.col("resulting_on_hand").cast(QTY_SUM)))
 

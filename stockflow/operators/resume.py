@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from stockflow.functions.scalars import exact
 from stockflow.operators.fulfil import FulfilResult, fulfil_orders, produce_orders
 from stockflow.operators.scan import prefix_scans, scan_carry, split_late
+from stockflow.stored import store
 from stockflow.types import QTY_SUM
 
 
@@ -43,10 +44,12 @@ def ledger_batch(movements: DataFrame, state: DataFrame, order: Sequence[str]) -
     their resulting_on_hand, from the balances in ``state``. Hot products are
     split; the state meets one row per product and piece."""
     on_time, late = split_late(movements, ["product_id"], order, state)
+    on_time = store(on_time, "on_time")
     specs = [(exact("movement_qty"), "sum", "resulting_on_hand")]
     rows = prefix_scans(on_time, ["product_id"], order, specs, carry=state)
+    after = scan_carry(on_time, ["product_id"], order, specs, carry=state)
     return LedgerBatch(rows.withColumn("resulting_on_hand", F.col("resulting_on_hand").cast(QTY_SUM)),
-                       scan_carry(on_time, ["product_id"], order, specs, carry=state), late)
+                       after.withColumn("resulting_on_hand", exact("resulting_on_hand")), late)
 
 
 @dataclass(frozen=True)

@@ -11,9 +11,11 @@ rows need, whatever its order values look like (ties and outliers included).
 3. window inside (piece, key), combined with the piece's offset.
 
 The answer equals the plain window for sum, max, min and last-value, since
-all are associative. Everything is lazy: no job runs when the plan is built.
-Steps 1 and 3 read one exchange (both need all columns, so that Spark reuses
-it); should they ever see different pieces, the query fails loudly.
+all are associative. Steps 1 and 3 must see the same pieces. Over a plain scan
+they read one exchange, which Spark reuses since both need all columns; nothing
+runs when the plan is built, and should the pieces ever differ, the query fails
+loudly. Over joins and other scans, whose plans Spark may change while it runs,
+``settle`` writes the pieces once and both read them.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stockflow.stored import store
+
 _AGG = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
@@ -41,7 +45,7 @@ def _combine(op: str, offset: Column, inner: Column) -> Column:
 
 def prefix_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column | str,
                 op: str, out: str, inclusive: bool = True, num_partitions: int | None = None,
-                carry: DataFrame | None = None) -> DataFrame:
+                carry: DataFrame | None = None, settle: bool = False) -> DataFrame:
     """Add column ``out`` = op over rows of the same key up to this row.
 
     ``inclusive=False`` excludes the row itself (a 'before' value). ``last``
@@ -49,25 +53,28 @@ def prefix_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], value:
     no rows -> null. Rows that tie in ``order`` are taken in the order of a
     hash of all their columns.
     """
-    return prefix_scans(df, keys, order, [(value, op, out)], inclusive, num_partitions, carry)
+    return prefix_scans(df, keys, order, [(value, op, out)], inclusive, num_partitions, carry, settle)
 
 
 def prefix_scans(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                  specs: Sequence[tuple[Column | str, str, str]], inclusive: bool = True,
-                 num_partitions: int | None = None, carry: DataFrame | None = None) -> DataFrame:
+                 num_partitions: int | None = None, carry: DataFrame | None = None, settle: bool = False) -> DataFrame:
     """Several prefix values over the same key and order in one pass:
     ``specs`` = [(value, op, out), ...]. However many values are scanned,
     there is one range exchange, one aggregate, one offset join and one
     window. ``num_partitions``: pieces overall (default: the session's shuffle
     partitions, which ``session.tune_for_input`` sizes from the data).
     ``carry``: a state that the scan starts from (see ``scan_carry``); it meets
-    the pieces, at most one row per key and partition, never the rows."""
+    the pieces, at most one row per key and partition, never the rows.
+    ``settle``: write the pieces before they are read (see above)."""
     keys, order = list(keys), list(order)
     vals = [(F.col(v) if isinstance(v, str) else v, op, out) for v, op, out in specs]
     n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     row = F.xxhash64(*df.columns)
     ranged = (df.repartitionByRange(n, *keys, *order, row)
               .withColumns({"_piece": F.spark_partition_id(), "_tie": row}))
+    if settle:
+        ranged = store(ranged, "pieces")
     frame_end = Window.currentRow if inclusive else -1
 
     # 1. one row per key and piece (max of _tie: this side, too, needs every column)

@@ -137,7 +137,7 @@ def shortages(orders: DataFrame, lines: DataFrame, products: DataFrame) -> DataF
           .select("order_id", "line_seq", "product_id", "creation_date",
                   _outstanding("ordered_qty", "done_qty").alias("outstanding_qty")))
     cum = prefix_scan(ln, ["product_id"], ["creation_date", "order_id", "line_seq"],
-                      exact("outstanding_qty"), "sum", "cum_outstanding")
+                      exact("outstanding_qty"), "sum", "cum_outstanding", settle=True)
     cum = cum.withColumn("cum_outstanding", F.col("cum_outstanding").cast(QTY_SUM))
     onhand = products.select("product_id", F.greatest("on_hand_qty", F.lit(0)).alias("_oh"))
     return (cum.join(onhand, "product_id", "left")

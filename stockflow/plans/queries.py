@@ -13,7 +13,7 @@ from stockflow.operators import (access, audit, boards, bom, changes, fulfil, le
 from stockflow.plans import entity_rules, procurement
 from stockflow.session import checkpoint_dir
 from stockflow.sources import documents
-from stockflow.streaming import streams
+from stockflow.streaming import folds, streams
 from stockflow.plans.catalog import query
 from stockflow.sources.model import (AS_OF, Model, audit_stream, boms, read_stream, consume_command, deliver_command,
                                      empty_requests, order_command, receive_command,
@@ -823,7 +823,7 @@ def q_receive_ledger(m: Model):
 # --------------------------------------------------------------------------
 
 
-@query("compact_changes", sql="""
+_COMPACT_SQL = """
 select g.record_id, case when g.vseq >= g.last_create then f.new_value end as new_value,
        fl.new_label, g.last_seq
 from (select record_id, max(case when op = 'create' then seq end) as last_create,
@@ -833,7 +833,10 @@ from (select record_id, max(case when op = 'create' then seq end) as last_create
       from change_feed group by record_id) g
 left join change_feed f on f.record_id = g.record_id and f.seq = g.vseq
 left join change_feed fl on fl.record_id = g.record_id and fl.seq = g.last_seq
-where g.last_create is not null and (g.last_delete is null or g.last_create > g.last_delete)""")
+where g.last_create is not null and (g.last_delete is null or g.last_create > g.last_delete)"""
+
+
+@query("compact_changes", sql=_COMPACT_SQL)
 def q_compact_changes(m: Model):
     """Live records after the create / update / delete feed (value: latest sent, label: overlay)."""
     return changes.compact_changes(m.change_feed, "record_id", keep_cols=["new_value"],
@@ -1419,10 +1422,10 @@ def q_procurement_mo_components(m: Model):
 select m.product_id, cast(coalesce(max(p.on_hand_qty), 0) + sum(m.movement_qty) as decimal(20,3)) as on_hand_qty
 from stock_movement m left join product p on p.product_id = m.product_id group by m.product_id""")
 def q_stream_on_hand(m: Model):
-    """On hand per product from the lineitem file stream (stateful aggregate, availableNow)."""
-    net = streams.stream_net_movements(streams.movement_stream(read_stream(m, "lineitem")))
-    path = streams.run_to_table(net, "net_movements", m.spark)
-    return streams.on_hand_from_net(streams.latest(m.spark, path, ["product_id"]),
+    """On hand per product from the lineitem file stream; a micro-batch adds a run of its own net movements."""
+    base = os.path.join(checkpoint_dir(m.spark), "streams", f"on-hand-{uuid.uuid4().hex[:8]}")
+    net = folds.fold_on_hand(streams.movement_stream(read_stream(m, "lineitem")), base).read()
+    return streams.on_hand_from_net(net.select("product_id", F.col("net").cast("decimal(20,3)").alias("net_qty")),
                                     m.product.select("product_id", "on_hand_qty"))
 
 
@@ -1736,4 +1739,4 @@ def q_ledger_all(m: Model):
                                                F.col("seq").cast("bigint").alias("item"), "movement_qty")
     everything = (moves(_deliveries(m)["movements"], "deliver").unionByName(moves(_receipts(m)["movements"], "receive"))
                   .unionByName(produced))
-    return ledger.ledger(everything, m.product.select("product_id", "on_hand_qty"), ["at", "kind", "source_id", "item"])
+    return ledger.ledger(everything, m.product.select("product_id", "on_hand_qty"), ["at", "kind", "source_id", "item"], settle=True)

@@ -3,16 +3,21 @@ edits and batches that resume from a stored state."""
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import functions as F
 
 from stockflow import schemas
 from stockflow.operators import asof, deletes, history, machine, patches, resume, stock, supply
 from stockflow.plans import entity_rules
 from stockflow.plans.catalog import query
-from stockflow.plans.queries import _NEED_SQL, _fulfil_sql, _ledger_sql, _mo_components, _position_all, _sequence_sql
+from stockflow.plans.queries import _COMPACT_SQL, _NEED_SQL, _fulfil_sql, _ledger_sql, _mo_components, _position_all, _sequence_sql
 from stockflow.sources.model import (Model, deliver_command, document_patch, layered_bom, line_deliveries, order_command,
                                      receive_command, status_command, status_events)
+from stockflow.session import checkpoint_dir
 from stockflow.stored import store
+from stockflow.streaming import folds
 
 # --------------------------------------------------------------------------
 # As-of values and stock over time
@@ -374,3 +379,42 @@ from planned a join (select product_id, part_id, cast(part_id % 5 + 1 as decimal
 def q_supply_components(m: Model):
     """C6 on all levels: components of all draft MOs of the supply plan."""
     return supply.supply_components(_supply(m), m.product, layered_bom(m))
+
+
+# --------------------------------------------------------------------------
+# Streams as runs of summaries
+# --------------------------------------------------------------------------
+
+
+def _in_batches(m: Model, parts, run):
+    """Put each of ``parts`` (frames of one schema) into a feed folder and call
+    ``run(stream)`` on it, as a stream that is restarted for each."""
+    base = os.path.join(checkpoint_dir(m.spark), "streams", f"feed-{uuid.uuid4().hex[:8]}")
+    out = None
+    for part in parts:
+        part.write.mode("append").parquet(f"{base}/feed")
+        out = run(m.spark.readStream.schema(part.schema).parquet(f"{base}/feed"), base)
+    return out, base
+
+
+@query("stream_ledger", sql="""
+select m.product_id, m.movement_date, m.order_id, m.line_seq, m.reference_type, m.movement_qty,
+       cast(p.on_hand_qty + sum(m.movement_qty) over (partition by m.product_id
+            order by m.movement_date, m.order_id, m.line_seq rows between unbounded preceding and current row)
+            as decimal(20,3)) as resulting_on_hand
+from stock_movement m left join product p on p.product_id = m.product_id""")
+def q_stream_ledger(m: Model):
+    """E1 as a stream: the running balance per movement over three restarted micro-batches."""
+    at = F.col("movement_date")
+    cuts = [F.lit(d).cast("timestamp_ntz") for d in ("1997-01-01", "1999-01-01")]
+    parts = [m.stock_movement.filter(c) for c in (at < cuts[0], (at >= cuts[0]) & (at < cuts[1]), at >= cuts[1])]
+    _, base = _in_batches(m, parts, lambda stream, base: folds.fold_ledger(stream, m.product, ["movement_date", "order_id", "line_seq"], base))
+    return folds.read_ledger(m.spark, base).drop("batch")
+
+
+@query("stream_compact_changes", sql=_COMPACT_SQL)
+def q_stream_compact_changes(m: Model):
+    """E7 as a stream: live records after five restarted micro-batches, which hold the feed's rows in no order."""
+    parts = [m.change_feed.filter(F.col("seq") % 5 == k) for k in (3, 0, 4, 1, 2)]
+    runs, _ = _in_batches(m, parts, lambda stream, base: folds.fold_changes(stream, base, "record_id", ["new_value"], ["new_label"]))
+    return folds.current_records(runs, "record_id", ["new_value"], ["new_label"])
