@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from stockflow.functions.scalars import null_to_empty, reference_code
 from stockflow.operators.scan import prefix_scan, prefix_scans
-from stockflow.session import checkpoint_dir
+from stockflow.stored import store
 
 _MIN_SEQ = -(2 ** 62)
 
@@ -224,17 +224,12 @@ def assign_references(df: DataFrame, prefix: str, start: int | DataFrame, order:
     one row (``next_ids``), which is read as a scalar subquery.
 
     Global numbering without a single-task window: range-partition on the
-    order, sort inside partitions, checkpoint (so both passes see the same
-    partitions even if an executor is lost), count per partition, prefix
-    offsets over the partition counts (one row per partition, broadcast),
-    then offset + position inside the partition.
+    order, sort inside partitions, write the rows with their position (so both
+    passes see the same ones even if an executor is lost), count per partition,
+    prefix offsets over the partition counts (one row per partition,
+    broadcast), then offset + position inside the partition.
     """
-    spark = df.sparkSession
-    checkpoint_dir(spark)
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order).checkpoint(eager=True)
-    tagged = (ranged.withColumn("_pid", F.spark_partition_id())
-              .withColumn("_pos", F.monotonically_increasing_id()))
+    tagged = _positioned(df, order, num_partitions)
     counts = tagged.groupBy("_pid").agg(F.count("*").alias("_n"))
     offsets = counts.select("_pid", F.coalesce(
         F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
@@ -249,6 +244,14 @@ def assign_references(df: DataFrame, prefix: str, start: int | DataFrame, order:
             .drop("_pid", "_pos", "_off"))
 
 
+def _positioned(df: DataFrame, order: Sequence[str], num_partitions: int | None) -> DataFrame:
+    """Rows range-partitioned and sorted by ``order``, stored with their
+    partition ``_pid`` and increasing position ``_pos``."""
+    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    return store(ranged.withColumn("_pid", F.spark_partition_id()).withColumn("_pos", F.monotonically_increasing_id()), "positions")
+
+
 def next_ids(df: DataFrame, floor: int = 1, col: str = "id") -> DataFrame:
     """Next id = max(floor, max(id) + 1)."""
     return df.agg(F.greatest(F.lit(floor).cast("bigint"),
@@ -334,21 +337,16 @@ def number_within(df: DataFrame, keys: Sequence[str], order: Sequence[str], out:
     """row_number() over (partition by keys order by order), where no task
     has to hold a whole key.
 
-    Range-partition on (keys, order) and sort inside partitions, then
-    checkpoint, so positions are stable if an executor is lost. A hot key
+    Range-partition on (keys, order), sort inside partitions and write the rows
+    with their position, which then stays if an executor is lost. A hot key
     then spans several partitions. Per (partition, key), take the first
     position and the count: one row per piece of a key. Add prefix offsets
     over the pieces of each key, which are at most one per partition. The
     number is offset + position - first + 1. The order must be total
     within a key (ties get distinct, arbitrary numbers, as with row_number).
     """
-    spark = df.sparkSession
-    checkpoint_dir(spark)
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys, cols = list(keys), list(keys) + list(order)
-    ranged = df.repartitionByRange(n, *cols).sortWithinPartitions(*cols).checkpoint(eager=True)
-    tagged = (ranged.withColumn("_pid", F.spark_partition_id())
-              .withColumn("_pos", F.monotonically_increasing_id()))
+    tagged = _positioned(df, cols, num_partitions)
     pieces = tagged.groupBy("_pid", *keys).agg(F.min("_pos").alias("_first"), F.count("*").alias("_n"))
     w = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     pieces = pieces.select(F.col("_pid").alias("_p_pid"), *[F.col(k).alias(f"_p_{k}") for k in keys],

@@ -37,7 +37,7 @@ def _chunks(df: DataFrame, key: str, fields: Sequence[Column | str], out: str, p
     rows = (df.filter(F.col(present).isNotNull()) if present else df).select(key, child.alias("_child"))
     if distinct:
         rows = rows.distinct()
-    numbered = prefix_scan(rows, [key], ["_child"], F.lit(1), "sum", "_no")
+    numbered = prefix_scan(rows, [key], ["_child"], F.lit(1), "sum", "_no", settle=True)
     arrays = (numbered.groupBy(key, F.floor((F.col("_no") - 1) / size).cast("long").alias("chunk_no"))
               .agg(F.sort_array(F.collect_list("_child")).alias(out)))
     empty = F.array().cast(arrays.schema[out].dataType)
@@ -102,6 +102,8 @@ def _product_rows(products: DataFrame, position: DataFrame) -> DataFrame:
 
 def _line_rows(lines: DataFrame, products: DataFrame, position: DataFrame | None,
                price_col: str, with_availability: bool) -> DataFrame:
+    """Lines (or headers already joined to their lines) with what their product
+    gives them."""
     # The line's own price wins (the views read the stored line price); lines
     # without one take the product's current price, as at line creation.
     p = products.select("product_id", "product_name", *([] if "unit_price" in lines.columns else [F.col(price_col).alias("unit_price")]))
@@ -115,9 +117,20 @@ def _line_rows(lines: DataFrame, products: DataFrame, position: DataFrame | None
 
 
 def sales_order_summary(orders: DataFrame, lines: DataFrame, products: DataFrame,
-                        users: DataFrame, position: DataFrame, flat: bool = True) -> DataFrame:
+                        users: DataFrame, position: DataFrame, flat: bool = True, keyed: bool = False) -> DataFrame:
     """Order + sales person name + lines (product name, availability,
-    ordered, delivered, unit price, total by the view rule)."""
+    ordered, delivered, unit price, total by the view rule).
+
+    ``keyed``: orders and lines are stored by order (sources.keyed). Then the
+    flat form joins them before anything else, without an exchange."""
+    if keyed and flat:
+        own = [c for c in lines.columns if c in ("line_seq", "product_id", "ordered_qty", "done_qty", "unit_price")]
+        both = orders.join(lines.select(F.col("order_id").alias("id"), *own), "id", "left")
+        rows = with_owner_name(_line_rows(both, products, position, "sales_price", True), users, "sales_person_id", "sales_person_name")
+        there = F.col("line_seq").isNotNull()
+        return rows.select(*orders.columns, "sales_person_name", "line_seq", "product_id", "product_name",
+                           F.when(there, F.col("availability")).alias("availability"), "ordered_qty",
+                           F.col("done_qty").alias("delivered_qty"), "unit_price", "total")
     hdr = with_owner_name(orders, users, "sales_person_id", "sales_person_name")
     rows = _line_rows(lines, products, position, "sales_price", True)
     fields = ["line_seq", "product_id", "product_name", "availability", "ordered_qty",

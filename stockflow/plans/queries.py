@@ -267,7 +267,7 @@ def q_bom_summary_nested(m: Model):
                     lambda acc, o: (acc + o["expected_duration"]).cast("decimal(20,2)")).cast("decimal(20,2)").alias("total_duration"))
 
 
-@query("sales_order_summary", sql="""
+_SALES_SUMMARY_SQL = """
 select o.*, u.name as sales_person_name, x.line_seq, x.product_id, x.product_name, x.availability,
        x.ordered_qty, x.delivered_qty, x.unit_price, x.total
 from sales_order o left join app_user u on u.id = o.sales_person_id
@@ -276,7 +276,10 @@ left join (select l.order_id, l.line_seq, l.product_id, p.product_name,
                   l.ordered_qty, l.done_qty as delivered_qty, p.sales_price as unit_price,
                   cast(case when l.done_qty > 0 then l.done_qty else l.ordered_qty end * p.sales_price as decimal(20,2)) as total
            from sales_line l left join product p on p.product_id = l.product_id
-           left join position_all s on s.product_id = l.product_id) x on x.order_id = o.id""")
+           left join position_all s on s.product_id = l.product_id) x on x.order_id = o.id"""
+
+
+@query("sales_order_summary", sql=_SALES_SUMMARY_SQL)
 def q_sales_order_summary(m: Model):
     """D8 flat: order + sales person + one row per line (availability, view-rule total)."""
     return summaries.sales_order_summary(m.sales_order, m.sales_line, m.product, m.app_user,

@@ -9,13 +9,14 @@ import uuid
 from pyspark.sql import functions as F
 
 from stockflow import schemas
-from stockflow.operators import asof, deletes, history, machine, patches, resume, stock, supply
+from stockflow.operators import asof, deletes, history, machine, patches, resume, stock, summaries, supply, trigram
 from stockflow.plans import entity_rules
 from stockflow.plans.catalog import query
-from stockflow.plans.queries import _COMPACT_SQL, _NEED_SQL, _fulfil_sql, _ledger_sql, _mo_components, _position_all, _sequence_sql
+from stockflow.plans.queries import _COMPACT_SQL, _NEED_SQL, _SALES_SUMMARY_SQL, _fulfil_sql, _ledger_sql, _mo_components, _position_all, _sequence_sql
 from stockflow.sources.model import (Model, deliver_command, document_patch, layered_bom, line_deliveries, order_command,
-                                     receive_command, status_command, status_events)
+                                     receive_command, sales_order_view, status_command, status_events)
 from stockflow.session import checkpoint_dir
+from stockflow.sources import keyed
 from stockflow.stored import store
 from stockflow.streaming import folds
 
@@ -418,3 +419,48 @@ def q_stream_compact_changes(m: Model):
     parts = [m.change_feed.filter(F.col("seq") % 5 == k) for k in (3, 0, 4, 1, 2)]
     runs, _ = _in_batches(m, parts, lambda stream, base: folds.fold_changes(stream, base, "record_id", ["new_value"], ["new_label"]))
     return folds.current_records(runs, "record_id", ["new_value"], ["new_label"])
+
+
+# --------------------------------------------------------------------------
+# Tables stored by a key
+# --------------------------------------------------------------------------
+
+
+@query("sales_order_summary_keyed", sql=_SALES_SUMMARY_SQL)
+def q_sales_order_summary_keyed(m: Model):
+    """D8 over orders and lines stored by order: joined, and reserved quantities taken, without an exchange on the order."""
+    base = os.path.join(checkpoint_dir(m.spark), "keyed", uuid.uuid4().hex)
+    buckets = keyed.buckets_for(m.spark, 0)
+    orders = keyed.write_keyed(m.sales_order, f"{base}/orders", "id", buckets)
+    lines = keyed.write_keyed(m.sales_line, f"{base}/lines", "order_id", buckets)
+    reserved = stock.reserved_all(orders, lines, m.manufacturing_order, _mo_components(m))
+    return summaries.sales_order_summary(orders, lines, m.product, m.app_user, stock.stock_position(m.product, reserved), keyed=True)
+
+
+# --------------------------------------------------------------------------
+# Indexed search
+# --------------------------------------------------------------------------
+
+
+def _indexed(m: Model, term: str):
+    orders, fields = sales_order_view(m), ["reference", "customer_name"]
+    path = os.path.join(checkpoint_dir(m.spark), "search", uuid.uuid4().hex)
+    trigram.build_index(orders, "id", fields, path)
+    return trigram.search_index(orders, path, "id", fields, term).select("id", "reference", "customer_name", "status")
+
+
+_FOUND_SQL = """
+select id, reference, customer_name, status from sales_order_view
+where coalesce(contains(lower(reference), '{0}'), false) or coalesce(contains(lower(customer_name), '{0}'), false)"""
+
+
+@query("search_indexed", sql=_FOUND_SQL.format("r#0000"))
+def q_search_indexed(m: Model):
+    """B5 by trigrams: sales orders with 'R#0000' in reference or customer, from the index's shortest lists."""
+    return _indexed(m, "R#0000")
+
+
+@query("search_indexed_short", sql=_FOUND_SQL.format("77"))
+def q_search_indexed_short(m: Model):
+    """B5 by trigrams: a term shorter than a trigram, from all grams that contain it."""
+    return _indexed(m, "77")
