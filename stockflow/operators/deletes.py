@@ -33,7 +33,7 @@ def _nodes(table: str, rows: DataFrame) -> list[Column]:
     return [F.lit(table).alias("table_name"), rows["id"].cast("string").alias("key")]
 
 
-def _references(tables: Mapping[str, DataFrame], keys: Sequence[Key]) -> DataFrame | None:
+def references(tables: Mapping[str, DataFrame], keys: Sequence[Key]) -> DataFrame | None:
     """(table_name, key, fk, to_table, to_key): every non-null reference, each
     table read once for all its keys."""
     frames = []
@@ -64,8 +64,8 @@ def delete_outcomes(tables: Mapping[str, DataFrame], requests: Mapping[str, Data
     compared as text, and rows with a null id take no part.
     """
     there = lambda k: k[0] in tables and k[2] in tables and k[1] in tables[k[0]].columns
-    down = _references(tables, [k for k in cascade if there(k)])
-    up = _references(tables, [k for k in foreign_keys if there(k) and k not in cascade])
+    down = references(tables, [k for k in cascade if there(k)])
+    up = references(tables, [k for k in foreign_keys if there(k) and k not in cascade])
     asked = []
     for t, ids in requests.items():
         if t in tables:

@@ -102,18 +102,47 @@ def check_rows(df: DataFrame, table: str, rules: Sequence[tuple[str, Column, Col
     return out.select("b.rule", F.lit(table).alias("table_name"), "key", "b.detail")
 
 
+def check_keys(df: DataFrame, table: str, keysets: Sequence[Sequence[str]]) -> DataFrame:
+    """H1 for all unique keys of a table: one scan, one aggregate."""
+    each = F.array(*[F.struct(F.lit(i).alias("i"), _key(ks).alias("key")) for i, ks in enumerate(keysets)])
+    counts = df.select(F.explode(each).alias("k")).groupBy("k.i", "k.key").agg(F.count("*").alias("n")).filter("n > 1")
+    return _out(counts, "unique", table, F.col("key"), F.concat(F.lit("count="), F.col("n").cast("string")))
+
+
+def check_references(tables: dict[str, DataFrame], keys: Sequence[tuple[str, str, str]]) -> DataFrame:
+    """H2 for all foreign keys (child, column, parent): each child is read once
+    for all its columns, and all references meet all parents in one join. Ids
+    compare as text; null references break nothing."""
+    from stockflow.operators.deletes import TO, references
+    found = reduce(DataFrame.unionByName, [tables[p].select(F.lit(p).alias("to_table"), F.col("id").cast("string").alias("to_key"))
+                                           for p in dict.fromkeys(k[2] for k in keys)])
+    lost = references(tables, keys).join(found, TO, "left_anti")
+    column = F.substring_index("fk", ".", -1)
+    return lost.select(F.lit("foreign_key").alias("rule"), "table_name", F.coalesce("key", F.lit("NULL")).alias("key"),
+                       F.concat(column, F.lit("="), F.col("to_key")).alias("detail"))
+
+
+def skipped_rules(tables: dict[str, DataFrame]) -> list[tuple[str, str, str]]:
+    """(rule, table, column) of the schema rules that ``entity_violations``
+    cannot apply, because the table or the column is not in ``tables``."""
+    from stockflow import schemas as R
+    rules = [("unique", t, c) for t, sets in R.UNIQUE.items() for ks in sets for c in ks]
+    rules += [("foreign_key", t, c) for t, c, _ in R.FOREIGN_KEYS] + [("foreign_key", p, "id") for _, _, p in R.FOREIGN_KEYS]
+    rules += [("domain", t, c) for t, c, _ in R.DOMAINS] + [("not_null", t, c) for t, cs in R.NOT_NULL.items() for c in cs]
+    rules += [("length", t, c) for t, c, _ in R.LENGTH] + [("required", t, c) for t, cs in R.REQUIRED for c in cs]
+    return sorted({r for r in rules if r[1] not in tables or r[2] not in tables[r[1]].columns})
+
+
 def entity_violations(tables: dict[str, DataFrame]) -> DataFrame:
     """All schema rules (stockflow.schemas) over the entity tables given;
-    rules whose tables or columns are missing are skipped."""
+    rules whose tables or columns are missing are skipped (``skipped_rules``
+    names them)."""
     from stockflow import schemas as R
     has = lambda t, *cols: t in tables and set(cols) <= set(tables[t].columns)
-    checks = []
-    for t, keysets in R.UNIQUE.items():
-        checks += [check_unique(tables[t], t, ks) for ks in keysets if has(t, *ks)]
-    for child, col, parent in R.FOREIGN_KEYS:
-        if has(child, col) and has(parent, "id"):
-            checks.append(check_foreign_key(tables[child], child, [col], tables[parent], ["id"],
-                                            ["id"] if has(child, "id") else [col]))
+    checks = [check_keys(tables[t], t, sets) for t, sets in ((t, [ks for ks in keysets if has(t, *ks)]) for t, keysets in R.UNIQUE.items()) if sets]
+    keys = [k for k in R.FOREIGN_KEYS if has(k[0], k[1], "id") and has(k[2], "id")]
+    if keys:
+        checks.append(check_references(tables, keys))
     rules: dict[str, list[tuple[str, Column, Column]]] = {}
     add = lambda t, col, *rule: rules.setdefault(t, []).append(rule) if has(t, col) else None
     for t, col, values in R.DOMAINS:

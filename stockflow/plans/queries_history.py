@@ -13,10 +13,10 @@ from stockflow.operators import asof, deletes, history, machine, patches, resume
 from stockflow.plans import entity_rules
 from stockflow.plans.catalog import query
 from stockflow.plans.queries import _COMPACT_SQL, _NEED_SQL, _SALES_SUMMARY_SQL, _fulfil_sql, _ledger_sql, _mo_components, _position_all, _sequence_sql
-from stockflow.sources.model import (Model, deliver_command, document_patch, layered_bom, line_deliveries, order_command,
+from stockflow.sources.model import (Model, boms, deliver_command, document_patch, layered_bom, line_deliveries, order_command,
                                      receive_command, sales_order_view, status_command, status_events)
 from stockflow.session import checkpoint_dir
-from stockflow.sources import keyed
+from stockflow.sources import documents, keyed
 from stockflow.stored import store
 from stockflow.streaming import folds
 
@@ -464,3 +464,30 @@ def q_search_indexed(m: Model):
 def q_search_indexed_short(m: Model):
     """B5 by trigrams: a term shorter than a trigram, from all grams that contain it."""
     return _indexed(m, "77")
+
+
+# --------------------------------------------------------------------------
+# Contents of stored documents (A4, A5)
+# --------------------------------------------------------------------------
+
+
+@query("snapshot_permissions", sql="select cast(user_id as bigint) as user_id, module, can_view from permission")
+def q_snapshot_permissions(m: Model):
+    """A4 + A1: the permission half of a snapshot that replaced another one."""
+    path = os.path.join(checkpoint_dir(m.spark), "snapshots", uuid.uuid4().hex)
+    documents.write_snapshot(m.app_user, m.permission.filter("module = 'Sales'"), path)
+    documents.write_snapshot(m.app_user, m.permission, path)
+    return documents.read_snapshot(m.spark, path)[1].select("user_id", "module", "can_view")
+
+
+@query("summary_json_lines", sql="""
+select b.id, p.product_name, bc.component_product_id, cp.product_name as component_name, bc.to_consume_qty
+from bom b join product p on p.product_id = b.finished_product_id
+join bom_component bc on bc.bom_id = b.id left join product cp on cp.product_id = bc.component_product_id""")
+def q_summary_json_lines(m: Model):
+    """A5: what nested BoM documents, written as JSON lines, hold when read back, by component."""
+    doc = summaries.bom_summary(boms(m), m.bom_component, m.bom_operation, m.product, flat=False)
+    path = os.path.join(checkpoint_dir(m.spark), "summaries", uuid.uuid4().hex)
+    documents.write_summary_json(doc, path)
+    back = m.spark.read.schema(doc.schema).json(path)
+    return back.select("id", F.col("finished_product_name").alias("product_name"), F.inline("components"))

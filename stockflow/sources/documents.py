@@ -8,7 +8,7 @@ parallel by every task.
 
 from __future__ import annotations
 
-import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,18 +39,55 @@ def read_user_document(spark: SparkSession, path: str) -> tuple[DataFrame, DataF
     return users, perms
 
 
+_CURRENT = "_CURRENT"
+
+
+def _path(spark: SparkSession, *parts: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path("/".join(parts))
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _current(spark: SparkSession, path: str) -> str | None:
+    p, fs = _path(spark, path, _CURRENT)
+    if not fs.exists(p):
+        return None
+    stream = fs.open(p)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
 def write_snapshot(users: DataFrame, permissions: DataFrame, path: str) -> None:
     """A4: full replacement of the stored users and permissions (JSON lines,
-    credentials never included: users go through the public allow-list)."""
+    credentials never included: users go through the public allow-list).
+
+    Both are written as a new version, which one small file then names: a
+    reader sees the old users and permissions or the new ones, never a mix, and
+    a crash before that file leaves the old version in place. The version
+    before the new one is kept for readers that hold it; older ones go."""
     from stockflow.operators.access import public_users
-    public_users(users).write.mode("overwrite").json(os.path.join(path, "users"))
-    permissions.write.mode("overwrite").json(os.path.join(path, "permissions"))
+    spark = users.sparkSession
+    before = _current(spark, path)
+    version = f"v-{uuid.uuid4().hex}"
+    public_users(users).write.json(f"{path}/{version}/users")
+    permissions.write.json(f"{path}/{version}/permissions")
+    p, fs = _path(spark, path, _CURRENT)
+    out = fs.create(p, True)
+    out.write(version.encode())
+    out.close()
+    for s in fs.listStatus(_path(spark, path)[0]):
+        if s.getPath().getName().startswith("v-") and s.getPath().getName() not in (version, before):
+            fs.delete(s.getPath(), True)
 
 
 def read_snapshot(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """A1 for the snapshot written by write_snapshot."""
-    return (spark.read.schema(USER).json(os.path.join(path, "users")),
-            spark.read.schema(PERMISSION).json(os.path.join(path, "permissions")))
+    version = _current(spark, path)
+    if version is None:
+        raise FileNotFoundError(f"no snapshot under {path}")
+    return (spark.read.schema(USER).json(f"{path}/{version}/users"),
+            spark.read.schema(PERMISSION).json(f"{path}/{version}/permissions"))
 
 
 def write_summary_json(df: DataFrame, path: str) -> None:

@@ -11,10 +11,24 @@ RAW_TABLES = ("region", "nation", "customer", "supplier", "part", "orders",
               "lineitem", "events")
 
 
+# Columns of the driver's tables, so that no footer is read to plan.
+RAW_SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey long, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, "
+                "l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string",
+}
+
+
 def read_raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the driver's parquet tables; projection and filters applied
-    later are pushed into this scan by Catalyst."""
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    """One of the driver's parquet tables with its fixed schema; projection and
+    filters applied later are pushed into this scan by Catalyst."""
+    return spark.read.schema(RAW_SCHEMAS[name]).parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType,
