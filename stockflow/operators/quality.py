@@ -102,11 +102,15 @@ def check_rows(df: DataFrame, table: str, rules: Sequence[tuple[str, Column, Col
     return out.select("b.rule", F.lit(table).alias("table_name"), "key", "b.detail")
 
 
-def check_keys(df: DataFrame, table: str, keysets: Sequence[Sequence[str]]) -> DataFrame:
-    """H1 for all unique keys of a table: one scan, one aggregate."""
-    each = F.array(*[F.struct(F.lit(i).alias("i"), _key(ks).alias("key")) for i, ks in enumerate(keysets)])
-    counts = df.select(F.explode(each).alias("k")).groupBy("k.i", "k.key").agg(F.count("*").alias("n")).filter("n > 1")
-    return _out(counts, "unique", table, F.col("key"), F.concat(F.lit("count="), F.col("n").cast("string")))
+def check_keys(tables: dict[str, DataFrame], keysets: Sequence[tuple[str, Sequence[str]]]) -> DataFrame:
+    """H1 for many unique keys (table, columns): each table is read once for
+    all its keys, and one aggregate counts the keys of all tables."""
+    frames = []
+    for t in dict.fromkeys(t for t, _ in keysets):
+        each = F.array(*[F.struct(F.lit(i).alias("i"), _key(ks).alias("key")) for i, (of, ks) in enumerate(keysets) if of == t])
+        frames.append(tables[t].select(F.lit(t).alias("table_name"), F.inline(each)))
+    counts = reduce(DataFrame.unionByName, frames).groupBy("table_name", "i", "key").agg(F.count("*").alias("n")).filter("n > 1")
+    return counts.select(F.lit("unique").alias("rule"), "table_name", "key", F.concat(F.lit("count="), F.col("n").cast("string")).alias("detail"))
 
 
 def check_references(tables: dict[str, DataFrame], keys: Sequence[tuple[str, str, str]]) -> DataFrame:
@@ -139,7 +143,8 @@ def entity_violations(tables: dict[str, DataFrame]) -> DataFrame:
     names them)."""
     from stockflow import schemas as R
     has = lambda t, *cols: t in tables and set(cols) <= set(tables[t].columns)
-    checks = [check_keys(tables[t], t, sets) for t, sets in ((t, [ks for ks in keysets if has(t, *ks)]) for t, keysets in R.UNIQUE.items()) if sets]
+    unique = [(t, ks) for t, keysets in R.UNIQUE.items() for ks in keysets if has(t, *ks)]
+    checks = [check_keys(tables, unique)] if unique else []
     keys = [k for k in R.FOREIGN_KEYS if has(k[0], k[1], "id") and has(k[2], "id")]
     if keys:
         checks.append(check_references(tables, keys))

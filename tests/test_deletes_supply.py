@@ -122,7 +122,7 @@ def supply_frames(spark, demand, products, parts):
             spark.createDataFrame([(b, c, q) for b, cs in parts.items() for c, q in cs], "bom_id long, component_product_id long, to_consume_qty long").withColumn("to_consume_qty", F.col("to_consume_qty").cast(qty)))
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [4, 6])
 def test_supply_equals_the_plain_plan(spark, seed):
     rng = random.Random(seed)
     n = 30
@@ -133,7 +133,7 @@ def test_supply_equals_the_plain_plan(spark, seed):
     plan, cycles = supply_plan(d, p, c)
     got = {r.product_id: (r.level, int(r.demand_qty), int(r.needed_qty), int(r.net_qty), r.supply) for r in plan.collect()}
     assert got == plain_supply(demand, products, parts) and cycles.count() == 0
-    assert max(v[0] for v in got.values()) >= 2
+    assert max(v[0] for v in got.values()) >= 3
     made = {(r.product_id, r.part_id) for r in supply_components(plan, p, c).collect()}
     assert made == {(q, x) for q, v in got.items() if v[4] == "Manufacturing" and products[q][3] in parts for x, _ in parts[products[q][3]]}
 

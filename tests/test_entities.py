@@ -107,3 +107,16 @@ def test_month_partitioned_facts_are_pruned(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(month" in plan
     expect = m.stock_movement.filter("date_format(movement_date, 'yyyy-MM') between '1996-01' and '1996-03'").count()
     assert df.count() == expect > 0
+
+
+def test_grouped_key_checks_find_every_break(spark):
+    t = {"users": spark.createDataFrame([(1, "a@x"), (1, "b@x"), (2, "a@x"), (None, None), (None, None)], "id long, email string"),
+         "sales_orders": spark.createDataFrame([(1, 1, "R"), (2, 9, "R"), (3, None, "S")], "id long, sales_person_id long, reference string"),
+         "audit_logs": spark.createDataFrame([(5, 7), (6, 2)], "id long, user_id long")}
+    got = sorted(tuple(r) for r in quality.entity_violations(t).collect() if r.rule in ("unique", "foreign_key"))
+    assert got == [("foreign_key", "audit_logs", "5", "user_id=7"), ("foreign_key", "sales_orders", "2", "sales_person_id=9"),
+                   ("unique", "sales_orders", "R", "count=2"), ("unique", "users", "1", "count=2"),
+                   ("unique", "users", "NULL", "count=2"), ("unique", "users", "NULL", "count=2"), ("unique", "users", "a@x", "count=2")]
+    skipped = quality.skipped_rules(t)
+    assert ("not_null", "users", "name") in skipped and ("unique", "products", "id") in skipped
+    assert ("foreign_key", "audit_logs", "user_id") not in skipped and ("foreign_key", "products", "id") in skipped

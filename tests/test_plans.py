@@ -31,3 +31,21 @@ def test_stock_position_prunes_columns(spark):
     text = plan_text(E.queries()["stock_position"](spark, SF_SMALL))
     # lineitem is read for the sales lines only: no price / discount / tax columns
     assert "l_discount" not in text and "l_tax" not in text
+
+
+def final_plan(df):
+    df.collect()
+    return plan_text(df).split("== Initial Plan ==")[0]
+
+
+# Exchanges that run, over all scans and joins of the query itself (what it
+# stores on its way is read as files).
+@pytest.mark.parametrize("name,most", [("ledger_all", 8), ("produce_components_after", 6), ("entity_violations", 24), ("fulfil_ledger", 5)])
+def test_exchanges_of_heavy_queries(spark, name, most):
+    text = final_plan(E.queries()[name](spark, SF_SMALL))
+    assert text.count("Exchange hashpartitioning") + text.count("Exchange rangepartitioning") <= most
+
+
+def test_rules_read_each_table_a_few_times(spark):
+    text = final_plan(E.queries()["entity_violations"](spark, SF_SMALL))
+    assert text.count("FileScan") <= 70

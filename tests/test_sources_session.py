@@ -4,6 +4,7 @@ import datetime as dt
 import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from stockflow.sources import documents
@@ -32,13 +33,41 @@ def test_snapshot_never_writes_credentials(spark, tmp_path):
                                   "can_edit string, can_delete string")
     path = str(tmp_path / "snap")
     documents.write_snapshot(users, perms, path)
-    text = "".join(open(os.path.join(path, "users", f)).read()
-                   for f in os.listdir(os.path.join(path, "users")) if f.endswith(".json"))
-    assert "secret" not in text and "password" not in text
+    text = "".join(open(os.path.join(folder, f)).read()
+                   for folder, _, files in os.walk(path) for f in files if f.endswith(".json"))
+    assert "ann@example.test" in text and "secret" not in text and "password" not in text
     u, p = documents.read_snapshot(spark, path)
     assert u.first().email == "ann@example.test" and p.first().can_delete == "Limited"
 
 
+def test_snapshot_is_replaced_as_a_whole(spark, tmp_path):
+    path = str(tmp_path / "snap")
+    users = spark.createDataFrame([(1, "Ann", "ann@example.test", "User")], "id long, name string, email string, role string")
+    perms = spark.createDataFrame([(1, "Sales")], "user_id long, module string")
+    for n in range(4):
+        documents.write_snapshot(users.withColumn("id", F.lit(n).cast("long")), perms.withColumn("user_id", F.lit(n).cast("long")), path)
+    u, p = documents.read_snapshot(spark, path)
+    assert u.first().id == p.first().user_id == 3
+    broken = perms.withColumn("user_id", F.raise_error(F.lit("lost")).cast("long"))
+    with pytest.raises(Exception):  # fails after the users are written
+        documents.write_snapshot(users.withColumn("id", F.lit(9).cast("long")), broken, path)
+    u, p = documents.read_snapshot(spark, path)
+    assert u.first().id == p.first().user_id == 3
+    documents.write_snapshot(users, perms, path)
+    assert len([f for f in os.listdir(path) if f.startswith("v-")]) == 2
+    with pytest.raises(FileNotFoundError):
+        documents.read_snapshot(spark, str(tmp_path / "none"))
+
+
+def test_stored_tables_are_released(spark):
+    from stockflow.stored import release, store
+    release(spark)
+    kept = store(spark.range(5), "five")
+    file = kept.inputFiles()[0].replace("file://", "")
+    assert kept.count() == 5 and os.path.exists(file)
+    assert release(spark) == 1 and release(spark) == 0 and not os.path.exists(file)
+
+
 def test_summary_json_keeps_nulls(spark, tmp_path):
     df = spark.createDataFrame([(1, None)], "id long, note string")
     path = str(tmp_path / "docs")
