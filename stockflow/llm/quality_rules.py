@@ -1,15 +1,18 @@
 """Quality rules with adaptive thresholds.
 
-Per language and source, mergeable quantile sketches of each measure give
-fences beyond the group's own quartiles; a text outside a fence by more than
-its length explains is rejected. The quantiles of a group lean towards its
+Per language and source, mergeable quantile sketches of each measure (counts
+by bins of equal relative width, which add up in any order, so results repeat)
+give fences beyond the group's own quartiles; a text outside a fence by more
+than its length explains is rejected. The quantiles of a group lean towards its
 language's, and those towards all rows', the more the fewer texts it has. The
 fixed rules (``base_failed``) hold besides. Only DataFrame functions.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stockflow.llm.common import BLANK, let, small, split_words, store
@@ -25,7 +28,9 @@ FENCE = 5.0          # spreads from a quartile to its fence
 RANKS = (0.15, 0.25, 0.5, 0.75, 0.85)
 PRIOR = 30.0         # texts that a group's language counts as in its quantiles
 ERRORS = 2.0         # standard errors of a text's own measure that pass beyond a fence
-SKETCH_K = 800       # size of a sketch: rank error well under 1 %
+STEP = 1.02          # ratio of neighbouring bins: a quantile's value is right to 1 %
+# A tiny allowance below which no share is held against a text, whatever its group.
+LEAST = {"symbol_share": 0.002, "dup_line_share": 0.01, "repeat_share": 0.01}
 
 
 def repeat_words(words: Column) -> Column:
@@ -84,41 +89,58 @@ def _shares(m: DataFrame) -> DataFrame:
 
 
 def sketches(shares: DataFrame) -> DataFrame:
-    """One row per (lang, source) with a sketch per measure, merged from the
-    tasks' partial sketches; texts without words are left out."""
-    return shares.filter("n_words > 0").groupBy("lang", "source").agg(
-        F.count("*").alias("n"), *[F.kll_sketch_agg_double(c, SKETCH_K).alias(c) for c in MEASURES])
+    """(lang, source, measure, bin, n): the sketches, one row per bin that has
+    texts (some thousand at most per measure); texts without words are left
+    out. Values of 0 have the lowest bin."""
+    each = F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).alias("value")) for c in MEASURES])
+    rows = shares.filter("n_words > 0").select("lang", "source", F.inline(each))
+    place = F.when(F.col("value") > 0, F.floor(F.log("value") / math.log(STEP)).cast("int")).otherwise(F.lit(-(2 ** 31)))
+    return rows.groupBy("lang", "source", "measure", place.alias("bin")).agg(F.count("*").alias("n"))
+
+
+def quantiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, measure, total, q): the values at ``RANKS``, and last what rare
+    values amount to: the median of those above 0, times how often there are
+    any and how often there are none."""
+    merged = sketch.groupBy(*keys, "measure", "bin").agg(F.sum("n").alias("n"))
+    of = Window.partitionBy(*keys, "measure")
+    upto = of.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    zero = F.col("bin") == -(2 ** 31)
+    rows = merged.select(*keys, "measure", F.when(zero, 0.0).otherwise(F.pow(F.lit(STEP), F.col("bin") + 0.5)).alias("value"),
+                         F.sum("n").over(upto).alias("upto"), F.sum("n").over(of).alias("total"),
+                         F.coalesce(F.sum(F.when(zero, F.col("n"))).over(of), F.lit(0)).alias("none"))
+    at = [F.min(F.when(F.col("upto") >= r * F.col("total"), F.col("value"))) for r in RANKS]
+    middle = F.min(F.when((F.col("value") > 0) & (F.col("upto") - F.col("none") >= 0.5 * (F.col("total") - F.col("none"))), F.col("value")))
+    share = F.first("none") / F.first("total")
+    return rows.groupBy(*keys, "measure").agg(F.first("total").alias("total"), F.array(*at, F.coalesce(middle, F.lit(0.0)) * share * (1 - share)).alias("q"))
 
 
 def fences(groups: DataFrame) -> DataFrame:
     """(lang, source, low_<measure>, high_<measure>) from ``sketches``.
 
     A fence lies ``FENCE`` spreads beyond a quartile. A spread is the way from
-    the median to the quartile or from there to the outer 15 %, whichever is
-    longer: where the median is 0, the upper quantiles alone tell it.
+    the median to the quartile or from there to the outer 15 %, or what rare
+    values amount to, whichever is longest: where most texts have none, the
+    fence comes from those that have some and how many they are.
     """
-    def quantiles(df: DataFrame, level: str, *keys: str) -> DataFrame:
-        at = lambda c: F.array(*[F.kll_sketch_get_quantile_double(c, F.lit(r)) for r in RANKS])
-        return df.select(*[F.col(k).alias(f"{level}_{k}") for k in keys], F.col("n").alias(f"{level}_n"),
-                         *[at(c).alias(f"{level}_{c}") for c in MEASURES])
-
-    merged = [F.sum("n").alias("n"), *[F.kll_merge_agg_double(c, SKETCH_K).alias(c) for c in MEASURES]]
-    own = quantiles(groups, "own", "lang", "source")
-    langs = quantiles(groups.groupBy("lang").agg(*merged), "all", "lang")
-    everything = quantiles(groups.agg(*merged).filter("n > 0"), "any")
-    rows = own.join(langs, F.col("own_lang").eqNullSafe(F.col("all_lang"))).crossJoin(F.broadcast(everything))  # one row
+    own = quantiles(groups, ["lang", "source"]).select("lang", "source", "measure", F.col("total").alias("n1"), F.col("q").alias("q1"))
+    langs = quantiles(groups, ["lang"]).select(F.col("lang").alias("l2"), F.col("measure").alias("m2"), F.col("total").alias("n2"), F.col("q").alias("q2"))
+    every = quantiles(groups, []).select(F.col("measure").alias("m3"), F.col("q").alias("q3"))
+    rows = (own.join(langs, F.col("lang").eqNullSafe(F.col("l2")) & (F.col("measure") == F.col("m2")))
+            .join(every, F.col("measure") == F.col("m3")))
 
     def leaning(q: Column, n: str, to: Column) -> Column:
         return F.zip_with(q, to, lambda x, y: (F.col(n) * x + PRIOR * y) / (F.col(n) + PRIOR))
 
-    out = [F.col("own_lang").alias("_lang"), F.col("own_source").alias("_source")]
+    rows = rows.withColumn("q", leaning(F.col("q1"), "n1", leaning(F.col("q2"), "n2", F.col("q3"))))
+    q15, q25, q50, q75, q85, rare = (F.get("q", F.lit(i)) for i in range(len(RANKS) + 1))
+    high, low = q75 + FENCE * F.greatest(q75 - q50, q85 - q75, rare), q25 - FENCE * F.greatest(q50 - q25, q25 - q15)
+    out = []
     for c, (*_, two_sided) in MEASURES.items():
-        lang = leaning(F.col(f"all_{c}"), "all_n", F.col(f"any_{c}"))
-        rows = rows.withColumn(f"q_{c}", leaning(F.col(f"own_{c}"), "own_n", lang))
-        q15, q25, q50, q75, q85 = (F.get(f"q_{c}", F.lit(i)) for i in range(len(RANKS)))
-        out.append((q75 + FENCE * F.greatest(q75 - q50, q85 - q75)).alias(f"high_{c}"))
-        out.append((q25 - FENCE * F.greatest(q50 - q25, q25 - q15) if two_sided else F.lit(float("-inf"))).alias(f"low_{c}"))
-    return rows.select(*out)
+        mine = lambda x: F.max(F.when(F.col("measure") == c, x))  # noqa: E731, B023
+        out.append(mine(high if two_sided else F.greatest(high, F.lit(LEAST[c]))).alias(f"high_{c}"))
+        out.append((mine(low) if two_sided else F.lit(float("-inf"))).alias(f"low_{c}"))
+    return rows.groupBy(F.col("lang").alias("_lang"), F.col("source").alias("_source")).agg(*out)
 
 
 def _inside(c: str, over: str, together: int, two_sided: bool) -> Column:
@@ -141,8 +163,9 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     base_failed: under 50 words, or over half of them in repeated windows.
     kept: not base_failed and every measure inside its group's fences, give or
     take the error that the text's length leaves. Null
-    language or source is a group of its own; null and empty texts fail.
-    Repeated rows each get their row. Extra columns are ignored.
+    language or source is a group of its own; null and empty texts fail, and
+    texts of any length are measured whole. Repeated rows each get their row
+    and count each; an empty table gives no rows. Extra columns are ignored.
     """
     shares = _shares(store(measures(docs), "measures"))
     limits = store(fences(store(sketches(shares), "sketches")), "fences")

@@ -97,3 +97,77 @@ def test_mixing_odd_rows(spark):
     none = source_rates(docs, spark.createDataFrame([("a", None), ("zz", 1.0)], "source string, weight double"))
     assert mix_sources(docs, none).count() == 0
     assert mix_sources(empty_docs(spark), source_rates(empty_docs(spark))).count() == 0
+
+
+def plain_kept(rows):
+    """{doc_id: kept} from (doc_id, text, lang, source) rows, in plain Python."""
+    import math
+    import statistics  # noqa: F401
+
+    from stockflow.llm import quality_rules as Q
+
+    def share(a, b):
+        return a / max(b, 1)
+
+    shares, sizes = {}, {}
+    for i, text, lang, source in rows:
+        w, chars, symbols, dup, rep, failed = brute(text)
+        lines = len([x for x in (text or "").split("\n") if x.encode().split()])
+        shares[i] = {"mean_word_length": share(chars, w), "symbol_share": share(symbols, chars), "dup_line_share": share(dup, lines), "repeat_share": share(rep, w)}
+        sizes[i] = {"n_words": w, "word_chars": chars, "n_lines": lines, "failed": failed}
+
+    def quantiles(values):
+        bins = sorted((0.0 if v <= 0 else Q.STEP ** (math.floor(math.log(v) / math.log(Q.STEP)) + 0.5)) for v in values)
+        n, some = len(bins), [b for b in bins if b > 0]
+        at = lambda xs, r: next(x for k, x in enumerate(xs, 1) if k >= r * len(xs))
+        none = 1 - len(some) / n
+        return [*(at(bins, r) for r in Q.RANKS), (at(some, 0.5) if some else 0.0) * none * (1 - none)]
+
+    out = {}
+    counted = [r for r in rows if sizes[r[0]]["n_words"]]
+    for i, text, lang, source in rows:
+        kept = not sizes[i]["failed"]
+        for c, (over, together, two_sided) in Q.MEASURES.items() if kept else ():
+            groups = [[shares[j][c] for j, _, g, s in counted if g == lang and s == source], [shares[j][c] for j, _, g, _ in counted if g == lang], [shares[j][c] for j, *_ in counted]]
+            lean = lambda q, n, to: [(n * x + Q.PRIOR * y) / (n + Q.PRIOR) for x, y in zip(q, to)]
+            q15, q25, q50, q75, q85, rare = lean(quantiles(groups[0]), len(groups[0]), lean(quantiles(groups[1]), len(groups[1]), quantiles(groups[2])))
+            high, v, n = q75 + Q.FENCE * max(q75 - q50, q85 - q75, rare), shares[i][c], max(sizes[i][over], 1) / together
+            if two_sided:
+                low, error = q25 - Q.FENCE * max(q50 - q25, q25 - q15), Q.ERRORS * v / math.sqrt(n)
+                kept &= low - error <= v <= high + error
+            else:
+                z, p = Q.ERRORS ** 2, min(max(high, Q.LEAST[c]), 1.0)
+                kept &= v <= (p + z / (2 * n) + Q.ERRORS * math.sqrt(p * (1 - p) / n + z / (4 * n * n))) / (1 + z / n)
+        out[i] = kept
+    return out
+
+
+def test_quality_verdicts_match_the_plain_version_and_repeat(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = [{r.doc_id: r.kept for r in quality_rules(d).collect()} for d in (docs, docs.repartition(7), docs.repartition(2, "lang"))]
+    assert got[0] == got[1] == got[2]
+    assert got[0] == plain_kept([(r.doc_id, r.text, r.lang, r.source) for r in docs.collect()])
+    assert 0 < sum(got[0].values()) < len(got[0])
+
+
+def test_quality_few_symbols_in_a_long_clean_text(spark):
+    """No text of the group but this one has any symbol."""
+    def text(i, n):
+        return " ".join(f"{a}{i}x{j}" for j, a in enumerate("some plain words of text here".split() * n))
+
+    clean = [(i, text(i, 20), "en", "s", 1) for i in range(150)]
+    long = (900, text(900, 850).replace("plain900x1 ", "$5 $6 "), "en", "s", 1)
+    long = (900, long[1] + " costs $7 and $8", "en", "s", 1)
+    junk = [(1000 + i, text(1000 + i, 20).replace(" ", "$$$ "), "en", "s", 1) for i in range(10)]
+    got = {r.doc_id: r.kept for r in quality_rules(spark.createDataFrame([*clean, long, *junk], "doc_id long, text string, lang string, source string, n_chars long")).collect()}
+    assert got[900] and all(got[i] for i in range(150)) and not any(got[1000 + i] for i in range(10))
+
+
+def test_quality_fences_differ_between_groups(spark):
+    from stockflow.llm import quality_rules as Q
+
+    shares = Q._shares(Q.measures(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")))
+    rows = Q.fences(Q.sketches(shares)).collect()
+    assert len(rows) > 20
+    for c in ("symbol_share", "mean_word_length", "repeat_share"):
+        assert len({round(r[f"high_{c}"], 6) for r in rows}) > len(rows) / 2
