@@ -87,3 +87,16 @@ def test_components_of_chains_and_stars(spark):
     want = {i: min(part) for part in (ids[:40], ids[40:]) for i in part}
     assert got == want
     assert connected_components(spark.range(0).select(F.col("id").alias("src"), F.col("id").alias("dst"))).count() == 0
+
+
+def test_a_rising_path_takes_few_rounds(spark, monkeypatch):
+    """Versions of a text with rising ids: every node's least neighbour is the one before."""
+    from stockflow.llm import graph
+
+    stored, store = [], graph.store
+    monkeypatch.setattr(graph, "store", lambda df, tag: stored.append(tag) or store(df, tag))
+    n = 1000
+    edges = spark.range(n - 1).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    got = connected_components(edges)
+    assert got.count() == n and got.filter("component <> 0").isEmpty()
+    assert stored.count("moves") <= 2 * 10 and stored.count("edges") <= 3
