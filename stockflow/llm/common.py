@@ -42,6 +42,12 @@ def store(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def packed(df: DataFrame) -> DataFrame:
+    """The rows of ``df`` as one struct column ``row``, so that columns added
+    beside it meet no name of the input. ``select("row.*")`` undoes it."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``rows`` rows (counted
     here; meant for stored tables), else unchanged, so that the join shuffles."""

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stockflow.llm.common import ascii_lower, let, small, split_words, store
+from stockflow.llm.common import ascii_lower, let, packed, small, split_words, store
 
 # Fixed value: what separates words (everything ASCII but digits and a-z).
 NON_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
@@ -185,9 +185,13 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, lists: in
 def remove_contaminated(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
     """Rows of ``docs`` (all columns) whose text holds no window of ``items``.
 
-    Null and empty texts stay. Rows that share an id go by their own texts.
+    Null and empty texts stay, texts of any length are searched whole, and an
+    empty table stays empty. Rows that share an id, or are equal, go by their
+    own texts. Items with a null id count like others; null and empty items
+    match nothing. Columns may have any names.
     """
     tokens = tokenised(docs)
     matches = phrase_matches(tokens, test_windows(items, window)[0])
     found = store(matches.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "contaminated")
-    return docs.join(small(found), docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_hash")), "left_anti")
+    rows = packed(docs)
+    return rows.join(small(found), F.col("row.doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("row.text") == F.col("_hash")), "left_anti").select("row.*")

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stockflow.llm.common import small, store
+from stockflow.llm.common import packed, small, store
 
 
 def _hex_number(value: Column, digits: int) -> Column:
@@ -73,17 +73,18 @@ def mix_sources(docs: DataFrame, rates: DataFrame, seed: str = "mix") -> DataFra
 
     The draw depends on doc_id, source and seed: repeated rows of one id get
     the same count. Sources match null-safe; a source without a rate is left
-    out. Null ids and texts are drawn like others. A column of the input named
-    ``copy`` is replaced.
+    out. Null ids, and null, empty or very long texts, are drawn like others; an
+    empty table stays empty. An input column named ``copy`` (in any case) is
+    replaced, all others stay, whatever they are called.
     """
-    rates = rates.select(F.col("source").alias("_source"), F.col("rate").alias("_rate"))
-    name = F.concat_ws("|", F.lit(seed), F.coalesce(F.col("source").cast("string"), F.lit("")), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    kept = [c for c in docs.columns if c != "copy"]
-    drawn = (docs.select(*kept).join(small(rates), F.col("source").cast("string").eqNullSafe(F.col("_source")))
-             .withColumn("_k", poisson_inverse(unit_hash(name), F.col("_rate"))).filter("_k > 0"))
-    copies = drawn.select(*kept, name.alias("_name"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("_k"))).alias("copy"))
-    place = F.xxhash64("_name", "copy", F.lit("order"))
+    rates = rates.select(F.col("source").alias("source"), F.col("rate").alias("rate"))
+    rows = packed(docs.select(*[f"`{c}`" for c in docs.columns if c.lower() != "copy"]))
+    source = F.col("row.source").cast("string")
+    name = F.concat_ws("|", F.lit(seed), F.coalesce(source, F.lit("")), F.coalesce(F.col("row.doc_id").cast("string"), F.lit("")))
+    drawn = rows.join(small(rates), source.eqNullSafe(F.col("source"))).withColumn("k", poisson_inverse(unit_hash(name), F.col("rate"))).filter("k > 0")
+    copies = drawn.select("row", name.alias("name"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("k"))).alias("copy"))
+    place = F.xxhash64("name", "copy", F.lit("order"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # Dealt out and ordered by a hash: uniform whatever the keys, and no sampling pass as a global sort needs.
-    return (copies.withColumn("_place", place).repartition(parts, "_place").sortWithinPartitions("_place")
-            .select(*kept, "copy"))
+    return (copies.withColumn("place", place).repartition(parts, "place").sortWithinPartitions("place")
+            .select("row.*", "copy"))

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stockflow.llm.common import small, store
+from stockflow.llm.common import packed, small, store
 from stockflow.llm.graph import connected_components
 from stockflow.llm.hashing import WordHashes, mix, runs
 
@@ -266,11 +266,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
 def drop_near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     """Rows of ``docs`` (all columns) of which one document per group of near
     duplicates stays, the one of least id; of equal rows (id and text) one
-    stays. Null and empty texts and rows with a null id stay."""
+    stays. Null and empty texts and rows with a null id stay, and so does an
+    empty table. Columns may have any names."""
     verdicts = store(near_duplicates(docs, percent).filter("doc_id IS NOT NULL").groupBy("doc_id").agg(
         F.bool_and("kept").alias("kept"), F.count("*").alias("n")), "verdicts")
     gone = verdicts.filter("NOT kept").select(F.col("doc_id").alias("_id"))
-    left = docs.join(small(gone), F.col("doc_id").cast("long") == F.col("_id"), "left_anti")
+    rows = packed(docs).withColumns({"_doc": F.col("row.doc_id").cast("long"), "_text": F.col("row.text")})
+    left = rows.join(small(gone), F.col("_doc") == F.col("_id"), "left_anti")
     several = small(verdicts.filter("n > 1").select(F.col("doc_id").alias("_id")))
-    same = F.col("doc_id").cast("long") == F.col("_id")
-    return left.join(several, same, "left_anti").unionByName(left.join(several, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    same = F.col("_doc") == F.col("_id")
+    kept = left.join(several, same, "left_anti").unionByName(left.join(several, same, "left_semi").dropDuplicates(["_doc", "_text"]))
+    return kept.select("row.*")

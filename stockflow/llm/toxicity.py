@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stockflow.llm.common import crc_mod, small, store
+from stockflow.llm.common import crc_mod, packed, small, store
 
 MAX_ROWS = 20_000      # labelled rows that the model is fitted on, about
 MAX_FEATURES = 4_000   # words and word beginnings it may weigh
@@ -192,7 +192,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, folds:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """Rows of ``docs`` (all columns) with a score under ``threshold``, by a
-    model fitted on all labels. Null and empty texts stay."""
+    model fitted on all labels. Null and empty texts stay; texts of any length
+    are scored whole. Columns may have any names."""
     model = fit(labelled_sample(docs, labels))
-    empty = F.coalesce(F.length("text"), F.lit(0)) == 0
-    return docs.withColumn("_score", score_texts(docs, model)).filter(empty | (F.col("_score") < threshold)).drop("_score")
+    empty = F.coalesce(F.length("row.text"), F.lit(0)) == 0
+    scored = packed(docs).withColumn("score", score_texts(docs, model, "row.text"))
+    return scored.filter(empty | (F.col("score") < threshold)).select("row.*")

@@ -93,3 +93,25 @@ def test_stages_bear_odd_and_empty_tables(spark, stage, tmp_path):
     if stage is P.near_duplicates:
         assert sum(r.doc_id == 5 for r in out.collect()) == 1 and sum(r.text is None for r in out.collect()) == 2
     assert stage(spark, spark.createDataFrame([], SCHEMA), str(tmp_path)).count() == 0
+
+
+# Names that the operators use inside, and some of the language.
+INSIDE = ["_k", "_place", "_source", "_rate", "_name", "Copy", "_id", "_hash", "_score", "row", "source_", "rate", "k", "name", "place", "score",
+          "_doc", "_text", "text_hash", "words", "kept", "component", "n", "same", "regs", "keys", "a.b", "select"]
+
+
+def test_stages_bear_any_column_name_and_change_no_value(spark):
+    base = sf_docs(spark).limit(60)
+    docs = base.select("*", *[F.concat(F.lit(f"{c}-"), F.col("doc_id").cast("string")).alias(c) for c in INSIDE])
+    want = {r["doc_id"]: tuple(r[c] for c in ("text", "lang", *INSIDE)) for r in docs.collect()}
+    for name, stage in P.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        names = [c for c in out.columns if c.lower() != "copy"]
+        assert names == [c for c in docs.columns if c.lower() != "copy"], name
+        some = 0
+        cols = [c for c in ("text", "lang", *INSIDE) if c in out.columns]
+        for r in out.collect():
+            some += 1
+            mine = dict(zip(("text", "lang", *INSIDE), want[r["doc_id"]]))
+            assert all(r[c] == mine[c] for c in cols), name
+        assert some
