@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stockflow.llm.common import most_frequent, store
+
 CACHE_PIECES = 400_000   # entries of a worker's cache; emptied when full
 TASK_PIECES = 20_000     # frequent pieces that a task reports
 COUNTED_PIECES = 300_000  # pieces that a task counts at once before rare ones are let go
@@ -127,7 +129,7 @@ def frequent_pieces(docs: DataFrame, text_col: str = "text", rows: int = FREQUEN
         yield pd.DataFrame({"piece": [p for p, _ in top], "n": [n for _, n in top]}).astype({"piece": object, "n": "int64"})
 
     counted = docs.select(F.col(text_col).alias("text")).mapInPandas(count, "piece string, n long")
-    return counted.groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(rows)
+    return most_frequent(store(counted.groupBy("piece").agg(F.sum("n").alias("n")), "pieces"), rows)
 
 
 def token_counts(docs: DataFrame, path: str | None = None, limit: int = 1024, id_col: str = "doc_id",
@@ -137,8 +139,9 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = 1024, id
     First tier: a broadcast table of the lengths of frequent pieces (at most
     ``FREQUENT_PIECES``). Second tier: pieces it lacks are encoded by the
     library and kept in the worker's bounded cache. No piece is shuffled. Null
-    and empty texts have no bytes and no tokens. Repeated rows each get their
-    row. Extra columns are ignored.
+    and empty texts have no bytes and no tokens; texts of any length are
+    counted whole. Repeated rows each get their row; an empty table gives none.
+    Extra columns are ignored.
     """
     path = path or tokenizer_path()
     top = [r.piece for r in frequent_pieces(docs, text_col).collect()]  # bounded
