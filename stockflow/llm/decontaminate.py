@@ -116,11 +116,30 @@ def phrase_matches(tokens: DataFrame, windows: DataFrame, lists: int = 2) -> Dat
     Repeated rows of one id and text give one set of matches. Candidates are
     confirmed on the words of their document.
     """
+    return _search(tokens, windows, lists)[0]
+
+
+def near_terms(windows: DataFrame, counts: DataFrame, terms: int) -> DataFrame:
+    """(qid, terms): per test sequence its ``terms`` rarest distinct words of
+    those that the corpus has, ties by the word; sequences with fewer than two
+    of them are left out."""
+    held = windows.select("seq", F.explode("words").alias("term")).distinct().join(small(counts), "term")
+    rare = F.slice(F.sort_array(F.collect_list(F.struct("postings", "term"))), 1, terms)["term"]
+    return held.groupBy(F.col("seq").alias("qid")).agg(rare.alias("terms")).filter(F.size("terms") > 1)
+
+
+def _search(tokens: DataFrame, windows: DataFrame, lists: int, near: int = 0) -> tuple[DataFrame, DataFrame | None, DataFrame]:
+    """(matches of ``windows``, proximity queries of ``near`` terms each or
+    None, the index that holds the lists of both)."""
     windows = store(windows, "distinct-windows")
     vocabulary = store(windows.select(F.explode("words").alias("term")).distinct(), "vocabulary")
     counts = store(term_counts(tokens, vocabulary), "counts")
     plan = store(rarest_lists(windows, counts, lists), "plan")
-    index = build_index(tokens, store(plan.select(F.explode("lists.term").alias("term")).distinct(), "terms"))
+    wanted = plan.select(F.explode("lists.term").alias("term"))
+    queries = store(near_terms(windows, counts, near), "near") if near else None
+    if queries is not None:
+        wanted = wanted.union(queries.select(F.explode("terms")))
+    index = build_index(tokens, store(wanted.distinct(), "terms"))
     found = store(phrase_candidates(index, plan), "candidates")
     key = ["_id", "_hash"]
     per_doc = (found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.struct("wid", "start", "n").alias("c"))
@@ -132,7 +151,7 @@ def phrase_matches(tokens: DataFrame, windows: DataFrame, lists: int = 2) -> Dat
     sure = held.select("doc_id", "text_hash", F.filter(
         "found", lambda c: phrase_id(F.slice("words", c["start"] + 1, c["n"])) == c["wid"]).alias("sure"))
     return sure.select("doc_id", "text_hash", F.explode("sure").alias("m")).select(
-        "doc_id", "text_hash", "m.start", "m.n", "m.wid").distinct()
+        "doc_id", "text_hash", "m.start", "m.n", "m.wid").distinct(), queries, index
 
 
 def proximity_matches(index: DataFrame, queries: DataFrame, span: int) -> DataFrame:
@@ -146,25 +165,32 @@ def proximity_matches(index: DataFrame, queries: DataFrame, span: int) -> DataFr
     terms = queries.select("qid", F.explode(F.array_distinct("terms")).alias("term"),
                            F.size(F.array_distinct("terms")).alias("need"))
     near = (Window.partitionBy("qid", "doc_id", "text_hash").orderBy("pos").rangeBetween(-(span - 1), 0))
-    seen = index.join(terms, "term").select("qid", "doc_id", "text_hash", "need", "pos",
+    seen = index.join(small(terms), "term").select("qid", "doc_id", "text_hash", "need", "pos",
                                             F.size(F.collect_set("term").over(near)).alias("got"),
                                             F.min("pos").over(near).alias("first"))
     return seen.filter("got = need").select("qid", "doc_id", "text_hash", "first", F.col("pos").alias("last")).distinct()
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, lists: int = 2,
-                  id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                  id_col: str = "doc_id", text_col: str = "text", near: int = 3, span: int = 20) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_hit (words inside a
     matched window), n_items, items_sha256 (of the sorted ids of items that
-    matched), contaminated.
-
-    Null or empty text: no words and not contaminated. Repeated rows each get
-    their row; rows that share an id are judged on their own texts. Extra
-    columns are ignored.
+    matched), contaminated, n_near (test texts, equal ones once, whose ``near``
+    rarest words stand within ``span`` consecutive words, in any order: a trace
+    of reworded items, which alone does not contaminate).
+
+    Null or empty text: no words and not contaminated; texts of any length are
+    searched whole. Repeated rows each get their row; rows that share an id are
+    judged on their own texts. An item with a null id counts in n_hit, but has
+    no id to count in n_items. An empty table gives no rows, empty ``items`` no
+    hits. Extra columns are ignored.
     """
     windows, members = test_windows(items, window)
     tokens = tokenised(docs, id_col, text_col)
-    matches = store(phrase_matches(tokens, windows, lists), "matches")
+    matches, queries, index = _search(tokens, windows, lists, near)
+    matches = store(matches, "matches")
+    close = (proximity_matches(index, queries, span).groupBy(F.col("doc_id").alias("_near_id"), F.col("text_hash").alias("_near_hash"))
+             .agg(F.count_distinct("qid").alias("n_near")))
     spans = matches.select("doc_id", "text_hash", "start", "n").distinct()
     hit = (spans.select("doc_id", "text_hash", F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("p"))
            .distinct().groupBy("doc_id", "text_hash").agg(F.count("*").alias("n_hit")))
@@ -175,11 +201,13 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, lists: in
         hit["doc_id"].alias("_id"), hit["text_hash"].alias("_hash"), "n_hit", "items")
     rows = tokens.select("doc_id", "text_hash", F.size("words").cast("long").alias("n_words"))
     out = rows.join(both, rows["doc_id"].eqNullSafe(F.col("_id")) & (rows["text_hash"] == F.col("_hash")), "left")
+    out = out.join(store(close, "close"), rows["doc_id"].eqNullSafe(F.col("_near_id")) & (rows["text_hash"] == F.col("_near_hash")), "left")
     names = F.coalesce("items", F.array().cast("array<string>"))
     return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
                       F.size(names).cast("long").alias("n_items"),
                       F.sha2(F.array_join(names, ","), 256).alias("items_sha256"),
-                      (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
+                      (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
+                      F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"))
 
 
 def remove_contaminated(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:

@@ -55,11 +55,27 @@ dwin AS (
   FROM dw, lens WHERE len(w) >= n),
 hits AS (SELECT DISTINCT d.doc_id, d.s, d.n, win.item_id FROM dwin d JOIN win ON d.phrase = win.phrase AND d.n = win.n),
 hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM hits) GROUP BY 1),
-items AS (SELECT doc_id, list_sort(list(DISTINCT CAST(item_id AS VARCHAR))) AS ids FROM hits GROUP BY 1)
+items AS (SELECT doc_id, list_sort(list(DISTINCT CAST(item_id AS VARCHAR))) AS ids FROM hits GROUP BY 1),
+place AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS term FROM dw),
+seqs AS (SELECT DISTINCT array_to_string(w, ' ') AS q, w FROM bw WHERE len(w) > 0),
+term AS (SELECT DISTINCT q, unnest(w) AS term FROM seqs),
+seen AS (SELECT term, count(*) AS n FROM place WHERE term IN (SELECT term FROM term) GROUP BY 1),
+rare AS (
+  SELECT q, term, k, max(k) OVER (PARTITION BY q) AS need FROM (
+    SELECT q, term, row_number() OVER (PARTITION BY q ORDER BY n, term) AS k FROM term JOIN seen USING (term)) r
+  WHERE k <= 3),
+last AS (
+  SELECT doc_id, q, p, need, max(CASE WHEN k = 1 THEN p END) OVER w AS a, max(CASE WHEN k = 2 THEN p END) OVER w AS b,
+         max(CASE WHEN k = 3 THEN p END) OVER w AS c
+  FROM place JOIN rare USING (term) WHERE need > 1 WINDOW w AS (PARTITION BY doc_id, q ORDER BY p)),
+near AS (
+  SELECT doc_id, count(DISTINCT q) AS n_near FROM last
+  WHERE a > p - 20 AND b > p - 20 AND (need < 3 OR c > p - 20) GROUP BY 1)
 SELECT dw.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
        CAST(coalesce(len(ids), 0) AS BIGINT) AS n_items,
-       sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
+       sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+       CAST(coalesce(n_near, 0) AS BIGINT) AS n_near
+FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN near USING (doc_id)
 """
 
 

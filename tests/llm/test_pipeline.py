@@ -55,6 +55,22 @@ def test_proximity(spark):
     assert {(r.qid, r.doc_id, r["first"], r["last"]) for r in proximity_matches(index, queries, 6).collect()} == {(7, 1, 0, 5), (7, 2, 0, 2)}
 
 
+def test_near_counts_match_brute_force(spark):
+    import collections
+    import random
+
+    rng = random.Random(6)
+    vocab = [f"w{i}" for i in range(60)]
+    docs = [(i, " ".join(rng.choices(vocab, k=rng.randrange(0, 90)))) for i in range(60)] + [(90, None), (91, "Solo")]
+    items = [(i, " ".join(rng.sample(vocab, rng.randrange(1, 9))) + (" unseen" if i % 2 else "")) for i in range(20)] + [(50, "solo"), (51, "unseen never"), (3, None)]
+    n = collections.Counter(w for _, t in docs for w in words(t))
+    rare = {tuple(words(t)): sorted((n[w], w) for w in set(words(t)) if n[w])[:3] for _, t in items if words(t)}
+    got = {r.doc_id: r.n_near for r in decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), span=12).collect()}
+    for i, t in docs:
+        w = words(t)
+        assert got[i] == sum(len(q) > 1 and any({x for _, x in q} <= set(w[a:a + 12]) for a in range(len(w))) for q in rare.values())
+
+
 def test_stages(spark):
     docs = sf_docs(spark)
     labels = spark.read.parquet(f"{SF}/labels.parquet")
