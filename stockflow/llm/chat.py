@@ -64,7 +64,10 @@ def parse_turns(formatted: str) -> list[tuple[str, str]]:
 def linear_trees(conversations: DataFrame) -> DataFrame:
     """Messages (tree, node, parent, role, text, score) of conversations whose
     turns answer each other in a row. Ties in ``turn`` go by role and text;
-    null turns come first; null role and text count as empty."""
+    null turns come first; null role and text count as empty. Repeated rows are
+    turns of their own, a null conv_id is a conversation like others, texts may
+    be of any length, and an empty table gives no messages. Other columns are
+    not read."""
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     rows = conversations.select(F.col("conv_id").alias("tree"), F.row_number().over(order).cast("long").alias("node"),

@@ -220,7 +220,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     links, kept says that it is the row's own id. Empty and null texts have
     empty sets and no links. Rows that share an id are one document with all
     their links. A row with a null id is linked with nothing: component_id is
-    null, kept is true. Extra columns are ignored.
+    null, kept is true. Repeated rows each get their row. Texts of any length
+    are taken whole; an empty table gives no rows. Extra columns are ignored.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     named = texts.filter("doc_id IS NOT NULL")

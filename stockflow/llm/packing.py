@@ -83,8 +83,11 @@ def pack_tokens(docs: DataFrame, path: str | None = None, ranks: str | None = No
 
     Ids are those that the tokenizers library gives for the file at ``path``;
     ``ranks`` names the same vocabulary as ranks, to encode faster (both by
-    default byte_bpe_50k). Null and empty texts have no tokens and so no segment. Repeated rows are
-    packed each. A null doc_id stays null. Extra columns are ignored.
+    default byte_bpe_50k). Null and empty texts have no tokens and so no segment;
+    an empty table gives no rows. Repeated rows are packed each. A null doc_id
+    stays null. Extra columns are ignored. Which documents share a row, and
+    ``pack_id``, depend on how the input is partitioned; every token is in
+    exactly one row however that is.
     """
     if path is None:
         path, ranks = tokenizer_path(), tokenizer_path("byte_bpe_50k.tiktoken")

@@ -195,7 +195,8 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id
     Words are blank-delimited and compared after lower-casing A-Z. Documents
     without such a passage, null and empty texts and rows with a null id have
     no row. Repeats within one document alone, or among rows of one id, don't
-    count; texts that share an id get a row each. Extra columns are ignored.
+    count; texts that share an id get a row each. Texts of any length are
+    searched whole; an empty table gives no rows. Extra columns are ignored.
     """
     starts = repeated_windows(docs, least, id_col, text_col).groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("pos")).alias("at"))
     # Spans from the starts: a start opens one where the start before it is over ``least`` words back.

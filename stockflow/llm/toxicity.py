@@ -181,8 +181,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, folds:
     """One row per row of ``docs``: doc_id, held_out, score (0 to 1), predicted.
 
     Rows whose crc32(doc_id as text) mod ``folds`` is ``held_out`` lend no
-    labels. A null id counts as empty text there and has no label. Repeated
-    rows each get their row. Extra columns are ignored.
+    labels. A null id counts as empty text there and has no label. Null and
+    empty texts have the score of a text without features; texts of any length
+    are scored whole. Repeated rows each get their row; an empty table gives no
+    rows, and without labels every score is the same. Extra columns are ignored.
     """
     model = fit(labelled_sample(docs, labels, crc_mod(F.col("doc_id"), folds) != held_out))
     scored = docs.select("doc_id", (crc_mod(F.col("doc_id"), folds) == held_out).alias("held_out"),
