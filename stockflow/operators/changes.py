@@ -11,12 +11,13 @@ scan, which runs through the piecewise prefix scan.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stockflow.functions.scalars import null_to_empty, reference_code
-from stockflow.operators.scan import prefix_scan, prefix_scans
+from stockflow.operators.scan import HOT_ROWS, prefix_scan, prefix_scans, split_hot
 from stockflow.stored import store
 
 _MIN_SEQ = -(2 ** 62)
@@ -333,19 +334,34 @@ def patch_rejects(base: DataFrame, patches: DataFrame, key: str) -> DataFrame:
 
 
 def number_within(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "row_number",
-                  num_partitions: int | None = None) -> DataFrame:
+                  num_partitions: int | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
     """row_number() over (partition by keys order by order), where no task
-    has to hold a whole key.
+    has to hold a hot key.
 
-    Range-partition on (keys, order), sort inside partitions and write the rows
-    with their position, which then stays if an executor is lost. A hot key
+    Rows are counted by hash groups of the keys. Groups of at most ``hot_rows``
+    rows take the plain window, one exchange; the others are numbered by their
+    written positions (``_number_pieces``). Ties in ``order`` go by a hash of
+    the row, and equal rows get distinct numbers, as with row_number.
+    """
+    keys, order = list(keys), list(order)
+    small, hot = split_hot(df, keys, df, hot_rows)
+    parts = []
+    if small is not None:
+        w = Window.partitionBy(*keys).orderBy(*order, F.xxhash64(*df.columns))
+        parts.append(small.withColumn(out, F.row_number().over(w).cast("bigint")))
+    if hot is not None:
+        parts.append(_number_pieces(hot, keys, order, out, num_partitions))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _number_pieces(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str, num_partitions: int | None) -> DataFrame:
+    """Range-partition on (keys, order), sort inside partitions and write the
+    rows with their position, which then stays if an executor is lost. A hot key
     then spans several partitions. Per (partition, key), take the first
     position and the count: one row per piece of a key. Add prefix offsets
     over the pieces of each key, which are at most one per partition. The
-    number is offset + position - first + 1. The order must be total
-    within a key (ties get distinct, arbitrary numbers, as with row_number).
-    """
-    keys, cols = list(keys), list(keys) + list(order)
+    number is offset + position - first + 1."""
+    cols = [*keys, *order]
     tagged = _positioned(df, cols, num_partitions)
     pieces = tagged.groupBy("_pid", *keys).agg(F.min("_pos").alias("_first"), F.count("*").alias("_n"))
     w = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)

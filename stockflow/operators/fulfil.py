@@ -40,19 +40,20 @@ def _request(col: str, need: Column, fallback_to_need: bool) -> Column:
 
 def apply_quantity_commands(commands: DataFrame, keys: Sequence[str], order: Sequence[str],
                             need_col: str = "ordered_qty", initial_col: str | None = "done_qty",
-                            request_col: str = "requested_qty", fallback_to_need: bool = False, settle: bool = False) -> DataFrame:
+                            request_col: str = "requested_qty", fallback_to_need: bool = False, settle: bool = False,
+                            sizes: DataFrame | None = None) -> DataFrame:
     """Per command row: done_before, done_after and delta (>= 0).
 
     ``commands`` carries the target's need (and initial done, if any) per
     row, e.g. after joining commands to their lines. Ties in ``order`` must
     not occur: the order is the arrival order of commands and lines.
-    ``settle``: see ``prefix_scans``.
+    ``settle``, ``sizes``: see ``prefix_scans``.
     """
     need = F.coalesce(F.col(need_col), F.lit(0))
     initial = F.coalesce(F.col(initial_col), F.lit(0)) if initial_col else F.lit(0)
     capped = F.least(_request(request_col, need, fallback_to_need), need)
     c = commands.withColumn("_capped", capped)
-    c = prefix_scan(c, keys, order, "_capped", "max", "_prior", inclusive=False, settle=settle)
+    c = prefix_scan(c, keys, order, "_capped", "max", "_prior", inclusive=False, settle=settle, sizes=sizes)
     before = F.greatest(initial, F.coalesce(F.col("_prior"), initial))
     c = (c.withColumn("done_before", before.cast(QTY_SUM))
          .withColumn("done_after", F.greatest(F.col("done_before"), F.col("_capped")).cast(QTY_SUM))
@@ -128,7 +129,7 @@ def request_status(lines: DataFrame, applied: DataFrame, request: Sequence[str],
     if requests is not None:
         rows = rows.unionByName(requests.select("order_id", *request, F.lit(0).cast("long").alias("_done")))
     per_req = rows.groupBy("order_id", *request).agg(F.coalesce(F.sum("_done"), F.lit(0)).alias("_done_lines"))
-    cum = prefix_scan(per_req, ["order_id"], request, "_done_lines", "sum", "_cum", settle=True)
+    cum = prefix_scan(per_req, ["order_id"], request, "_done_lines", "sum", "_cum", settle=True, sizes=per_req if requests is None else applied)
     left = F.coalesce(F.col("_incomplete"), F.lit(0)) - F.col("_cum")
     return (cum.join(incomplete, "order_id", "left")
             .select("order_id", *request,
@@ -173,8 +174,9 @@ class FulfilResult:
     def _applied(self) -> DataFrame:
         if "_applied" not in self._cache:
             found = self._commands.join(self._targets(), self._keys)
-            # Written once: movements, audit and ledger all read it.
-            self._cache["_applied"] = store(apply_quantity_commands(found, self._keys, self._order, settle=True), "applied")
+            # Written once: movements, audit and ledger all read it. The scan
+            # goes on from the join's own partitions, so commands tell the hot lines.
+            self._cache["_applied"] = store(apply_quantity_commands(found, self._keys, self._order, settle=True, sizes=self._commands), "applied")
         return self._cache["_applied"]
 
     def _build_rejects(self) -> DataFrame:
@@ -308,12 +310,14 @@ def produce_orders(mos: DataFrame, components: DataFrame, explicit: DataFrame, p
                  .groupBy("mo_id").agg(F.min("seq").alias("seq")))
     synth = (first_all.join(comp, "mo_id")
              .select(*keys, "seq", F.lit(True).alias("_synth"), F.col("_need").alias("_t"), "_need", "_init"))
-    ev = ex.unionByName(synth)
-    ev = prefix_scan(ev, keys, ["seq", "_synth"], "_t", "max", "_pt", inclusive=False, settle=True)
+    ev = store(ex.unionByName(synth), "events")  # counted once for both scans
+    order = ["seq", "_synth"]
+    sizes = ev
+    ev = prefix_scan(ev, keys, order, "_t", "max", "_pt", inclusive=False, settle=True, sizes=sizes)
     eff = F.when(~F.col("_synth"), F.col("_t")).when(
         (F.coalesce(F.col("_pt"), F.lit(0)) <= 0) & (F.col("_init") == 0), F.col("_need")).otherwise(F.lit(0))
     ev = ev.withColumn("_eff", eff)
-    ev = prefix_scan(ev, keys, ["seq", "_synth"], "_eff", "max", "_pe", inclusive=False, settle=True)
+    ev = prefix_scan(ev, keys, order, "_eff", "max", "_pe", inclusive=False, settle=True, sizes=sizes)
     before = F.greatest(F.col("_init"), F.coalesce(F.col("_pe"), F.col("_init")))
     ev = (ev.withColumn("_before", before)
           .withColumn("_after", F.greatest(F.col("_before"), F.col("_eff")))

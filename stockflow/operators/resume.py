@@ -46,7 +46,7 @@ def ledger_batch(movements: DataFrame, state: DataFrame, order: Sequence[str]) -
     on_time, late = split_late(movements, ["product_id"], order, state)
     on_time = store(on_time, "on_time")
     specs = [(exact("movement_qty"), "sum", "resulting_on_hand")]
-    rows = prefix_scans(on_time, ["product_id"], order, specs, carry=state)
+    rows = prefix_scans(on_time, ["product_id"], order, specs, carry=state, settle=True, sizes=on_time)
     after = scan_carry(on_time, ["product_id"], order, specs, carry=state)
     return LedgerBatch(rows.withColumn("resulting_on_hand", F.col("resulting_on_hand").cast(QTY_SUM)),
                        after.withColumn("resulting_on_hand", exact("resulting_on_hand")), late)
