@@ -29,10 +29,11 @@ CHUNK = 10_000
 
 
 def _chunks(df: DataFrame, key: str, fields: Sequence[Column | str], out: str, present: str | None,
-            distinct: bool, size: int) -> DataFrame:
+            distinct: bool, size: int, every: bool = True) -> DataFrame:
     """(key, chunk_no, out): the children of each key in order, cut into arrays
-    of at most ``size``. Children are numbered by a piecewise scan, so that no
-    task holds all children of a large key. Every key has a chunk 0."""
+    of at most ``size``. Children are numbered by a scan that splits large keys,
+    so that no task holds all children of one. With ``every``, every key of
+    ``df`` has a chunk 0; without, only keys with a child have chunks."""
     child = F.struct(*[F.col(f) if isinstance(f, str) else f for f in fields])
     rows = (df.filter(F.col(present).isNotNull()) if present else df).select(key, child.alias("_child"))
     if distinct:
@@ -40,6 +41,8 @@ def _chunks(df: DataFrame, key: str, fields: Sequence[Column | str], out: str, p
     numbered = prefix_scan(rows, [key], ["_child"], F.lit(1), "sum", "_no", settle=True)
     arrays = (numbered.groupBy(key, F.floor((F.col("_no") - 1) / size).cast("long").alias("chunk_no"))
               .agg(F.sort_array(F.collect_list("_child")).alias(out)))
+    if not every:
+        return arrays
     empty = F.array().cast(arrays.schema[out].dataType)
     some = arrays.withColumnRenamed(key, "_k")
     return (df.select(key).distinct().join(some, F.col(key).eqNullSafe(F.col("_k")), "left")
@@ -70,7 +73,8 @@ def attach_children(headers: DataFrame, key: str, children: DataFrame, child_key
     if flat:
         c = children.select(F.col(child_key).alias(key), *fields)
         return headers.join(c, key, "left")
-    arr = collect_present(children.withColumnRenamed(child_key, key), key, fields, out, present=fields[0], size=size)
+    # Headers without a chunk get an empty one below, so children are read once.
+    arr = _chunks(children.withColumnRenamed(child_key, key), key, fields, out, fields[0], False, size, every=False)
     kind = arr.schema[out].dataType
     if "chunk_no" not in headers.columns:
         joined = headers.join(arr, key, "left").withColumn("chunk_no", F.coalesce("chunk_no", F.lit(0).cast("long")))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from stockflow.operators import resume
+from stockflow.operators import resume, summaries
 from stockflow.operators.changes import number_within
 from stockflow.operators.scan import prefix_scans, scan_carry, split_hot
 
@@ -73,3 +73,14 @@ def test_ledger_batch_leads_with_the_state(spark):
     got = sorted(((r.product_id, r.t, int(r.resulting_on_hand)) for r in done.rows.collect()), key=str)
     assert got == sorted([(1, 1, 15), (1, 2, 13), (2, 1, 4), (None, 1, 4)], key=str)
     assert _final_plan(done.rows).count("Exchange") == 1
+
+
+def test_nested_children_are_read_once(spark, tmp_path):
+    """Headers without children get their empty array without another pass over the children."""
+    rows = [(1, 1, "a"), (1, 2, "b"), (2, None, "c"), (4, 1, "d"), (None, 1, "e")]
+    spark.createDataFrame(rows, "o long, line_seq long, x string").write.parquet(f"{tmp_path}/childrows")
+    headers = spark.createDataFrame([(1,), (2,), (3,), (None,)], "id long")
+    out = summaries.attach_children(headers, "id", spark.read.parquet(f"{tmp_path}/childrows"), "o", "lines", ["line_seq", "x"], False)
+    got = sorted(((r.id, r.chunk_no, [tuple(x) for x in r.lines]) for r in out.collect()), key=str)
+    assert got == sorted([(1, 0, [(1, "a"), (2, "b")]), (2, 0, []), (3, 0, []), (None, 0, [])], key=str)
+    assert "childrows" not in _final_plan(out)
