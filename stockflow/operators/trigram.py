@@ -31,13 +31,21 @@ def grams(text: Column) -> Column:
     return F.when(n > 0, F.array_distinct(cut)).otherwise(F.array().cast("array<string>"))
 
 
+def _postings(df: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
+    """(key, field, gram) of all records."""
+    texts = [F.lower(F.col(f).cast("string")).alias(f"f{i}") for i, f in enumerate(fields)]
+    each = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"f{i}").alias("text")) for i, f in enumerate(fields)])
+    # Records are told apart before they are cut into grams: a key comes once
+    # per gram unless it has several records of different texts.
+    return (df.select(F.col(key).alias("key"), *texts).distinct().select("key", F.explode(each).alias("f")).filter("f.text is not null")
+            .select("key", "f.field", F.explode(grams(F.col("f.text"))).alias("gram")))
+
+
 def build_index(df: DataFrame, key: str, fields: Sequence[str], path: str) -> None:
     """Write the postings (field, gram, key) of ``df`` under ``path``, and how
     long each list is."""
     spark = df.sparkSession
-    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.lower(F.col(f).cast("string")).alias("text")) for f in fields]))
-    rows = (df.select(F.col(key).alias("key"), each.alias("f")).filter("f.text is not null")
-            .select("key", "f.field", F.explode(grams(F.col("f.text"))).alias("gram")).distinct())
+    rows = _postings(df, key, fields)
     order = ["field", "gram", "key"]
     rows.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{path}/postings")
     counts = spark.read.parquet(f"{path}/postings").groupBy("field", "gram").agg(F.count("*").alias("n"))
@@ -62,7 +70,7 @@ def candidates(spark: SparkSession, path: str, term: str) -> DataFrame:
         mine = sorted((r["n"], r["gram"]) for r in found if r["field"] == field)
         if len(mine) == len(asked):  # else no record has them all in this field
             rare = [g for _, g in mine[:LISTS]]
-            hits = postings.filter((F.col("field") == field) & F.col("gram").isin(rare)).groupBy("key").agg(F.count("*").alias("n"))
+            hits = postings.filter((F.col("field") == field) & F.col("gram").isin(rare)).groupBy("key").agg(F.count_distinct("gram").alias("n"))
             keys.append(hits.filter(F.col("n") == len(rare)).select("key"))
     if not keys:
         return postings.select("key").limit(0)
