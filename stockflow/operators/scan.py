@@ -125,7 +125,6 @@ def prefix_scans(df: DataFrame, keys: Sequence[str], order: Sequence[str],
 def _windowed(df: DataFrame, keys: Sequence[str], order: Sequence[str], vals: Sequence[tuple[Column, str, str]], inclusive: bool,
               carry: DataFrame | None) -> DataFrame:
     """The plain window, for keys that one task can hold."""
-    ties = ["_tie"]
     rows = df.withColumn("_tie", F.xxhash64(*df.columns))
     if carry is not None:
         ins = [f"_in{i}" for i in range(len(vals))]
@@ -134,10 +133,12 @@ def _windowed(df: DataFrame, keys: Sequence[str], order: Sequence[str], vals: Se
         rows = rows.unionByName(carry.select(*[known.get(f.name, F.lit(None).cast(f.dataType)).alias(f.name) for f in rows.schema]))
         vals = [(F.col(v), op, out) for v, (_, op, out) in zip(ins, vals)]
         order = ["_lead", *order]
-    w = Window.partitionBy(*keys).orderBy(*order, *ties).rowsBetween(Window.unboundedPreceding, Window.currentRow if inclusive else -1)
+    w = Window.partitionBy(*keys).orderBy(*order, "_tie").rowsBetween(Window.unboundedPreceding, Window.currentRow if inclusive else -1)
     done = rows.withColumns({out: _over(val, op, w) for val, op, out in vals})
     if carry is not None:
-        done = done.filter(F.col("_lead") == 1).drop("_lead", *ins)
+        leads = F.sum(1 - F.col("_lead")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        done = done.withColumn("_leads", leads).filter(F.when(F.col("_leads") <= 1, F.col("_lead") == 1).otherwise(
+            F.raise_error(F.lit("the state of a scan has several rows of one key")).cast("boolean"))).drop("_lead", "_leads", *ins)
     return done.drop("_tie")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from stockflow.operators import resume, summaries
 from stockflow.operators.changes import number_within
 from stockflow.operators.scan import prefix_scans, scan_carry, split_hot
+from stockflow.operators.trigram import _postings, build_index, search_index
 
 SPECS = [("v", "sum", "total"), ("v", "max", "most"), ("v", "min", "least"), ("s", "last", "latest")]
 HOT = [1, 40, 1_000_000]  # all keys hot, one, none
@@ -84,3 +85,20 @@ def test_nested_children_are_read_once(spark, tmp_path):
     got = sorted(((r.id, r.chunk_no, [tuple(x) for x in r.lines]) for r in out.collect()), key=str)
     assert got == sorted([(1, 0, [(1, "a"), (2, "b")]), (2, 0, []), (3, 0, []), (None, 0, [])], key=str)
     assert "childrows" not in _final_plan(out)
+
+
+def test_records_move_before_they_are_cut_into_grams(spark, tmp_path):
+    """Postings follow the only exchange; equal records count once, and records of one key that share grams are found."""
+    df = spark.createDataFrame([(1, "abcd", "x"), (1, "abcd", "x"), (1, "abce", None), (2, "zabc", "abcd")], "id long, name string, note string")
+    text = _final_plan(_postings(df, "id", ["name", "note"]))
+    assert text.count("Exchange") == 1 and text.index("Generate") < text.index("Exchange")
+    build_index(df, "id", ["name", "note"], str(tmp_path))
+    for term, want in (("abcd", [1, 1, 2]), ("abce", [1]), ("zab", [2]), ("x", [1, 1])):
+        assert sorted(r.id for r in search_index(df, str(tmp_path), "id", ["name", "note"], term).collect()) == want, term
+
+
+def test_a_state_with_repeated_keys_fails(spark):
+    df = _rows(spark, 9)
+    carry = scan_carry(df, ["k"], ["seq"], SPECS)
+    with pytest.raises(Exception, match="several rows of one key"):
+        prefix_scans(df, ["k"], ["seq"], SPECS, carry=carry.unionByName(carry), settle=True).collect()
