@@ -1,22 +1,24 @@
 """Language-model scores by a class-based bigram model (Brown clustering).
 
 Word counts and word bigrams are counted over all training texts. An
-exchange clustering of the most frequent words raises the likelihood of the
-class bigrams; less frequent words share classes by frequency band, and all
-words beyond the broadcast tier share one class. A text's probability is the
-product of smoothed class transitions and of words given their class.
-
-Counting, joining and scoring run over the whole corpus on Spark. Bounded by
-parameters are only the broadcast tier (``TIER`` words) and the bigram
-counts of ``CLUSTERED`` words, whose clustering runs on the driver. Words
-beyond the tier get their counts by a join.
+exchange clustering raises the likelihood of the class bigrams: first, on the
+driver, that of the most frequent words, while the others share classes by
+frequency band; then, on Spark, every other training word moves to the class
+that raises it most. The classes of all words are counted anew. A text's
+probability is the product of smoothed class transitions and of words given
+their class.
+
+Counting, joining, moving and scoring run over the whole corpus on Spark.
+Bounded by parameters are only the broadcast tier (``TIER`` words) and the
+bigram counts of ``CLUSTERED`` words, whose clustering runs on the driver.
+Words beyond the tier get their counts and classes by a join.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -170,6 +172,56 @@ def exchange(pairs: np.ndarray, movable: int, classes: int = CLASSES, sweeps: in
     return of
 
 
+def best_classes(by_class: np.ndarray, of: np.ndarray, right: np.ndarray, left: np.ndarray, self_: np.ndarray, into: int) -> np.ndarray:
+    """Of each of many words the class, among the first ``into``, to which its
+    move raises the likelihood of the class bigrams most. Per word: its class,
+    counts of the classes after and before it, and how often it follows itself
+    (not in the former)."""
+    own_class = of[:, None] == np.arange(into)
+    f = lambda x: x * np.log(np.maximum(x, 1e-300))
+    gain = np.zeros((len(of), into))
+    for near, other, table in ((right, left, by_class[:into]), (left, right, by_class[:, :into].T)):
+        i, j = np.nonzero(near)
+        if len(i):
+            n = near[i, j]
+            # Most words are rare: few pairs of a class and a count differ.
+            pairs, which = np.unique(np.stack([j, n]), axis=1, return_inverse=True)
+            rest = table[:, pairs[0].astype(int)].T
+            more = (f(rest + pairs[1][:, None]) - f(rest))[which.ravel()]
+            # Where the word's own class is met, its own counts are not there.
+            own = np.flatnonzero(j == of[i])
+            less = np.where(own_class[i[own]], 0, other[i[own], :into])
+            e, b = np.nonzero(less)
+            rest = table[b, j[own[e]]] - less[e, b]
+            more[own[e], b] = f(rest + n[own[e]]) - f(rest)
+            e = np.flatnonzero(of[i] < into)
+            c = of[i[e]]
+            rest = table[c, j[e]] - n[e] - np.where(j[e] == c, other[i[e], c] + self_[i[e]], 0)
+            more[e, c] = f(rest + n[e]) - f(rest)
+            at, first = np.unique(i, return_index=True)
+            gain[at] += np.add.reduceat(more, first, axis=0)
+    r, l = right[:, :into], left[:, :into]
+    i, b = np.nonzero((r > 0) & (l > 0) | (self_ > 0)[:, None])
+    r, l, s = r[i, b], l[i, b], self_[i]
+    d = by_class[b, b] - np.where(of[i] == b, r + l + s, 0)
+    gain[i, b] += f(d + r + l + s) - f(d + r) - f(d + l) + f(d)
+    mine = np.flatnonzero(of < into)
+    for near, total in ((right, by_class.sum(axis=1)[:into]), (left, by_class.sum(axis=0)[:into])):
+        n = near.sum(axis=1) + self_
+        sizes, which = np.unique(n, return_inverse=True)
+        more = (f(total + sizes[:, None]) - f(total))[which]
+        more[mine, of[mine]] = f(total[of[mine]]) - f(total[of[mine]] - n[mine])
+        gain -= more
+    return np.argmax(gain, axis=1)
+
+
+def _steps(step: np.ndarray) -> np.ndarray:
+    """Smoothed log10 probabilities of a class after a class."""
+    t = len(step)
+    ahead = (step.sum(axis=0) + 1) / (step.sum() + t)  # what a class follows in general
+    return np.log10((step + t * ahead) / (step.sum(axis=1, keepdims=True) + t))
+
+
 @dataclass(frozen=True)
 class Model:
     tier: Tier
@@ -181,6 +233,7 @@ class Model:
     words: int              # V
     beyond_tokens: int
     beyond_words: int
+    pairs: np.ndarray       # counts of neighbouring classes
 
 
 def train(texts: DataFrame, tier_size: int = TIER, clustered: int = CLUSTERED, classes: int = CLASSES) -> tuple[Model, DataFrame]:
@@ -196,32 +249,151 @@ def train(texts: DataFrame, tier_size: int = TIER, clustered: int = CLUSTERED, c
     of = exchange(pairs, tier.clustered, classes)
     step = _by_class(pairs, of)
     t = len(step)
-    ahead = (step.sum(axis=0) + 1) / (step.sum() + t)  # what a class follows in general
-    steps = np.log10((step + t * ahead) / (step.sum(axis=1, keepdims=True) + t))
+    steps = _steps(step)
     word_class = of[tier.state()]
     mass = np.bincount(word_class[:-1], c, t) if len(c) else np.zeros(t)
     emission = np.log10(np.append(c / np.maximum(mass[word_class[:-1]], 1), 1.0))
     base = np.log10(np.append(c + 1, 1) / (n + v + 1))
-    return Model(tier, word_class, steps, emission, base, n, v, n - int(c.sum()), v - len(c)), counts
+    return Model(tier, word_class, steps, emission, base, n, v, n - int(c.sum()), v - len(c), step), counts
 
 
-def _score(batches: Iterator[pd.DataFrame], model: Model) -> Iterator[pd.DataFrame]:
+def neighbours(texts: DataFrame, model: Model) -> DataFrame:
+    """(word, code, n) over all of ``texts`` for every word that ``exchange`` did
+    not move. Of t classes, codes below t are the class after the word, t and
+    more the one before it, and 2 t stands for the word itself after it."""
+    shared = texts.sparkSession.sparkContext.broadcast(model)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tier, classes, t = shared.value.tier, shared.value.classes, len(shared.value.steps)
+        seen: Counter = Counter()
+
+        def told() -> pd.DataFrame:
+            words, codes = zip(*seen.keys())
+            return pd.DataFrame({"word": words, "code": np.array(codes, np.int32), "n": np.fromiter(seen.values(), np.int64, len(seen))})
+
+        for pdf in batches:
+            for text in pdf["text"]:
+                tokens = [END, *tokens_of(text)]
+                at = tier.numbers(tokens)
+                same = at[1:] == at[:-1]
+                for i in np.flatnonzero(same & (at[1:] == len(tier.counts))):
+                    same[i] = tokens[i] == tokens[i + 1]
+                after, before = np.where(same, 2 * t, classes[at[1:]]), t + classes[at[:-1]]
+                rest = at >= tier.clustered
+                i, j = np.flatnonzero(rest[:-1]), np.flatnonzero(rest[1:] & ~same)
+                seen.update(zip([tokens[x] for x in i], after[i].tolist()))
+                seen.update(zip([tokens[x + 1] for x in j], before[j].tolist()))
+                if len(seen) > TASK_WORDS:
+                    yield told()
+                    seen.clear()
+        if seen:
+            yield told()
+
+    # One exchange: rows of a word are together, and so are those of a word and code.
+    return (texts.mapInPandas(count, "word string, code int, n long").repartition("word")
+            .groupBy("word", "code").agg(F.sum("n").alias("n")))
+
+
+def place(texts: DataFrame, model: Model) -> DataFrame:
+    """(word, number, class, n): every training word that ``exchange`` did not
+    move, in that of its classes which raises the likelihood of the class
+    bigrams most, written once. All words move by the same counts, so that
+    none waits for another. The last class is left to words that training
+    lacks. ``number`` is null beyond the tier."""
+    shared = texts.sparkSession.sparkContext.broadcast(model)
+
+    def move(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = shared.value
+        t, beyond = len(model.steps), len(model.tier.counts)
+        into = t - (model.tier.states - model.tier.clustered)  # the bands and what is beyond them empty
+        for pdf in batches:
+            for start in range(0, len(pdf), 200):
+                part = pdf.iloc[start:start + 200]
+                near = np.zeros((len(part), 2 * t + 1))
+                near[np.repeat(np.arange(len(part)), [len(x) for x in part["code"]]), np.concatenate(part["code"].to_list())] = np.concatenate(part["n"].to_list())
+                right, left, self_ = near[:, :t], near[:, t:2 * t], near[:, -1]
+                at = model.tier.numbers(part["word"].to_list())
+                yield pd.DataFrame({"word": part["word"].to_numpy(), "number": pd.array(np.where(at < beyond, at, -1), "Int64"),
+                                    "class": best_classes(model.pairs, model.classes[at], right, left, self_, into),
+                                    "n": (left.sum(axis=1) + self_).astype(np.int64)})
+
+    near = neighbours(texts, model).groupBy("word").agg(F.collect_list(F.struct("code", "n")).alias("near")).select("word", "near.code", "near.n")
+    placed = near.mapInPandas(move, "word string, number long, class int, n long")
+    return store(placed.withColumn("number", F.when(F.col("number") >= 0, F.col("number"))), "placed")
+
+
+def with_placed(model: Model, placed: DataFrame) -> tuple[Model, np.ndarray]:
+    """The model with the classes of ``placed``, but with the steps as before,
+    and the tokens of each class."""
+    t, classes = len(model.steps), model.classes.copy()
+    for r in placed.filter("number IS NOT NULL").select("number", "class").toLocalIterator():  # bounded by the tier
+        classes[r["number"]] = r["class"]
+    c = model.tier.counts
+    mass = np.bincount(classes[:model.tier.clustered], c[:model.tier.clustered], t) if len(c) else np.zeros(t)
+    for r in placed.groupBy("class").agg(F.sum("n").alias("n")).collect():  # one row per class
+        mass[r["class"]] += r["n"]
+    emission = np.log10(np.append(c / np.maximum(mass[classes[:-1]], 1), 1.0))
+    return replace(model, classes=classes, emission=emission, beyond_tokens=0, beyond_words=0), mass
+
+
+def _read(batches: Iterator[pd.DataFrame], model: Model) -> Iterator[pd.DataFrame]:
     """Per text a row of what the tier tells (word null), and a row for each
-    distinct word beyond it."""
+    distinct word beyond it. ``codes`` are the classes of the text's tokens,
+    an end first; the n-th word beyond the tier is -n - 1, its ``n`` how often
+    the text has it."""
     beyond = len(model.tier.counts)
-    end = model.classes[model.tier.number.get(END, beyond)]
     for pdf in batches:
         rows, words = [], []
-        for key, text in zip(pdf[["doc_id", "text_hash"]].itertuples(index=False, name=None), pdf["text"], strict=True):
+        for key, times, text in zip(pdf[["doc_id", "text_hash"]].itertuples(index=False, name=None), pdf["times"], pdf["text"], strict=True):
             tokens = tokens_of(text)
-            at = model.tier.numbers(tokens)
-            cls = np.append(end, model.classes[at])
-            inside = at < beyond
-            score = model.steps[cls[:-1], cls[1:]].sum() + model.emission[at].sum()
-            rows.append((*key, None, len(tokens), int(inside.sum()), float(model.base[at[inside]].sum()), float(score)))
-            rest = Counter(tokens[i] for i in np.flatnonzero(~inside))
-            words += [(*key, w, k, 0, 0.0, 0.0) for w, k in rest.items()]
-        yield pd.DataFrame(rows + words, columns=["doc_id", "text_hash", "word", "n", "known", "base", "score"])
+            at = model.tier.numbers([END, *tokens])
+            codes, out = model.classes[at].astype(np.int32), np.flatnonzero(at == beyond)
+            slots: dict[str, int] = {}
+            codes[out] = [-1 - slots.setdefault(tokens[i - 1] if i else END, len(slots)) for i in out]
+            inside = at[1:][at[1:] < beyond]
+            rows.append((*key, None, int(times), codes.tobytes(), len(tokens), len(inside), float(model.base[inside].sum()), float(model.emission[inside].sum())))
+            rest = Counter(codes[1:][codes[1:] < 0].tolist())
+            words += [(*key, w, i, None, rest[-1 - i], 0, 0.0, 0.0) for w, i in slots.items()]
+        yield pd.DataFrame(rows + words, columns=["doc_id", "text_hash", "word", "at", "codes", "n", "known", "base", "score"])
+
+
+def _resolve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """``codes`` with the classes of the words beyond the tier in them."""
+    for pdf in batches:
+        codes = []
+        for text, at, cls in zip(pdf["codes"], pdf["at"], pdf["class"], strict=True):
+            c = np.frombuffer(text, np.int32)
+            if at is not None and len(at):
+                of = np.zeros(len(at), np.int32)
+                of[at] = cls
+                c = np.where(c < 0, of[np.maximum(-1 - c, 0)], c)
+            codes.append(c.astype(np.int16).tobytes())
+        yield pdf.drop(columns=["at", "class"]).assign(codes=codes)
+
+
+def class_pairs(read: DataFrame, t: int) -> np.ndarray:
+    """Counts of neighbouring classes over the training texts of ``read``."""
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(t * t, np.int64)
+        for pdf in batches:
+            for codes, times in zip(pdf["codes"], pdf["times"], strict=True):
+                c = np.frombuffer(codes, np.int16).astype(np.int64)
+                total += times * np.bincount(c[:-1] * t + c[1:], minlength=t * t)
+        at = np.flatnonzero(total)
+        yield pd.DataFrame({"pair": at, "n": total[at]})
+
+    rows = read.filter("times > 0").select("codes", "times").mapInPandas(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    out = np.zeros(t * t)
+    for r in rows.toLocalIterator():  # at most classes * classes rows
+        out[r["pair"]] = r["n"]
+    return out.reshape(t, t)
+
+
+def _score(batches: Iterator[pd.DataFrame], steps: np.ndarray) -> Iterator[pd.DataFrame]:
+    """The scores of texts: their words given their classes, and the classes' steps."""
+    for pdf in batches:
+        seqs = [np.frombuffer(c, np.int16) for c in pdf["codes"]]
+        yield pdf.drop(columns="codes").assign(score=pdf["score"] + np.array([steps[c[:-1], c[1:]].sum() for c in seqs]))
 
 
 def lm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", **sizes) -> DataFrame:
@@ -236,28 +408,41 @@ def lm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_co
     texts; repeated rows each get their row, and count each where they train.
     Extra columns are ignored.
 
-    Exchange clustering assigns the most frequent words (``CLUSTERED``); words
-    beyond have a class by their frequency, and those beyond the tier
-    (``TIER``) share one.
+    Exchange clustering gives every training word its class: the most frequent
+    (``CLUSTERED``) sweep by sweep, then the others in one distributed sweep.
     """
     rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(id_col).alias("_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"),
                        F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.withColumn("text_hash", F.xxhash64("text"))
-    model, counts = train(rows.filter("NOT held_out").select("text"), **sizes)
+    texts = rows.filter("NOT held_out").select("text")
+    model, _ = train(texts, **sizes)
+    placed = place(texts, model)
+    model, mass = with_placed(model, placed)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    parts = store(rows.select("doc_id", "text_hash", "text").dropDuplicates(["doc_id", "text_hash"]).mapInPandas(
-        lambda b: _score(b, shared.value), "doc_id string, text_hash long, word string, n long, known long, base double, score double"), "scores")
-    # Words beyond the tier: their counts by a join, then one row per text.
     key = ["doc_id", "text_hash"]
-    rare = parts.filter("word IS NOT NULL").select(*key, "word", F.col("n").alias("k")).join(
-        counts.select("word", F.col("n").alias("c")), "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    logs = F.col("k") * F.log10((F.col("c") + 1).cast("double"))
-    rare = rare.select(*key, F.lit(0).cast("long").alias("n"), F.when(F.col("c") > 0, F.col("k")).otherwise(0).cast("long").alias("known"),
-                       (logs - F.col("k") * F.lit(float(np.log10(model.tokens + model.words + 1)))).alias("base"),
-                       (logs - F.col("k") * F.lit(float(np.log10(model.beyond_tokens + model.beyond_words + 1)))).alias("score"))
-    whole = parts.filter("word IS NULL").select(*key, "n", "known", "base", "score").union(rare).groupBy(*key).agg(
-        F.sum("n").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score"))
-    whole = whole.select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), "n_tokens", "n_known", "base_score", "score")
+    once = rows.groupBy(*key).agg(F.first("text").alias("text"), F.count_if(~F.col("held_out")).alias("times"))
+    parts = store(once.mapInPandas(lambda b: _read(b, shared.value), "doc_id string, text_hash long, word string, at int, codes binary, n long, "
+                                   "known long, base double, score double"), "parts")
+    # Words beyond the tier: their counts and classes by a join, then one row per text.
+    last, k = len(mass) - 1, F.col("n")
+    rare = parts.filter("word IS NOT NULL").select(*key, "word", "at", "n").join(
+        placed.filter("number IS NULL").select("word", "class", F.col("n").alias("c")), "word", "left")
+    c, masses = F.coalesce("c", F.lit(0)), F.array(*[F.lit(float(x)) for x in np.log10(np.maximum(mass, 1))])
+    rare = rare.select(*key, F.struct("at", F.coalesce("class", F.lit(last)).alias("class")).alias("word"), F.when(c > 0, k).otherwise(0).alias("known"),
+                       (k * F.log10((c + 1).cast("double")) - k * F.lit(float(np.log10(model.tokens + model.words + 1)))).alias("base"),
+                       F.when(c > 0, k * (F.log10(c.cast("double")) - F.element_at(masses, F.col("class") + 1))).otherwise(0.0).alias("score"))
+    rare = rare.groupBy(*key).agg(F.collect_list("word").alias("words"), F.sum("known").alias("known_"), F.sum("base").alias("base_"), F.sum("score").alias("score_"))
+    rare = rare.select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), "words", "known_", "base_", "score_")
+    known = parts.filter("word IS NULL").drop("word").withColumnRenamed("at", "times")
+    added = lambda col, of: (F.col(col) + F.coalesce(of, F.lit(0))).alias(col)
+    met = known.join(rare, known["doc_id"].eqNullSafe(rare["_doc"]) & (known["text_hash"] == rare["_hash"]), "left")
+    met = met.select(*key, "times", "codes", "n", added("known", "known_"), added("base", "base_"), added("score", "score_"),
+                     F.col("words.at").alias("at"), F.col("words.class").alias("class"))
+    read = store(met.mapInPandas(_resolve, "doc_id string, text_hash long, times int, codes binary, n long, known long, base double, score double"), "read")
+    steps = docs.sparkSession.sparkContext.broadcast(_steps(class_pairs(read, len(mass))))
+    whole = read.drop("times").mapInPandas(lambda b: _score(b, steps.value), "doc_id string, text_hash long, n long, known long, base double, score double")
+    whole = whole.select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), F.col("n").alias("n_tokens"), F.col("known").alias("n_known"),
+                         F.col("base").alias("base_score"), "score")
     out = rows.join(whole, rows["doc_id"].eqNullSafe(whole["_doc"]) & (rows["text_hash"] == whole["_hash"]))
     return out.select(F.col("_id").alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"),
                       "base_score", "score")

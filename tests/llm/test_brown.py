@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stockflow.llm.brown import END, exchange, lm_scores, tokens_of
+from stockflow.llm.brown import END, best_classes, exchange, lm_scores, place, tokens_of, train
 from stockflow.llm.common import crc_mod
 from tests.llm.util import empty_docs, odd_docs, sf_docs
 
@@ -79,3 +79,36 @@ def test_class_bigrams_beat_unigrams_on_held_out(spark):
     rows = [(i, " ".join(words[(i + j) % 3][rng.integers(0, 40)] for j in range(60))) for i in range(300)]
     got = lm_scores(spark.createDataFrame(rows, "doc_id long, text string"), crc_mod(F.col("doc_id"), 7) == 2, classes=12).filter("held_out").collect()
     assert sum(r.score for r in got) > 0.85 * sum(r.base_score for r in got)
+
+
+def test_moves_raise_the_likelihood_most():
+    """Against the likelihood of the class bigrams after each possible move."""
+    rng = np.random.default_rng(4)
+    pairs = rng.integers(0, 4, (9, 9)) * rng.integers(0, 2, (9, 9))
+    of = np.array([0, 1, 2, 3, 0, 1, 2, 3, 4])
+    by = lambda of: np.array([[pairs[np.ix_(of == a, of == b)].sum() for b in range(5)] for a in range(5)], float)
+    f = lambda x: (x * np.log(np.maximum(x, 1e-300))).sum()
+    words = np.arange(9)
+    near = [np.stack([m[words, :][:, of == b].sum(axis=1) - np.where(of == b, pairs.diagonal(), 0) for b in range(5)], 1).astype(float) for m in (pairs, pairs.T)]
+    got = best_classes(by(of), of, *near, pairs.diagonal().astype(float), 4)
+    for w in words:
+        gains = [f(m) - f(m.sum(axis=0)) - f(m.sum(axis=1)) for m in (by(np.where(words == w, b, of)) for b in range(4))]
+        assert gains[got[w]] > max(gains) - 1e-9
+
+
+@pytest.mark.parametrize("tier", [40, 1000])
+def test_words_beyond_the_clustered_get_their_class(spark, tier):
+    """Few words are clustered on the driver; the others join those of their kind."""
+    rng = np.random.default_rng(5)
+    odds = np.array([10.0] * 8 + [1.0] * 60)
+    rows = [(i, " ".join(f"{'xyz'[(i + j) % 3]}{rng.choice(68, p=odds / odds.sum())}" for j in range(60))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model, counts = train(docs.select("text"), tier_size=tier, clustered=22, classes=4)
+    placed = {r["word"]: r for r in place(docs.select("text"), model).collect()}
+    clustered = {w for w, i in model.tier.number.items() if i < 22}
+    assert {w: r["n"] for w, r in placed.items()} | {w: int(model.tier.counts[model.tier.number[w]]) for w in clustered} == {r.word: r.n for r in counts.collect()}
+    for c in range(4):
+        kinds = collections.Counter(w[0] for w, r in placed.items() if r["class"] == c and w != END)
+        assert not kinds or kinds.most_common(1)[0][1] > 0.9 * sum(kinds.values())
+    got = lm_scores(docs, crc_mod(F.col("doc_id"), 7) == 2, tier_size=tier, clustered=22, classes=4).filter("held_out").collect()
+    assert sum(r.score for r in got) > 0.85 * sum(r.base_score for r in got)
