@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from stockflow.operators import deletes
 from stockflow.operators.deletes import delete_outcomes
 from stockflow.operators.reach import reached
 from stockflow.operators.supply import supply_components, supply_plan
@@ -150,3 +151,32 @@ def test_no_demand(spark):
     d, p, c = supply_frames(spark, {1: 1}, {1: (0, True, "Purchase", None)}, {1: [(2, 1)]})
     plan, cycles = supply_plan(d.limit(0), p, c)
     assert plan.count() == 0 and cycles.count() == 0
+
+
+def test_tables_that_cannot_stay_take_no_part_in_the_rounds(spark, monkeypatch):
+    """Nothing refers to the ledger: its going rows hold nothing, its others one row per product."""
+    sizes = {}
+    real = deletes.store
+
+    def counted(df, tag):
+        out = real(df, tag)
+        sizes[tag] = sizes.get(tag, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(deletes, "store", counted)
+    tables = {"products": spark.createDataFrame([(i,) for i in range(5)], "id long"),
+              "ledger": spark.createDataFrame([(i, i % 5) for i in range(200)] + [(None, 3), (7, 2), (7, 1)], "id long, product_id long")}
+    asked = {"products": tables["products"], "ledger": tables["ledger"].filter("id >= 10 or id in (1, 7)")}
+    got = {(r.table_name, r.key): (r.outcome, r.blocked_by)
+           for r in deletes.delete_outcomes(tables, asked, [], [("ledger", "product_id", "products")]).collect()}
+    held = {str(i) for i in range(5)}  # ids 0 to 9 but 1 and 7, and the row without an id, refer to all
+    assert {k: v for (t, k), v in got.items() if t == "products"} == {k: ("refused", "ledger.product_id") for k in held}
+    assert {k: v for (t, k), v in got.items() if t == "ledger"} == {str(i): ("deleted", None) for i in [1, 7, *range(10, 200)]}
+    assert sizes["references"] == 5 and sizes["spread"] == 0
+
+
+def test_tables_whose_rows_may_stay():
+    restrict, cascade = [("a", "x", "b"), ("b", "y", "c")], [("d", "z", "b"), ("e", "z", "a"), ("f", "z", "e")]
+    assert deletes.staying_tables(restrict, cascade) == {"b", "c", "d"}
+    assert deletes.longest_path(cascade, ["a"]) == 2 and deletes.longest_path(cascade, ["c"]) == 0
+    assert deletes.longest_path([("a", "up", "a")], ["a"]) is None
