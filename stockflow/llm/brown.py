@@ -9,7 +9,8 @@ probability is the product of smoothed class transitions and of words given
 their class.
 
 Counting, joining, moving and scoring run over the whole corpus on Spark.
-Bounded by parameters are only the broadcast tier (``TIER`` words) and the
+Texts are split twice: to count their words, and to write them as word numbers,
+from which everything else is read. Bounded by parameters are only the broadcast tier (``TIER`` words) and the
 bigram counts of ``CLUSTERED`` words, whose clustering runs on the driver.
 Words beyond the tier get their counts and classes by a join.
 """
@@ -19,6 +20,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -32,13 +34,21 @@ CLASSES = 64
 BANDS = (5_000, 15_000, 50_000)  # ranks at which further classes begin
 TIER = 150_000         # words whose counts and classes every task holds
 SWEEPS = 8
-TASK_WORDS = 200_000   # distinct words that a task counts before it reports them
+TASK_WORDS = 500_000   # distinct words that a task counts before it reports them
+TASK_TOKENS = 2_000_000  # tokens whose neighbours a task counts before it reports them
+ALIKE = 4              # neighbouring classes of a word, at most, whose class is looked up among those of words alike
+TASK_ENTRIES = 10_000  # neighbouring classes of the words that are moved at a time
 END = "\n"             # the end token; no word holds a line break
+_MORE_BLANKS = "\x1c\x1d\x1e\x1f"  # what else ``str.split`` takes for blanks in ASCII texts
 
 
 def tokens_of(text: str | None) -> list[str]:
     """Blank-delimited words after lower-casing A-Z, then the end token."""
-    words = [w.decode() for w in (text or "").encode().lower().split()]
+    text = text or ""
+    if text.isascii() and not any(c in text for c in _MORE_BLANKS):
+        words = text.lower().split()
+    else:
+        words = [w.decode() for w in text.encode().lower().split()]
     words.append(END)
     return words
 
@@ -85,28 +95,66 @@ class Tier:
         return np.append(np.where(n < self.clustered, n, band), self.states - 1)
 
     def numbers(self, tokens: list[str]) -> np.ndarray:
-        get, beyond = self.number.get, len(self.counts)
-        return np.fromiter((get(t, beyond) for t in tokens), np.int64, len(tokens))
+        return np.fromiter(map(self.number.get, tokens, repeat(len(self.counts))), np.int64, len(tokens))
+
+
+def coded(texts: DataFrame, tier: Tier) -> DataFrame:
+    """``texts`` (text, further columns) with, instead of the text, its word
+    ``numbers`` (int32), an end before the first, and its distinct ``words``
+    beyond the tier, of which the n-th has the number -n - 1."""
+    shared = texts.sparkSession.sparkContext.broadcast(tier)
+
+    def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tier = shared.value
+        beyond = len(tier.counts)
+        for pdf in batches:
+            numbers, words = [], []
+            for text in pdf["text"]:
+                tokens = [END, *tokens_of(text)]
+                at = tier.numbers(tokens).astype(np.int32)
+                slots: dict[str, int] = {}
+                out = np.flatnonzero(at == beyond)
+                at[out] = [-1 - slots.setdefault(tokens[i], len(slots)) for i in out.tolist()]
+                numbers.append(at.tobytes())
+                words.append(list(slots))
+            yield pdf.drop(columns="text").assign(numbers=numbers, words=words)
+
+    kept = [f"{f.name} {f.dataType.simpleString()}" for f in texts.drop("text").schema]
+    return texts.mapInPandas(code, ", ".join([*kept, "numbers binary", "words array<string>"]))
+
+
+@dataclass(frozen=True)
+class Pairs:
+    """Neighbouring tokens of many coded texts, and how often each pair counts."""
+
+    numbers: np.ndarray  # all texts' word numbers, one text after the other
+    texts: np.ndarray    # the text of each
+    first: np.ndarray    # where the first word of a pair stands
+    times: np.ndarray    # of each pair
+
+
+def _pairs(numbers: list[bytes], times: np.ndarray) -> Pairs:
+    lens = np.array([len(x) // 4 for x in numbers], np.int64)
+    texts = np.repeat(np.arange(len(lens)), lens)
+    first = np.flatnonzero(texts[:-1] == texts[1:])
+    return Pairs(np.frombuffer(b"".join(numbers), np.int32), texts, first, times[texts[first]])
 
 
 def bigrams(texts: DataFrame, tier: Tier) -> np.ndarray:
-    """Counts of neighbouring states over all of ``texts``; an end token comes
-    before each text's first."""
+    """Counts of neighbouring states over all of ``texts`` (coded, times)."""
     shared = texts.sparkSession.sparkContext.broadcast(tier)
     k = tier.states
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tier = shared.value
-        state, total = tier.state(), np.zeros(k * k, np.int64)
-        end = state[tier.number.get(END, len(tier.counts))]
+        state, total = shared.value.state(), np.zeros(k * k, np.int64)
         for pdf in batches:
-            for text in pdf["text"]:
-                s = np.append(end, state[tier.numbers(tokens_of(text))])
-                np.add.at(total, s[:-1] * k + s[1:], 1)
+            p = _pairs(pdf["numbers"].to_list(), pdf["times"].to_numpy())
+            s = state[np.where(p.numbers < 0, len(state) - 1, p.numbers)]
+            np.add.at(total, s[p.first] * k + s[p.first + 1], p.times)
         at = np.flatnonzero(total)
         yield pd.DataFrame({"pair": at, "n": total[at]})
 
-    rows = texts.mapInPandas(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    rows = texts.select("numbers", "times").mapInPandas(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
 
     def dense(pdf: pd.DataFrame) -> pd.DataFrame:
         row = np.zeros(k, np.int64)
@@ -185,9 +233,9 @@ def best_classes(by_class: np.ndarray, of: np.ndarray, right: np.ndarray, left:
         if len(i):
             n = near[i, j]
             # Most words are rare: few pairs of a class and a count differ.
-            pairs, which = np.unique(np.stack([j, n]), axis=1, return_inverse=True)
-            rest = table[:, pairs[0].astype(int)].T
-            more = (f(rest + pairs[1][:, None]) - f(rest))[which.ravel()]
+            pairs, which = np.unique(n.astype(np.int64) * near.shape[1] + j, return_inverse=True)
+            rest = table[:, pairs % near.shape[1]].T
+            more = (f(rest + (pairs // near.shape[1])[:, None]) - f(rest))[which]
             # Where the word's own class is met, its own counts are not there.
             own = np.flatnonzero(j == of[i])
             less = np.where(own_class[i[own]], 0, other[i[own], :into])
@@ -236,15 +284,19 @@ class Model:
     pairs: np.ndarray       # counts of neighbouring classes
 
 
-def train(texts: DataFrame, tier_size: int = TIER, clustered: int = CLUSTERED, classes: int = CLASSES) -> tuple[Model, DataFrame]:
-    """The model of ``texts`` (text), and the word counts of all of them."""
+def vocabulary(texts: DataFrame, tier_size: int = TIER, clustered: int = CLUSTERED) -> tuple[Tier, DataFrame, int, int]:
+    """The tier of ``texts`` (text), the word counts of all of them, N and V."""
     counts = word_counts(texts)
     total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
-    n, v = int(total.n or 0), int(total.v)
     top = pd.DataFrame(most_frequent(counts, tier_size).select("word", "n").toLocalIterator(), columns=["word", "n"])  # bounded
     top = top.sort_values(["n", "word"], ascending=[False, True], ignore_index=True)
     c = top["n"].to_numpy(np.int64)
-    tier = Tier({w: i for i, w in enumerate(top["word"])}, c, min(clustered, len(c)))
+    return Tier({w: i for i, w in enumerate(top["word"])}, c, min(clustered, len(c))), counts, int(total.n or 0), int(total.v)
+
+
+def fit(texts: DataFrame, tier: Tier, n: int, v: int, classes: int = CLASSES) -> Model:
+    """The model of ``texts`` (coded, times), of ``n`` tokens and ``v`` words."""
+    c = tier.counts
     pairs = bigrams(texts, tier)
     of = exchange(pairs, tier.clustered, classes)
     step = _by_class(pairs, of)
@@ -254,70 +306,133 @@ def train(texts: DataFrame, tier_size: int = TIER, clustered: int = CLUSTERED, c
     mass = np.bincount(word_class[:-1], c, t) if len(c) else np.zeros(t)
     emission = np.log10(np.append(c / np.maximum(mass[word_class[:-1]], 1), 1.0))
     base = np.log10(np.append(c + 1, 1) / (n + v + 1))
-    return Model(tier, word_class, steps, emission, base, n, v, n - int(c.sum()), v - len(c), step), counts
+    return Model(tier, word_class, steps, emission, base, n, v, n - int(c.sum()), v - len(c), step)
+
+
+def train(texts: DataFrame, tier_size: int = TIER, clustered: int = CLUSTERED, classes: int = CLASSES) -> tuple[Model, DataFrame]:
+    """The model of ``texts`` (text), and the word counts of all of them."""
+    tier, counts, n, v = vocabulary(texts, tier_size, clustered)
+    return fit(coded(texts.select("text", F.lit(1).alias("times")), tier), tier, n, v, classes), counts
 
 
 def neighbours(texts: DataFrame, model: Model) -> DataFrame:
-    """(word, code, n) over all of ``texts`` for every word that ``exchange`` did
-    not move. Of t classes, codes below t are the class after the word, t and
-    more the one before it, and 2 t stands for the word itself after it."""
+    """(word, near) over all of ``texts`` (coded, times) for every word that
+    ``exchange`` did not move, several rows a word. ``near`` are int64 of a code
+    plus its count times 2 t + 1. Of t classes, codes below t are the class after
+    the word, t and more the one before it, and 2 t stands for the word itself
+    after it."""
     shared = texts.sparkSession.sparkContext.broadcast(model)
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def told(numbers: list[bytes], words: list[np.ndarray], times: np.ndarray) -> pd.DataFrame:
         tier, classes, t = shared.value.tier, shared.value.classes, len(shared.value.steps)
-        seen: Counter = Counter()
-
-        def told() -> pd.DataFrame:
-            words, codes = zip(*seen.keys())
-            return pd.DataFrame({"word": words, "code": np.array(codes, np.int32), "n": np.fromiter(seen.values(), np.int64, len(seen))})
+        beyond, width = len(tier.counts), 2 * t + 1
+        p = _pairs(numbers, times)
+        out = np.flatnonzero(p.numbers < 0)
+        starts = np.cumsum([0, *[len(w) for w in words]])
+        of_slot, rare = pd.factorize(np.concatenate(words))
+        at = p.numbers.astype(np.int64)
+        cls = classes[np.where(at < 0, beyond, at)]
+        at[out] = beyond + of_slot[starts[p.texts[out]] - 1 - at[out]]
+        a, b = at[p.first], at[p.first + 1]
+        same = a == b
+        left, right = a >= tier.clustered, (b >= tier.clustered) & ~same
+        after, before = np.where(same, 2 * t, cls[p.first + 1]), t + cls[p.first]
+        keys = np.concatenate([(a * width + after)[left], (b * width + before)[right]])
+        by_key = np.argsort(keys, kind="stable")
+        keys, n = keys[by_key], np.concatenate([p.times[left], p.times[right]])[by_key]
+        new = np.flatnonzero(np.diff(keys, prepend=-1))
+        if not len(new):
+            return pd.DataFrame({"word": [], "near": []}, dtype=object)
+        n, keys = np.add.reduceat(n, new), keys[new]
+        word, near = keys // width, (n * width + keys % width).tobytes()
+        ends = [*(np.flatnonzero(np.diff(word)) + 1).tolist(), len(word)]
+        names = [*tier.number, *rare]  # numbered in this order
+        return pd.DataFrame({"word": [names[word[e - 1]] for e in ends], "near": [near[8 * i:8 * j] for i, j in zip([0, *ends[:-1]], ends, strict=True)]})
 
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        numbers, words, times, size = [], [], [], 0
         for pdf in batches:
-            for text in pdf["text"]:
-                tokens = [END, *tokens_of(text)]
-                at = tier.numbers(tokens)
-                same = at[1:] == at[:-1]
-                for i in np.flatnonzero(same & (at[1:] == len(tier.counts))):
-                    same[i] = tokens[i] == tokens[i + 1]
-                after, before = np.where(same, 2 * t, classes[at[1:]]), t + classes[at[:-1]]
-                rest = at >= tier.clustered
-                i, j = np.flatnonzero(rest[:-1]), np.flatnonzero(rest[1:] & ~same)
-                seen.update(zip([tokens[x] for x in i], after[i].tolist()))
-                seen.update(zip([tokens[x + 1] for x in j], before[j].tolist()))
-                if len(seen) > TASK_WORDS:
-                    yield told()
-                    seen.clear()
-        if seen:
-            yield told()
-
-    # One exchange: rows of a word are together, and so are those of a word and code.
-    return (texts.mapInPandas(count, "word string, code int, n long").repartition("word")
-            .groupBy("word", "code").agg(F.sum("n").alias("n")))
+            numbers += pdf["numbers"].to_list()
+            words += pdf["words"].to_list()
+            times.append(pdf["times"].to_numpy(np.int64))
+            size += sum(map(len, pdf["numbers"])) // 4
+            if size > TASK_TOKENS:
+                yield told(numbers, words, np.concatenate(times))
+                numbers, words, times, size = [], [], [], 0
+        if numbers:
+            yield told(numbers, words, np.concatenate(times))
+
+    return texts.select("numbers", "words", "times").mapInPandas(count, "word string, near binary")
+
+
+def _whole_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows of ``batches``, which are in the order of words, in frames that
+    have all rows of each of their words."""
+    rest = None
+    for pdf in batches:
+        pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+        words = pdf["word"].to_numpy()
+        ended = np.flatnonzero(words != words[-1:])
+        cut = ended[-1] + 1 if len(ended) else 0
+        if cut:
+            yield pdf.iloc[:cut]
+        rest = pdf.iloc[cut:]
+    if rest is not None and len(rest):
+        yield rest
 
 
 def place(texts: DataFrame, model: Model) -> DataFrame:
-    """(word, number, class, n): every training word that ``exchange`` did not
-    move, in that of its classes which raises the likelihood of the class
-    bigrams most, written once. All words move by the same counts, so that
-    none waits for another. The last class is left to words that training
-    lacks. ``number`` is null beyond the tier."""
+    """``place_coded`` of ``texts`` (text)."""
+    return place_coded(coded(texts.select("text", F.lit(1).alias("times")), model.tier), model)
+
+
+def place_coded(texts: DataFrame, model: Model) -> DataFrame:
+    """(word, number, class, n) of ``texts`` (coded, times): every training word
+    that ``exchange`` did not move, in that of its classes which raises the
+    likelihood of the class bigrams most, written once. All words move by the
+    same counts, so that none waits for another. The last class is left to words
+    that training lacks. ``number`` is null beyond the tier."""
     shared = texts.sparkSession.sparkContext.broadcast(model)
 
     def move(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = shared.value
         t, beyond = len(model.steps), len(model.tier.counts)
-        into = t - (model.tier.states - model.tier.clustered)  # the bands and what is beyond them empty
-        for pdf in batches:
-            for start in range(0, len(pdf), 200):
-                part = pdf.iloc[start:start + 200]
-                near = np.zeros((len(part), 2 * t + 1))
-                near[np.repeat(np.arange(len(part)), [len(x) for x in part["code"]]), np.concatenate(part["code"].to_list())] = np.concatenate(part["n"].to_list())
+        width, into = 2 * t + 1, t - (model.tier.states - model.tier.clustered)  # the bands and what is beyond them empty
+        # Most words are rare, and words beyond the tier with the same neighbours
+        # (told in one row) go to the same class: it is found once in a task.
+        met: dict[bytes, int] = {}
+        for pdf in _whole_words(batches):
+            words, rows = pdf["word"].to_numpy(), pdf["near"].to_numpy()
+            starts = np.flatnonzero(np.append(True, words[1:] != words[:-1]))
+            words, ends = words[starts], np.append(starts[1:], len(rows))
+            at = model.tier.numbers(words)
+            alike = [rows[i] if x == beyond and j == i + 1 and len(rows[i]) <= ALIKE * 8 else None for i, j, x in zip(starts, ends, at, strict=True)]
+            best = np.array([-1 if x is None else met.get(x, -1) for x in alike])
+            first: dict[bytes, int] = {}
+            for i in np.flatnonzero(best < 0).tolist():
+                first.setdefault(i if alike[i] is None else alike[i], i)
+            todo = np.array(list(first.values()), np.int64)
+            blobs = [rows[i] if j == i + 1 else b"".join(rows[i:j]) for i, j in zip(starts[todo], ends[todo], strict=True)]
+            upto = np.cumsum([0, *[len(x) // 8 for x in blobs]])
+            start = 0
+            while start < len(todo):
+                end = max(start + 1, int(np.searchsorted(upto, upto[start] + TASK_ENTRIES, side="right")) - 1)
+                near = np.zeros((end - start, width))
+                entries = np.frombuffer(b"".join(blobs[start:end]), np.int64)
+                np.add.at(near, (np.repeat(np.arange(end - start), np.diff(upto[start:end + 1])), entries % width), entries // width)
                 right, left, self_ = near[:, :t], near[:, t:2 * t], near[:, -1]
-                at = model.tier.numbers(part["word"].to_list())
-                yield pd.DataFrame({"word": part["word"].to_numpy(), "number": pd.array(np.where(at < beyond, at, -1), "Int64"),
-                                    "class": best_classes(model.pairs, model.classes[at], right, left, self_, into),
-                                    "n": (left.sum(axis=1) + self_).astype(np.int64)})
-
-    near = neighbours(texts, model).groupBy("word").agg(F.collect_list(F.struct("code", "n")).alias("near")).select("word", "near.code", "near.n")
+                best[todo[start:end]] = best_classes(model.pairs, model.classes[at[todo[start:end]]], right, left, self_, into)
+                start = end
+            met |= {alike[i]: best[i] for i in todo.tolist() if alike[i] is not None}
+            best = np.array([b if x is None else met[x] for x, b in zip(alike, best, strict=True)], np.int32)
+            entries, sizes = np.frombuffer(b"".join(rows), np.int64), np.cumsum([0, *map(len, rows)]) // 8
+            comes = np.append(0, np.cumsum(np.where(entries % width >= t, entries // width, 0)))  # all but the classes after a word
+            yield pd.DataFrame({"word": words, "number": pd.array(np.where(at < beyond, at, -1), "Int64"), "class": best,
+                                "n": comes[sizes[ends]] - comes[sizes[starts]]})
+            if len(met) > TASK_WORDS:
+                met.clear()
+
+    near = neighbours(texts, model).repartition("word").sortWithinPartitions("word")
     placed = near.mapInPandas(move, "word string, number long, class int, n long")
     return store(placed.withColumn("number", F.when(F.col("number") >= 0, F.col("number"))), "placed")
 
@@ -336,39 +451,30 @@ def with_placed(model: Model, placed: DataFrame) -> tuple[Model, np.ndarray]:
     return replace(model, classes=classes, emission=emission, beyond_tokens=0, beyond_words=0), mass
 
 
-def _read(batches: Iterator[pd.DataFrame], model: Model) -> Iterator[pd.DataFrame]:
-    """Per text a row of what the tier tells (word null), and a row for each
-    distinct word beyond it. ``codes`` are the classes of the text's tokens,
-    an end first; the n-th word beyond the tier is -n - 1, its ``n`` how often
-    the text has it."""
-    beyond = len(model.tier.counts)
+def _read(batches: Iterator[pd.DataFrame], model: Model, mass: np.ndarray) -> Iterator[pd.DataFrame]:
+    """Per coded text the classes of its tokens, an end first, and what is told
+    of its words: n, known, base, score. ``at``, ``class`` and ``c`` tell the
+    classes and counts of its words beyond the tier that training has."""
+    unknown, unseen = len(mass) - 1, np.log10(model.tokens + model.words + 1)
+    masses = np.log10(np.maximum(mass, 1))
     for pdf in batches:
-        rows, words = [], []
-        for key, times, text in zip(pdf[["doc_id", "text_hash"]].itertuples(index=False, name=None), pdf["times"], pdf["text"], strict=True):
-            tokens = tokens_of(text)
-            at = model.tier.numbers([END, *tokens])
-            codes, out = model.classes[at].astype(np.int32), np.flatnonzero(at == beyond)
-            slots: dict[str, int] = {}
-            codes[out] = [-1 - slots.setdefault(tokens[i - 1] if i else END, len(slots)) for i in out]
-            inside = at[1:][at[1:] < beyond]
-            rows.append((*key, None, int(times), codes.tobytes(), len(tokens), len(inside), float(model.base[inside].sum()), float(model.emission[inside].sum())))
-            rest = Counter(codes[1:][codes[1:] < 0].tolist())
-            words += [(*key, w, i, None, rest[-1 - i], 0, 0.0, 0.0) for w, i in slots.items()]
-        yield pd.DataFrame(rows + words, columns=["doc_id", "text_hash", "word", "at", "codes", "n", "known", "base", "score"])
-
-
-def _resolve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """``codes`` with the classes of the words beyond the tier in them."""
-    for pdf in batches:
-        codes = []
-        for text, at, cls in zip(pdf["codes"], pdf["at"], pdf["class"], strict=True):
-            c = np.frombuffer(text, np.int32)
-            if at is not None and len(at):
-                of = np.zeros(len(at), np.int32)
-                of[at] = cls
-                c = np.where(c < 0, of[np.maximum(-1 - c, 0)], c)
-            codes.append(c.astype(np.int16).tobytes())
-        yield pdf.drop(columns=["at", "class"]).assign(codes=codes)
+        rows = []
+        for text, words, at, cls, count in zip(pdf["numbers"], pdf["words"], pdf["at"], pdf["class"], pdf["c"], strict=True):
+            numbers = np.frombuffer(text, np.int32)
+            of, c = np.full(words, unknown), np.zeros(words, np.int64)
+            if at is not None:
+                of[at], c[at] = cls, count
+            out = numbers < 0
+            codes = np.empty(len(numbers), np.int16)
+            codes[~out] = model.classes[numbers[~out]]
+            codes[out] = of[-1 - numbers[out]]
+            inside, times = numbers[1:][~out[1:]], np.bincount(-1 - numbers[1:][out[1:]], minlength=words)
+            seen = c > 0
+            base = model.base[inside].sum() + (times * (np.log10(c + 1) - unseen)).sum()
+            score = model.emission[inside].sum() + (times[seen] * (np.log10(c[seen]) - masses[of[seen]])).sum()
+            rows.append((codes.tobytes(), len(numbers) - 1, len(inside) + int(times[seen].sum()), float(base), float(score)))
+        out = pd.DataFrame(rows, columns=["codes", "n", "known", "base", "score"])
+        yield pd.concat([pdf[["doc_id", "text_hash", "times"]].reset_index(drop=True), out], axis=1)
 
 
 def class_pairs(read: DataFrame, t: int) -> np.ndarray:
@@ -396,7 +502,8 @@ def _score(batches: Iterator[pd.DataFrame], steps: np.ndarray) -> Iterator[pd.Da
         yield pdf.drop(columns="codes").assign(score=pdf["score"] + np.array([steps[c[:-1], c[1:]].sum() for c in seqs]))
 
 
-def lm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", **sizes) -> DataFrame:
+def lm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text",
+              tier_size: int = TIER, clustered: int = CLUSTERED, classes: int = CLASSES) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, n_tokens, n_known,
     train_tokens, base_score, score.
 
@@ -415,30 +522,24 @@ def lm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_co
                        F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.withColumn("text_hash", F.xxhash64("text"))
     texts = rows.filter("NOT held_out").select("text")
-    model, _ = train(texts, **sizes)
-    placed = place(texts, model)
-    model, mass = with_placed(model, placed)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
     key = ["doc_id", "text_hash"]
     once = rows.groupBy(*key).agg(F.first("text").alias("text"), F.count_if(~F.col("held_out")).alias("times"))
-    parts = store(once.mapInPandas(lambda b: _read(b, shared.value), "doc_id string, text_hash long, word string, at int, codes binary, n long, "
-                                   "known long, base double, score double"), "parts")
-    # Words beyond the tier: their counts and classes by a join, then one row per text.
-    last, k = len(mass) - 1, F.col("n")
-    rare = parts.filter("word IS NOT NULL").select(*key, "word", "at", "n").join(
-        placed.filter("number IS NULL").select("word", "class", F.col("n").alias("c")), "word", "left")
-    c, masses = F.coalesce("c", F.lit(0)), F.array(*[F.lit(float(x)) for x in np.log10(np.maximum(mass, 1))])
-    rare = rare.select(*key, F.struct("at", F.coalesce("class", F.lit(last)).alias("class")).alias("word"), F.when(c > 0, k).otherwise(0).alias("known"),
-                       (k * F.log10((c + 1).cast("double")) - k * F.lit(float(np.log10(model.tokens + model.words + 1)))).alias("base"),
-                       F.when(c > 0, k * (F.log10(c.cast("double")) - F.element_at(masses, F.col("class") + 1))).otherwise(0.0).alias("score"))
-    rare = rare.groupBy(*key).agg(F.collect_list("word").alias("words"), F.sum("known").alias("known_"), F.sum("base").alias("base_"), F.sum("score").alias("score_"))
-    rare = rare.select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), "words", "known_", "base_", "score_")
-    known = parts.filter("word IS NULL").drop("word").withColumnRenamed("at", "times")
-    added = lambda col, of: (F.col(col) + F.coalesce(of, F.lit(0))).alias(col)
-    met = known.join(rare, known["doc_id"].eqNullSafe(rare["_doc"]) & (known["text_hash"] == rare["_hash"]), "left")
-    met = met.select(*key, "times", "codes", "n", added("known", "known_"), added("base", "base_"), added("score", "score_"),
-                     F.col("words.at").alias("at"), F.col("words.class").alias("class"))
-    read = store(met.mapInPandas(_resolve, "doc_id string, text_hash long, times int, codes binary, n long, known long, base double, score double"), "read")
+    tier, _, n, v = vocabulary(texts, tier_size, clustered)
+    # Rows are numbered where they are written, so that the number stays.
+    known = store(coded(once, tier).withColumn("row", F.monotonically_increasing_id()), "coded", compression="zstd")
+    learnt = known.filter("times > 0")
+    model = fit(learnt, tier, n, v, classes)
+    placed = place_coded(learnt, model)
+    model, mass = with_placed(model, placed)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    # Words beyond the tier: their classes and counts by a join, then one row per text.
+    rare = known.select("row", F.posexplode("words").alias("at", "word"))
+    rare = rare.join(placed.filter("number IS NULL").select("word", "class", F.col("n").alias("c")), "word")
+    rare = rare.groupBy("row").agg(F.collect_list(F.struct("at", "class", "c")).alias("found"))
+    met = known.withColumn("words", F.size("words")).join(rare, "row", "left")
+    met = met.select(*key, "times", "numbers", "words", "found.at", "found.class", "found.c")
+    read = store(met.mapInPandas(lambda b: _read(b, shared.value, mass), "doc_id string, text_hash long, times long, codes binary, n long, known long, "
+                                 "base double, score double"), "read")
     steps = docs.sparkSession.sparkContext.broadcast(_steps(class_pairs(read, len(mass))))
     whole = read.drop("times").mapInPandas(lambda b: _score(b, steps.value), "doc_id string, text_hash long, n long, known long, base double, score double")
     whole = whole.select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), F.col("n").alias("n_tokens"), F.col("known").alias("n_known"),

@@ -33,12 +33,12 @@ def reach_workers(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([*paths, root])
 
 
-def store(df: DataFrame, tag: str) -> DataFrame:
+def store(df: DataFrame, tag: str, compression: str | None = None) -> DataFrame:
     """Write ``df`` once as Parquet under the shared checkpoint folder and
     read it back: lineage ends there, and a lost executor costs a re-read."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}/{tag}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 

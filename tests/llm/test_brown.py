@@ -112,3 +112,35 @@ def test_words_beyond_the_clustered_get_their_class(spark, tier):
         assert not kinds or kinds.most_common(1)[0][1] > 0.9 * sum(kinds.values())
     got = lm_scores(docs, crc_mod(F.col("doc_id"), 7) == 2, tier_size=tier, clustered=22, classes=4).filter("held_out").collect()
     assert sum(r.score for r in got) > 0.85 * sum(r.base_score for r in got)
+
+
+@pytest.mark.parametrize("tier", [30, 1000])
+def test_neighbours_are_told_in_one_row_a_word(spark, tier):
+    """A task tells a word's neighbours at once, texts that occur twice count
+    twice, and words alike get the class that each would get alone."""
+    from stockflow.llm.brown import coded, fit, neighbours, place_coded, vocabulary
+
+    rng = np.random.default_rng(6)
+    texts = [(" ".join(f"w{int(x)}" for x in rng.zipf(1.3, 40) % 400) + " w1 w1", 1 + i % 2) for i in range(60)]
+    docs = spark.createDataFrame(texts, "text string, times int").coalesce(1)
+    whole, counts, n, v = vocabulary(docs.select("text").where("times = 1").union(docs.filter("times = 2").select("text")), tier, 10)
+    known = coded(docs, whole)
+    model = fit(known, whole, n, v, 4)
+    t, number = len(model.steps), lambda w: whole.number.get(w, len(whole.counts))
+    want = collections.defaultdict(collections.Counter)
+    for text, times in texts:
+        tokens = [END, *tokens_of(text)]
+        for a, b in zip(tokens, tokens[1:]):
+            if number(a) >= 10:
+                want[a][2 * t if a == b else int(model.classes[number(b)])] += times
+            if number(b) >= 10 and a != b:
+                want[b][t + int(model.classes[number(a)])] += times
+    rows = neighbours(known, model).collect()
+    got = {r.word: {int(x % (2 * t + 1)): int(x // (2 * t + 1)) for x in np.frombuffer(r.near, np.int64)} for r in rows}
+    assert len(rows) == len(got) and got == want
+    for r in place_coded(known, model).collect():
+        near = np.zeros((1, 2 * t + 1))
+        near[0, list(want[r["word"]])] = list(want[r["word"]].values())
+        of = np.array([model.classes[number(r["word"])]])
+        alone = best_classes(model.pairs, of, near[:, :t], near[:, t:2 * t], near[:, -1], t - (whole.states - whole.clustered))
+        assert r["class"] == alone[0] and r["n"] == near[0, t:].sum()
