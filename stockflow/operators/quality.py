@@ -109,7 +109,7 @@ def check_keys(tables: dict[str, DataFrame], keysets: Sequence[tuple[str, Sequen
     for t in dict.fromkeys(t for t, _ in keysets):
         each = F.array(*[F.struct(F.lit(i).alias("i"), _key(ks).alias("key")) for i, (of, ks) in enumerate(keysets) if of == t])
         frames.append(tables[t].select(F.lit(t).alias("table_name"), F.inline(each)))
-    counts = reduce(DataFrame.unionByName, frames).groupBy("table_name", "i", "key").agg(F.count("*").alias("n")).filter("n > 1")
+    counts = reduce(DataFrame.unionByName, frames).groupBy("key", "i", "table_name").agg(F.count("*").alias("n")).filter("n > 1")  # see check_references
     return counts.select(F.lit("unique").alias("rule"), "table_name", "key", F.concat(F.lit("count="), F.col("n").cast("string")).alias("detail"))
 
 
@@ -120,7 +120,8 @@ def check_references(tables: dict[str, DataFrame], keys: Sequence[tuple[str, str
     from stockflow.operators.deletes import TO, references
     found = reduce(DataFrame.unionByName, [tables[p].select(F.lit(p).alias("to_table"), F.col("id").cast("string").alias("to_key"))
                                            for p in dict.fromkeys(k[2] for k in keys)])
-    lost = references(tables, keys).join(found, TO, "left_anti")
+    # The key before the table: a sort tells rows apart by the start of its first column.
+    lost = references(tables, keys).join(found, TO[::-1], "left_anti")
     column = F.substring_index("fk", ".", -1)
     return lost.select(F.lit("foreign_key").alias("rule"), "table_name", F.coalesce("key", F.lit("NULL")).alias("key"),
                        F.concat(column, F.lit("="), F.col("to_key")).alias("detail"))

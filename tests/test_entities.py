@@ -120,3 +120,20 @@ def test_grouped_key_checks_find_every_break(spark):
     skipped = quality.skipped_rules(t)
     assert ("not_null", "users", "name") in skipped and ("unique", "products", "id") in skipped
     assert ("foreign_key", "audit_logs", "user_id") not in skipped and ("foreign_key", "products", "id") in skipped
+
+
+def test_references_are_told_apart_by_their_key_first(spark):
+    """A sort compares the start of its first column: one table's name tells none of its rows apart."""
+    import re
+
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        tables = {t: spark.createDataFrame([(i,) for i in ids], "id long") for t, ids in (("vendors", [1, 2]), ("bills_of_material", [3, 4]))}
+        tables["products"] = spark.createDataFrame([(7, 1, 3), (8, 3, 4), (9, None, 2), (None, 4, None)], "id long, vendor_id long, bom_id long")
+        lost = quality.check_references(tables, [("products", "vendor_id", "vendors"), ("products", "bom_id", "bills_of_material")])
+        assert re.search(r"SortMergeJoin \[to_key#\d+, to_table#\d+\]", lost._jdf.queryExecution().executedPlan().toString())
+        assert sorted(tuple(r) for r in lost.collect()) == [("foreign_key", "products", "8", "vendor_id=3"), ("foreign_key", "products", "9", "bom_id=2"),
+                                                            ("foreign_key", "products", "NULL", "vendor_id=4")]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
