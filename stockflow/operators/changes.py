@@ -347,8 +347,9 @@ def number_within(df: DataFrame, keys: Sequence[str], order: Sequence[str], out:
     small, hot = split_hot(df, keys, df, hot_rows)
     parts = []
     if small is not None:
+        # Dealt by key first, so that the hash is taken after the exchange and not moved.
         w = Window.partitionBy(*keys).orderBy(*order, F.xxhash64(*df.columns))
-        parts.append(small.withColumn(out, F.row_number().over(w).cast("bigint")))
+        parts.append(small.repartition(*keys).withColumn(out, F.row_number().over(w).cast("bigint")))
     if hot is not None:
         parts.append(_number_pieces(hot, keys, order, out, num_partitions))
     return reduce(DataFrame.unionByName, parts)

@@ -125,15 +125,17 @@ def sales_order_summary(orders: DataFrame, lines: DataFrame, products: DataFrame
     """Order + sales person name + lines (product name, availability,
     ordered, delivered, unit price, total by the view rule).
 
-    ``keyed``: orders and lines are stored by order (sources.keyed). Then the
-    flat form joins them before anything else, without an exchange."""
-    if keyed and flat:
+    The flat form joins orders to lines before anything else: a line is moved by
+    its order once, and what its product gives it is not moved back.
+    ``keyed``: orders and lines are stored by order (sources.keyed), so that this
+    join needs no exchange."""
+    if flat:
         own = [c for c in lines.columns if c in ("line_seq", "product_id", "ordered_qty", "done_qty", "unit_price")]
-        both = orders.join(lines.select(F.col("order_id").alias("id"), *own), "id", "left")
+        both = orders.join(lines.select(F.col("order_id").alias("id"), *own, F.lit(True).alias("_there")), "id", "left")
         rows = with_owner_name(_line_rows(both, products, position, "sales_price", True), users, "sales_person_id", "sales_person_name")
-        there = F.col("line_seq").isNotNull()
-        return rows.select(*orders.columns, "sales_person_name", "line_seq", "product_id", "product_name",
-                           F.when(there, F.col("availability")).alias("availability"), "ordered_qty",
+        first = [] if keyed else ["id", "sales_person_id"]
+        return rows.select(*first, *[c for c in orders.columns if c not in first], "sales_person_name", "line_seq", "product_id", "product_name",
+                           F.when(F.col("_there"), F.col("availability")).alias("availability"), "ordered_qty",
                            F.col("done_qty").alias("delivered_qty"), "unit_price", "total")
     hdr = with_owner_name(orders, users, "sales_person_id", "sales_person_name")
     rows = _line_rows(lines, products, position, "sales_price", True)

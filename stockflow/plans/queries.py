@@ -20,6 +20,7 @@ from stockflow.sources.model import (AS_OF, Model, audit_stream, boms, read_stre
                                      produce_requests, product_patch, receipt_command, sales_order_view,
                                      saved_permissions,
                                      saved_users, status_command)
+from stockflow.types import OPEN_MO
 
 # --------------------------------------------------------------------------
 # Stock (D1-D3, C10, G11, K1)
@@ -60,7 +61,9 @@ def _mo_components(m: Model):
 
 
 def _position_all(m: Model):
-    r = stock.reserved_all(m.sales_order, m.sales_line, m.manufacturing_order, _mo_components(m))
+    # Orders have one row per id, and only open ones reserve: the others' components are not built.
+    mos = m.manufacturing_order.filter(F.col("status").isin(*OPEN_MO))
+    r = stock.reserved_all(m.sales_order, m.sales_line, mos, bom.instantiate_components(mos, m.bom_component))
     return stock.stock_position(m.product, r)
 
 
