@@ -347,14 +347,22 @@ def number_within(df: DataFrame, keys: Sequence[str], order: Sequence[str], out:
     small, hot = split_hot(df, keys, df, hot_rows)
     parts = []
     if small is not None:
-        # Dealt by key first, so that the hash is taken after the exchange and not moved.
-        w = Window.partitionBy(*keys).orderBy(*order, F.xxhash64(*df.columns))
-        parts.append(small.repartition(*keys).withColumn(out, F.row_number().over(w).cast("bigint")))
+        parts.append(number_small(small, keys, order, out))
     if hot is not None:
         parts.append(_number_pieces(hot, keys, order, out, num_partitions))
     return reduce(DataFrame.unionByName, parts)
 
 
+def number_small(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "row_number",
+                 num_partitions: int | None = None) -> DataFrame:
+    """``number_within`` for keys that are known to be small: the plain window.
+    Rows are dealt by key first (into ``num_partitions``, if given), so that the
+    hash that settles ties is taken after the exchange and not moved."""
+    w = Window.partitionBy(*keys).orderBy(*order, F.xxhash64(*df.columns))
+    dealt = df.repartition(num_partitions, *keys) if num_partitions else df.repartition(*keys)
+    return dealt.withColumn(out, F.row_number().over(w).cast("bigint"))
+
+
 def _number_pieces(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str, num_partitions: int | None) -> DataFrame:
     """Range-partition on (keys, order), sort inside partitions and write the
     rows with their position, which then stays if an executor is lost. A hot key

@@ -29,14 +29,15 @@ def _file(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def write_keyed(df: DataFrame, path: str, key: str, buckets: int) -> DataFrame:
+def write_keyed(df: DataFrame, path: str, key: str, buckets: int, dealt: bool = False) -> DataFrame:
     """Store ``df`` under ``path`` in ``buckets`` buckets of ``key``, each
     sorted by it, and open it. Rows of one bucket are written by one task; a
     key is never split, so a table in which one key holds a large share of the
-    rows is better left unkeyed."""
+    rows is better left unkeyed. ``dealt``: the rows already are in that many
+    partitions of the key, and are not moved again."""
     spark = df.sparkSession
     name = f"keyed_{uuid.uuid4().hex}"
-    (df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", path).mode("overwrite").saveAsTable(name))
+    ((df if dealt else df.repartition(buckets, key)).write.bucketBy(buckets, key).sortBy(key).option("path", path).mode("overwrite").saveAsTable(name))
     spark.sql(f"DROP TABLE {name}")
     file, fs = _file(spark, path)
     out = fs.create(file, True)

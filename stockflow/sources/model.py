@@ -8,12 +8,15 @@ see the same rows; they are written here with the DataFrame API.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from decimal import Decimal
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stockflow.operators.scan import hot_groups
+from stockflow.sources.keyed import buckets_for, read_keyed, write_keyed
 from stockflow.sources.tables import read_raw
 
 QTY = "decimal(14,3)"
@@ -21,7 +24,10 @@ MONEY = "decimal(12,2)"
 DURATION = "decimal(14,2)"
 
 # Bump when a stored entity table's definition changes (part of its storage key).
-MODEL_VERSION = 5
+MODEL_VERSION = 6
+
+# Input of one bucket of the stored lines (Parquet; in memory some ten times as much).
+LINE_BUCKET_BYTES = 16 << 20
 
 # Fixed values of the tier-3 mapping.
 AS_OF = "1998-07-01"
@@ -55,7 +61,22 @@ class Model:
     def raw(self, name: str) -> DataFrame:
         return read_raw(self.spark, self.sf_dir, name)
 
-    def _stored(self, name: str, df: DataFrame) -> DataFrame:
+    def _files(self, names: Sequence[str]) -> list:
+        """Status of the raw tables' files, as their own store reports them."""
+        conf = self.spark._jsc.hadoopConfiguration()
+        found = []
+        for t in names:
+            src = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.sf_dir}/{t}.parquet")
+            store = src.getFileSystem(conf)
+            if store.exists(src):
+                files = store.listFiles(src, True)
+                while files.hasNext():
+                    found.append(files.next())
+        return found
+
+    def _stored(self, name: str, df: DataFrame, key: str | None = None, buckets: int = 0) -> DataFrame:
+        """``df`` at rest. With ``key``, its rows are in ``buckets`` partitions of
+        it, and it is stored by that key (sources.keyed)."""
         if not self.materialize:
             return df
         import hashlib
@@ -69,15 +90,8 @@ class Model:
         except Exception:  # no JVM handle (Spark Connect): compute instead of storing
             return df
         # The inputs' files as their own store reports them: changed input, other tables.
-        stats = []
-        for t in ("part", "supplier", "orders", "lineitem", "events", "nation", "customer", "region"):
-            src = Path(f"{self.sf_dir}/{t}.parquet")
-            store = src.getFileSystem(conf)
-            if store.exists(src):
-                files = store.listFiles(src, True)
-                while files.hasNext():
-                    f = files.next()
-                    stats.append(f"{f.getPath()}:{f.getLen()}:{f.getModificationTime()}")
+        stats = [f"{f.getPath()}:{f.getLen()}:{f.getModificationTime()}" for f in
+                 self._files(("part", "supplier", "orders", "lineitem", "events", "nation", "customer", "region"))]
         tag = hashlib.sha1("|".join([f"v{MODEL_VERSION}", self.sf_dir] + sorted(stats)).encode()).hexdigest()[:12]
         path = os.path.join(checkpoint_dir(self.spark), "model", tag, name)
         fs = Path(path).getFileSystem(conf)
@@ -86,15 +100,18 @@ class Model:
             # HDFS-like stores): concurrent writers never see a half table.
             import uuid
             tmp = f"{path}.tmp-{uuid.uuid4().hex[:8]}"
-            df.write.mode("overwrite").parquet(tmp)
+            if key:
+                write_keyed(df, tmp, key, buckets, dealt=True)
+            else:
+                df.write.mode("overwrite").parquet(tmp)
             fs.mkdirs(Path(path).getParent())
             # Rename only onto a free name (a rename onto an existing
             # directory would nest into it on some file systems).
             if not fs.exists(Path(path)):
                 fs.rename(Path(tmp), Path(path))
             if not fs.exists(Path(path + "/_SUCCESS")):
-                return self.spark.read.parquet(tmp)
-        return self.spark.read.parquet(path)
+                path = tmp
+        return read_keyed(self.spark, path) if key else self.spark.read.parquet(path)
 
     @cached_property
     def product(self) -> DataFrame:
@@ -126,12 +143,16 @@ class Model:
     def line(self) -> DataFrame:
         # Lines are numbered within their order; number_within keeps a hot
         # order from landing in one task (same numbers as row_number). Only
-        # the columns that are ordered by or kept move.
-        from stockflow.operators.changes import number_within
+        # the columns that are ordered by or kept move. Where no order is hot,
+        # lines are stored as they were dealt for that: by order.
+        from stockflow.operators.changes import number_small, number_within
         moved = self.raw("lineitem").drop("l_discount", "l_tax")
-        li = number_within(moved, ["l_orderkey"],
-                           ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity",
-                            "l_extendedprice"], "line_seq")
+        keys, order = ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice"]
+        buckets = self._line_buckets(moved)
+        if buckets:
+            li = number_small(moved, keys, order, "line_seq", buckets)
+        else:
+            li = number_within(moved, keys, order, "line_seq")
         done = (F.when(F.col("l_linestatus") == "F", F.col("l_quantity"))
                  .when(F.col("l_returnflag") == "A", F.floor(F.col("l_quantity") / 2).cast("double"))
                  .otherwise(F.lit(0.0)))
@@ -143,7 +164,18 @@ class Model:
             F.col("l_shipdate"),
             F.col("l_quantity").cast(QTY).alias("ordered_qty"),
             done.cast(QTY).alias("done_qty"),
-            F.col("l_returnflag")))
+            F.col("l_returnflag")), "order_id" if buckets else None, buckets)
+
+    def _line_buckets(self, lines: DataFrame) -> int:
+        """Buckets for lines stored by order; 0 if they are not to be: they
+        are not stored, or an order may hold very many."""
+        if not self.materialize:
+            return 0
+        try:
+            size = sum(f.getLen() for f in self._files(["lineitem"]))
+        except Exception:  # no JVM handle (Spark Connect)
+            return 0
+        return 0 if hot_groups(lines, ["l_orderkey"]) else buckets_for(self.spark, size, LINE_BUCKET_BYTES)
 
     @cached_property
     def sales_order(self) -> DataFrame:
